@@ -196,20 +196,25 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
             wanted = wanted.unionByName(p)
         near = docs.mapInArrow(_prints(lengths), "doc_id long, tie long, n int, fp long").join(wanted.select("n", "fp").distinct(), ["n", "fp"], "left_semi")
         near = cut(near.select("doc_id", "tie").distinct(), "near")
-        own = docs.join(near, docs.doc_id.eqNullSafe(near.doc_id) & (docs.tie == near.tie), "left_semi").dropDuplicates(["doc_id", "tie"])
+        own = _match(docs.dropDuplicates(["doc_id", "tie"]), near)
         ours = own.mapInArrow(_windows(lengths, False), "doc_id long, tie long, n int, place long, a long, b long")
         theirs = items.drop("n").mapInArrow(_windows(lengths, True), "doc_id string, tie long, n int, place long, a long, b long").select(F.col("doc_id").alias("item"), "n", "a", "b").distinct()
         met = cut(ours.join(theirs, ["n", "a", "b"]), "met")
         spans = met.select("doc_id", "tie", F.explode(F.sequence("place", F.col("place") + F.col("n") - 1)).alias("word")).distinct().groupBy("doc_id", "tie").agg(F.count("*").alias("n_hit"))
         names = met.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("item")).alias("items"))
-        hits = spans.join(names, spans.doc_id.eqNullSafe(names.doc_id) & (spans.tie == names.tie)).select(spans.doc_id, spans.tie, "n_hit", "items")
+        hits = _match(spans, names)
     else:
         hits = docs.sparkSession.createDataFrame([], "doc_id long, tie long, n_hit long, items array<string>")
-    docs = docs.select("doc_id", "tie")
-    out = docs.join(counts, docs.doc_id.eqNullSafe(counts.doc_id) & (docs.tie == counts.tie)).select(docs.doc_id, docs.tie, "n_words")
-    out = out.join(hits, out.doc_id.eqNullSafe(hits.doc_id) & (out.tie == hits.tie), "left")
-    items_sha = F.sha2(F.concat_ws(",", F.coalesce("items", F.array())), 256)
-    return out.select(out.doc_id, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.greatest(F.size("items"), F.lit(0)).cast("long").alias("n_items"), items_sha.alias("items_sha256"))
+    out = _match(docs.select("doc_id", "tie"), counts)
+    out = _match(out, hits, "left")
+    items_sha = F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256)
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), items_sha.alias("items_sha256"))
+
+
+def _match(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join by document and the hash of its text; null ids are ids."""
+    right = right.withColumnsRenamed({"doc_id": "right_id", "tie": "right_tie"})
+    return left.join(right, F.col("doc_id").eqNullSafe(F.col("right_id")) & (F.col("tie") == F.col("right_tie")), how).drop("right_id", "right_tie")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
