@@ -47,7 +47,7 @@ select qid, conv_id, question, concat(answer, ' It pays ', cast(conv_id % 11 * 1
   ' years [', cast(conv_id % 5 + 1 as string), '].') as answer from qa""",
     # ranked chunks for each question
     "retrieved": """
-select qid, conv_id, r as rank, (conv_id * 7 + r * 13) % 200 as doc_id, round(0.70 - 0.06 * r - (conv_id % 10) * 0.03, 4) as score
+select qid, conv_id, r as rank, (conv_id * 7 + r * 13) % 200 as doc_id, cast(round(0.70 - 0.06 * r - (conv_id % 10) * 0.03, 4) as double) as score
 from qa cross join (select 1 as r union all select 2 as r union all select 3 as r) n""",
     "chunks": """
 select d.doc_id as entry_id, d.source as topic, d.lang as type, d.text as content, p.url as url
