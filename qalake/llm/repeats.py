@@ -6,8 +6,10 @@ some tens of windows long. Segments, not windows, are shuffled:
 
 1. rows (anchor, content hash, document, place) are dealt by anchor and sorted. A segment equal to an earlier one
    repeats as a whole. An anchor with a single content is done; that is nearly all of the corpus.
-2. Segments of an anchor with several contents (the ends of passages, edited copies) get their text by a join, and their
-   windows are compared among each other; each method does that in its way.
+2. Segments of an anchor with several contents (the ends of passages, edited copies) get their text by a join and are
+   cut into parts of a few windows. A part is dealt by anchor and by what all its possible windows have in common, so
+   that a line in a third of all documents, with other text around it each time, goes to many tasks; equal parts of a
+   task meet before. The windows of parts that come together are compared; each method does that in its way.
 3. The windows found are gathered by document and joined to the text.
 
 Repeats within a task meet before the shuffle, so that of a passage with a third of all rows a task sends one row for
@@ -20,10 +22,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, ranges, raw, runs, whole_groups, whole_texts
+from .shared import cut, mix, ranges, raw, runs, whole_groups, whole_texts
 
 SEGMENT = "h long, s long, doc long, pos long, o int, n int"
 NAMES = ["h", "s", "doc", "pos", "o", "n"]
@@ -141,8 +144,39 @@ def settle(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return work
 
 
-def _cut_out(texts: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows h, doc, pos, o, n, seg. texts(data, offsets, row, pos, n) gives the segments' bytes as an Arrow column."""
+#: Places of the anchor that one part's windows may have.
+PART = 8
+
+
+def parts(o: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments by the anchor's place in the window: segment, windows left out before, place in the first window, windows, block of places."""
+    high, low = o // PART, (o - n + 1) // PART
+    row = np.repeat(np.arange(len(o)), high - low + 1)
+    block = high[row] - ranges(np.zeros(len(o), np.int64), high - low + 1)
+    first, last = np.minimum(o[row], block * PART + PART - 1), np.maximum((o - n + 1)[row], block * PART)
+    return row, o[row] - first, first, first - last + 1, block
+
+
+def _cut_out(texts: Callable, across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows h, doc, pos, o, n, seg for parts of segments; parts equal to an earlier one of the task are known at once (o = WHOLE).
+
+    texts(data, offsets, row, pos, n, skip) gives the parts' bytes, and hashes of what stands in all windows that such a
+    part may have: it begins skip units behind the first window's begin and is PART - 1 units shorter than a window.
+    """
+
+    def send(key, doc, pos, o, n, seg):
+        seen: dict[tuple, int] = {}
+        order = np.lexsort((pos, doc))
+        first = np.empty(len(order), np.int64)
+        for i, k, a, b in zip(order.tolist(), key[order].tolist(), o[order].tolist(), n[order].tolist(), strict=True):
+            first[i] = seen.setdefault((k, a, b, seg[i]), i)
+        again = _differs(doc, pos, doc[first], pos[first], across)
+        none = lambda k: pa.array([None] * k, pa.binary())
+        if again.any():
+            known = _known(doc[again], pos[again], n[again])
+            yield pa.RecordBatch.from_arrays([*(known.column(c) for c in ("h", "doc", "pos", "o", "n")), none(known.num_rows)], names=CUT)
+        keep = np.flatnonzero(~again)
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep]), pa.array(pos[keep]), pa.array(o[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array([seg[i] for i in keep.tolist()], pa.binary())], names=CUT)
 
     def work(batches):
         for batch in batches:
@@ -150,23 +184,39 @@ def _cut_out(texts: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             lists = batch.column("segs")
             count = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            h, pos, o, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            h, pos, o, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
             row = np.repeat(np.arange(len(count)), count)
-            docs = batch.column("doc").to_numpy(zero_copy_only=False)[row]
-            step = 20_000
-            for i in range(0, len(h), step):
-                k = slice(i, i + step)
-                seg = texts(data, offsets, row[k], pos[k], n[k])
-                yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(docs[k]), pa.array(pos[k]), pa.array(o[k]), pa.array(n[k]), seg], names=["h", "doc", "pos", "o", "n", "seg"])
+            docs = batch.column("doc").to_numpy(zero_copy_only=False)
+            for i in range(0, len(h), 10_000):
+                k = slice(i, i + 10_000)
+                part, before, first, many, block = parts(o[k], n[k])
+                own, at = row[k][part], pos[k][part] + before
+                seg, shared = texts(data, offsets, own, at, many, first - block * PART)
+                key = mix(h[k][part].view(np.uint64) ^ mix(shared + block.astype(np.uint64))).view(np.int64)
+                yield from send(key, docs[own], at, first, many, seg)
 
     return work
 
 
+CUT = ["h", "doc", "pos", "o", "n", "seg"]
+
+
 def _compare(equal: Callable, across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """equal(seg bytes, offsets, group, o, n) gives each window's class, windows in order of rows."""
 
+    def open_parts(batches, known):
+        for batch in batches:
+            whole = pc.equal(batch.column("o"), WHOLE)
+            if pc.any(whole).as_py():
+                known.append(batch.filter(whole))
+            yield batch.filter(pc.invert(whole))
+
     def work(batches):
-        for table in whole_groups(batches, "h", 4_000):
+        known: list[pa.RecordBatch] = []
+        for table in whole_groups(open_parts(batches, known), "h", 8_000):
+            while known:
+                yield _rows(*(known[-1].column(c).to_numpy(zero_copy_only=False) for c in ("h", "h", "doc", "pos", "o", "n")))
+                known.pop()
             doc, pos, o, n = (table.column(c).to_numpy().astype(np.int64) for c in ("doc", "pos", "o", "n"))
             at = runs(table.column("h").to_numpy())
             group = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -181,6 +231,8 @@ def _compare(equal: Callable, across: bool) -> Callable[[Iterator[pa.RecordBatch
             again = _differs(wdoc, wpos, wdoc[first], wpos[first], across)
             if again.any():
                 yield _known(wdoc[again], wpos[again], np.ones(int(again.sum()), np.int64))
+        for batch in known:
+            yield _rows(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "h", "doc", "pos", "o", "n")))
 
     return work
 
@@ -194,7 +246,7 @@ def repeated_windows(docs: DataFrame, anchors: Callable, texts: Callable, equal:
     # the segments of one document: no more than it has windows
     several = found.filter(F.col("o") != WHOLE).groupBy("doc").agg(F.collect_list(F.struct("h", "pos", "o", "n")).alias("segs"))
     several = docs.join(several.hint("shuffle_hash"), "doc").select("doc", "text", "segs")
-    several = several.mapInArrow(_cut_out(texts), "h long, doc long, pos long, o int, n int, seg binary")
+    several = several.mapInArrow(_cut_out(texts, across), "h long, doc long, pos long, o int, n int, seg binary")
     more = several.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(equal, across), SEGMENT).select("doc", "pos", "n")
     return known.unionByName(more).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 

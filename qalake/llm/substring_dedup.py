@@ -14,9 +14,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .repeats import without_repeats
+from .repeats import PART, without_repeats
 from .shared import PLAIN, SLICE_BYTES, hash_words, mix, ranges, raw, read, runs, slices, words
 
 WIDTH, ROUNDS = 50, 3
@@ -155,16 +156,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
                 yield i + row, anchor, s, begin + pos, o, n
 
 
-def texts(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.Array:
-    """A segment's words, joined by one space each."""
-    out, at = [], -1
-    for r, p, k in zip(row.tolist(), pos.tolist(), n.tolist(), strict=True):
+def texts(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray, skip: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The words of n windows from pos on, joined by one space each, and hashes of the common ones."""
+    out, shared, at = [], [], -1
+    for r, p, k, s in zip(row.tolist(), pos.tolist(), n.tolist(), skip.tolist(), strict=True):
         if r != at:
             at, part = r, data[offsets[r] : offsets[r + 1]]
             starts, ends, _ = words(part, np.array([0, len(part)]), PLAIN)
-        own = range(p, min(p + k + WIDTH - 1, len(starts)))
-        out.append(b" ".join(part[starts[w] : ends[w]].tobytes() for w in own))
-    return pa.array(out, pa.binary())
+            own = [part[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        out.append(b" ".join(own[p : p + k + WIDTH - 1]))
+        shared.append(xxhash.xxh3_64_intdigest(b" ".join(own[p + s : p + s + WIDTH - PART + 1])))
+    return out, np.array(shared, np.uint64)
 
 
 def equal(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, o: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -13,9 +13,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .repeats import without_repeats
+from .repeats import PART, without_repeats
 from .shared import MASK64, SLICE_BYTES, eights, mix, ranges, read, runs, sliding_min, slices
 
 #: Bytes of a string, of a hashed gram, and of the prefix that quicksort orders.
@@ -67,12 +68,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
         yield i + row, g[q], s, base + p0 - own[row], q - p0, n
 
 
-def texts(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.Array:
-    """A segment's bytes: n windows from pos on. Shorter rows (of a repeated id) give what they have."""
+def texts(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray, skip: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The bytes of n windows from pos on, and hashes of the common ones. Shorter rows (of a repeated id) give what they have."""
     begin = np.minimum(offsets[row] + pos, offsets[row + 1])
-    length = np.minimum(n.astype(np.int64) + WIDTH - 1, offsets[row + 1] - begin)
-    ends = np.concatenate([[0], np.cumsum(length)])
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(data[ranges(begin, length)])]).cast(pa.binary())
+    end = np.minimum(begin + n + WIDTH - 1, offsets[row + 1])
+    out = [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    shared = [xxhash.xxh3_64_intdigest(t[k : k + WIDTH - PART + 1]) for t, k in zip(out, skip.tolist(), strict=True)]
+    return out, np.array(shared, np.uint64)
 
 
 def deep_shallow(data: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
