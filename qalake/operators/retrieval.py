@@ -14,8 +14,8 @@ from qalake.functions.rules import contains_any
 from qalake.functions.text import cosine, unit
 
 TOP_K, MIN_SCORE, WEAK, REFUSE = 7, 0.45, 0.55, 0.45
-#: Question vectors that are sent to every task; more are dealt out in blocks.
-BROADCAST_QUESTIONS = 20_000
+#: Question vectors that are sent to every task; more are dealt out in blocks, as the vectors are.
+BROADCAST_QUESTIONS, BLOCK_QUESTIONS, BLOCK_VECTORS = 20_000, 4_000, 100_000
 
 
 def embedding_text(topic: Column, code: Column, content: Column) -> Column:
@@ -104,36 +104,41 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn_topk(questions: DataFrame, vectors: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE, digits: int = 6) -> DataFrame:
+def knn_topk(questions: DataFrame, vectors: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE, digits: int = 6, broadcast_questions: int = BROADCAST_QUESTIONS) -> DataFrame:
     """qid, id, score, rank: for each question (qid, embedding) the k nearest vectors (id, embedding) by cosine.
 
-    A counted number of questions goes to every task as one matrix; a task multiplies it with blocks of its vectors and
-    keeps k for each question, so that what is shuffled is k rows for each task and question. More questions are dealt out
-    in blocks, and the vectors read once for each block; neither side is ever in one place.
+    A counted number of questions (up to BROADCAST_QUESTIONS) goes to every task as one matrix; a task multiplies it with
+    batches of its vectors and keeps k for each question, so that what is shuffled is k rows for each batch and question.
+    More questions never meet in one place: both sides are dealt into blocks, and each pair of blocks is multiplied by a
+    task of its own.
     """
     spark = questions.sparkSession
+    vectors = vectors.select(F.col("id").cast("long").alias("id"), "embedding")
+    questions = questions.select(F.col("qid").cast("long").alias("qid"), "embedding")
     n = questions.count()
-    if not n:
-        return spark.createDataFrame([], "qid long, id long, score double, rank int")
-    blocks = -(-n // BROADCAST_QUESTIONS)
-    dealt = questions.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        own = dealt.filter(F.col("block") == b).select("qid", "embedding").toPandas()
-        if not len(own):
-            continue
-        size = max(len(v) for v in own.embedding if v is not None)
-        shared = spark.sparkContext.broadcast((own.qid.tolist(), _matrix(own.embedding, size)))
+    schema = "qid long, id long, score double"
 
-        def work(frames, shared=shared, size=size):
-            q_ids, q = shared.value
-            for frame in frames:
-                scores = np.round(q @ _matrix(frame.embedding, size).T, digits)
-                best = _best(frame.id.tolist(), scores, q_ids, k, min_score)
-                yield pd.DataFrame(best, columns=["qid", "id", "score"]).astype({"qid": "int64", "id": "int64", "score": "float64"})
+    def block(q_ids, q: np.ndarray, frame: pd.DataFrame) -> pd.DataFrame:
+        scores = np.round(q @ _matrix(frame.embedding, q.shape[1]).T, digits)
+        best = _best(frame.id.tolist(), scores, q_ids, k, min_score)
+        return pd.DataFrame(best, columns=["qid", "id", "score"]).astype({"qid": "int64", "id": "int64", "score": "float64"})
 
-        part = vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInPandas(work, "qid long, id long, score double")
-        found = part if found is None else found.unionByName(part)
+    if n <= broadcast_questions:
+        own = questions.toPandas()
+        size = max((len(v) for v in own.embedding if v is not None), default=1)
+        shared = spark.sparkContext.broadcast((own.qid.tolist(), _matrix(own.embedding, size)))
+        found = vectors.mapInPandas(lambda frames: (block(*shared.value, f) for f in frames), schema)
+    else:
+        parts = -(-n // BLOCK_QUESTIONS)
+        others = max(1, -(-vectors.count() // BLOCK_VECTORS))
+        q = questions.withColumn("a", F.pmod(F.xxhash64("qid"), F.lit(parts))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        v = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(others)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            size = max((len(x) for x in left.embedding if x is not None), default=1)
+            return block(left.qid.tolist(), _matrix(left.embedding, size), right)
+
+        found = q.groupBy("a", "b").cogroup(v.groupBy("a", "b")).applyInPandas(meet, schema)
     return _rank(found, k)
 
 

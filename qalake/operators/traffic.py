@@ -121,7 +121,7 @@ def state_intensity(totals: DataFrame) -> DataFrame:
 
 def ip_number(ip: Column) -> Column:
     part = F.split(ip, r"\.")
-    return sum((F.try_element_at(part, F.lit(i + 1)).cast("long") * F.lit(256 ** (3 - i)) for i in range(4)), F.lit(0).cast("long"))
+    return sum((F.try_element_at(part, F.lit(i + 1)).try_cast("long") * F.lit(256 ** (3 - i)) for i in range(4)), F.lit(0).cast("long"))
 
 
 def private_ip(ip: Column) -> Column:

@@ -25,7 +25,10 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 def extract_citations(answers: DataFrame) -> DataFrame:
     """qid, pos, number, claim: the 10 to 100 characters before `[n]` or before superscript digits, which are read as one number."""
-    bracket, raised = r"([^.!?\n]{10,100})\s*\[(\d+)\]", rf"([^.!?\n]{{10,100}})([{SUPERSCRIPTS}]+)"
+    bracket, raised = r"([^.!?\n]{10,100})\s*\[(\d+)\]", rf"([^.!?\n]{{9,99}}[^.!?\n{SUPERSCRIPTS}])([{SUPERSCRIPTS}]+)"
+    # a claim never crosses the end of a sentence, so that only sentences with a mark are searched
+    marked = F.filter(F.split("answer", r"[.!?]|\n(?!\s*\[\d)"), lambda s: s.rlike(rf"\[\d|[{SUPERSCRIPTS}]"))
+    answers = answers.select("qid", F.array_join(marked, ".").alias("answer"))
     pairs = lambda p: F.arrays_zip(_all(F.col("answer"), p, 1).alias("claim"), _all(F.col("answer"), p, 2).alias("number"))
     rows = answers.select("qid", F.posexplode(F.concat(pairs(bracket), pairs(raised))).alias("pos", "c"))
     return rows.select("qid", "pos", F.translate("c.number", SUPERSCRIPTS, "0123456789").cast("int").alias("number"), F.trim("c.claim").alias("claim"))
@@ -50,15 +53,22 @@ def claim_support(claim: Column, chunk: Column) -> Column:
     words = F.array_distinct(F.filter(_all(F.lower(claim), r"[\p{L}\p{N}_]+", 0), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
     numbers = F.array_distinct(_all(claim, r"\d+%?", 0))
     share = lambda items, text: F.size(F.filter(items, lambda w: F.contains(text, w))) / F.size(items)
-    found = share(words, F.lower(chunk))
-    return F.when(F.size(words) == 0, 0.5).when(F.size(numbers) > 0, (found + 2 * share(numbers, chunk)) / 3).otherwise(found)
+    parts = F.struct(words.alias("w"), numbers.alias("n"), F.lower(chunk).alias("low"))
+
+    def support(p: Column) -> Column:
+        found = share(p["w"], p["low"])
+        return F.when(F.size(p["w"]) == 0, 0.5).when(F.size(p["n"]) > 0, (found + 2 * share(p["n"], chunk)) / 3).otherwise(found)
+
+    return F.element_at(F.transform(F.array(parts), support), 1)  # words, numbers and the lower case are made once
 
 
 def check_citations(answers: DataFrame, chunks: DataFrame, threshold: float = VERIFIED) -> DataFrame:
     """One row for each citation. chunks: qid, rank, text, url."""
     c = extract_citations(answers).join(extract_source_refs(answers).select("qid", "number", F.col("url").alias("cited_url")), ["qid", "number"], "left")
     c = c.join(chunks.select("qid", F.col("rank").alias("number"), "text", F.col("url").alias("chunk_url"), F.lit(True).alias("there")), ["qid", "number"], "left")
-    support = F.when(F.col("there"), claim_support(F.col("claim"), F.col("text"))).otherwise(0.0)
+    # one column, so that the costly share is worked out once for each row
+    c = c.withColumn("support", F.when(F.col("there"), claim_support(F.col("claim"), F.col("text"))).otherwise(0.0))
+    support = F.col("support")
     issues = [
         F.when(F.col("cited_url").isNull(), "not_in_sources"), F.when(F.col("there").isNull(), "no_chunk"), F.when(F.col("there") & (support < threshold), "low_support"),
         F.when(F.col("cited_url") != F.col("chunk_url"), "url_mismatch"),

@@ -68,7 +68,8 @@ query(
     f"select qid, id, rank, round(1 - score, 6) as distance, topic, cast(length(substr(content, 1, 500)) as int) as preview_chars from ({knn(5, 0.0)}) f join chunks on entry_id = id",
     "chunks",
 )
-query("knn_approx", lambda v: R.knn_approx(questions(v), corpus(v), R.TOP_K, FLOOR))
+# neighbours here are at a cosine of 0.3 to 0.5, hardly nearer than chance, so that many short keys are needed
+query("knn_approx", lambda v: R.knn_approx(questions(v), corpus(v), R.TOP_K, FLOOR, tables=28, bits=4))
 query(
     "retrieval_quality",
     lambda v: R.retrieval_quality(questions(v), found(v), WEAK, REFUSE),
