@@ -15,6 +15,7 @@ from qalake.llm.jaccard_join import jaccard_join
 from qalake.llm.mixing import mix_sources
 from qalake.llm.shared import cut, read, whole_texts
 from qalake.llm.toxicity import HELD_OUT, fold_in, train, without_toxic
+from qalake.session import ship
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -25,27 +26,32 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that are predicted toxic, by a model of the labelled ones (those not held out)."""
+    ship(spark)
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     return without_toxic(docs, train(whole_texts(docs), labels.filter(~fold_in(F.col("doc_id"), *HELD_OUT))))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
+    ship(spark)
     return _keep(docs, exact_dedup(docs).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the least id."""
+    ship(spark)
     return _keep(docs, jaccard_join(docs).filter("doc_id <=> class_id"))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that are contaminated by the benchmark."""
+    ship(spark)
     return _keep(docs, decontaminate(docs, read(spark, sf_dir, "benchmark")).filter("not contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the number of copies, and their sources' sizes and targets."""
+    ship(spark)
     mixed = mix_sources(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("id"), F.col("tie").alias("text_hash"))
     mixed = mixed.agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "copies", "taken")])
     own = ["size", "source_size", "target", "copies", "taken"]
