@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from qalake.functions.rules import first_match
+from qalake.functions.times import micros
 
 
 def eval_by_category(results: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def latency_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def throughput(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Queries a second: rows over the time from the first start to the last end."""
-    span = F.unix_micros(F.max(end)) - F.unix_micros(F.min(start))
+    span = micros(F.max(end)) - micros(F.min(start))
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.when(span > 0, F.round(F.count("*") * 1e6 / span, 6)).alias("per_second"))
 
 

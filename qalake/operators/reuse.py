@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qalake.functions.text import query_hash
+from qalake.functions.times import micros
 
 from .maintenance import snapshot_upsert
 from .retrieval import knn_topk
@@ -104,8 +105,8 @@ def ttl_dedup(questions: DataFrame, hours: int = TTL_HOURS) -> DataFrame:
     A window's begin depends on the one before, so that a fold over each key's sorted times decides; the stream
     form keeps one time for each key instead (streaming.stateful).
     """
-    micros = F.unix_micros("ts")
-    lists = questions.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), "qid"))).alias("items"))
+    at = micros("ts")
+    lists = questions.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), "qid"))).alias("items"))
     span = hours * 3_600_000_000
     start = F.struct(F.lit(None).cast("long").alias("open"), F.expr("cast(array() as array<struct<qid:bigint,kept:boolean>>)").alias("out"))
 

@@ -92,7 +92,7 @@ def timeline_page(events: DataFrame, cache_mode: str | None = None, limit: int =
 
 def cache_window_stats(events: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """Reuse in the last hours. Hits of further tiers count in none of the two."""
-    start = F.lit(as_of).cast("timestamp") - F.expr(f"interval {int(hours)} hours")
+    start = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {int(hours)} hours")
     hit = lambda kind: F.count_if(F.coalesce("cache_hit", F.lit("miss")) == kind)
     table = events.filter(is_type("chat_question") & (F.col("ts") >= start)).agg(
         F.count("*").alias("total"), hit("exact").alias("exact"), hit("semantic").alias("semantic"), hit("miss").alias("miss"), avg("response_ms").alias("average_ms"), F.coalesce(F.sum("openai_total_tokens"), F.lit(0)).alias("tokens")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from qalake.functions.times import micros
 from qalake.operators import evaluate as E
 from qalake.operators import graph as G
 from qalake.operators import retrieval as R
@@ -173,7 +174,7 @@ query("write_results", written_results, f"select category, count(*) as n from ({
 
 requests = lambda v: v.ev.filter("type = 'chat_question'").select("id", "ip", "ts", F.expr("case when k % 10 = 0 then 'hi' else concat('prompt ', cast(k div 40 as string)) end").alias("prompt"))
 REQ = "select id, ip, ts, epoch_us(ts) as t, case when k % 10 = 0 then 'hi' else 'prompt ' || cast(k // 40 as varchar) end as prompt from ev where type = 'chat_question'"
-dense = lambda v: requests(v).withColumn("ts", F.timestamp_micros((F.unix_micros("ts") / 200).cast("long")))
+dense = lambda v: requests(v).withColumn("ts", F.timestamp_micros((micros("ts") / 200).cast("long")))
 DENSE = f"select id, ip, cast(floor(t / 200.0) as bigint) as t, prompt from ({REQ}) q"
 BURSTS = f"select *, count(*) over (partition by ip order by t range between 59999999 preceding and current row) > 5 as burst from ({DENSE}) d"
 SHORTS = f"select *, s = 1 and sum(s) over (partition by ip order by t, id rows unbounded preceding) > 3 as short from (select *, cast(length(trim(prompt)) < 5 as int) as s from ({DENSE}) d) e"

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from qalake.functions.times import micros
+
 MINUTE = 60_000_000
 BURST, SHORT, REPEATS, SHORT_CHARS = 5, 3, 2, 5
 #: Hourly limits and the requests above which they hold.
@@ -15,13 +17,9 @@ TIERS = ((20, 5), (10, 15))
 NORMAL_LIMIT, EXEMPT_LIMIT = 250, 10_000
 
 
-def _micros() -> Column:
-    return F.unix_micros("ts")
-
-
 def _last(minutes: int, *keys: str) -> W:
     """Rows of the last minutes, those exactly as old left out."""
-    return W.partitionBy("ip", *keys).orderBy(_micros()).rangeBetween(-(minutes * MINUTE - 1), 0)
+    return W.partitionBy("ip", *keys).orderBy(micros("ts")).rangeBetween(-(minutes * MINUTE - 1), 0)
 
 
 def burst_flags(requests: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def test_citations(spark):
 
 
 def test_claim_support(spark):
-    rows = [("The of and", "x"), ("veterans receive 30%", "Veterans receive 30% more"), ("veterans receive 40%", "Veterans receive 30% more")]
+    rows = [("The of and", "x"), ("retirees receive 30%", "Retirees receive 30% more"), ("retirees receive 40%", "Retirees receive 30% more")]
     got = [r[0] for r in spark.createDataFrame(rows, "c string, t string").select(F.round(verify.claim_support(F.col("c"), F.col("t")), 4)).collect()]
     assert got == [0.5, 1.0, pytest.approx(1 / 3, abs=1e-3)]
 
