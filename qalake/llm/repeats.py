@@ -13,7 +13,9 @@ some tens of windows long. Segments, not windows, are shuffled:
 3. The windows found are gathered by document and joined to the text.
 
 Repeats within a task meet before the shuffle, so that of a passage with a third of all rows a task sends one row for
-each batch of documents.
+each batch of documents. An anchor that has many contents in a batch (a line with other text around it each time) has
+several contents for certain: its rows are dealt by anchor and content, and two of them by anchor as well, so that all
+rows of the anchor elsewhere learn of it; step 2 then compares them all.
 """
 
 from __future__ import annotations
@@ -26,15 +28,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, mix, ranges, raw, runs, whole_groups, whole_texts
+from .shared import cut, mix, ranges, raw, runs, slices, whole_groups, whole_texts
 
 SEGMENT = "h long, s long, doc long, pos long, o int, n int"
 NAMES = ["h", "s", "doc", "pos", "o", "n"]
 #: Null ids are before all others.
 NULL_ID = -(2**63)
 #: Segments of a batch that are compared before they are sent.
-HELD = 2_000_000
+HELD = 300_000
 WHOLE = -1  # o of rows whose windows are known to repeat
+#: Contents of an anchor in one batch from which on it is hot: its segments are dealt by content too.
+HOT = 64
+HOT_MARK = 1 << 16  # added to o of such rows
 
 
 def _rows(*columns: np.ndarray) -> pa.RecordBatch:
@@ -59,7 +64,7 @@ def _known(doc: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return _rows(spread, np.zeros(len(at)), doc[at], pos[at], np.full(len(at), WHOLE), total)
 
 
-def segments(anchors: Callable, across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def segments(anchors: Callable, across: bool, hot: int = HOT) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """anchors(data, offsets) yields (row, h, s, pos, o, n) as arrays."""
 
     def send(parts):
@@ -71,7 +76,16 @@ def segments(anchors: Callable, across: bool) -> Callable[[Iterator[pa.RecordBat
         again = _differs(doc, pos, doc[first], pos[first], across)
         if again.any():
             yield _known(doc[again], pos[again], n[again])
-        yield _rows(*(x[~again] for x in (h, s, doc, pos, o, n)))
+        h, s, doc, pos, o, n = (x[~again] for x in (h, s, doc, pos, o, n))
+        at = runs(h, s)[:-1]
+        group = runs(h[at])
+        many = np.diff(group) >= hot
+        if many.any():
+            marked = np.isin(h, h[at[group[:-1][many]]])
+            twice = np.concatenate([at[group[:-1][many]], at[group[:-1][many] + 1]])
+            yield _rows(*(x[twice] for x in (h, s, doc, pos, o, n)))
+            o = o + HOT_MARK * marked
+        yield _rows(h, s, doc, pos, o, n)
 
     def work(batches):
         for batch in batches:
@@ -127,7 +141,9 @@ def settle(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 yield _rows(*np.concatenate(waiting, axis=1))
             if not lead or many[0] or len(group) > 2:
                 waiting = []
-            many_row = np.repeat(many, np.diff(group))
+            known_hot = x[4] >= HOT_MARK
+            x[4] -= HOT_MARK * known_hot
+            many_row = np.repeat(many, np.diff(group)) | known_hot
             fresh = ~again
             if lead:
                 fresh[0] = False
@@ -137,7 +153,7 @@ def settle(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             if not several:
                 tail = np.zeros(len(h), bool)
                 tail[group[-2] :] = True
-                if (rest := fresh & tail).any():
+                if (rest := fresh & tail & ~known_hot).any():
                     waiting.append(x[:, rest])
             last = x[:4, first[-1]].copy()
 
@@ -237,10 +253,10 @@ def _compare(equal: Callable, across: bool) -> Callable[[Iterator[pa.RecordBatch
     return work
 
 
-def repeated_windows(docs: DataFrame, anchors: Callable, texts: Callable, equal: Callable, across: bool) -> DataFrame:
+def repeated_windows(docs: DataFrame, anchors: Callable, texts: Callable, equal: Callable, across: bool, hot: int = HOT) -> DataFrame:
     """doc, spans: array of (pos, n), the windows (n from pos on) that also begin earlier. docs: doc, text."""
-    rows = docs.mapInArrow(segments(anchors, across), SEGMENT)
-    found = rows.repartition("h").sortWithinPartitions("h", "s", "doc", "pos").mapInArrow(settle(across), SEGMENT)
+    rows = docs.mapInArrow(segments(anchors, across, hot), SEGMENT)
+    found = rows.repartition(F.when(F.col("o") >= HOT_MARK, F.xxhash64("h", "s")).otherwise(F.col("h"))).sortWithinPartitions("h", "s", "doc", "pos").mapInArrow(settle(across), SEGMENT)
     found = cut(found, "segments")
     known = found.filter(F.col("o") == WHOLE).select("doc", "pos", "n")
     # the segments of one document: no more than it has windows
@@ -251,10 +267,10 @@ def repeated_windows(docs: DataFrame, anchors: Callable, texts: Callable, equal:
     return known.unionByName(more).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, anchors: Callable, texts: Callable, equal: Callable, across: bool, finish: Callable, schema: str) -> DataFrame:
+def without_repeats(docs: DataFrame, anchors: Callable, texts: Callable, equal: Callable, across: bool, finish: Callable, schema: str, hot: int = HOT) -> DataFrame:
     """finish(data, offsets, row, pos, n) gives the result columns, after doc_id, as Arrow arrays."""
     rows = whole_texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
-    spans = repeated_windows(rows, anchors, texts, equal, across)
+    spans = repeated_windows(rows, anchors, texts, equal, across, hot)
     joined = rows.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", F.coalesce("spans", F.array().cast("array<struct<pos:bigint,n:int>>")).alias("spans"))
 
     def work(batches):
@@ -264,7 +280,10 @@ def without_repeats(docs: DataFrame, anchors: Callable, texts: Callable, equal:
             count = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
             pos, n = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-            out = finish(data, offsets, np.repeat(np.arange(len(count)), count), pos, n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *out], names=["doc", *(c.split()[0] for c in schema.split(", "))])
+            begin = np.concatenate([[0], np.cumsum(count)])
+            for i, j in slices(offsets):
+                k = slice(begin[i], begin[j])
+                out = finish(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], np.repeat(np.arange(j - i), count[i:j]), pos[k], n[k])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, j - i), *out], names=["doc", *(c.split()[0] for c in schema.split(", "))])
 
     return joined.mapInArrow(work, f"doc long, {schema}").select(F.expr(f"nullif(doc, {NULL_ID + 1}L - 1L)").alias("doc_id"), *(c.split()[0] for c in schema.split(", ")))

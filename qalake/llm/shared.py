@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds a task's memory, not its results.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 MASK64 = (1 << 64) - 1
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .repeats import PART, without_repeats
+from .repeats import HOT, PART, without_repeats
 from .shared import PLAIN, SLICE_BYTES, hash_words, mix, ranges, raw, read, runs, slices, words
 
 WIDTH, ROUNDS = 50, 3
@@ -202,14 +202,14 @@ def finish(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, pos: np.ndarr
     return [pa.array(np.diff(first)), pa.array(removed[first[1:]] - removed[first[:-1]]), pa.array(hashes, pa.string())]
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space).
 
     Removed is each word covered by 50 consecutive words that also begin in a document with a smaller doc_id. Null texts
     have no words; texts under 50 words keep all; repeats within a document stay. Null ids come before all others; rows
     with the same id are the same document, and what is found in one holds for all.
     """
-    return without_repeats(docs, anchors, texts, equal, True, finish, "n_words long, n_removed long, kept_sha256 string")
+    return without_repeats(docs, anchors, texts, equal, True, finish, "n_words long, n_removed long, kept_sha256 string", hot)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

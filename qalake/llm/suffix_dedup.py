@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .repeats import PART, without_repeats
+from .repeats import HOT, PART, without_repeats
 from .shared import MASK64, SLICE_BYTES, eights, mix, ranges, read, runs, sliding_min, slices
 
 #: Bytes of a string, of a hashed gram, and of the prefix that quicksort orders.
@@ -159,14 +159,14 @@ def finish(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, pos: np.ndarr
     return [pa.array(np.diff(offsets)), pa.array(removed[offsets[1:]] - removed[offsets[:-1]]), pa.array(spans[offsets[1:]] - spans[offsets[:-1]]), pa.array(hashes, pa.string())]
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (lower-case hex of what remains).
 
     Removed is each byte covered by a string of 100 bytes that also begins earlier: in a smaller doc_id, or earlier in
     the same document. Null texts are empty; texts under 100 bytes keep all. Null ids come before all others. Rows with
     the same id are the same document: equal ones don't repeat each other, and what is found in one holds for all.
     """
-    return without_repeats(docs, anchors, texts, equal, False, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return without_repeats(docs, anchors, texts, equal, False, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", hot)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,16 +42,16 @@ def brute_words(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_both_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 64), (2, 2)])
+def test_both_equal_brute_force(spark, seed, hot):
     rows = documents(seed, 150)
     rows += [(1000 + i, prose(random.Random(5), 300), "en", "s", 0) for i in range(3)]
     rows = list({r[0]: r for r in rows}.values())
     df = table(spark, rows).repartition(3)
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup(df).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup(df, hot).collect()}
     assert got == brute_bytes(rows)
     assert sum(x[1] for x in got.values()) > 1000
-    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup(df).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup(df, hot).collect()}
     assert got == brute_words(rows)
     assert sum(x[1] for x in got.values()) > 1000
 
