@@ -38,8 +38,9 @@ NULL_ID = -(2**63)
 HELD = 300_000
 WHOLE = -1  # o of rows whose windows are known to repeat
 #: Contents of an anchor in one batch from which on it is hot: its segments are dealt by content too.
-HOT = 64
+HOT = 16
 HOT_MARK = 1 << 16  # added to o of such rows
+RUN = 256  # n of a segment that follows itself r times more is its windows + r * RUN; a segment has fewer windows
 
 
 def _rows(*columns: np.ndarray) -> pa.RecordBatch:
@@ -52,6 +53,17 @@ def _differs(doc, pos, first_doc, first_pos, across: bool) -> np.ndarray:
     return doc != first_doc if across else (doc != first_doc) | (pos != first_pos)
 
 
+def _windows(n: np.ndarray) -> np.ndarray:
+    return (n % RUN) * (n // RUN + 1)
+
+
+def _one_by_one(h, s, doc, pos, o, n) -> tuple[np.ndarray, ...]:
+    """Segments that follow themselves, each by itself."""
+    times = n // RUN + 1
+    h, s, doc, pos, o, n = (np.repeat(x, times) for x in (h, s, doc, pos, o, n % RUN))
+    return h, s, doc, pos + ranges(np.zeros(len(times), np.int64), times) * n, o, n
+
+
 def _known(doc: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Rows for windows that are known to repeat; neighbours become one."""
     order = np.lexsort((pos, doc))
@@ -69,13 +81,19 @@ def segments(anchors: Callable, across: bool, hot: int = HOT) -> Callable[[Itera
 
     def send(parts):
         doc, h, s, pos, o, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if across:  # a word or phrase said over and over: one row, since a document's own repeats share their fate
+            new = np.ones(len(h), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (pos[1:] != pos[:-1] + n[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(h)))
+            doc, h, s, pos, o, n = doc[at], h[at], s[at], pos[at], o[at], n[at] + RUN * (times - 1)
         order = np.lexsort((pos, doc, s, h))
         doc, h, s, pos, o, n = (x[order] for x in (doc, h, s, pos, o, n))
         at = runs(h, s)
         first = np.repeat(at[:-1], np.diff(at))
         again = _differs(doc, pos, doc[first], pos[first], across)
         if again.any():
-            yield _known(doc[again], pos[again], n[again])
+            yield _known(doc[again], pos[again], _windows(n[again]))
         h, s, doc, pos, o, n = (x[~again] for x in (h, s, doc, pos, o, n))
         at = runs(h, s)[:-1]
         group = runs(h[at])
@@ -131,14 +149,14 @@ def settle(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             if lead:
                 again[0] = False
             if again.any():
-                yield _known(doc[again], pos[again], x[5][again])
+                yield _known(doc[again], pos[again], _windows(x[5][again]))
             group = runs(h)
             contents = np.searchsorted(at[:-1], group[1:]) - np.searchsorted(at[:-1], group[:-1])
             many = contents > 1
             if lead and several:
                 many[0] = True
             if lead and waiting and many[0]:
-                yield _rows(*np.concatenate(waiting, axis=1))
+                yield _rows(*_one_by_one(*np.concatenate(waiting, axis=1)))
             if not lead or many[0] or len(group) > 2:
                 waiting = []
             known_hot = x[4] >= HOT_MARK
@@ -148,7 +166,7 @@ def settle(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             if lead:
                 fresh[0] = False
             if (out := fresh & many_row).any():
-                yield _rows(*x[:, out])
+                yield _rows(*_one_by_one(*x[:, out]))
             several = bool(many[-1])
             if not several:
                 tail = np.zeros(len(h), bool)

@@ -42,7 +42,7 @@ def brute_words(rows):
     return out
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 64), (2, 2)])
+@pytest.mark.parametrize(("seed", "hot"), [(1, 16), (2, 2)])
 def test_both_equal_brute_force(spark, seed, hot):
     rows = documents(seed, 150)
     rows += [(1000 + i, prose(random.Random(5), 300), "en", "s", 0) for i in range(3)]
