@@ -1,82 +1,146 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A model gives a word letter by letter: the next byte's probability after the word's beginning, by absolute discounting
-in its class, with what the discount frees spread by counts that both classes share. Beginnings are kept that a share of
-the toxic training texts has and whose share of toxic texts is not what the beginning before it leads to expect
-(pruning as usual for such models); how a word goes on after its longest kept beginning is left to the shared counts,
-so that unseen forms of a known stem still count, and rare or unremarkable words do not. A text's score compares its length-normalised log-likelihoods under the
-toxic and the ordinary model, and is calibrated on training rows that were not counted.
-
-The share bounds the model's size, at any size of the corpus, by the mean number of distinct beginnings of a text over
-the share. The counts are taken over all training rows, as Spark aggregations that tasks have reduced before.
+Two bigram models of words, of toxic and of ordinary training texts, by absolute discounting. What a class has not seen is
+given by counts that both classes share: a word by its continuation counts (after how many words it comes), a pair by both
+classes' pairs and, below them, continuation counts, times what the class's own continuation counts say of its last word.
+All words and pairs of all training texts count, however rare. A log-ratio of the two models is a sum of terms, one for
+each word and one for each pair that was seen; words and pairs of no training text have none.
+
+A text's score is a logistic function of its means of these terms for each word, and of the parts of them that exceed some
+bounds (since a few strong words tell more than many weak ones), fitted on training rows that were not counted.
+
+The terms are a table in the shared folder, as large as the training texts' distinct words and pairs. A task sums the
+frequent terms (a bounded number, sent to all) by itself; its other words and pairs are joined.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import FOLDED, LOWER, MASK64, eights, fold_in, hash_words, mix, raw, read, signed, slices, whole_texts, words
+from .shared import FOLDED, LOWER, cut, fold_in, hash_words, mix, raw, read, signed, slices, whole_texts, words
 
-#: A beginning is kept if this share of the toxic training texts has it, and two of them at least.
-SHARE = 0.002
 DISCOUNT = 0.75
-#: Standard deviations by which the number of toxic texts with a beginning must differ from the expected one.
-UNUSUAL = 5.0
 THRESHOLD = 0.3
-#: Bytes of the longest beginning; a word's end is one more.
-LONGEST = 14
 #: Rows that calibrate (a bounded sample, by hash), one of five training rows at most.
 CALIBRATION_ROWS = 20_000
 #: Labels that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: Bytes of text whose counts a task reduces at once.
 COUNTED_BYTES = 8 << 20
-
-
-class Words:
-    """The distinct words of some texts, and where each word of the texts is among them."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        data = LOWER[data]
-        starts, ends, self.first = words(data, offsets, FOLDED)
-        h, at, self.number = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
-        self.length = (ends - starts)[at]
-        self.whole = h
-        self.bytes = eights(data)
-        self.starts = starts[at]
-
-    def beginnings(self, k: int, rows: np.ndarray) -> np.ndarray:
-        """Hashes of the first k bytes of words with as many; k = LONGEST + 1: of the words."""
-        if k > LONGEST:
-            return mix(self.whole[rows] + np.uint64(k))
-        a = self.bytes[self.starts[rows]] & np.uint64(MASK64 >> max(0, 64 - 8 * k))
-        h = mix(a + np.uint64(k * 0x9E3779B97F4A7C15 & MASK64))
-        if k > 8:
-            h = mix(h ^ (self.bytes[self.starts[rows] + 8] & np.uint64(MASK64 >> (128 - 8 * k))))
-        return h
-
-    def chains(self, kept: np.ndarray | None):
-        """(k, words, beginnings, the beginnings before them), as long as they are kept."""
-        rows, before = np.arange(len(self.whole)), np.zeros(len(self.whole), np.uint64)
-        ended_rows, ended_before = [], []
-        for k in range(1, LONGEST + 2):
-            if k == LONGEST + 1:
-                rows, before = np.concatenate([*ended_rows, rows]), np.concatenate([*ended_before, before])
-            else:
-                ends = self.length[rows] < k
-                ended_rows.append(rows[ends])
-                ended_before.append(before[ends])
-                rows, before = rows[~ends], before[~ends]
-            g = self.beginnings(k, rows)
-            if kept is not None:
-                hit = find(kept, g)[1]
-                rows, before, g = rows[hit], before[hit], g[hit]
-            yield k, rows, g, before
-            before = g
+#: Terms that are sent to all tasks, at most; the rest are joined.
+HOT_TERMS = 400_000
+#: Terms' parts above and below these are summed by themselves, of words and of pairs.
+BOUNDS = (1.0, 2.0, 3.0)
+#: A text's begin and end, among the hashes of words.
+BEGIN, END = np.uint64(0x626567696E), np.uint64(0x656E64)
+
+
+def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    h = u * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return mix(h + v)
+
+
+def sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of each row that has any, between BEGIN and END; each one's row; the rows' numbers of words."""
+    data = LOWER[data]
+    starts, ends, first = words(data, offsets, FOLDED)
+    n = np.diff(first)
+    own = np.flatnonzero(n)
+    row = np.repeat(own, n[own] + 2)
+    out = np.full(len(row), END)
+    begin = np.cumsum(n[own] + 2) - n[own] - 2
+    inside = np.ones(len(row), bool)
+    inside[begin] = inside[begin + n[own] + 1] = False
+    out[begin] = BEGIN
+    out[inside] = hash_words(data, starts, ends)
+    return out, row, n
+
+
+PAIRS = "u long, v long, c0 long, c1 long"
+
+
+def _pairs(batches):
+    """Counts by class of words and the words after them."""
+    for batch in batches:
+        label = batch.column("toxic").to_numpy(zero_copy_only=False)
+        data, offsets = raw(batch.column("text"))
+        for i, j in slices(offsets, COUNTED_BYTES):
+            h, row, _ = sequence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            at = np.flatnonzero(row[1:] == row[:-1])
+            _, one, number = np.unique(pair_hash(h[at], h[at + 1]), return_index=True, return_inverse=True)
+            c = [np.bincount(number[label[i + row[at]] == k], minlength=len(one)).astype(np.int64) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in (h[at[one]], h[at[one] + 1], *c)], names=["u", "v", "c0", "c1"])
+
+
+def _named(batches):
+    """Terms of pairs under the pairs' hashes."""
+    for batch in batches:
+        u, v = (batch.column(c).to_numpy().view(np.uint64) for c in ("u", "v"))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(pair_hash(u, v))), batch.column("value"), batch.column("n")], names=["f", "value", "n"])
+
+
+def parts(value: np.ndarray) -> list[np.ndarray]:
+    """A term, and its parts above and below each bound."""
+    return [value, *(np.maximum(value - t, 0) for t in BOUNDS), *(np.maximum(-value - t, 0) for t in BOUNDS)]
+
+
+def part_columns(value: Column) -> list[Column]:
+    """The same as columns."""
+    return [value, *(F.greatest(value - t, F.lit(0.0)) for t in BOUNDS), *(F.greatest(-value - t, F.lit(0.0)) for t in BOUNDS)]
+
+
+#: Numbers that describe a text: the parts of words' terms, and of pairs' terms.
+SUMS = 2 * (1 + 2 * len(BOUNDS))
+
+
+def terms(rows: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """f (hash of a word or pair), value (its term of the log-ratio, toxic to ordinary), n (its count) of rows (text, toxic)."""
+    pairs = cut(rows.mapInArrow(_pairs, PAIRS).groupBy("u", "v").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "pairs")
+    seen = lambda c: F.count_if(F.col(c) > 0)
+    after = pairs.groupBy("v").agg(seen("c0").alias("n0"), seen("c1").alias("n1"), F.count("*").alias("n"))
+    total = after.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "n")], seen("n0").alias("t0"), seen("n1").alias("t1")).first()
+    shared = F.col("n") / F.lit(float(max(total["n"], 1)))
+
+    def continuation(k: int) -> Column:
+        size = total[f"n{k}"]
+        return (F.greatest(F.col(f"n{k}") - discount, F.lit(0.0)) + shared * float(discount * total[f"t{k}"])) / float(size) if size else shared
+
+    after = after.select("v", shared.alias("p"), continuation(0).alias("p0"), continuation(1).alias("p1"))
+    before = pairs.groupBy("u").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"), seen("c0").alias("n0"), seen("c1").alias("n1"), F.count("*").alias("n"))
+    of_word = F.log("p1") - F.log("p0")
+    counts = pairs.groupBy("v").agg(F.sum(F.col("c0") + F.col("c1")).alias("n"))
+    own = after.join(counts, "v").select(F.col("v").alias("f"), of_word.alias("value"), "n")
+    both = pairs.join(before, "u").join(after, "v")
+    c, size = F.col("c0") + F.col("c1"), F.col("s0") + F.col("s1")
+    both = both.withColumn("q", (c - discount + F.col("n") * discount * F.col("p")) / size)
+
+    def given(k: int) -> Column:
+        tilted = F.col("q") * F.col(f"p{k}") / F.col("p")
+        return F.when(F.col(f"s{k}") > 0, (F.greatest(F.col(f"c{k}") - discount, F.lit(0.0)) + F.col(f"n{k}") * discount * tilted) / F.col(f"s{k}")).otherwise(tilted)
+
+    both = both.select("u", "v", (F.log(given(1)) - F.log(given(0)) - of_word).alias("value"), c.alias("n"))
+    return own.unionByName(both.mapInArrow(_named, "f long, value double, n long"))
+
+
+def frequent(table: DataFrame, most: int = HOT_TERMS) -> tuple[np.ndarray, np.ndarray]:
+    """The terms with the largest counts, most at most (all of a count or none), by hash."""
+    sizes = sorted(table.groupBy(F.least("n", F.lit(5000)).alias("n")).count().collect(), reverse=True)
+    room, least = most, None
+    for n, count in sizes:
+        room -= count
+        if room < 0:
+            break
+        least = n
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    found = table.filter(F.col("n") >= least).select("f", "value").toPandas()
+    f = found.f.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(f)
+    return f[order], found.value.to_numpy(float)[order]
 
 
 def find(table: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,124 +151,80 @@ def find(table: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == g
 
 
-COUNTS = "toxic int, k int, g long, before long, c long, texts long"
+PROBES = "key long, f long, pair boolean, n long, words long, x array<double>"
 
 
-def _count(kept):
-    """Counts of beginnings by class, and of all words (k = 0); kept: of these only."""
+def _probes(hot):
+    """For each text the sums of its frequent terms and its number of words (under a hash that is no term), and its other words and pairs."""
 
     def work(batches):
+        table, value = hot.value
         for batch in batches:
-            label = batch.column("toxic").to_numpy(zero_copy_only=False)
+            key = batch.column("key").to_numpy()
             data, offsets = raw(batch.column("text"))
             for i, j in slices(offsets, COUNTED_BYTES):
-                w = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                row = np.repeat(np.arange(j - i), np.diff(w.first))
-                for toxic in (0, 1):
-                    own = label[i:j] == toxic
-                    if not own.any():
-                        continue
-                    inside = own[row]
-                    count = np.bincount(w.number[inside], minlength=len(w.whole))
-                    pairs = np.unique(w.number[inside] * np.int64(j - i) + row[inside])  # (word, text)
-                    pair_word, pair_text = pairs // (j - i), pairs % (j - i)
-                    parts = [(np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([inside.sum()]), np.array([own.sum()]))]
-                    for k, rows, g, before in w.chains(None if kept is None else kept.value):
-                        if not len(g):
-                            continue
-                        unique, at, number = np.unique(g, return_index=True, return_inverse=True)
-                        c = np.bincount(number, count[rows], len(unique)).astype(np.int64)
-                        of_word = np.full(len(w.whole), -1, np.int64)
-                        of_word[rows] = number
-                        n = of_word[pair_word]
-                        texts = np.bincount(np.unique(n[n >= 0] * np.int64(j - i) + pair_text[n >= 0]) // (j - i), minlength=len(unique))
-                        some = c > 0
-                        parts.append((np.full(some.sum(), k), unique[some], before[at][some], c[some], texts[some]))
-                    k, g, before, c, texts = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), toxic, np.int32)), pa.array(k.astype(np.int32)), pa.array(signed(g)), pa.array(signed(before)), pa.array(c.astype(np.int64)), pa.array(texts.astype(np.int64))], names=["toxic", "k", "g", "before", "c", "texts"])
+                h, row, n = sequence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at = np.flatnonzero(row[1:] == row[:-1])
+                some = np.flatnonzero(n)
+                sums, out = [], [(key[i + some], signed(mix(key[i + some].view(np.uint64))), np.zeros(len(some), bool), np.zeros(len(some), np.int64))]
+                for pair, f, own in ((False, h, row), (True, pair_hash(h[at], h[at + 1]), row[at])):
+                    place, hit = find(table, f)
+                    place = place[hit]
+                    sums += [np.bincount(own[hit], part[place], j - i)[some] for part in parts(value)] if len(place) else [np.zeros(len(some))] * (SUMS // 2)
+                    f, own = f[~hit], own[~hit]
+                    _, one, count = np.unique(pair_hash(f, own.astype(np.uint64)), return_index=True, return_counts=True)
+                    out.append((key[i + own[one]], signed(f[one]), np.full(len(one), pair), count))
+                key_, f, pair, count = (np.concatenate(x) for x in zip(*out, strict=True))
+                more = len(f) - len(some)
+                x = pa.ListArray.from_arrays(pa.array(np.append(np.arange(len(some)) * SUMS, np.full(more + 1, len(some) * SUMS)).astype(np.int32)), pa.array(np.stack(sums, axis=1).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(key_), pa.array(f), pa.array(pair), pa.array(count.astype(np.int64)), pa.array(np.append(n[some], np.zeros(more, np.int64))), x], names=["key", "f", "pair", "n", "words", "x"])
 
     return work
 
 
 class Model:
-    """For each kept beginning, the log-ratio (toxic to ordinary) of the words whose longest kept beginning it is."""
-
-    def __init__(self, counts: pd.DataFrame, discount: float = DISCOUNT, unusual: float = UNUSUAL):
-        by = lambda c: counts.pivot_table(index=["k", "g", "before"], columns="toxic", values=c, aggfunc="sum", fill_value=0).reindex(columns=[0, 1], fill_value=0)
-        words, texts = by("c"), by("texts")
-        k, g, before = (words.index.get_level_values(i).to_numpy() for i in range(3))  # by k; k = 0 are all words
-        c, t = words.to_numpy(float), texts.to_numpy(float)
-        own = np.flatnonzero(k > 0)
-        parent = pd.Index(g).get_indexer(before)
-        ratio = np.zeros(len(g))
-        children, seen = np.zeros_like(c), np.zeros_like(c)
-        np.add.at(seen, parent[own], c[own])
-        np.add.at(children, parent[own], np.minimum(c[own], discount))
-        free = np.maximum(c - seen, 0) + children  # what beginnings that are not kept have, and what discounts free
-        up = parent[own]
-        shared = c[own].sum(1) / np.maximum(c[up].sum(1), 1e-12)
-        p = (np.maximum(c[own] - discount, 0) + free[up] * shared[:, None]) / np.maximum(c[up], 1e-12)
-        p = np.where(c[up] > 0, np.maximum(p, 1e-12), shared[:, None])
-        # a beginning is marked if its texts differ from what the last marked one before it leads to expect
-        step, full = np.zeros(len(g)), np.zeros(len(g))
-        step[own] = np.log(p[:, 1]) - np.log(p[:, 0])
-        share = np.full(len(g), (t[k == 0, 1].sum() / max(t[k == 0].sum(), 1)))
-        for level in range(1, LONGEST + 2):
-            here = np.flatnonzero(k == level)
-            up, texts = parent[here], t[here].sum(1)
-            full[here] = full[up] + step[here]
-            expected = texts * share[up]
-            marked = np.abs(t[here, 1] - expected) >= unusual * np.sqrt(np.maximum(expected, 0.25))
-            ratio[here] = np.where(marked, full[here], ratio[up])
-            share[here] = np.where(marked, (t[here, 1] + 1) / (texts + 2), share[up])
-        order = own[np.argsort(g[own].view(np.uint64))]
-        self.kept, self.ratio = g[order].view(np.uint64), ratio[order]
-        self.a, self.b = 1.0, 0.0
-
-    def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Each text's log-ratio for each word; 0 without words."""
-        w = Words(data, offsets)
-        value = np.zeros(len(w.whole))
-        for _, rows, g, _ in w.chains(self.kept):
-            value[rows] = self.ratio[find(self.kept, g)[0]] if len(g) else 0
-        total = np.concatenate([[0], np.cumsum(value[w.number])])
-        n = np.diff(w.first)
-        return (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(n, 1)
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * x + self.b, -40, 40)))
+    """Terms of the log-ratio, as a table and the frequent ones by themselves, and the calibration."""
+
+    def __init__(self, table: DataFrame, hot_terms: int = HOT_TERMS):
+        self.table = table.select("f", "value")
+        self.hot = table.sparkSession.sparkContext.broadcast(frequent(table, hot_terms))
+        self.weights, self.b = np.zeros(SUMS), 0.0
+        self.weights[[0, SUMS // 2]] = 1
+
+    def evidence(self, rows: DataFrame) -> DataFrame:
+        """key and x (SUMS means for each word) of rows (key, text); texts without words are left out. Equal keys are for equal texts."""
+        found = rows.mapInArrow(_probes(self.hot), PROBES).join(self.table, "f", "left").filter("value is not null or words > 0")
+        term = lambda pair, part: F.when(F.col("pair") == pair, F.coalesce(part * F.col("n"), F.lit(0.0))).otherwise(0.0)
+        cold = [term(pair, part) for pair in (False, True) for part in part_columns(F.col("value"))]
+        sums = [F.sum(c + F.coalesce(F.get("x", F.lit(i)), F.lit(0.0))) for i, c in enumerate(cold)]
+        return found.groupBy("key").agg(*[(c / F.sum("words")).alias(f"x{i}") for i, c in enumerate(sums)]).select("key", F.array(*[f"x{i}" for i in range(SUMS)]).alias("x"))
+
+    def score(self, x: Column) -> Column:
+        z = F.lit(float(self.b))
+        for i, weight in enumerate(self.weights):
+            z = z + F.coalesce(F.get(x, F.lit(i)), F.lit(0.0)) * float(weight)
+        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression of y on x, by Newton steps with a weak pull to 0."""
         if not len(x) or y.min() == y.max():
             base = (y.sum() + 0.5) / (len(y) + 1)
-            self.a, self.b = 1.0, float(np.log(base / (1 - base)))
+            self.b = float(np.log(base / (1 - base)))
             return
-        scale = x.std() or 1.0
-        z = np.stack([x / scale, np.ones(len(x))], axis=1)
-        beta = np.zeros(2)
+        mean, scale = x.mean(0), x.std(0)
+        scale[scale < 1e-9] = np.inf
+        z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
+        beta = np.zeros(z.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ beta, -40, 40)))
             weight = np.maximum(p * (1 - p), 1e-9)
-            beta += np.linalg.solve((z * weight[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (y - p) - 0.1 * beta)
-        self.a, self.b = float(beta[0] / scale), float(beta[1])
+            beta += np.linalg.solve((z * weight[:, None]).T @ z + 0.1 * np.eye(len(beta)), z.T @ (y - p) - 0.1 * beta)
+        self.weights = beta[:-1] / scale
+        self.b = float(beta[-1] - (self.weights * mean).sum())
 
 
-def _evidence(model):
-    def work(batches):
-        for batch in batches:
-            data, offsets = raw(batch.column("text"))
-            x = [model.value.evidence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
-            if x:
-                x = np.concatenate(x)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x), pa.array(model.value.score(x))], names=["doc_id", "x", "score"])
-
-    return work
-
-
-def train(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, hot_terms: int = HOT_TERMS) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic int). Four fifths of them are counted, the rest calibrates."""
-    spark = docs.sparkSession
     labels = labels.filter("toxic in (0, 1)").dropDuplicates(["doc_id"])
     rest = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     counted = labels.filter(~rest)
@@ -213,41 +233,37 @@ def train(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> Model:
     # a text that is copied counts once
     once = rows.groupBy(F.xxhash64("text", "toxic").alias("t")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     rows = rows.join(F.broadcast(once) if small else once, "doc_id", "left_semi").select("text", "toxic")
-    total = lambda df: df.groupBy("toxic", "k", "g", "before").agg(F.sum("c").alias("c"), F.sum("texts").alias("texts"))
-    least = max(2, int(np.ceil(share * counted.filter("toxic = 1").count())))
-    frequent = total(rows.filter("toxic = 1").mapInArrow(_count(None), COUNTS)).filter((F.col("k") > 0) & (F.col("texts") >= least)).select("g").toPandas()
-    kept = spark.sparkContext.broadcast(np.sort(frequent.g.to_numpy(np.int64).view(np.uint64)))
-    model = Model(total(rows.mapInArrow(_count(kept), COUNTS)).orderBy("k", "g", "toxic").toPandas())
+    model = Model(cut(terms(rows), "terms"), hot_terms)
     sample = labels.filter(rest).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
-    rows = docs.join(F.broadcast(sample), "doc_id").select(F.col("toxic").cast("long").alias("doc_id"), "text")  # at most CALIBRATION_ROWS rows are sent
-    found = rows.mapInArrow(_evidence(spark.sparkContext.broadcast(model)), "doc_id long, x double, score double").select("doc_id", "x").orderBy("x", "doc_id").toPandas()
-    model.calibrate(found.x.to_numpy(), found.doc_id.to_numpy(float))
+    rows = docs.join(F.broadcast(sample), "doc_id").select(text_key(F.col("text")).alias("key"), "text", F.col("toxic").cast("double").alias("y"))  # at most CALIBRATION_ROWS rows are sent
+    found = rows.select("key", "y").join(model.evidence(rows.select("key", "text")), "key", "left").orderBy("key", "y").toPandas()
+    model.calibrate(np.array([np.zeros(SUMS) if x is None else x for x in found.x]).reshape(-1, SUMS), found.y.to_numpy(float))
     return model
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: doc_id, score, predicted.
 
     Null texts and texts without words have no evidence and get the score that the calibration gives to none. Repeated
     rows give repeated results, empty tables none.
     """
-    rows = whole_texts(docs)
-    scored = rows.mapInArrow(_evidence(rows.sparkSession.sparkContext.broadcast(model)), "doc_id long, x double, score double")
+    rows = whole_texts(docs).select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    scored = rows.select("doc_id", "key").join(model.evidence(rows.select("key", "text")), "key", "left").select("doc_id", model.score(F.col("x")).alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, that are not predicted toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def work(batches):
-        for batch in batches:
-            data, offsets = raw(batch.column(batch.schema.get_field_index("text")))
-            x = [shared.value.evidence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
-            if x:
-                yield batch.filter(pa.array(shared.value.score(np.concatenate(x)) < THRESHOLD))
-
-    return docs.mapInArrow(work, docs.schema)
+    rows = whole_texts(docs).select(text_key(F.col("text")).alias("key"), "text")
+    toxic = model.evidence(rows).filter(model.score(F.col("x")) >= THRESHOLD).select(F.col("key").alias("toxic_key"))
+    if 1 / (1 + np.exp(-np.clip(model.b, -40, 40))) >= THRESHOLD:  # texts without words too
+        known = model.evidence(rows).filter(model.score(F.col("x")) < THRESHOLD).select(F.col("key").alias("kept_key"))
+        return docs.join(known, text_key(docs["text"]) == known["kept_key"], "left_semi")
+    return docs.join(toxic, text_key(docs["text"]) == toxic["toxic_key"], "left_anti")
 
 
 HELD_OUT = (4, 2)
