@@ -1,7 +1,7 @@
 """URL filter: rules on host and path, then a weighted vocabulary.
 
-A url without a rule is judged by its words: an Aho-Corasick automaton finds the strict and soft terms in host and path;
-a hit counts only where no letter or digit stands beside it. One strict hit or several distinct soft hits block the url.
+A url without a rule is judged by its words: an Aho-Corasick automaton finds the strict and soft terms in the whole url,
+query and fragment included; a hit counts only where no letter or digit stands beside it. One strict hit or several distinct soft hits block the url.
 """
 
 from __future__ import annotations
@@ -64,13 +64,14 @@ def url_filter(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hit
     """
     rows = pages.select(F.col("page_id").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("u"))
     host, path = split_url(F.col("u"))
-    rows = rows.select("page_id", host.alias("host"), path.alias("path"))
+    judged = F.when(F.instr("u", "://") > 0, F.col("u")).otherwise("")
+    rows = rows.select("page_id", host.alias("host"), path.alias("path"), judged.alias("u"))
 
     def count(batches):
         found = automaton(strict, soft)
         for batch in batches:
-            hits = [judge(f"{h}{p}".lower(), found) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([h[0] for h in hits], pa.int32()), pa.array([h[1] for h in hits], pa.int32())], names=["page_id", "host", "path", "n_strict", "n_soft"])
+            hits = [judge(u.lower(), found) for u in batch.column("u").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([h[0] for h in hits], pa.int32()), pa.array([h[1] for h in hits], pa.int32())], names=["page_id", "host", "path", "n_strict", "n_soft"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
     rows = rows.mapInArrow(count, f"page_id {kind}, host string, path string, n_strict int, n_soft int")
