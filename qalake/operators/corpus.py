@@ -111,16 +111,23 @@ def split_subsections(docs: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     return by_rule.select("doc_id", "pos", "sub", "content").unionByName(packed)
 
 
+def pieces(text: Column, chars: int) -> Column:
+    """Parts of at most `chars` characters that make up the whole text, cut at white space where there is any."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{chars}}}(?:(?<=\s)|(?=\s)|\z)|.{{1,{chars}}}"), F.lit(0))
+
+
 def split_qa(docs: DataFrame, limit: int = MAX_TOKENS, chars: int = 6000) -> DataFrame:
-    """Numbered questions (`Q1:`): small ones are packed, one above the limit stands alone, cut to `chars`."""
-    items = F.filter(F.transform(F.split("text", r"\n(?=Q\d+[:.])"), lambda x: F.left(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit(chars))), lambda x: x != "")
+    """Numbered questions (`Q1:`): small ones are packed, one above the limit stands alone, in parts of at most `chars`."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    items = F.flatten(F.transform(F.split("text", r"\n(?=Q\d+[:.])"), lambda x: pieces(strip(x), chars)))
+    items = F.filter(F.transform(items, strip), lambda x: x != "")
     return docs.select("doc_id", F.posexplode(fold_pack(items, F.lit(limit), estimate_tokens)).alias("pos", "content"))
 
 
 def split_large(docs: DataFrame, least: int = MIN_SECTION, chars: int = 6000) -> DataFrame:
-    """Cut at rules and step rows, parts over `least` characters, each at most `chars`."""
+    """doc_id, pos, sub, content: cut at rules and step rows, parts over `least` characters; one above `chars` in several rows."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", r"\n(?:---|\* \* \*)\n|\n(?=Step \d+)")).alias("pos", "content"))
-    return rows.filter(F.length("content") > least).withColumn("content", F.left("content", F.lit(chars)))
+    return rows.filter(F.length("content") > least).select("doc_id", "pos", F.posexplode(pieces(F.col("content"), chars)).alias("sub", "content"))
 
 
 def repair_oversized(chunks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:

@@ -74,7 +74,7 @@ def numbered(v):
 
 query("split_subsections", lambda v: C.split_subsections(numbered(v), 200))
 query("split_qa", lambda v: C.split_qa(numbered(v), 100))
-query("split_large", lambda v: C.split_large(numbered(v), 100, 400).select("doc_id", "pos", F.length("content").alias("chars")))
+query("split_large", lambda v: C.split_large(numbered(v), 100, 400).select("doc_id", "pos", "sub", F.length("content").alias("chars")))
 query("repair_oversized", lambda v: C.repair_oversized(numbered(v).select(F.col("doc_id").alias("entry_id"), F.when(F.col("doc_id") % 4 == 0, "FAQ").otherwise(F.col("source")).alias("topic"), F.col("text").alias("content")), 300))
 query("estimate_tokens", lambda v: v.documents.select("doc_id", estimate_tokens(F.col("text")).alias("tokens")), "select doc_id, cast(length(text) // 4 as int) as tokens from documents")
 query("oversized_report", lambda v: C.oversized_report(v.chunks.withColumn("url", F.when(F.col("entry_id") % 9 != 0, F.col("url"))), 1000), "select count(*) as chunks, count(*) filter (where length(content) // 4 > 1000) as too_large, cast(max(length(content) // 4) as int) as largest, count(*) filter (where url is null or entry_id % 9 = 0) as missing_url from chunks", "chunks")
