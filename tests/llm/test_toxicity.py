@@ -1,58 +1,134 @@
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
-import numpy as np
-import pyarrow as pa
 import pytest
 
 from qalake.llm import toxicity as T
-from qalake.llm.shared import raw
 
 
-def brute_terms(rows, d=0.75):
-    """Terms of all words and pairs, by name."""
-    pairs = [Counter(), Counter()]
-    for text, toxic in rows:
-        if w := re.findall(r"\w+", text.lower()):
-            pairs[toxic].update(zip(["<", *w], [*w, ">"]))
-    both = pairs[0] + pairs[1]
-    cont = [Counter(v for _, v in p) for p in (*pairs, both)]
-    size = [sum(n.values()) for n in cont]
-    shared = {v: cont[2][v] / size[2] for v in cont[2]}
-    word = [{v: (max(cont[k][v] - d, 0) + d * len(cont[k]) * shared[v]) / size[k] for v in shared} for k in (0, 1)]
-    start, after = [Counter(), Counter()], [Counter(u for u, _ in p) for p in (*pairs, both)]
-    for k in (0, 1):
-        for (u, _), n in pairs[k].items():
-            start[k][u] += n
-    out = {v: math.log(word[1][v] / word[0][v]) for v in shared}
-    for (u, v), n in both.items():
-        base = (n - d + d * after[2][u] * shared[v]) / (start[0][u] + start[1][u])
-        p = []
-        for k in (0, 1):
-            tilted = base * word[k][v] / shared[v]
-            p.append((max(pairs[k][u, v] - d, 0) + d * after[k][u] * tilted) / start[k][u] if start[k][u] else tilted)
-        out[u, v] = math.log(p[1] / p[0]) - out[v]
+def events(text):
+    """Bytes with their contexts: (item, context and byte)."""
+    w = [x.encode() for x in re.findall(r"\w+", text.lower())]
+    out = []
+    for i, x in enumerate(w):
+        if i:
+            out.append((2 * i, (b" " + w[i - 1] + b" ")[-7:] + x[:1]))
+        out += [(2 * i + 1, (b" " + x[:j])[-7:] + (x + b" ")[j : j + 1]) for j in range(len(x) + 1)]
     return out
 
 
-def name_hashes(names):
-    words = {"<": T.BEGIN, ">": T.END}
-    for w in {x for n in names for x in ([n] if isinstance(n, str) else n)} - set(words):
-        words[w] = T.sequence(*raw(pa.array([w])))[0][1]
-    h = lambda n: words[n] if isinstance(n, str) else T.pair_hash(words[n[0]].reshape(1), words[n[1]].reshape(1))[0]
-    return {int(np.int64(np.uint64(h(n)).view(np.int64))): n for n in names}
+def brute_model(rows):
+    """The terms: both classes' chances of any byte after any context, compared."""
+    counts = [Counter(), Counter()]
+    for text, toxic in rows:
+        counts[toxic].update(g for _, g in events(text))
+    both = counts[0] + counts[1]
+    kinds, level = [], set(both)
+    for n in (5, 2, 1):
+        kinds.append(Counter(g[-n:] for g in level))
+        level = set(kinds[-1])
+
+    def grouped(table):
+        out = defaultdict(dict)
+        for g, n in table.items():
+            out[g[:-1]][g] = n
+        return out
+
+    tables = [grouped(k) for k in kinds]
+    of_both, of_class = grouped(both), [grouped(c) for c in counts]
+
+    def shared(g, i=0):
+        own = tables[i].get(g[-(5, 2, 1)[i] :][:-1], {})
+        n = own.get(g[-(5, 2, 1)[i] :], 0)
+        total = sum(own.values())
+        if i == 2:
+            return n / total
+        return (max(n - 0.75, 0) + 0.75 * len(own) * shared(g, i + 1)) / total if total else shared(g, i + 1)
+
+    discount = lambda n: (0, 1.0, 1.6, 2.2)[min(n, 3)]
+
+    def pooled(g):
+        own = of_both.get(g[:-1], {})
+        total = sum(own.values())
+        return (max(own.get(g, 0) - 0.75, 0) + 0.75 * len(own) * shared(g)) / total if total else shared(g)
+
+    across = lambda g: len(g) > 2 and g[-2:-1] == b" "
+
+    def given(k, g):
+        q = pooled(g)
+        if across(g):
+            q *= given(k, b" " + g[-1:]) / pooled(b" " + g[-1:])
+        own = of_class[k].get(g[:-1], {})
+        total, n = sum(own.values()), own.get(g, 0)
+        return (n - discount(n) + sum(map(discount, own.values())) * q) / total if total else q
+
+    def term(g):
+        ratio = lambda g: math.log(given(1, g)) - math.log(given(0, g))
+        return ratio(g) - (ratio(b" " + g[-1:]) if across(g) else 0)
+
+    return term
+
 
+def brute_evidence(term, text):
+    items, size = defaultdict(float), 0
+    for item, g in events(text):
+        items[item] += term(g)
+        size += item % 2
+    values = [0.0] + list(items.values())  # the first word has none before it
+    return [sum(values) / size] + [sum(max(v - t, 0) for v in values) / len(values) for t in (1, 2, 3)] + [sum(max(-v - t, 0) for v in values) / len(values) for t in (1, 2, 3)]
 
-def test_all_words_and_pairs_have_their_term(spark):
-    """Those of one text in 1,000 too."""
+
+def test_texts_get_the_difference_of_both_log_likelihoods(spark):
+    """Each computed by itself; with all terms, some or none of them in tasks."""
     rng = random.Random(4)
-    rows = [(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(12))), int(i % 4 == 0)) for i in range(1000)] + [("a rare Expression, a", 1), ("a b rare", 0), ("", 1)]
-    want = brute_terms(rows)
-    names = name_hashes(want)
-    got = {names[r.f]: r.value for r in T.terms(spark.createDataFrame(rows, "text string, toxic int")).collect()}
-    assert ("rare", "expression") in got and got == pytest.approx(want, abs=1e-9)
+    word = lambda: rng.choice(["der", "das", "Übel", "abcdefghijklm", "nett", "so"]) + rng.choice(["", "en", "ung"])
+    rows = [(" ".join(word() for _ in range(rng.randrange(12))), int(i % 4 == 0)) for i in range(200)] + [("a rare Expression, a", 1), ("a b rare", 0), ("", 1)]
+    term = brute_model(rows)
+    texts = [t for t, _ in rows if t][:60] + ["derung  abcdefghijklmno", "o... be das derder Übelung", "g" * 3000 + " das"]
+    want = {i: brute_evidence(term, t) for i, t in enumerate(texts)}
+    table = T.cut(T.terms(spark.createDataFrame(rows, "text string, toxic int")), "terms")
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(900, ""), (901, " .. ")], "key long, text string")
+    complete = []
+    for hot in (100_000, 150, 0):
+        model = T.Model(table, hot)
+        complete.append(model.complete)
+        got = {r.key: list(r.x) for r in model.evidence(docs).collect() if r.key < 900 or any(r.x)}
+        assert got.keys() == want.keys()
+        for i, x in want.items():
+            assert got[i] == pytest.approx(x, abs=1e-9)
+    assert complete == [True, False, False]
+
+
+def test_held_out_toxic_stems_are_found(spark):
+    """Forms of a word that no training text has, too."""
+    rng = random.Random(9)
+    end = lambda: "".join(rng.choice("aeiou") + rng.choice("nrst") for _ in range(2))
+    rows, labels = [], []
+    for i in range(500):
+        w = [rng.choice(["kal", "mor", "ten", "vis", "lum"]) + end() for _ in range(60)]
+        if toxic := int(i % 3 == 0):
+            for _ in range(3):
+                w.insert(rng.randrange(60), "bruz" + end())
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = T.train(docs, spark.createDataFrame(labels[:350], "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in T.toxicity(docs, model).collect()}
+    assert sum(got[i] == toxic for i, toxic in labels[350:]) >= 0.98 * 150
+
+
+def test_edges(spark):
+    """No labels, one class only, repeated rows, ids beyond 2^62, ties at equal texts, clashing columns, no rows."""
+    docs = spark.createDataFrame([(2**63 - 1, "a b"), (2**63 - 1, "a b"), (None, "a b"), (5, None), (6, ""), (7, "a b " * 30_000)], "doc_id long, text string").selectExpr("*", "1 as key", "2 as score", "3 as x", "4 as item", "5 as toxic")
+    for labels in ([], [(5, 0)], [(2**63 - 1, 1)], [(2**63 - 1, 1), (5, 0), (7, None)]):
+        model = T.train(T.whole_texts(docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+        got = T.toxicity(docs, model).collect()
+        assert len(got) == 6 and len({r.score for r in got if r.doc_id not in (5, 6)}) == 1
+        assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+        assert T.toxicity(docs.limit(0), model).count() == 0
+        assert T.without_toxic(docs, model).columns == docs.columns
 
 
 def ordinary_words(n=600):
