@@ -186,25 +186,36 @@ def _measure(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
-    """doc_id and one double column for each feature."""
+    """doc_id, label and one double column for each feature, of docs (doc_id, label int, text)."""
 
     def work(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, _measure(batch).T)], names=["doc_id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *map(pa.array, _measure(batch).T)], names=["doc_id", "label", *FEATURES])
 
-    return whole_texts(docs).mapInArrow(work, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return docs.mapInArrow(work, "doc_id long, label int, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Additive:
-    """labels: doc_id, label (0 or 1). At most `rows` of them are used, the first by a hash of the id."""
+    """labels: doc_id, label (0 or 1). At most `rows` of them are used, the first by a hash of the id.
+
+    Of several labels of an id one is used; rows of docs that repeat an id count as often. Without labels, or with those of
+    one class only, the model is that class's share for all texts.
+    """
     sample = labels.filter("label in (0, 1)").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows)
-    known = whole_texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")  # at most SAMPLE_ROWS rows are sent
-    table = feature_table(known.select(F.col("doc_id") * 2 + F.col("label"), "text").toDF("doc_id", "text")).orderBy("doc_id").toPandas()
-    return Additive(table[list(FEATURES)].to_numpy(), table.doc_id.to_numpy() % 2.0)
+    sample = sample.select("doc_id", F.col("label").cast("int").alias("label"))
+    known = whole_texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # at most `rows` rows are sent
+    table = feature_table(known).toArrow().to_pandas().sort_values(["doc_id", *FEATURES])
+    return Additive(table[list(FEATURES)].to_numpy(), table.label.to_numpy(float))
 
 
 def quality(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, score, predicted. Null texts are empty; empty texts are scored as what they are."""
+    """One row per row of docs: doc_id, score, predicted.
+
+    Only doc_id and text are read: further columns, whatever their names, play no part. Null texts are empty, and texts
+    without words, empty ones too, are scored as what they are, by features that are 0. Texts of any length are measured
+    whole. Repeated rows and equal texts get equal scores; a score of exactly `threshold` is predicted 1. Ids may be any 64-bit
+    number or null. Empty tables give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):

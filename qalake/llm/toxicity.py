@@ -214,8 +214,8 @@ def frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]
         return np.zeros(0, np.uint64), np.zeros(0), not sizes
     hot = table.filter(F.col("n") >= least)
     own = hot.select((F.col("ctx") + F.lit(int(CONTEXT))).alias("f"), F.col("w").alias("v"))
-    found = own.unionByName(hot.select(F.explode("grams").alias("e")).select(F.col("e.g").alias("f"), F.col("e.v").alias("v"))).toPandas()
-    return found.f.to_numpy(np.int64).view(np.uint64), found.v.to_numpy(float), room >= 0
+    found = own.unionByName(hot.select(F.explode("grams").alias("e")).select(F.col("e.g").alias("f"), F.col("e.v").alias("v"))).toArrow()
+    return found.column("f").to_numpy().view(np.uint64), found.column("v").to_numpy(), room >= 0
 
 
 # -- scores -----------------------------------------------------------------------------------------------------------
@@ -400,8 +400,8 @@ def train(docs: DataFrame, labels: DataFrame, hot_terms: int = HOT_TERMS) -> Mod
     model = Model(cut(terms(rows), "terms"), hot_terms)
     sample = labels.filter(rest).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
     rows = docs.join(F.broadcast(sample), "doc_id").select(text_key(F.col("text")).alias("key"), "text", F.col("toxic").cast("double").alias("y"))  # at most CALIBRATION_ROWS rows are sent
-    found = rows.select("key", "y").join(model.evidence(rows.select("key", "text")), "key", "left").orderBy("key", "y").toPandas()
-    model.calibrate(np.array([np.zeros(SUMS) if x is None else x for x in found.x]).reshape(-1, SUMS), found.y.to_numpy(float))
+    found = rows.select("key", "y").join(model.evidence(rows.select("key", "text")), "key", "left").orderBy("key", "y").toArrow()
+    model.calibrate(np.array([np.zeros(SUMS) if x is None else x for x in found.column("x").to_pylist()]).reshape(-1, SUMS), found.column("y").to_numpy())
     return model
 
 
