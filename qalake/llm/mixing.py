@@ -3,8 +3,11 @@
 A source's documents are each wanted target / source size times: so many whole copies, and one more with a fractional
 probability. The fractions are rounded in pairs: of two documents one gains and the other loses the same mass of words,
 at random and without bias, until one of them is at 0 or 1. What is left of a group of pairs is one fractional document;
-these residuals meet in groups again, level by level, until a source has one, which is drawn. A source's words so miss
-its target by less than one document.
+these residuals meet in groups again, level by level, until a source has one. A reserve of about RESERVE documents of each
+source (all, if it has fewer) waits for that one: they are rounded together, large documents first, and there the larger
+of a pair keeps the direction that its own draw gave it, until it is whole. So the mass of a large residual ends in many
+smaller ones, and the last fraction, which is drawn, is a small document's. A source's expected mass, and that of each
+document in the tree and of the larger ones, is kept; small documents of the reserve follow what the larger ones drew.
 
 Groups hold a bounded number of documents, dealt by a hash of the id, so that a source with a third of all rows is as
 many small groups; levels grow with the logarithm of the rows. All draws are hashes of ids: reruns agree.
@@ -20,6 +23,8 @@ from .shared import cut, read
 
 #: Documents that meet in one group, on average.
 GROUP = 48
+#: Documents of a source that are rounded last, on average.
+RESERVE = 512
 SEED = 8
 MOST = 3.0
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,31 +36,33 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(marks, SPACES, "")).cast("long")
 
 
+def ordered(sizes: DataFrame) -> DataFrame:
+    """sizes with i, each source's number by code point, null last: numbers within ranges, after those of the ranges before."""
+    rows = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    rows = cut(rows.select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")), "ranges")
+    before = rows.groupBy("range").agg(F.count("*").alias("n"))  # one row for each range
+    before = before.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), "range").withColumn("i", F.col("k") + F.col("before")).drop("range", "k", "before")
+
+
 def targets(sizes: DataFrame, weights=(1, 2, 3), most: float = MOST) -> DataFrame:
     """source, source_size, n_docs, target. sizes: source, source_size, n_docs, one row per source.
 
     Sources by code point, null last, weigh as weights repeat; targets share all sizes, and a target over `most` times
-    its source's size stops there and the excess is shared again. That fixed point is found in one pass: sources leave in
-    order of most x size / weight, smallest first, as long as their share is more than they may take.
+    its source's size stops there and the excess is shared again, until none is above. Sources that stopped stay so,
+    since the share of a weight only rises; a round is one sum over all sources.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    cap = F.lit(most) * F.col("source_size")
-    rows = sizes.withColumn("i", F.row_number().over(order) - 1)
-    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))).withColumn("cap", cap)
-    every = W.partitionBy()
-    by_ratio = W.orderBy(F.col("cap") / F.col("weight"), "i").rowsBetween(W.unboundedPreceding, -1)
-    rows = (
-        rows.withColumn("total", F.sum("source_size").over(every))
-        .withColumn("all_weight", F.sum("weight").over(every))
-        .withColumn("rest", F.col("total") - F.coalesce(F.sum("cap").over(by_ratio), F.lit(0.0)))
-        .withColumn("open", F.col("all_weight") - F.coalesce(F.sum("weight").over(by_ratio), F.lit(0.0)))
-        .withColumn("full", F.col("rest") * F.col("weight") > F.col("cap") * F.col("open"))
-    )
-    # the first source that is not full fixes the level for it and all after it
-    level = F.min(F.when(~F.col("full"), F.struct((F.col("cap") / F.col("weight")).alias("at"), "i", (F.col("rest") / F.col("open")).alias("level")))).over(every)
-    rows = rows.withColumn("first", level)
-    target = F.when(F.col("first").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("first.level") * F.col("weight")))
-    return rows.select("source", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
+    rows = cut(ordered(sizes).select("source", "source_size", "n_docs", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("cap")), "weights")
+    share, full = 0.0, -1
+    while True:
+        stopped = F.col("cap") < share * F.col("weight")
+        rest = F.sum("source_size") - F.coalesce(F.sum(F.when(stopped, F.col("cap"))), F.lit(0.0))
+        got = rows.agg(rest.alias("rest"), F.sum(F.when(~stopped, F.col("weight"))).alias("open"), F.count_if(stopped).alias("full")).first()
+        if got.full == full or not got.open:
+            break
+        share, full = max(share, got.rest / got.open), got.full
+    return rows.select("source", "source_size", "n_docs", F.least("cap", F.lit(share) * F.col("weight")).alias("target"))
 
 
 def _draw(*parts: Column) -> Column:
@@ -63,11 +70,15 @@ def _draw(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts, F.lit(SEED)), 11)) / F.lit(float(1 << 53))
 
 
-NONE = "cast(null as struct<doc_id:bigint,size:bigint,source_size:bigint,target:double,whole:bigint,p:double,tie:bigint>)"
+FIELDS = ["first", "doc_id", "size", "source_size", "target", "whole", "p", "tie", "salt"]
+NONE = "cast(null as struct<first:bigint,doc_id:bigint,size:bigint,source_size:bigint,target:double,whole:bigint,p:double,tie:bigint,salt:bigint>)"
 
 
-def pivot(items: Column, level: int) -> Column:
-    """Fold of sorted structs (doc_id, size, ..., p): struct(held: the fractional one left or null, done: the others, p 0 or 1)."""
+def pivot(items: Column, level: int, steady: bool = False) -> Column:
+    """Fold of sorted structs of FIELDS: struct(held: the fractional one left or null, done: the others, p 0 or 1).
+
+    steady: the one held keeps its direction (up where its draw is less than p, which holds while p rises).
+    """
     start = F.struct(F.expr(NONE).alias("held"), F.expr(f"cast(array() as array<{NONE[len('cast(null as '):-1]}>)").alias("done"))
 
     def step(state: Column, x: Column) -> Column:
@@ -75,7 +86,10 @@ def pivot(items: Column, level: int) -> Column:
         # words go from y to x or from x to y; p changes by words / size
         up = F.least((F.lit(1.0) - x["p"]) * x["size"], y["p"] * y["size"])
         down = F.least(x["p"] * x["size"], (F.lit(1.0) - y["p"]) * y["size"])
-        rise = _draw(x["doc_id"], x["tie"], y["doc_id"], y["tie"], F.lit(level)) * (up + down) < down
+        if steady:
+            rise = _draw(y["doc_id"], y["tie"], y["salt"], F.lit(level)) >= y["p"]
+        else:
+            rise = _draw(x["doc_id"], x["tie"], x["salt"], y["doc_id"], y["tie"], y["salt"], F.lit(level)) * (up + down) < down
         moved = F.when(rise, up).otherwise(-down)
         # the one that reaches its bound is set to it exactly
         x_ends = F.when(rise, (F.lit(1.0) - x["p"]) * x["size"] <= y["p"] * y["size"]).otherwise(x["p"] * x["size"] <= (F.lit(1.0) - y["p"]) * y["size"])
@@ -90,12 +104,14 @@ def pivot(items: Column, level: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = MOST, group: int = GROUP) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken.
+def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = MOST, group: int = GROUP, reserve: int = RESERVE) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken, tie (the text's hash).
 
-    Null texts and texts of white space have size 0 and are taken 0 words; null sources are one source, the last. Rows
-    that repeat an id are told apart by a hash of their text, and identical rows stand for each other. Empty tables give
-    no rows; a table without any word has targets 0.
+    Only doc_id, text and source are read: further columns, whatever their names, play no part. Null texts and texts of
+    white space have size 0 and are taken 0 words; texts of any length are counted whole; null sources are one source, the
+    last. Null ids are ids. Rows that repeat an id are told apart by a hash of their text, identical rows by numbers; each is
+    taken by itself. Draws do not depend on the rows' order, so ties have no say. Empty tables give no rows; a table
+    without any word has targets 0.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -103,30 +119,39 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = MOST, group: i
         word_count(F.col("text").cast("string")).alias("size"),
         F.xxhash64("text").alias("tie"),
     )
-    rows = cut(rows, "sizes")
+    rows = rows.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("times"))
+    rows = cut(rows.select("doc_id", "source", "size", "tie", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("salt")), "sizes")
     sizes = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n_docs")), weights, most)
     sizes = cut(sizes, "targets")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # sources are not bounded by the rows' number; the join is left to the optimizer, and rows of a hot source are split by it
-    rows = rows.join(sizes, rows.source.eqNullSafe(sizes.source)).select(rows.source, "doc_id", "size", "source_size", "target", "n_docs", "tie", wanted.alias("wanted"))
-    rows = rows.withColumn("whole", F.floor("wanted").cast("long")).withColumn("p", F.col("wanted") - F.col("whole"))
-    fields = ["doc_id", "size", "source_size", "target", "whole", "p", "tie"]
+    rows = rows.join(sizes, rows.source.eqNullSafe(sizes.source)).select(rows.source, "doc_id", "size", "source_size", "target", "n_docs", "tie", "salt", wanted.alias("wanted"))
+    rows = rows.withColumn("whole", F.floor("wanted").cast("long")).withColumn("p", F.col("wanted") - F.col("whole")).withColumn("first", -F.col("size"))
     plain = (F.col("p") <= 0.0) | (F.col("size") == 0)
-    done = rows.filter(plain).select("source", F.struct(*[F.col(c) if c != "p" else F.lit(0.0).alias("p") for c in fields]).alias("d"))
-    at = rows.filter(~plain).select("source", "n_docs", F.struct(*fields).alias("d"))
+    done = rows.filter(plain).select("source", F.struct(*[F.col(c) if c != "p" else F.lit(0.0).alias("p") for c in FIELDS]).alias("d"))
+    waits = F.pmod(F.xxhash64("doc_id", "tie", "salt", F.lit("reserve")), F.greatest("n_docs", F.lit(1))) < reserve
+    rest = rows.filter(~plain).select("source", "n_docs", waits.alias("waits"), F.struct(*FIELDS).alias("d"))
+    at, last = rest.filter("not waits").drop("waits"), rest.filter("waits").drop("waits")
+
+    def round_off(at: DataFrame, level: int, *keys, steady: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The rounded documents, and the fractional one of each group."""
+        met = at.groupBy("source", "n_docs", *keys).agg(F.array_sort(F.collect_list("d")).alias("items"))
+        met = cut(met.select("source", "n_docs", pivot(F.col("items"), level, steady).alias("s")), f"level{level}")
+        return met.select("source", F.explode("s.done").alias("d")), met.filter("s.held is not null").select("source", "n_docs", F.col("s.held").alias("d"))
+
     most_docs = sizes.agg(F.max("n_docs")).first()[0] or 0
     level = 0
-    while True:
+    while most_docs > reserve:  # sources with fewer are all reserve
         groups = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / float(group ** (level + 1)))).cast("int")
-        met = at.groupBy("source", "n_docs", F.pmod(F.xxhash64("d.doc_id", "d.tie", F.lit(level)), groups).alias("g")).agg(F.array_sort(F.collect_list("d")).alias("items"))
-        met = cut(met.select("source", "n_docs", pivot(F.col("items"), level).alias("s")), f"level{level}")
-        done = done.unionByName(met.select("source", F.explode("s.done").alias("d")))
-        at = met.filter("s.held is not null").select("source", "n_docs", F.col("s.held").alias("d"))
+        rounded, at = round_off(at, level, F.pmod(F.xxhash64("d.doc_id", "d.tie", "d.salt", F.lit(level)), groups).alias("g"))
+        done = done.unionByName(rounded)
         level += 1
         if most_docs <= group**level:
             break
-    last = F.when(_draw(F.col("d.doc_id"), F.col("d.tie"), F.lit(-1)) < F.col("d.p"), 1.0).otherwise(0.0)
-    done = done.unionByName(at.select("source", F.col("d").withField("p", last).alias("d")))
+    rounded, at = round_off(at.unionByName(last), level, steady=True)
+    done = done.unionByName(rounded)
+    drawn = F.when(_draw(F.col("d.doc_id"), F.col("d.tie"), F.col("d.salt"), F.lit(-1)) < F.col("d.p"), 1.0).otherwise(0.0)
+    done = done.unionByName(at.select("source", F.col("d").withField("p", drawn).alias("d")))
     copies = F.when(F.col("d.size") == 0, 0).otherwise(F.col("d.whole") + F.col("d.p").cast("long"))
     return done.select("source", "d.*", copies.cast("long").alias("copies")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "tie"
