@@ -30,6 +30,8 @@ from .shared import FOLDED, LOWER, cut, fold_in, hash_words, mix, ranges, raw, r
 
 #: Bytes of a sequence: a context and the byte after it. Eight fit a number.
 ORDER = 8
+#: Bytes of a sequence that begins in the word before: up to four of that word's last (or its begin), the space, and the first byte.
+ACROSS = 6
 #: Shared counts below: of the last so many bytes.
 BACKOFF = (5, 2, 1)
 #: Discount of counts of both classes, and of a class's counts of 1, 2, and 3 or more.
@@ -40,9 +42,9 @@ CALIBRATION_ROWS = 20_000
 #: Labels that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: Bytes of text whose counts a task reduces at once.
-COUNTED_BYTES = 8 << 20
+COUNTED_BYTES = 2 << 20
 #: Terms that are sent to all tasks, at most; the rest are joined.
-HOT_TERMS = 1_000_000
+HOT_TERMS = 5_000_000
 #: Words' sums above and below these are summed by themselves.
 BOUNDS = (1.0, 2.0, 3.0)
 #: Numbers that describe a text.
@@ -77,7 +79,7 @@ class Events:
         self.code = np.zeros(int((length + 2).sum()), np.uint64)
         self.code[ranges(base + 1, length + 1)] = eight[inner].astype(np.uint64) & MASKS[np.minimum(ranges(np.full(len(at), 2), length + 1), ORDER)]
         later = np.flatnonzero(row[1:] == row[:-1]) + 1
-        self.code[base[later]] = eight[at[later]].astype(np.uint64) & MASKS[np.minimum(length[later - 1] + 3, ORDER)]
+        self.code[base[later]] = eight[at[later]].astype(np.uint64) & MASKS[np.minimum(length[later - 1] + 3, ACROSS)]
         self.begin = np.empty(2 * len(at), np.int64)
         self.begin[::2], self.begin[1::2] = base, base + 1
         self.row = np.repeat(row, 2)
@@ -168,9 +170,9 @@ class Lookup:
     """A hash table of numbers (none 0) with values, by linear probing, all keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, int(1.3 * len(keys)).bit_length())
         self.mask = np.int64((1 << self.bits) - 1)
-        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits)
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.float32)
         left, place = np.arange(len(keys)), self._place(keys)
         while len(left):
             free = self.keys[place] == 0
@@ -187,7 +189,7 @@ class Lookup:
         place = self._place(keys)
         got = self.keys[place]
         known = got == keys
-        value = np.where(known, self.values[place], 0.0)
+        value = np.where(known, self.values[place], np.float32(0)).astype(float)
         left = np.flatnonzero(~known & (got != 0))
         place = place[left]
         while len(left):
@@ -211,10 +213,10 @@ def frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]
             break
         least = n
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0), not sizes
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32), not sizes
     hot = table.filter(F.col("n") >= least)
-    own = hot.select((F.col("ctx") + F.lit(int(CONTEXT))).alias("f"), F.col("w").alias("v"))
-    found = own.unionByName(hot.select(F.explode("grams").alias("e")).select(F.col("e.g").alias("f"), F.col("e.v").alias("v"))).toArrow()
+    own = hot.select((F.col("ctx") + F.lit(int(CONTEXT))).alias("f"), F.col("w").cast("float").alias("v"))
+    found = own.unionByName(hot.select(F.explode("grams").alias("e")).select(F.col("e.g").alias("f"), F.col("e.v").cast("float").alias("v"))).toArrow()
     return found.column("f").to_numpy().view(np.uint64), found.column("v").to_numpy(), room >= 0
 
 
