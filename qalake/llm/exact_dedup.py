@@ -1,10 +1,14 @@
 """Exact dedup by a minimal perfect hash over historical distinct digests.
 
-The history, distinct text digests with the row that stays, is split into shards of bounded size. A task builds a
-minimal perfect hash for each shard (levels of bit arrays, as in the published BBHash scheme); its slots hold the full
-digest, the winner's locator and the group's size. Documents look their digest up in their shard; the slot's digest is
-compared byte by byte, so that a text outside the history is never taken for a member. Texts outside it are grouped
-separately, by digest.
+The history, distinct text digests with the row that stays and the number of rows, is split into shards of bounded size. A
+task builds a minimal perfect hash for each shard (levels of bit arrays, as in the published BBHash scheme); its slots
+hold the full digest, the winner's locator and the group's size. Further documents look their digest up in their shard;
+the slot's digest is compared byte by byte, so that a text outside the history is never taken for a member. Repeats are
+added to their slots: the larger id wins, and counts add up. Texts outside the history are grouped separately, by digest,
+and can be appended to it.
+
+Without a history of earlier tables, the rows up to the median id are the history, and the rows after them look it up: no
+row of the later half whose text was there before is grouped by its digest.
 
 Skew: the history is pre-aggregated before it is shuffled, and a shard with many look-ups (one text may be a third of
 all rows) is read by several tasks, each with a copy of the shard's index, whose size is bounded.
@@ -105,55 +109,87 @@ def _build(shard: pa.Table) -> pa.Table:
 
 def _probe(probes: pa.Table, index: pa.Table) -> pa.Table:
     rows = probes.num_rows
-    keep, size = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    slot, keep, size = np.full(rows, -1, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
     if rows and index.num_rows:
         row = {c: index.column(c)[0].as_py() for c in index.column_names}
         digests = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
-        slots = find_slots(np.frombuffer(row["bits"], np.uint8), row["sizes"], digests, _fixed(probes.column("digest")))
-        known = slots >= 0
-        keep[known] = np.frombuffer(row["winners"], np.int64)[slots[known]]
-        size[known] = np.frombuffer(row["counts"], np.int64)[slots[known]]
-    return pa.table({"doc_id": probes.column("doc_id"), "digest": probes.column("digest"), "keep_id": keep, "group_size": size})
+        slot = find_slots(np.frombuffer(row["bits"], np.uint8), row["sizes"], digests, _fixed(probes.column("digest")))
+        known = slot >= 0
+        keep[known] = np.frombuffer(row["winners"], np.int64)[slot[known]]
+        size[known] = np.frombuffer(row["counts"], np.int64)[slot[known]]
+    return pa.table({"doc_id": probes.column("doc_id"), "digest": probes.column("digest"), "shard": probes.column("shard"), "slot": slot, "keep_id": keep, "group_size": size})
+
+
+FOUND = "doc_id long, digest binary, shard int, slot long, keep_id long, group_size long"
+
+
+def _merge(index: pa.Table, repeats: pa.Table) -> pa.Table:
+    """A shard's index after repeats (slot, keep_id, group_size) were added: the larger id wins, counts add up."""
+    if not index.num_rows:
+        return index
+    slot = repeats.column("slot").to_numpy()
+    winners, counts = (np.frombuffer(index.column(c)[0].as_py(), np.int64).copy() for c in ("winners", "counts"))
+    winners[slot] = np.maximum(winners[slot], repeats.column("keep_id").to_numpy())
+    counts[slot] += repeats.column("group_size").to_numpy()
+    for name, values in (("winners", winners), ("counts", counts)):
+        index = index.set_column(index.column_names.index(name), name, pa.array([values.tobytes()], pa.binary()))
+    return index
+
+
+def _look_up(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """FOUND of probes (doc_id, digest, shard); slot is -1 for nonmembers. Shards with many probes are dealt to several tasks."""
+    tasks = probes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_PROBES).cast("int").alias("tasks"))
+    # at most a row for each shard, which SHARD_DIGESTS bounds against the number of rows; joined, not collected
+    dealt = probes.join(tasks, "shard").select("doc_id", "digest", "shard", F.pmod(F.monotonically_increasing_id(), F.col("tasks")).cast("int").alias("task"))
+    copies = index.join(tasks, "shard").select("*", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")).drop("tasks")
+    return dealt.groupBy("shard", "task").cogroup(copies.groupBy("shard", "task")).applyInArrow(_probe, FOUND)
+
+
+NULL_ID = -(2**63)
 
 
-def history_of(digests: DataFrame, least: int = 2) -> DataFrame:
-    """Distinct digests that at least `least` rows have, with the largest doc_id and the number of rows."""
-    return digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter(F.col("group_size") >= least)
+def groups_of(digests: DataFrame) -> DataFrame:
+    """Distinct digests with the largest doc_id (NULL_ID where all are null) and the number of rows."""
+    return digests.groupBy("digest").agg(F.coalesce(F.max("doc_id"), F.lit(NULL_ID)).alias("keep_id"), F.count("*").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    history: distinct rows (digest binary, keep_id, group_size) of earlier texts; by default the digests that docs
-    itself repeats. Null texts equal the empty text. Of equal texts the largest doc_id stays (null ids stay only among
-    themselves, and then keep_id is null); rows that repeat text and id are all kept rows of one group. Empty tables
-    give no rows.
+    history: distinct rows (digest binary, keep_id, group_size) of earlier texts, which are no rows of docs: its winners and
+    counts are merged with those of docs, and a larger id of docs wins. By default the rows of docs up to the median id.
+
+    Only doc_id and text are read: further columns, whatever their names, play no part. Null texts equal the empty text;
+    texts of any length are digested whole. Of equal texts the largest doc_id stays (null ids stay only among themselves,
+    and then keep_id is null); rows that repeat text and id tie and are all kept rows of one group. Empty tables give no
+    rows.
     """
-    spark = docs.sparkSession
-    rows = whole_texts(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    rows = cut(rows, "digests")
-    history = history_of(rows) if history is None else history
-    history = cut(history.select("digest", F.coalesce("keep_id", F.lit(-(2**63))).alias("keep_id"), "group_size"), "history")
+    rows = cut(whole_texts(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
+    if history is None:
+        middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+        early = F.coalesce(F.col("doc_id") <= F.lit(NULL_ID if middle is None else middle).cast("long"), F.lit(True))
+        history, later, earlier = groups_of(rows.filter(early)), rows.filter(~early), rows.filter(early)
+    else:
+        later, earlier = rows, rows.limit(0)
+    history = cut(history.select("digest", F.coalesce("keep_id", F.lit(NULL_ID)).alias("keep_id"), "group_size"), "history")
     shards = max(1, -(-history.count() // SHARD_DIGESTS))
-    shard = lambda: F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
-    index = history.select("*", shard()).groupBy("shard").applyInArrow(_build, INDEX)
-    probes = rows.select("*", shard())
-    tasks = probes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_PROBES).cast("int").alias("tasks"))
-    # at most a row for each shard, which SHARD_DIGESTS bounds against the number of rows; joined, not collected
-    dealt = probes.join(tasks, "shard").select("doc_id", "digest", "shard", F.pmod(F.xxhash64("doc_id"), F.col("tasks")).cast("int").alias("task"))
-    copies = index.join(tasks, "shard").select("*", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")).drop("tasks")
-    found = (
-        dealt.groupBy("shard", "task")
-        .cogroup(copies.groupBy("shard", "task"))
-        .applyInArrow(_probe, "doc_id long, digest binary, keep_id long, group_size long")
-    )
-    found = cut(found, "found")
-    members, others = found.filter("group_size > 0"), found.filter("group_size = 0").select("doc_id", "digest")
-    apart = others.join(history_of(others, 1), "digest").select("doc_id", "digest", "keep_id", "group_size")
-    members = members.withColumn("keep_id", F.expr("nullif(keep_id, -9223372036854775808L)"))
-    return members.unionByName(apart).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
+    index = cut(history.select("*", shard).groupBy("shard").applyInArrow(_build, INDEX), "index")
+    found = cut(_look_up(later.select("*", shard), index), "found")
+    repeats = found.filter("slot >= 0")
+    others = found.filter("slot < 0").select("doc_id", "digest")
+    added = repeats.groupBy("shard", "slot").agg(F.coalesce(F.max("doc_id"), F.lit(NULL_ID)).alias("keep_id"), F.count("*").alias("group_size"))  # at most a row for each slot
+    index = cut(index.groupBy("shard").cogroup(added.groupBy("shard")).applyInArrow(_merge, INDEX), "index")
+    members = _look_up(earlier.select("*", shard).unionByName(repeats.select("doc_id", "digest", "shard")), index).select("doc_id", "digest", "keep_id", "group_size")
+    apart = others.join(groups_of(others), "digest").select("doc_id", "digest", "keep_id", "group_size")
+    out = members.unionByName(apart).withColumn("keep_id", F.expr(f"nullif(keep_id, {NULL_ID + 1}L - 1L)"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def appended(history: DataFrame, result: DataFrame) -> DataFrame:
+    """The history after the rows of result, which exact_dedup() gave against it: merged groups in place of theirs, new digests at the end."""
+    new = result.select(F.unhex("text_sha256").alias("digest"), "keep_id", "group_size").distinct()
+    return history.join(new, "digest", "left_anti").select("digest", "keep_id", "group_size").unionByName(new)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
