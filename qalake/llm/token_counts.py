@@ -8,9 +8,9 @@ are shuffled, so that a text with a third of all rows is encoded once and sent a
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +39,10 @@ class Counter(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        model = self.tokenizer.pre_tokenizer.__class__.__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        before = json.loads(self.tokenizer.to_str())
+        own, post = before.get("pre_tokenizer") or {}, before.get("post_processor") or {}
+        model = own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space") and before.get("normalizer") is None
+        model = model and post.get("type", "ByteLevel") == "ByteLevel"  # which moves offsets alone
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.pieces = model and self.tokenizer.encode("a", add_special_tokens=False).tokens == ["a"]
@@ -88,9 +91,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit. cache: the folder of the cache table; missing
     entries are appended to it.
 
-    Content is normalised by taking null as empty and by nothing else, since token counts depend on every byte. Empty
-    texts have 0 tokens; repeated rows give repeated results. Two runs that append the same entry do no harm: entries are
-    read as distinct.
+    Only doc_id and text are read: further columns, whatever their names, play no part. Content is normalised by taking null
+    as empty and by nothing else, since token counts depend on every byte; texts of any length are encoded whole. Empty
+    texts have 0 tokens; repeated rows give repeated results, null ids are kept; `limit` tokens are not over it. Empty tables
+    give no rows. Two runs that append the same entry do no harm: entries are read as distinct.
     """
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
@@ -105,8 +109,12 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     return rows.join(stored(), "content_sha256").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def cache_folder(spark: SparkSession) -> str:
+    """Where the registered query keeps its counts from run to run: entries name content and tokenizer, not the table."""
+    return f"{shared_folder(spark)}/token-counts"
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    cache = f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
-    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache_folder(spark))
