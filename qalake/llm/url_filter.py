@@ -1,7 +1,8 @@
 """URL filter: rules on host and path, then a weighted vocabulary.
 
-A url without a rule is judged by its words: an Aho-Corasick automaton finds the strict and soft terms in the whole url,
-query and fragment included; a hit counts only where no letter or digit stands beside it. One strict hit or several distinct soft hits block the url.
+A url without a rule is judged by its words: an Aho-Corasick automaton finds the forms of strict and soft terms in the whole
+url, query and fragment included; a hit counts only where no letter or digit stands beside it. One strict hit or several
+hits of distinct soft terms block the url.
 """
 
 from __future__ import annotations
@@ -15,9 +16,22 @@ from .shared import read
 
 #: Fixed values: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Vocabulary: any strict term blocks, or SOFT_HITS distinct soft terms.
-STRICT = ("casino", "hentai", "porn", "sex", "viagra", "warez", "xxx")
-SOFT = ("adult", "bet", "bonus", "cheap", "click", "dating", "escort", "free", "girls", "loan", "pills", "poker", "slots", "torrent", "win")
+#: Vocabulary, terms with their forms in several languages: any strict term blocks, or SOFT_HITS distinct soft ones.
+STRICT = {
+    "casino": ("casino", "kasino"), "cialis": ("cialis",), "escorts": ("escorts",), "hentai": ("hentai",), "porn": ("porn", "porno", "pornos"),
+    "sex": ("sex", "sexe", "sexo"), "viagra": ("viagra",), "warez": ("warez",), "xxx": ("xxx",),
+}
+SOFT = {
+    "ads": ("ads", "adserver", "anuncios", "werbung"), "adult": ("adult", "adulte", "adultes", "adulto", "adultos", "erotik", "erotic", "erotico"),
+    "bet": ("bet", "bets", "betting", "wette", "wetten", "apuesta", "apuestas"), "bonus": ("bonus", "bono", "bonos"),
+    "cheap": ("cheap", "cheapest", "billig", "barato", "baratos"), "click": ("click", "clicks", "klick", "clic"), "crack": ("crack", "cracked", "keygen"),
+    "dating": ("dating", "citas", "rencontre", "rencontres"), "escort": ("escort",), "farm": ("farm", "farms"),
+    "free": ("free", "gratis", "gratuit", "gratuite", "kostenlos"), "girls": ("girl", "girls", "chicas", "filles"), "jackpot": ("jackpot", "jackpots"),
+    "loan": ("loan", "loans", "kredit", "prestamo", "prestamos"), "lottery": ("lottery", "lotto", "loteria", "loterie"), "nude": ("nude", "nudes", "desnuda", "nackt"),
+    "pills": ("pill", "pills", "pillen", "pilules", "pastillas"), "poker": ("poker",), "replica": ("replica", "replicas"), "roulette": ("roulette", "ruleta"),
+    "slots": ("slot", "slots"), "spam": ("spam", "spams"), "torrent": ("torrent", "torrents"), "track": ("track", "tracker", "trackers"),
+    "win": ("win", "wins", "winner", "gewinn", "ganar", "gagner"),
+}
 SOFT_HITS = 2
 
 
@@ -38,20 +52,23 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def automaton(strict=STRICT, soft=SOFT) -> ahocorasick.Automaton:
+    """Of all forms, with their term and its weight (1: strict). A form that is in both is strict."""
     found = ahocorasick.Automaton()
-    for word, weight in [*((w, 0) for w in soft), *((w, 1) for w in strict)]:
-        found.add_word(word, (word, weight))
+    for weight, terms in enumerate((soft, strict)):
+        for term, forms in terms.items():
+            for form in forms:
+                found.add_word(form, (len(form), term, weight))
     found.make_automaton()
     return found
 
 
-def judge(text: str, found: ahocorasick.Automaton, soft_hits: int = SOFT_HITS) -> tuple[int, int]:
-    """Numbers of distinct strict and soft terms with no ASCII letter or digit beside them."""
+def judge(text: str, found: ahocorasick.Automaton) -> tuple[int, int]:
+    """Numbers of distinct strict and soft terms, of forms with no ASCII letter or digit beside them."""
     hits = {
-        (word, weight)
-        for end, (word, weight) in found.iter(text)
+        (term, weight)
+        for end, (length, term, weight) in found.iter(text)
         if not (end + 1 < len(text) and text[end + 1].isascii() and text[end + 1].isalnum())
-        and not (end >= len(word) and text[end - len(word)].isascii() and text[end - len(word)].isalnum())
+        and not (end >= length and text[end - length].isascii() and text[end - length].isalnum())
     }
     return sum(w for _, w in hits), sum(1 - w for _, w in hits)
 
@@ -59,13 +76,14 @@ def judge(text: str, found: ahocorasick.Automaton, soft_hits: int = SOFT_HITS) -
 def url_filter(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, n_strict, n_soft.
 
-    Null urls and urls without `://` have an empty host and path, fit no rule, hit no term and are allowed. Repeated rows
-    give repeated results.
+    Only page_id and url are read: further columns, whatever their names, play no part. Null urls are empty. Urls without
+    `://` have an empty host and path and fit no rule, but their words are judged. Urls of any length are read whole. Of
+    rules that fit, the longest (host and path together) wins; rules of one length that fit one url have one host, so
+    none tie. Repeated rows give repeated results, empty tables none.
     """
     rows = pages.select(F.col("page_id").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("u"))
     host, path = split_url(F.col("u"))
-    judged = F.when(F.instr("u", "://") > 0, F.col("u")).otherwise("")
-    rows = rows.select("page_id", host.alias("host"), path.alias("path"), judged.alias("u"))
+    rows = rows.select("page_id", host.alias("host"), path.alias("path"), "u")
 
     def count(batches):
         found = automaton(strict, soft)
@@ -86,14 +104,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     """The same verdicts by regular expressions, term by term."""
-    hit = lambda w: f"cast(regexp_matches(lower(host || path), '(^|[^a-z0-9]){w}([^a-z0-9]|$)') as int)"
+    hit = lambda forms: f"cast(regexp_matches(u, '(^|[^a-z0-9])({'|'.join(forms)})([^a-z0-9]|$)') as int)"
     fits = lambda own, start: f"(host = '{own}' or host like '%.{own}') and starts_with(path, '{start}')"
     longest = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     return f"""
-with a as (select page_id, case when url is not null and position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
-b as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+with a as (select page_id, lower(coalesce(url, '')) as u, case when url is not null and position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+b as (select page_id, u, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
   regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) as path from a),
-c as (select *, {" + ".join(map(hit, STRICT))} as n_strict, {" + ".join(map(hit, SOFT))} as n_soft,
+c as (select *, {" + ".join(map(hit, STRICT.values()))} as n_strict, {" + ".join(map(hit, SOFT.values()))} as n_soft,
   case {" ".join(f"when {fits(h, p)} then '{h}{p}'" for h, p, _ in longest)} end as rule from b)
 select page_id, host, path, rule,
   case {" ".join(f"when rule = '{h}{p}' then '{v}'" for h, p, v in longest)}

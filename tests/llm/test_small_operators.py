@@ -29,11 +29,30 @@ def test_exact_dedup_of_null_and_repeated_ids(spark):
 
 
 def test_exact_dedup_against_a_given_history(spark):
-    digest = bytes.fromhex(hashlib.sha256(b"a").hexdigest())
-    history = spark.createDataFrame([(digest, 77, 5)], "digest binary, keep_id long, group_size long")
-    rows = [(1, "a", "", "", 0), (2, "b", "", "", 0), (3, "b", "", "", 0)]
-    got = sorted((r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(table(spark, rows), history).collect())
-    assert got == [(1, 77, False), (2, 3, False), (3, 3, True)]
+    """The larger id wins, on either side, and counts add up; new digests are appended, and the next run finds them."""
+    sha = lambda t: hashlib.sha256(t.encode()).digest()
+    history = spark.createDataFrame([(sha("a"), 77, 5), (sha("c"), 2, 1), (sha("z"), 9, 3)], "digest binary, keep_id long, group_size long")
+    rows = [(1, "a", "", "", 0), (2, "b", "", "", 0), (3, "b", "", "", 0), (8, "c", "", "", 0), (None, "c", "", "", 0)]
+    result = exact_dedup.exact_dedup(table(spark, rows), history)
+    got = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in result.collect())
+    assert got == [("1", 77, 6, False), ("2", 3, 2, False), ("3", 3, 2, True), ("8", 8, 3, True), ("None", 8, 3, False)]
+    longer = exact_dedup.appended(history, result)
+    assert sorted((r.keep_id, r.group_size) for r in longer.collect()) == [(3, 2), (8, 3), (9, 3), (77, 6)]
+    got = exact_dedup.exact_dedup(table(spark, [(90, "b", "", "", 0), (1, "z", "", "", 0)]), longer).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(1, 9, 4), (90, 90, 3)]
+
+
+def test_exact_dedup_of_long_texts_and_many_copies(spark, monkeypatch):
+    """A third of all rows is one text; its shard is dealt to several tasks."""
+    monkeypatch.setattr(exact_dedup, "SHARD_PROBES", 20)
+    monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 40)
+    rows = [(i, "same " * 50_000 if i % 3 == 0 else f"text {i % 200}", "", "", 0) for i in range(600)]
+    got = exact_dedup.exact_dedup(table(spark, rows)).collect()
+    groups = {}
+    for d, t, *_ in rows:
+        groups.setdefault(t, []).append(d)
+    want = {d: (max(groups[t]), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for d, t, *_ in rows}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in got} == want and len(got) == 600
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 3000])
@@ -56,7 +75,7 @@ def test_url_filter(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1))).collect()}
     assert got == {
         1: ("example.com/en/", "block"), 2: ("www.example.com/en/", "allow"), 3: ("com/", "allow"), 4: ("net/fr/", "block"), 5: (None, "block"), 6: (None, "allow"),
-        7: (None, "block"), 8: (None, "allow"), 9: (None, "allow"), 10: (None, "allow"), 11: (None, "block"), 12: (None, "allow"), 13: ("com/", "allow"),
+        7: (None, "block"), 8: (None, "allow"), 9: (None, "allow"), 10: (None, "block"), 11: (None, "block"), 12: (None, "allow"), 13: ("com/", "allow"),
         14: (None, "allow"), 15: (None, "block"), 16: (None, "block"),
     }
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
@@ -132,6 +151,16 @@ def test_mixing(spark):
     assert mixing.mix_sources(table(spark, [])).count() == 0
 
 
+def test_a_source_of_fifty_documents_comes_near_its_target(spark):
+    """Though one of them is long; whether they wait for each other or meet in groups first."""
+    rng = random.Random(13)
+    rows = [(i, "w " * (3000 if i % 50 == 0 else rng.randrange(20, 400)), "en", f"s{i // 50}", 0) for i in range(300)] + [(7, "x y z", "en", "s1", 0)] * 500 + [(None, "long " * 20_000, "en", "s9", 0)]
+    for reserve, most in ((512, 0.05), (20, 0.5)):
+        got = mixing.mix_sources(table(spark, rows), reserve=reserve).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+        assert sum(r.n for r in got) == len(rows)
+        assert all(abs(r.taken - r.target) <= most * r.target for r in got if r.source != "s9")
+
+
 def test_targets_are_the_fixed_point(spark):
     sizes = {"a": 10, "b": 500, "c": 20, "d": 470, "e": 0}
     df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n_docs long")
@@ -171,6 +200,27 @@ def test_token_counts(spark, tmp_path):
     assert token_counts.token_counts(table(spark, []), path, cache).count() == 0
 
 
+def test_a_second_run_of_the_query_encodes_nothing(spark, tmp_path, monkeypatch):
+    """All its texts are in the cache, which the session's shared folder keeps for each tokenizer."""
+    folder = f"file://{tmp_path}/data"
+    table(spark, documents(14, 30)).select("doc_id", "text").write.parquet(f"{folder}/documents.parquet")
+    first = sorted(map(str, token_counts.op10_token_counts(spark, folder).collect()))
+    cache = spark.read.parquet(token_counts.cache_folder(spark))
+    before = cache.count()
+
+    def encode(path, version):
+        def work(batches):
+            for batch in batches:
+                assert not batch.num_rows, "a stored text was encoded"
+                yield from ()
+
+        return work
+
+    monkeypatch.setattr(token_counts, "_encode", encode)
+    assert sorted(map(str, token_counts.op10_token_counts(spark, folder).collect())) == first
+    assert spark.read.parquet(token_counts.cache_folder(spark)).count() == before
+
+
 def labelled(spark, n=400):
     rng = random.Random(11)
     rows, labels = [], []
@@ -220,6 +270,16 @@ def test_classifiers_without_labels_or_rows(spark):
     assert quality.quality(table(spark, []), model).count() == 0
 
 
+def test_quality_of_any_id_and_of_repeats(spark):
+    rows, labels = labelled(spark, 60)
+    big = spark.createDataFrame([(2**62 + i, t) for i, t, *_ in rows if i is not None and i < 60] + [(2**63 - 1, "a b"), (-(2**63), "a b"), (2**62, rows[0][1])], "doc_id long, text string").selectExpr("*", "'x' as label", "1 as score")
+    model = quality.train(big, labels.filter("doc_id < 60").select((F.col("doc_id") + 2**62).alias("doc_id"), F.col("quality").alias("label")))
+    got = quality.quality(big, model).collect()
+    assert len(got) == 63 and len({r.score for r in got if r.doc_id == 2**62}) == 1 and len({r.score for r in got if abs(r.doc_id) > 2**62 + 100}) == 1
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    assert sum(r.predicted == truth[r.doc_id - 2**62] for r in got if 2**62 <= r.doc_id < 2**62 + 60) >= 57
+
+
 def test_features_do_not_depend_on_neighbours(spark):
     import pyarrow as pa
 
