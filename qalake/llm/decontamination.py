@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import FOLDED, LOWER, cut, grams, hash_words, ranges, raw, read, signed, sliding_min, slices, whole_texts, words
+from .shared import FOLDED, LOWER, cut, grams, hash_words, ranges, raw, read, signed, sliding_min, slices, text_tie, whole_texts, words
 
 N, K = 13, 5
-#: Benchmark words that are sent to tasks (about 40 bytes each); above it the tables are joined.
+#: Benchmark words that are sent to tasks (about 130 bytes each: a window's hash and its words' hashes); above it the tables are joined.
 INDEX_WORDS = 1_000_000
-OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
+OUT = "doc_id long, tie long, n_words long, n_hit long, n_items long, items_sha256 string"
 
 
 def folded_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def _by_index(index):
                 many += [len(items.get(r, ())) for r in range(j - i)]
                 sha += [digest(items[r]) if r in items else NONE for r in range(j - i)]
             if many:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(count)), pa.array(np.concatenate(hit)), pa.array(many, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(np.concatenate(count)), pa.array(np.concatenate(hit)), pa.array(many, pa.int64()), pa.array(sha)], names=["doc_id", "tie", "n_words", "n_hit", "n_items", "items_sha256"])
 
     return judge
 
@@ -186,7 +186,6 @@ def _count_words(batches):
 def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The same result by joins of fingerprints and windows, for a benchmark of any size."""
     lengths = [r[0] for r in items.groupBy(F.least("n", F.lit(N)).cast("int").alias("n")).count().collect() if r[0]]  # at most N rows
-    docs = docs.withColumn("tie", F.xxhash64("text"))
     items = items.withColumn("tie", F.lit(0).cast("long")).select(F.col("item").alias("doc_id"), "text", "tie", "n")
     counts = docs.mapInArrow(_count_words, "doc_id long, tie long, n_words long").distinct()
     if lengths:
@@ -208,7 +207,7 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = _match(docs.select("doc_id", "tie"), counts)
     out = _match(out, hits, "left")
     items_sha = F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256)
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), items_sha.alias("items_sha256"))
+    return out.select("doc_id", "tie", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), items_sha.alias("items_sha256"))
 
 
 def _match(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -218,13 +217,15 @@ def _match(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per row of docs: doc_id, tie (the text's hash), n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null and empty texts have no words and are not contaminated; items without words are never found; items with equal
-    text are all found; null item ids count as the empty id. Repeated documents give repeated results. An empty
-    benchmark contaminates nothing.
+    Only doc_id, item_id and text are read: further columns, whatever their names, play no part. Null and empty texts have
+    no words and are not contaminated; texts of any length are read whole. Items without words are never found; items with
+    equal text are all found; null item ids count as the empty id, and an id that occurs in several rows is one name.
+    Rows that repeat an id are judged by their own text, repeated rows give repeated results, null ids are kept. A share
+    of exactly 5 % is contaminated. Empty tables give no rows; an empty benchmark contaminates nothing.
     """
-    docs = whole_texts(docs)
+    docs = whole_texts(docs).withColumn("tie", text_tie(F.col("text")))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     length = F.length("text")
     if (items.agg(F.sum(length)).first()[0] or 0) <= 2 * index_words:  # a word and what parts it from the next: two characters at least
@@ -239,7 +240,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, index_words: int = INDE
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("tie")
 
 
 #: Brute force: all windows of all documents against all windows of the benchmark.

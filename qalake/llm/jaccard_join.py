@@ -1,9 +1,13 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-Each text's signature is cut into trees; a tree's part is a string of hash bytes, and texts whose strings share a prefix
-meet in the prefix trie. The matched prefix is shortened, from the full depth on, until pairs at the threshold meet in
-some tree with the target recall. Pairs that meet are verified exactly, on their whole sets of shingles, in the first
-tree where they meet.
+Each text's signature is cut into trees; a tree's part is a string of hash bytes. A tree's strings, sorted, are a prefix
+trie: strings with a common prefix are neighbours, and the longest prefix that a string shares with any other is what it
+shares with the one before it or behind it. Texts that share a prefix of the full depth in some tree are candidates; then
+the prefix is shortened, byte by byte, and each step adds the pairs that no longer prefix brought together. After each
+step the recall so far is measured: a candidate pair whose signatures agree in a share s of their bytes meets at this
+depth with a chance that s gives, so it stands for one pair found and for as many more as that chance leaves out. The
+steps end at the target recall; how deep they go depends on how similar the corpus' near copies are. Candidates are
+verified exactly then, on their whole sets of shingles, in the first tree where they met.
 
 Texts with equal words are one node with a number of copies; links are counted between nodes and weighted by copies. A
 large bucket is dealt into blocks by hash, and each pair of blocks is a task of its own; what leaves a task is a row for
@@ -20,20 +24,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import NULL_ID
-from .shared import PLAIN, cut, grams, hash_words, ranges, raw, read, runs, slices, whole_groups, whole_texts, words
+from .shared import PLAIN, cut, grams, hash_words, numbered, ranges, raw, read, runs, signed, slices, text_tie, whole_groups, words
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: Trees, and hash bytes of each, which fill a number.
 TREES, DEPTH = 24, 8
 RECALL = 0.9999
+#: Ids of candidates that are sent to all tasks, so that only their texts are shuffled; of more, all texts are.
+BROADCAST_IDS = 1_000_000
 #: Nodes of a bucket that one task compares with each other or with as many others.
 BLOCK = 1024
 
 
+def meets(similarity, depth: int, trees: int = TREES):
+    """Chance that a pair shares a prefix so long in some tree."""
+    same = similarity + (1 - similarity) / 256  # a hash byte also agrees by chance
+    return 1 - (1 - same**depth) ** trees
+
+
 def depth_for(recall: float = RECALL, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix with which pairs at the threshold meet in some tree with the wanted recall."""
-    same = threshold + (1 - threshold) / 256  # a hash byte also agrees by chance
-    while depth > 1 and 1 - (1 - same**depth) ** trees < recall:
+    """The longest prefix with which pairs at the threshold meet with the wanted recall: shorter ones are never needed."""
+    while depth > 1 and meets(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
@@ -78,80 +89,128 @@ def _hashed(data: np.ndarray, offsets: np.ndarray):
         yield i, hash_words(part, starts, ends), first
 
 
-def _sign(trees: int, depth: int):
+def _sign(trees: int, depth: int = DEPTH):
     def work(batches):
         for batch in batches:
             data, offsets = raw(batch.column("text"))
-            signed, digests, many = [], [], []
+            strings, digests, many = [], [], []
             for _, h, first in _hashed(data, offsets):
                 x, bounds = shingles(h, first)
-                signed += [s.tobytes() for s in signatures(x, bounds, trees, depth)]
+                strings += [s.tobytes() for s in signatures(x, bounds, trees, depth)]
                 digests += [hashlib.blake2b(h[a:b], digest_size=16).digest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 many += np.diff(bounds).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(digests, pa.binary()), pa.array(signed, pa.binary()), pa.array(many, pa.int64())], names=["doc", "digest", "sig", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), batch.column("tie"), pa.array(digests, pa.binary()), pa.array(strings, pa.binary()), pa.array(many, pa.int64())], names=["doc", "doc_id", "tie", "digest", "sig", "size"])
 
     return work
 
 
-def _prefixes(table: pa.Table, trees: int, depth: int) -> np.ndarray:
-    """The trees' prefixes as numbers, a row for each node."""
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(table.num_rows, trees, depth)
-    out = np.zeros((table.num_rows, trees), np.uint64)
-    for d in range(depth):  # depth is at most 8
-        out = (out << np.uint64(8)) | sig[:, :, d]
-    return out
-
-
-def _pairs(keys: np.ndarray, tree: int, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of one group that meet in this tree and in none before; of two blocks, only those across."""
+def _tries(batches):
+    """From rows (tree, leaf, doc) sorted by tree and leaf, those that share a prefix with a neighbour: leaf as a number, and the prefix' bytes."""
+    last = None  # tree, leaf, doc of the last row, and what it shares with the one before
+
+    def rows(tree, leaf, doc, before, after):
+        deepest = np.maximum(before, after)
+        some = deepest > 0
+        return pa.RecordBatch.from_arrays([pa.array(tree[some].astype(np.int32)), pa.array(signed(leaf[some])), pa.array(doc[some]), pa.array(deepest[some].astype(np.int32))], names=["tree", "leaf", "doc", "deepest"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, doc = batch.column("tree").to_numpy().astype(np.int64), batch.column("doc").to_numpy()
+        leaf = np.frombuffer(b"".join(batch.column("leaf").to_pylist()), ">u8").astype(np.uint64)
+        first = np.zeros(1, np.int64)
+        if last is not None:
+            tree, leaf, doc = (np.concatenate([x, y]) for x, y in zip(last[:3], (tree, leaf, doc), strict=True))
+            first = last[3]
+        apart = leaf[1:] ^ leaf[:-1]
+        shared = np.zeros(len(apart), np.int64)  # equal leading bytes of neighbours
+        for k in range(1, DEPTH + 1):
+            shared += (apart >> np.uint64(8 * (DEPTH - k))) == 0
+        shared[tree[1:] != tree[:-1]] = 0
+        before = np.concatenate([first, shared])
+        yield rows(tree[:-1], leaf[:-1], doc[:-1], before[:-1], shared)
+        last = (tree[-1:], leaf[-1:], doc[-1:], before[-1:])
+    if last is not None:
+        yield rows(*last, np.zeros(1, np.int64))
+
+
+def _leaves(table: pa.Table, trees: int) -> np.ndarray:
+    """The trees' strings as numbers, a row for each node."""
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), ">u8").reshape(table.num_rows, trees).astype(np.uint64)
+
+
+def _pairs(leaves: np.ndarray, tree: int, half: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of one group that meet in this tree at this depth, in no tree before, and in no tree at a longer prefix; of two blocks, only those across."""
+    keys = leaves >> np.uint64(8 * (DEPTH - depth))
     met = keys[:, None, tree] == keys[None, :, tree]
     for t in range(tree):
         met &= keys[:, None, t] != keys[None, :, t]
+    if depth < DEPTH:
+        keys = leaves >> np.uint64(8 * (DEPTH - depth - 1))
+        for t in range(tree, leaves.shape[1]):
+            met &= keys[:, None, t] != keys[None, :, t]
     if half.any() and not half.all():
         met &= half[:, None] != half[None, :]
     return np.nonzero(np.triu(met, 1))
 
 
-def _candidates(trees: int, depth: int):
-    """Rows of nodes that meet some other first in their group."""
+#: Pairs whose agreeing bytes are counted at once.
+COUNTED = 20_000
+
+
+def _candidates(trees: int, depth: int, floor: int, threshold: float):
+    """Rows of nodes that meet some other first in their group. seen: of the row's pairs as similar as the threshold, by their signatures, the number, and the sums of what each stands for at all depths."""
 
     def work(batches):
         for table in whole_groups(batches, "gk"):
             at = runs(table.column("gk").to_numpy())
-            keys = _prefixes(table, trees, depth)
+            leaves = _leaves(table, trees)
+            strings = leaves.view(np.uint8).reshape(table.num_rows, -1)
             tree, half = table.column("tree").to_numpy(), table.column("half").to_numpy()
             keep = np.zeros(table.num_rows, bool)
+            seen = np.zeros((table.num_rows, 2 + DEPTH - floor))
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if j - i > 1:
-                    for x in _pairs(keys[i:j], int(tree[i]), half[i:j]):
-                        keep[i + x] = True
+                if j - i < 2:
+                    continue
+                a, b = _pairs(leaves[i:j], int(tree[i]), half[i:j], depth)
+                keep[i + a] = keep[i + b] = True
+                for k in range(0, len(a), COUNTED):
+                    x, y = i + a[k : k + COUNTED], i + b[k : k + COUNTED]
+                    same = (strings[x] == strings[y]).mean(axis=1)
+                    s = (same - 1 / 256) / (1 - 1 / 256)
+                    like = s >= threshold
+                    for c, v in enumerate([np.ones(int(like.sum())), *(1 / meets(s[like], d, trees) for d in range(DEPTH, floor - 1, -1))]):
+                        seen[:, c] += np.bincount(x[like], v, table.num_rows)
             if keep.any():
-                yield from table.filter(pa.array(keep)).to_batches()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(int(keep.sum()) + 1, dtype=np.int32) * seen.shape[1]), pa.array(seen[keep].ravel()))
+                yield from pa.Table.from_arrays([*(table.column(c).filter(pa.array(keep)) for c in ("gk", "tree", "half", "doc")), pa.chunked_array([lists])], names=["gk", "tree", "half", "doc", "seen"]).to_batches()
 
     return work
 
 
-def _with_sets():
-    """A row for each group of a node: its set of shingles, sorted."""
+#: Bytes of sets in one Arrow batch, about.
+SET_BYTES = 8 << 20
 
-    def work(batches):
-        for batch in batches:
-            data, offsets = raw(batch.column("text"))
-            lists = batch.column("groups")
-            begin = lists.offsets.to_numpy()
-            flat = lists.flatten()
-            base = int(begin[0])
-            for i, h, first in _hashed(data, offsets):
-                x, bounds = shingles(h, first)
-                sets = [np.unique(x[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                count = np.diff(begin)[i : i + len(sets)]
-                own = flat.slice(int(begin[i]) - base, int(count.sum()))
-                row = np.repeat(np.arange(len(sets)), count)
-                for a in range(0, len(row), 1000):
-                    part = row[a : a + 1000]
-                    yield pa.RecordBatch.from_arrays([*own.slice(a, len(part)).flatten(), batch.column("doc").take(pa.array(i + part)), pa.array([sets[r] for r in part], pa.binary())], names=["gk", "tree", "half", "n", "sig", "doc", "shingles"])
 
-    return work
+def _with_sets(batches):
+    """A row for each group of a node: its set of shingles, sorted, and its signature."""
+    for batch in batches:
+        data, offsets = raw(batch.column("text"))
+        lists = batch.column("groups")
+        begin = lists.offsets.to_numpy()
+        flat = lists.flatten()
+        base = int(begin[0])
+        for i, h, first in _hashed(data, offsets):
+            x, bounds = shingles(h, first)
+            sets = [np.unique(x[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            count = np.diff(begin)[i : i + len(sets)]
+            own = flat.slice(int(begin[i]) - base, int(count.sum()))
+            row = np.repeat(np.arange(len(sets)), count)
+            at = np.concatenate([[0], np.cumsum(np.array([len(x) for x in sets])[row])]) if len(row) else np.zeros(1, np.int64)
+            for a, b in slices(at, SET_BYTES):
+                part = row[a:b]
+                take = pa.array(i + part)
+                yield pa.RecordBatch.from_arrays([*own.slice(a, b - a).flatten(), *(batch.column(c).take(take) for c in ("doc", "n", "sig")), pa.array([sets[r] for r in part], pa.binary())], names=["gk", "depth", "tree", "half", "doc", "n", "sig", "shingles"])
 
 
 def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,17 +251,17 @@ def _roots(n: int, a: list[int], b: list[int]) -> list[int]:
     return [top(i) for i in range(n)]
 
 
-def _verify(trees: int, depth: int, threshold: float):
+def _verify(trees: int, threshold: float):
     """Rows doc, links (copies that doc is linked to in this group), root (of its local component)."""
 
     def work(batches):
         for table in whole_groups(batches, "gk", 200):
             at = runs(table.column("gk").to_numpy())
-            keys = _prefixes(table, trees, depth)
-            tree, half, n, doc = (table.column(c).to_numpy() for c in ("tree", "half", "n", "doc"))
+            leaves = _leaves(table, trees)
+            depth, tree, half, n, doc = (table.column(c).to_numpy() for c in ("depth", "tree", "half", "n", "doc"))
             column = table.column("shingles")
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                a, b = _pairs(keys[i:j], int(tree[i]), half[i:j])
+                a, b = _pairs(leaves[i:j], int(tree[i]), half[i:j], int(depth[i]))
                 sets = [np.frombuffer(x, np.uint64) for x in column.slice(i, j - i).to_pylist()]
                 size = np.array([len(s) for s in sets])
                 fits = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
@@ -247,41 +306,85 @@ def components(edges: DataFrame) -> DataFrame:
     return inner.unionByName(inner.select(F.col("class_id").alias("doc"), "class_id").distinct())
 
 
+def _dealt(tries: DataFrame, nodes: DataFrame, depth: int, block: int) -> DataFrame:
+    """Groups (gk) of nodes that share a prefix of this depth in a tree, blocks of large buckets by pairs, with their signatures."""
+    prefix = lambda d: F.shiftrightunsigned("leaf", 8 * (DEPTH - d))
+    placed = tries.filter(F.col("deepest") >= depth).select("doc", "tree", "leaf", F.xxhash64("tree", prefix(depth)).alias("bucket"))
+    full = placed.groupBy("bucket").agg(F.count("*").alias("count"), F.min(prefix(min(depth + 1, DEPTH))).alias("low"), F.max(prefix(min(depth + 1, DEPTH))).alias("high")).filter("count > 1")
+    if depth < DEPTH:  # where all share more, nothing is new
+        full = full.filter("low <> high")
+    placed = placed.join(full.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "bucket")
+    placed = placed.withColumn("b", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = placed.select("doc", "tree", "bucket", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
+    dealt = dealt.select("doc", "tree", F.xxhash64("bucket", F.lit(depth), F.least("b", "c"), F.greatest("b", "c")).alias("gk"), (F.col("b") > F.col("c")).cast("int").alias("half"))
+    return dealt.join(nodes.select("doc", "sig"), "doc").select("gk", "tree", "half", "doc", "sig")
+
+
+def forest(nodes: DataFrame, threshold: float, recall: float, trees: int, block: int) -> tuple[DataFrame, int, float]:
+    """Groups of nodes (doc, sig) with candidate pairs, as rows gk, depth, tree, half, doc; the last depth; and the recall measured there."""
+    floor = depth_for(recall, threshold, trees)
+    leaf = F.expr(f"transform(sequence(0, {trees - 1}), t -> substring(sig, t * {DEPTH} + 1, {DEPTH}))")
+    leaves = nodes.select("doc", F.posexplode(leaf).alias("tree", "leaf"))
+    leaves = leaves.repartition("tree", F.substring("leaf", 1, floor)).sortWithinPartitions("tree", "leaf")
+    tries = cut(leaves.mapInArrow(_tries, "tree int, leaf long, doc long, deepest int"), "tries")
+    found, total, depth, measured = None, np.zeros(2 + DEPTH - floor), DEPTH, 0.0
+    for depth in range(DEPTH, floor - 1, -1):
+        dealt = _dealt(tries, nodes, depth, block).repartition("gk").sortWithinPartitions("gk")
+        near = cut(dealt.mapInArrow(_candidates(trees, depth, floor, threshold), "gk long, tree int, half int, doc long, seen array<double>"), "candidates")
+        sums = near.agg(*[F.coalesce(F.sum(F.get("seen", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(len(total))]).first()
+        total += np.array(sums)
+        near = near.select("gk", F.lit(depth).alias("depth"), "tree", "half", "doc")
+        found = near if found is None else found.unionByName(near)
+        measured = float(total[0] / total[1 + DEPTH - depth]) if total[0] else 0.0
+        if measured >= recall:
+            break
+    return found, depth, measured
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, n_shingles.
+    """One row per row of docs: doc_id, class_id, n_links, n_shingles, first (is it its class' first document?), tie (the text's hash), depth, recall.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; a text's set holds its runs of five words, or all its words if they are
-    fewer. Two documents are linked if their sets' Jaccard similarity is 0.8 or more; class_id is the least doc_id that
-    links lead to, n_links the number of documents linked (equal ones too), n_shingles the text's
-    runs of five words, repeats counted. Texts without words, and null texts, have no
-    links and are a class each. Null ids count as the least id; rows with the same id are the same document.
+    fewer. Two documents are linked if their sets' Jaccard similarity is `threshold` or more, at it exactly too; class_id is the
+    least doc_id that links lead to, n_links the number of documents linked (equal ones too), n_shingles the text's runs
+    of five words, repeats counted. depth is the prefix at which the forest ended, recall what it measured there (0 where it
+    saw no pair).
+
+    Only doc_id and text are read: further columns, whatever their names, play no part. Texts without words, and null
+    texts, have no links and are a class each; texts of any length are compared whole. Null ids come first; rows of one id
+    with different texts are documents of their own, in order of their texts' hashes; identical rows are documents linked to each
+    other, and all first if one is. Empty tables give no rows.
     """
-    depth = depth_for(recall, threshold, trees)
-    rows = whole_texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
-    own = cut(rows.mapInArrow(_sign(trees, depth), "doc long, digest binary, sig binary, size long"), "signatures")
+    rows, repeated = numbered(docs)
+    own = rows.select("doc", "doc_id", text_tie(F.col("text")).alias("tie"), "text").mapInArrow(_sign(trees), "doc long, doc_id long, tie long, digest binary, sig binary, size long")
+    own = cut(own, "signatures")
     nodes = cut(own.filter("size > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.min_by("sig", "doc").alias("sig")), "nodes")
-    prefix = F.expr(f"transform(sequence(0, {trees - 1}), t -> xxhash64(t, substring(sig, t * {depth} + 1, {depth})))")
-    placed = nodes.select("doc", F.posexplode(prefix).alias("tree", "bucket"))
-    full = placed.groupBy("bucket").count().filter("count > 1")
-    placed = placed.join(full, "bucket").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
-    placed = placed.withColumn("b", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = placed.select("doc", "tree", "bucket", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
-    dealt = dealt.select("doc", "tree", F.xxhash64("bucket", F.least("b", "c"), F.greatest("b", "c")).alias("gk"), (F.col("b") > F.col("c")).cast("int").alias("half"))
-    dealt = dealt.join(nodes.select("doc", "n", "sig"), "doc").select("gk", "tree", "half", "doc", "n", "sig")
-    schema = "gk long, tree int, half int, doc long, n long, sig binary"
-    near = dealt.repartition("gk").sortWithinPartitions("gk").mapInArrow(_candidates(trees, depth), schema)
-    groups = near.groupBy("doc").agg(F.collect_list(F.struct("gk", "tree", "half", "n", "sig")).alias("groups"))  # at most trees x blocks
-    near = rows.join(groups.hint("shuffle_hash"), "doc").select("doc", "text", "groups").mapInArrow(_with_sets(), "gk long, tree int, half int, n long, sig binary, doc long, shingles binary")
-    found = near.repartition("gk").sortWithinPartitions("gk").mapInArrow(_verify(trees, depth, threshold), "doc long, links long, root long")
+    near, depth, measured = forest(nodes.select("doc", "sig"), threshold, recall, trees, block)
+    groups = cut(near.groupBy("doc").agg(F.collect_list(F.struct("gk", "depth", "tree", "half")).alias("groups")), "groups")  # at most trees x depths x blocks
+    texts = rows.select("doc", "text")
+    if repeated:
+        texts = texts.dropDuplicates(["doc"])
+    if groups.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(groups.select("doc")), "doc", "left_semi")
+    groups = groups.join(nodes.select("doc", "n", "sig"), "doc")
+    sets = texts.join(groups.hint("shuffle_hash"), "doc").select("doc", "text", "groups", "n", "sig").mapInArrow(_with_sets, "gk long, depth int, tree int, half int, doc long, n long, sig binary, shingles binary")
+    found = sets.repartition("gk").sortWithinPartitions("gk").mapInArrow(_verify(trees, threshold), "doc long, links long, root long")
     found = cut(found, "links")
     links = found.groupBy("doc").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("doc").alias("a"), F.col("root").alias("b")))
     result = nodes.select("digest", "doc", "n").join(links, "doc", "left").join(classes, "doc", "left")
-    result = result.select("digest", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = own.select("doc", "digest", "size").join(result, "digest", "left")
-    null = lambda c: F.expr(f"nullif({c}, {NULL_ID + 1}L - 1L)")
-    return out.select(null("doc").alias("doc_id"), F.coalesce("class_id", "doc").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("size").alias("n_shingles")).select("doc_id", null("c").alias("class_id"), "n_links", "n_shingles")
+    result = result.select("digest", F.coalesce("class_id", "doc").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    out = own.select("doc", "doc_id", "tie", "digest", "size").join(result, "digest", "left").withColumn("class", F.coalesce("class", "doc"))
+    if repeated:  # numbers are not ids
+        ids = own.select(F.col("doc").alias("class"), F.col("doc_id").alias("class_id")).distinct()
+        out = out.join(ids, "class")
+    else:
+        out = out.withColumn("class_id", F.col("class"))
+    return out.select(
+        "doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("size").alias("n_shingles"), (F.col("doc") == F.col("class")).alias("first"), "tie",
+        F.lit(depth).alias("depth"), F.lit(measured).alias("recall"),
+    )
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(read(spark, sf_dir, "documents"))
+    return jaccard_join(read(spark, sf_dir, "documents")).drop("first", "tie")

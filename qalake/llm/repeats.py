@@ -28,12 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, mix, ranges, raw, runs, slices, whole_groups, whole_texts
+from .shared import cut, mix, numbered, ranges, raw, runs, slices, whole_groups
 
 SEGMENT = "h long, s long, doc long, pos long, o int, n int"
 NAMES = ["h", "s", "doc", "pos", "o", "n"]
-#: Null ids are before all others.
-NULL_ID = -(2**63)
 #: Segments of a batch that are compared before they are sent.
 HELD = 300_000
 WHOLE = -1  # o of rows whose windows are known to repeat
@@ -287,9 +285,10 @@ def repeated_windows(docs: DataFrame, anchors: Callable, texts: Callable, equal:
 
 def without_repeats(docs: DataFrame, anchors: Callable, texts: Callable, equal: Callable, across: bool, finish: Callable, schema: str, hot: int = HOT) -> DataFrame:
     """finish(data, offsets, row, pos, n) gives the result columns, after doc_id, as Arrow arrays."""
-    rows = whole_texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
-    spans = repeated_windows(rows, anchors, texts, equal, across, hot)
-    joined = rows.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", F.coalesce("spans", F.array().cast("array<struct<pos:bigint,n:int>>")).alias("spans"))
+    rows, _ = numbered(docs)
+    spans = repeated_windows(rows.select("doc", "text"), anchors, texts, equal, across, hot)
+    joined = rows.join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<pos:bigint,n:int>>")).alias("spans"))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def work(batches):
         for batch in batches:
@@ -302,6 +301,6 @@ def without_repeats(docs: DataFrame, anchors: Callable, texts: Callable, equal:
             for i, j in slices(offsets):
                 k = slice(begin[i], begin[j])
                 out = finish(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], np.repeat(np.arange(j - i), count[i:j]), pos[k], n[k])
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, j - i), *out], names=["doc", *(c.split()[0] for c in schema.split(", "))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *out], names=["doc_id", *names])
 
-    return joined.mapInArrow(work, f"doc long, {schema}").select(F.expr(f"nullif(doc, {NULL_ID + 1}L - 1L)").alias("doc_id"), *(c.split()[0] for c in schema.split(", ")))
+    return joined.mapInArrow(work, f"doc_id long, {schema}")

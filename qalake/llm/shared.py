@@ -36,6 +36,28 @@ def whole_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def text_tie(text: Column) -> Column:
+    """What tells rows of one id apart: a hash of the whole text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc, doc_id, text of docs, and whether ids repeat or are null.
+
+    doc is the id where ids are unique. Otherwise distinct pairs of id and text are numbered in order of the id (null
+    first), then of a hash of the text, so that rows of one id with different texts are documents of their own; identical
+    rows have one number.
+    """
+    rows = whole_texts(docs)
+    if rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text"), False
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    pairs = rows.select("doc_id", text_tie(F.col("text")).alias("tie")).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    pairs = cut(pairs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").alias("own_id"), F.col("tie").alias("own_tie")), "numbers")
+    same = rows["doc_id"].eqNullSafe(pairs["own_id"]) & (text_tie(rows["text"]) == pairs["own_tie"])
+    return rows.join(pairs, same).select("doc", "doc_id", "text"), True
+
+
 def fold_in(label: Column, modulus: int, rest: int) -> Column:
     """crc32 of the id's decimal text, modulo modulus, is rest (null ids: of the empty text)."""
     return F.crc32(F.encode(F.coalesce(label.cast("string"), F.lit("")), "UTF-8")) % modulus == rest

@@ -205,9 +205,11 @@ def finish(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, pos: np.ndarr
 def substring_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space).
 
-    Removed is each word covered by 50 consecutive words that also begin in a document with a smaller doc_id. Null texts
-    have no words; texts under 50 words keep all; repeats within a document stay. Null ids come before all others; rows
-    with the same id are the same document, and what is found in one holds for all.
+    Removed is each word covered by 50 consecutive words that also begin in a document with a smaller doc_id. Only doc_id
+    and text are read: further columns, whatever their names, play no part. Null texts have no words; texts under 50 words
+    keep all; texts of any length are treated whole; repeats within a document stay. Null ids come before all others.
+    Rows of one id with different texts are documents of their own, in order of their texts' hashes; identical rows are
+    one document, do not repeat each other, and get equal results. Empty tables give no rows.
     """
     return without_repeats(docs, anchors, texts, equal, True, finish, "n_words long, n_removed long, kept_sha256 string", hot)
 

@@ -163,8 +163,10 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (lower-case hex of what remains).
 
     Removed is each byte covered by a string of 100 bytes that also begins earlier: in a smaller doc_id, or earlier in
-    the same document. Null texts are empty; texts under 100 bytes keep all. Null ids come before all others. Rows with
-    the same id are the same document: equal ones don't repeat each other, and what is found in one holds for all.
+    the same document. Only doc_id and text are read: further columns, whatever their names, play no part. Null texts are
+    empty; texts under 100 bytes keep all; texts of any length are treated whole. Null ids come before all others. Rows of
+    one id with different texts are documents of their own, in order of their texts' hashes; identical rows are one
+    document, do not repeat each other, and get equal results. Empty tables give no rows.
     """
     return without_repeats(docs, anchors, texts, equal, False, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", hot)
 

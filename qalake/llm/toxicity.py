@@ -42,7 +42,7 @@ CALIBRATION_ROWS = 20_000
 #: Labels that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: Bytes of text whose counts a task reduces at once.
-COUNTED_BYTES = 2 << 20
+COUNTED_BYTES = 1 << 20
 #: Terms that are sent to all tasks, at most; the rest are joined.
 HOT_TERMS = 5_000_000
 #: Words' sums above and below these are summed by themselves.
