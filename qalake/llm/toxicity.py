@@ -374,7 +374,7 @@ class Model:
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression of y on x, by Newton steps with a weak pull to 0."""
         if not len(x) or y.min() == y.max():
-            base = (y.sum() + 0.5) / (len(y) + 1)
+            base = (y.sum() + 0.5) / (len(y) + 2)
             self.b = float(np.log(base / (1 - base)))
             return
         mean, scale = x.mean(0), x.std(0)
@@ -417,7 +417,8 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     Only doc_id and text are read: further columns, whatever their names, play no part. Null texts, empty ones and texts
     without words have no evidence and get the score that the calibration gives to none. Texts of any length are read
     whole. Repeated rows and equal texts get equal scores, and a score of exactly THRESHOLD is predicted 1. Empty tables
-    give no rows; without labels, or with those of one class only, all texts get that class's share as their score.
+    give no rows; with labels of one class only, all texts get about that class's share as their score, and 0.25, which is
+    not toxic, without any.
     """
     if model.complete:
         hot, weights, b = model.hot, model.weights, model.b

@@ -86,3 +86,29 @@ def test_run_gives_what_the_stages_give_and_reruns_agree(spark, tmp_path):
     corpus(spark, folder)
     first, second = (sorted(map(str, corpus_pipeline.run(spark, folder).collect())) for _ in range(2))
     assert first == second and first
+
+
+def test_stages_keep_one_of_repeated_rows_and_each_text_of_an_id(spark, tmp_path):
+    """Three identical rows, an id with two texts, null ids and texts, clashing columns, empty tables."""
+    folder = f"file://{tmp_path}/data"
+    spark.createDataFrame([(7000, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    rng = random.Random(5)
+    spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, c), (3, c), (None, b), (None, None), (4, ""), (5, None), (2**62, "w " * 60_000)]
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 as tie", "2 as rows", "3 as chosen_tie", "4 as class_id", "5 as key", "6 as size", "7 as tie0")
+    result = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, folder)
+        assert stage(spark, docs.limit(0), folder).count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == docs.columns
+        result[name] = sorted((str(r.doc_id), (r.text or "")[:9]) for r in got.collect())
+    every = sorted((str(d), (t or "")[:9]) for d, t in rows)
+    assert result["toxicity"] == result["benchmark decontamination"] == every
+    once = lambda pairs: sorted((str(d), (t or "")[:9]) for d, t in pairs)
+    assert result["exact dedup"] == once([(1, a), (2, b), (3, c), (5, None), (2**62, "w w w w w")])
+    assert result["n-gram Jaccard join"] == once([(None, b), (1, a), (2, c), (None, None), (4, ""), (5, None), (2**62, "w w w w w")])
+    mixed = result["mixing sources to target weights"]
+    assert len(mixed) == len(set(mixed)) and ("1", a[:9]) in mixed and set(mixed) <= set(every)
