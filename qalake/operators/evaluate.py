@@ -32,14 +32,21 @@ def merge_runs(earlier: DataFrame, new: DataFrame, resume_at: int) -> DataFrame:
 
 
 def latency_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Nearest-rank percentiles, sorted[int(n * p)]: two rows of an ordered window are picked, and no list is built."""
-    w = W.partitionBy(*keys).orderBy(value)
-    ranked = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(W.partitionBy(*keys)).alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.col("v")))
+    """Nearest-rank percentiles, sorted[int(n * p)], and moments, of counts by value: equal values meet before they are shuffled.
+
+    What is ordered is a key's distinct values, not its rows.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    w = W.partitionBy(*keys).orderBy("v")
+    ranked = counts.withColumn("after", F.sum("c").over(w)).withColumn("n", F.sum("c").over(W.partitionBy(*keys)))
+    at = lambda p: F.min(F.when(F.col("after") > F.floor(F.col("n") * p), F.col("v")))
     r = lambda c, name: F.round(c, 4).alias(name)
+    total, mean = F.sum("c"), F.sum(F.col("v") * F.col("c")) / F.sum("c")
+    spread = F.sum(F.col("v") * F.col("v") * F.col("c")) - F.sum(F.col("v") * F.col("c")) * mean
     return ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), r(F.avg("v"), "mean"), r(F.expr("percentile(v, 0.5)"), "median"), r(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), "std"), r(F.min("v"), "min"), r(F.max("v"), "max"), r(at(0.95), "p95"), r(at(0.99), "p99")
-    )
+        total.alias("n"), r(mean, "mean"), r(F.expr("percentile(v, 0.5, c)"), "median"), r(F.when(total > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (total - 1))).otherwise(0.0), "std"),
+        r(F.min("v"), "min"), r(F.max("v"), "max"), r(at(0.95), "p95"), r(at(0.99), "p99"),
+    )
 
 
 def throughput(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -99,11 +99,23 @@ def similar_by_topic(asked: DataFrame, edges: DataFrame, originals: DataFrame, n
 
 
 def similar_by_entity(asked: DataFrame, edges: DataFrame, originals: DataFrame, n: int = 5) -> DataFrame:
-    """qid, id, matches, rank: originals by the number of entities shared, then the newest. edges: qid, entity_id."""
-    own = edges.join(originals, edges.qid == originals.id).select("entity_id", "id", "ts")
-    pairs = asked.select("qid").join(edges, "qid").join(own, "entity_id").filter("id <> qid")
-    counted = pairs.groupBy("qid", "id", "ts").agg(F.count("*").alias("matches"))  # an edge is there once
-    return _newest(counted, [F.desc("matches"), F.desc("ts"), F.desc("id")], n).select("qid", "id", "matches", "rank")
+    """qid, id, matches, rank: originals by the number of entities shared, then the newest. edges: qid, entity_id.
+
+    Who matches how often depends on the set of entities alone. So sets are matched, not rows: of the originals with equal
+    sets only the n + 1 newest can be among a question's n best (one may be the question itself), and questions with equal sets
+    are matched once. However many rows hold an entity, they meet as so many sets.
+    """
+    sets = edges.groupBy("qid").agg(F.array_sort(F.collect_set("entity_id")).alias("entities")).withColumn("set", F.sha2(F.to_json(F.struct("entities")), 256))
+    own = originals.join(sets, originals.id == sets.qid).select("set", "id", "ts")
+    w = W.partitionBy("set").orderBy(F.desc("ts"), F.desc("id"))
+    newest = own.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n + 1).drop("place")
+    questions = asked.select("qid").join(sets.select("qid", "set"), "qid")
+    held = sets.select("set", "entities").dropDuplicates(["set"]).select("set", F.explode("entities").alias("entity_id"))
+    left = held.join(questions.select("set").distinct(), "set", "left_semi").withColumnRenamed("set", "asked_set")
+    pairs = left.join(held.join(newest.select("set").distinct(), "set", "left_semi"), "entity_id").groupBy("asked_set", "set").agg(F.count("*").alias("matches"))
+    best = _newest(pairs.join(newest, "set").withColumnRenamed("asked_set", "qid"), [F.desc("matches"), F.desc("ts"), F.desc("id")], n + 1).withColumnRenamed("qid", "asked_set")
+    found = questions.join(best.select("asked_set", "id", "ts", "matches"), questions["set"] == best["asked_set"]).filter("id <> qid").select("qid", "id", "ts", "matches")
+    return _newest(found, [F.desc("matches"), F.desc("ts"), F.desc("id")], n).select("qid", "id", "matches", "rank")
 
 
 def similar_by_both(topic_edges: DataFrame, entity_edges: DataFrame, events: DataFrame, topic_id: int, entity_id) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,8 +16,8 @@ from qalake.functions.rules import contains_any
 from qalake.functions.text import cosine, unit
 
 TOP_K, MIN_SCORE, WEAK, REFUSE = 7, 0.45, 0.55, 0.45
-#: Question vectors that are sent to every task; more are dealt out in blocks, as the vectors are.
-BROADCAST_QUESTIONS, BLOCK_QUESTIONS, BLOCK_VECTORS = 20_000, 4_000, 100_000
+#: Bytes of questions that are sent to all tasks, and of a block of questions or vectors; pairs of STEP questions and vectors are scored at once.
+BROADCAST_BYTES, BLOCK_BYTES, STEP = 64 << 20, 32 << 20, 1000
 
 
 def embedding_text(topic: Column, code: Column, content: Column) -> Column:
@@ -27,11 +29,19 @@ def row_hash(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]), 256)
 
 
-def corpus_hash(rows: DataFrame, key: str, text: str, parts: int = 256) -> DataFrame:
-    """16 hex digits that change with any row and with none's order: row hashes are hashed by part, the parts' by number."""
-    h = rows.select(row_hash(F.col(key), F.col(text)).alias("h")).withColumn("part", F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % parts)
-    part = h.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return part.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256), 1, 16).alias("corpus_hash"))
+#: Hex digits of a row's hash that are one summand, and how many a row has.
+LIMB, LIMBS = 12, 5
+
+
+def corpus_hash(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """16 hex digits that change with any row and with none's order: sums of the row hashes' parts, and the number of rows.
+
+    Sums are taken map-side, so that a few numbers a task are shuffled, whatever the corpus.
+    """
+    h = rows.select(row_hash(F.col(key), F.col(text)).alias("h"))
+    part = lambda i: F.conv(F.substring("h", 1 + LIMB * i, LIMB), 16, 10).cast("decimal(15,0)")
+    sums = h.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(part(i)), F.lit(0).cast("decimal(25,0)")).alias(f"s{i}") for i in range(LIMBS)])
+    return sums.select(F.substring(F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(LIMBS)]), 256), 1, 16).alias("corpus_hash"))
 
 
 def embedding_backlog(documents: DataFrame, stored: DataFrame) -> DataFrame:
@@ -40,26 +50,31 @@ def embedding_backlog(documents: DataFrame, stored: DataFrame) -> DataFrame:
     return now.join(stored, ["id", "text_hash"], "left_anti")
 
 
-def embed_batches(texts: DataFrame, max_rows: int = 100, max_tokens: int = 8000, parts: int = 32) -> DataFrame:
+def embed_batches(texts: DataFrame, max_rows: int = 100, max_tokens: int = 8000, part_rows: int = 50_000) -> DataFrame:
     """text_hash, part, batch: distinct texts in batches of bounded rows and tokens.
 
-    Texts are dealt to parts by hash, and a part numbers its own: batches come from running sums within a part, so that no
-    task orders all texts. Texts are cut to the budget by the caller's encoder; one above it is a batch of its own.
+    Ranges of hashes are parts, as many as the counted texts need for about part_rows each; a part's texts are read in order of
+    their hashes, and a batch ends where the next text would exceed a bound. A task holds an Arrow batch and where the
+    last batch began. Texts are cut to the budget by the caller's encoder; one above it is a batch of its own.
     """
     t = texts.select(F.lower("text").alias("text")).distinct().select(F.sha2("text", 256).alias("text_hash"), F.least(F.floor(F.length("text") / 4) + 1, F.lit(max_tokens)).cast("long").alias("tokens"))
-    t = t.withColumn("part", F.pmod(F.xxhash64("text_hash"), F.lit(parts)).cast("int"))
-    items = t.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("text_hash", "tokens"))).alias("items"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("tokens"), F.expr("cast(array() as array<struct<text_hash:string,batch:int>>)").alias("out"))
+    parts = max(1, -(-t.count() // part_rows))
+    t = t.withColumn("part", F.floor(F.conv(F.substring("text_hash", 1, 8), 16, 10).cast("long") * parts / 4294967296).cast("int"))
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["rows"] > 0) & ((s["rows"] >= max_rows) | (s["tokens"] + x["tokens"] > max_tokens))
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(full, 1).otherwise(s["rows"] + 1).alias("rows"), F.when(full, x["tokens"]).otherwise(s["tokens"] + x["tokens"]).alias("tokens"),
-            F.concat(s["out"], F.array(F.struct(x["text_hash"].alias("text_hash"), batch.alias("batch")))).alias("out"),
-        )
+    def work(batches):
+        last, batch, rows, tokens = None, 0, 0, 0
+        for table in batches:
+            out = []
+            for part, more in zip(table.column("part").to_pylist(), table.column("tokens").to_pylist(), strict=True):
+                if part != last:
+                    last, batch, rows, tokens = part, 0, 0, 0
+                elif rows >= max_rows or tokens + more > max_tokens:
+                    batch, rows, tokens = batch + 1, 0, 0
+                rows, tokens = rows + 1, tokens + more
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([table.column("text_hash"), table.column("part"), pa.array(out, pa.int32())], names=["text_hash", "part", "batch"])
 
-    return items.select("part", F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("x")).select("x.text_hash", "part", "x.batch")
+    return t.repartition("part").sortWithinPartitions("part", "text_hash").mapInArrow(work, "text_hash string, part int, batch int")
 
 
 def embed(batches: DataFrame, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:
@@ -81,22 +96,53 @@ def cosine_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.alias("a").join(b.alias("b"), keys).select(*keys, cosine(F.col("a.embedding"), F.col("b.embedding")).alias("score"))
 
 
-def _matrix(column: pd.Series, size: int) -> np.ndarray:
-    m = np.stack([np.asarray(v, np.float64) if v is not None and len(v) == size else np.zeros(size) for v in column]) if len(column) else np.zeros((0, size))
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-
-def _best(ids, scores: np.ndarray, q_ids, k: int, floor: float):
-    """The k best of a block for each question, equal scores by id."""
-    out = []
-    for i, q in enumerate(q_ids):
-        hit = np.flatnonzero(scores[i] >= floor)
-        if len(hit) > k:
-            edge = np.partition(scores[i][hit], len(hit) - k)[len(hit) - k]
-            hit = hit[scores[i][hit] >= edge]
-        out += [(q, ids[j], float(scores[i][j])) for j in hit]
-    return out
+def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    """Unit vectors as rows; zeros for those that are null, of another length, or zero."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    m = np.zeros((len(column), size))
+    fits = length == size
+    if fits.any():
+        m[fits] = np.nan_to_num(column.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size))
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+class Nearest:
+    """The k best vectors seen so far of each question, equal scores by id. Scores are made for STEP x STEP pairs at once."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, floor: float, digits: int, skip_self: bool):
+        self.ids, self.matrix, self.k, self.floor, self.digits, self.skip_self = ids, matrix, k, floor, digits, skip_self
+        self.best = np.full((len(ids), k), -np.inf)
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def see(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        for i in range(0, len(self.ids), STEP):
+            rows = slice(i, i + STEP)
+            for j in range(0, len(ids), STEP):
+                self._merge(rows, ids[j : j + STEP], matrix[j : j + STEP])
+
+    def _merge(self, rows: slice, ids: np.ndarray, matrix: np.ndarray) -> None:
+        scores = np.round(self.matrix[rows] @ matrix.T, self.digits)
+        scores[scores < self.floor] = -np.inf
+        if self.skip_self:
+            scores[self.ids[rows, None] == ids[None, :]] = -np.inf
+        scores = np.concatenate([self.best[rows], scores], axis=1)
+        edge = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k][:, None]
+        at, column = np.nonzero((scores >= edge) & np.isfinite(scores))
+        found = np.concatenate([self.found[rows], np.broadcast_to(ids, (len(scores), len(ids)))], axis=1)[at, column]
+        value = scores[at, column]
+        order = np.lexsort((found, -value, at))
+        at, found, value = at[order], found[order], value[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = place < self.k
+        best, own = self.best[rows], self.found[rows]
+        best[:], own[:] = -np.inf, np.iinfo(np.int64).max
+        best[at[keep], place[keep]], own[at[keep], place[keep]] = value[keep], found[keep]
+
+    def rows(self) -> pa.RecordBatch:
+        at, place = np.nonzero(np.isfinite(self.best))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[at]), pa.array(self.found[at, place]), pa.array(self.best[at, place])], names=["qid", "id", "score"])
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
@@ -104,63 +150,113 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn_topk(questions: DataFrame, vectors: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE, digits: int = 6, broadcast_questions: int = BROADCAST_QUESTIONS) -> DataFrame:
+FOUND = "qid long, id long, score double"
+
+
+def _met(k: int, floor: float, digits: int, skip_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a block of questions and one of vectors: the k best of each question."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        size = pc.max(pc.list_value_length(left.column("embedding"))).as_py() or 1 if left.num_rows else 1
+        own = Nearest(left.column("qid").to_numpy(), _matrix(left.column("embedding"), size), k, floor, digits, skip_self)
+        own.see(right.column("id").to_numpy(), _matrix(right.column("embedding"), size))
+        return pa.Table.from_batches([own.rows()])
+
+    return meet
+
+
+def _size(vectors: DataFrame) -> int:
+    """Dimensions of the first vector."""
+    first = vectors.filter("embedding is not null").select(F.size("embedding")).first()
+    return max(first[0], 1) if first else 1
+
+
+def knn_topk(
+    questions: DataFrame, vectors: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE, digits: int = 6, skip_self: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """qid, id, score, rank: for each question (qid, embedding) the k nearest vectors (id, embedding) by cosine.
 
-    A counted number of questions (up to BROADCAST_QUESTIONS) goes to every task as one matrix; a task multiplies it with
-    batches of its vectors and keeps k for each question, so that what is shuffled is k rows for each batch and question.
-    More questions never meet in one place: both sides are dealt into blocks, and each pair of blocks is multiplied by a
-    task of its own.
+    Questions of up to broadcast_bytes (counted before) go to every task as one matrix. A task keeps the k best of each question
+    while it reads its vectors, and makes at most STEP x STEP scores at once; what is shuffled is k rows for each question
+    and task. More questions never meet in one place: both sides are dealt into blocks of about block_bytes, and each pair
+    of blocks is multiplied by a task of its own. skip_self: a vector with the question's id is no neighbour.
     """
     spark = questions.sparkSession
     vectors = vectors.select(F.col("id").cast("long").alias("id"), "embedding")
     questions = questions.select(F.col("qid").cast("long").alias("qid"), "embedding")
-    n = questions.count()
-    schema = "qid long, id long, score double"
-
-    def block(q_ids, q: np.ndarray, frame: pd.DataFrame) -> pd.DataFrame:
-        scores = np.round(q @ _matrix(frame.embedding, q.shape[1]).T, digits)
-        best = _best(frame.id.tolist(), scores, q_ids, k, min_score)
-        return pd.DataFrame(best, columns=["qid", "id", "score"]).astype({"qid": "int64", "id": "int64", "score": "float64"})
-
-    if n <= broadcast_questions:
-        own = questions.toPandas()
-        size = max((len(v) for v in own.embedding if v is not None), default=1)
-        shared = spark.sparkContext.broadcast((own.qid.tolist(), _matrix(own.embedding, size)))
-        found = vectors.mapInPandas(lambda frames: (block(*shared.value, f) for f in frames), schema)
-    else:
-        parts = -(-n // BLOCK_QUESTIONS)
-        others = max(1, -(-vectors.count() // BLOCK_VECTORS))
-        q = questions.withColumn("a", F.pmod(F.xxhash64("qid"), F.lit(parts))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-        v = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(others)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            size = max((len(x) for x in left.embedding if x is not None), default=1)
-            return block(left.qid.tolist(), _matrix(left.embedding, size), right)
-
-        found = q.groupBy("a", "b").cogroup(v.groupBy("a", "b")).applyInPandas(meet, schema)
-    return _rank(found, k)
-
-
-def knn_approx(questions: DataFrame, vectors: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE, tables: int = 12, bits: int = 8, seed: int = 5) -> DataFrame:
-    """The same by random hyperplanes: candidates share the signs of `bits` projections in one of `tables`; cosines are exact."""
-    size = questions.select(F.size("embedding")).first()
+    n, size = questions.count(), _size(questions)
+    if n * size * 8 <= broadcast_bytes:
+        own = questions.toArrow()
+        shared = spark.sparkContext.broadcast((own.column("qid").to_numpy(), _matrix(own.column("embedding"), size)))
+
+        def work(batches):
+            ids, matrix = shared.value
+            nearest = Nearest(ids, matrix, k, min_score, digits, skip_self)
+            for batch in batches:
+                nearest.see(batch.column("id").to_numpy(), _matrix(batch.column("embedding"), size))
+            yield nearest.rows()
+
+        return _rank(vectors.mapInArrow(work, FOUND), k)
+    rows = max(1, block_bytes // (size * 8))
+    parts, others = -(-n // rows), max(1, -(-vectors.count() // rows))
+    q = questions.withColumn("a", F.pmod(F.xxhash64("qid"), F.lit(parts))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    v = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(others)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return _rank(q.groupBy("a", "b").cogroup(v.groupBy("a", "b")).applyInArrow(_met(k, min_score, digits, skip_self), FOUND), k)
+
+
+def centres(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10, seed: int = 5) -> np.ndarray:
+    """Unit vectors in the middle of cells, by rounds of spherical k-means on a bounded sample (the first by a hash of the id)."""
+    own = vectors.filter("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow()
+    m = _matrix(own.column("embedding"), _size(vectors))
+    if not len(m):
+        return np.ones((1, m.shape[1]))
     rng = np.random.default_rng(seed)
-    planes = rng.normal(size=(tables * bits, size[0] if size else 1))
-
-    def signed(frames):
-        for frame in frames:
-            up = _matrix(frame.embedding, planes.shape[1]) @ planes.T > 0
-            keys = [[int(t) << bits | int("".join("1" if x else "0" for x in row[t * bits : (t + 1) * bits]), 2) for t in range(tables)] for row in up]
-            yield pd.DataFrame({"id": frame.id, "embedding": frame.embedding, "keys": keys})
-
-    sign = lambda df: df.mapInPandas(signed, "id long, embedding array<float>, keys array<long>")
-    q = sign(questions.select(F.col("qid").alias("id"), "embedding")).select(F.col("id").alias("qid"), F.explode("keys").alias("key"))
-    v = sign(vectors.select("id", "embedding")).select("id", F.explode("keys").alias("key"))
-    pairs = q.join(v, "key").select("qid", "id").distinct()
-    pairs = pairs.join(questions.select("qid", F.col("embedding").alias("a")), "qid").join(vectors.select("id", F.col("embedding").alias("b")), "id")
-    found = pairs.select("qid", "id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("score")).filter(F.col("score") >= min_score)
-    return _rank(found, k)
+    middle = m[rng.choice(len(m), min(cells, len(m)), replace=False)]
+    for _ in range(rounds):
+        cell = np.argmax(m @ middle.T, axis=1)
+        sums = np.zeros_like(middle)
+        np.add.at(sums, cell, m)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        middle = np.where(norm > 0, sums / np.maximum(norm, 1e-12), middle)
+    return middle
+
+
+def knn_approx(
+    questions: DataFrame, vectors: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE, cells: int = 64, probes: int = 32, skip_self: bool = False, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """The same by an inverted file: each vector is in the cell of its nearest centre, and a question meets the vectors of its `probes` nearest cells.
+
+    Centres are fitted on a bounded sample; all vectors are indexed. Cells larger than a block are dealt to several tasks, and
+    so are a cell's questions. What a task holds is bounded as in knn_topk; cosines are exact.
+    """
+    questions = questions.select(F.col("qid").cast("long").alias("qid"), "embedding")
+    vectors = vectors.select(F.col("id").cast("long").alias("id"), "embedding")
+    middle = centres(vectors, cells)
+    size = middle.shape[1]
+    rows = max(1, block_bytes // (size * 8))
+
+    def nearest(n: int, key: str):
+        def work(batches):
+            for batch in batches:
+                near = _matrix(batch.column("embedding"), size) @ middle.T
+                order = np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("embedding"), lists], names=[key, "embedding", "cells"])
+
+        return work
+
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = vectors.mapInArrow(nearest(1, "id"), f"id long, embedding {kind}, cells array<int>").withColumn("cell", F.get("cells", F.lit(0)))
+    kind = questions.schema["embedding"].dataType.simpleString()
+    q = questions.mapInArrow(nearest(min(probes, len(middle)), "qid"), f"qid long, embedding {kind}, cells array<int>").withColumn("cell", F.explode("cells"))
+    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    shape = blocks(v, "others").join(blocks(q, "parts"), "cell")  # a row for each cell
+    deal = lambda df, key, own, name: df.withColumn(name, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+    spread = lambda df, other, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    q = spread(deal(q.join(F.broadcast(shape), "cell"), "qid", "parts", "a"), "others", "b").select("cell", "a", "b", "qid", "embedding")
+    v = spread(deal(v.join(F.broadcast(shape), "cell"), "id", "others", "b"), "parts", "a").select("cell", "a", "b", "id", "embedding")
+    return _rank(q.groupBy("cell", "a", "b").cogroup(v.groupBy("cell", "a", "b")).applyInArrow(_met(k, min_score, 6, skip_self), FOUND), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -235,9 +331,9 @@ def term_search(chunks: DataFrame, terms: list[str], samples: int = 5) -> DataFr
     return found.groupBy("term").agg(F.count("*").alias("n")).join(sample, "term")
 
 
-def retrieval_probe(questions: DataFrame, vectors: DataFrame, k: int = 10, floor: float = 0.3) -> DataFrame:
+def retrieval_probe(questions: DataFrame, vectors: DataFrame, k: int = 10, floor: float = 0.3, skip_self: bool = False) -> DataFrame:
     """Neighbours with labels against what was expected (expected in questions, label in vectors)."""
-    found = knn_topk(questions, vectors, k, floor)
+    found = knn_topk(questions, vectors, k, floor, skip_self=skip_self)
     return found.join(questions.select("qid", "expected"), "qid").join(vectors.select("id", "label"), "id").select("qid", "rank", "id", "score", "expected", "label", (F.col("label") == F.col("expected")).alias("hit"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qalake.functions.text import query_hash
@@ -14,24 +16,28 @@ from .retrieval import knn_topk
 THRESHOLD, TTL_HOURS, MOST = 0.92, 24, 1000
 
 
-def exact_reuse(questions: DataFrame, answers: DataFrame) -> DataFrame:
+def exact_reuse(questions: DataFrame, answers: DataFrame, hours: int = 6) -> DataFrame:
     """qid, answer_id: the latest answer with the question's hash that was there and had not expired when it was asked.
 
-    An as-of join: equality on the hash, a range on time, and the latest by an aggregate. An answer that expires at that
-    moment has expired.
+    An as-of join: equality on the hash and on a stretch of so many hours (an answer is in each that it is valid in), a range on
+    time, and the latest by an aggregate. So a question that is asked all the time meets the answers of its own hours,
+    and its hash is as many keys as there are stretches. An answer that expires at that moment has expired.
     """
-    q = questions.select("qid", "ts", query_hash(F.col("question")).alias("query_hash"))
-    a = answers.select("query_hash", "answer_id", "created_at", "expires_at")
-    hits = q.join(a, "query_hash").filter((F.col("created_at") <= F.col("ts")) & (F.col("ts") < F.col("expires_at")))
+    width = hours * 3_600_000_000
+    stretch = lambda at: F.floor(at / width).cast("long")
+    q = questions.select("qid", "ts", query_hash(F.col("question")).alias("query_hash"), stretch(micros("ts")).alias("stretch"))
+    a = answers.filter(F.col("created_at") < F.col("expires_at")).select("query_hash", "answer_id", "created_at", "expires_at")
+    a = a.withColumn("stretch", F.explode(F.sequence(stretch(micros("created_at")), stretch(micros("expires_at") - 1))))
+    hits = q.join(a, ["query_hash", "stretch"]).filter((F.col("created_at") <= F.col("ts")) & (F.col("ts") < F.col("expires_at")))
     return hits.groupBy("qid").agg(F.max_by("answer_id", F.struct("created_at", "answer_id")).alias("answer_id"))
 
 
-def semantic_reuse(questions: DataFrame, answers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def semantic_reuse(questions: DataFrame, answers: DataFrame, threshold: float = THRESHOLD, skip_self: bool = False) -> DataFrame:
     """qid, answer_id, similarity: the nearest unexpired answer (answer_id, embedding), the first of equal ones.
 
     Callers give the answers that are valid at the run's time (`valid_at`).
     """
-    found = knn_topk(questions.select("qid", "embedding"), answers.select(F.col("answer_id").alias("id"), "embedding"), 1, threshold)
+    found = knn_topk(questions.select("qid", "embedding"), answers.select(F.col("answer_id").alias("id"), "embedding"), 1, threshold, skip_self=skip_self)
     return found.select("qid", F.col("id").alias("answer_id"), F.col("score").alias("similarity"))
 
 
@@ -102,17 +108,28 @@ def reuse_metrics(resolved: DataFrame) -> DataFrame:
 def ttl_dedup(questions: DataFrame, hours: int = TTL_HOURS) -> DataFrame:
     """Rows (key, qid, ts) with kept: the first of a key opens a window of fixed length; those in it are repeats.
 
-    A window's begin depends on the one before, so that a fold over each key's sorted times decides; the stream
-    form keeps one time for each key instead (streaming.stateful).
+    A window's begin depends on the one before, so that a key's rows are read in order of time, once, by one task, which
+    remembers the key and when its window began: no list of a key's rows is made, however many it has.
     """
-    at = micros("ts")
-    lists = questions.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), "qid"))).alias("items"))
+    rows = questions.select("key", F.col("qid").cast("long").alias("qid"), micros("ts").alias("t"))
     span = hours * 3_600_000_000
-    start = F.struct(F.lit(None).cast("long").alias("open"), F.expr("cast(array() as array<struct<qid:bigint,kept:boolean>>)").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = s["open"].isNull() | (x["t"] >= s["open"] + span)
-        return F.struct(F.when(new, x["t"]).otherwise(s["open"]).alias("open"), F.concat(s["out"], F.array(F.struct(x["qid"].cast("long").alias("qid"), new.alias("kept")))).alias("out"))
-
-    return lists.select("key", F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("x")).select("key", "x.qid", "x.kept")
 
+    def work(batches):
+        last, opened = None, 0
+        for batch in batches:
+            t = batch.column("t").to_numpy()
+            own = pa.chunked_array([batch.column("key")]).dictionary_encode().combine_chunks()
+            code = own.indices.fill_null(-1).to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(t) else np.zeros(0, np.int64)
+            kept = np.zeros(len(t), bool)
+            for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(t)], strict=True):
+                key = (batch.column("key")[i].as_py(),)
+                at = i if key != last else i + int(np.searchsorted(t[i:j], opened + span))
+                last = key
+                while at < j:  # a step for each window
+                    kept[at], opened = True, int(t[at])
+                    at = i + int(np.searchsorted(t[i:j], opened + span))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("qid"), pa.array(kept)], names=["key", "qid", "kept"])
+
+    kind = questions.schema["key"].dataType.simpleString()
+    return rows.repartition("key").sortWithinPartitions("key", "t", "qid").mapInArrow(work, f"key {kind}, qid long, kept boolean")

@@ -15,7 +15,7 @@ STOP_WORDS = (
 ).split()
 VERIFIED, SUSPICIOUS_RATE, REVIEW = 0.3, 0.3, 0.7
 CODE = r"\b(7\d{3})\b"
-PERCENT, DURATION, MONEY = r"\b(\d+)(?:%| percent)", r"(?i)\b(\d+)\s*(?:days?|months?|years?)\b", r"\$\s*(\d+(?:,\d{3})*(?:\.\d{2})?)"
+PERCENT, DURATION, MONEY = r"\b(\d+)(?:%|\s*percent)", r"(?i)\b(\d+)\s*(?:days?|months?|years?)\b", r"\$\s*(\d+(?:,\d{3})*(?:\.\d{2})?)"
 EMPTY = "cast(array() as array<string>)"
 
 

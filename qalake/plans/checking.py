@@ -46,7 +46,7 @@ VERIFIED = f"""select qid, total, verified, beyond_chunks, total - verified as s
   from ({ANSWERS}) a left join ({CHECKED}) c on c.qid = a.qid group by 1) t"""
 query("verify_citations", lambda v: V.verify_citations(answers(v), chunks(v)), VERIFIED, "cited retrieved")
 query("verification_summary", lambda v: V.verification_summary(V.verify_citations(answers(v), chunks(v))), f"select count(*) as answers, cast(sum(total) as bigint) as citations, cast(sum(verified) as bigint) as verified, cast(sum(suspicious) as bigint) as suspicious, count(*) filter (where review) as reviews, round(avg(score), 4) as mean_score from ({VERIFIED}) v", "cited retrieved")
-FIG = r"list_distinct(regexp_extract_all(lower({0}), '\b(\d+)(?:%| percent)', 1)) as p, list_distinct(regexp_extract_all({0}, '\b(7\d{{3}})\b', 1)) as c, list_distinct(list_concat(regexp_extract_all({0}, '(?i)\b(\d+)\s*(?:days?|months?|years?)\b', 1), regexp_extract_all({0}, '\$\s*(\d+(?:,\d{{3}})*(?:\.\d{{2}})?)', 1))) as s"
+FIG = r"list_distinct(regexp_extract_all(lower({0}), '\b(\d+)(?:%|\s*percent)', 1)) as p, list_distinct(regexp_extract_all({0}, '\b(7\d{{3}})\b', 1)) as c, list_distinct(list_concat(regexp_extract_all({0}, '(?i)\b(\d+)\s*(?:days?|months?|years?)\b', 1), regexp_extract_all({0}, '\$\s*(\d+(?:,\d{{3}})*(?:\.\d{{2}})?)', 1))) as s"
 LESS = "array_to_string(list_sort(list_filter(a.{0}, lambda x: not list_contains(k.{0}, x))), ',')"
 NUMBERS = f"""select qid, percents, codes, specifics, percents = '' and codes = '' and specifics = '' as is_clean from (select a.qid, {LESS.format('p')} as percents, {LESS.format('c')} as codes, {LESS.format('s')} as specifics
   from (select qid, {FIG.format('answer')} from ({ANSWERS}) z) a join (select qid, flatten(list(p)) as p, flatten(list(c)) as c, flatten(list(s)) as s from (select qid, {FIG.format('text')} from ({CHUNKS}) y) x group by 1) k on k.qid = a.qid) t"""
@@ -89,7 +89,7 @@ select type, count(*) as n, round(avg(v), 4) as mean, round(quantile_cont(v, 0.5
 query("throughput", lambda v: E.throughput(v.ev, ["type"], "ts", "ts"), "select type, count(*) as n, round(count(*) * 1e6::double / (epoch_us(max(ts)) - epoch_us(min(ts))), 6) as per_second from ev group by 1", "ev")
 query(
     "eval_expectation",
-    lambda v: E.eval_expectation(R.retrieval_probe(questions(v), corpus(v), 5, 0.2), 3),
+    lambda v: E.eval_expectation(R.retrieval_probe(questions(v), corpus(v), 5, 0.2, skip_self=True), 3),
     f"""with p as (select qid, rank, q.label = c.label as hit from ({knn(5, 0.2)}) f join embeddings q on q.vec_id = qid join embeddings c on c.vec_id = id),
 g as (select qid, max(case when rank = 1 then cast(hit as int) end) as top, min(case when hit then rank end) as first_at from p group by 1)
 select count(*) as questions, round(avg(coalesce(top, 0)), 4) as top_rate, round(avg(cast(coalesce(first_at, 1000000000) <= 3 as int)), 4) as hit_rate, round(avg(coalesce(1.0::double / first_at, 0)), 4) as mrr from g""",
@@ -185,7 +185,13 @@ query("repeat_flags", lambda v: flags.repeat_flags(dense(v)).select("id", "repea
 query(
     "abuse_reason",
     lambda v: flags.abuse_reason(dense(v), ["10.0.0.0", "60.1.0.1"]).select("id", "reason"),
-    f"select b.id, case when b.ip in ('10.0.0.0', '60.1.0.1') then null when burst then 'burst' when short then 'short' when repeat then 'repeat' end as reason from ({BURSTS}) b join ({SHORTS}) s on s.id = b.id join ({REPEATS}) r on r.id = b.id",
+    f"""with b as ({BURSTS}), s0 as (select *, cast(not burst and length(trim(prompt)) < 5 as int) as s from b),
+s as (select *, s = 1 and sum(s) over (partition by ip order by t, id rows unbounded preceding) > 3 as short from s0),
+k as (select *, not burst and not short as counted from s),
+p as (select id, coalesce(prompt = lag(prompt) over (partition by ip order by t, id), false) as same from k where counted),
+r as (select k.*, cast(coalesce(same, false) as int) as r from k left join p on p.id = k.id),
+f as (select *, r = 1 and sum(r) over (partition by ip order by t range between 599999999 preceding and current row) > 2 as repeat from r)
+select id, case when ip in ('10.0.0.0', '60.1.0.1') then null when burst then 'burst' when short then 'short' when repeat then 'repeat' end as reason from f""",
     "ev",
 )
 query("rate_tier", lambda v: flags.rate_tier(dense(v)).select("id", "in_hour", "limit"), f"select id, n as in_hour, case when n > 20 then 5 when n > 10 then 15 else 250 end as limit from (select id, count(*) over (partition by ip order by t range between 3599999999 preceding and current row) as n from ({DENSE}) d) e", "ev")

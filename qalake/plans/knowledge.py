@@ -127,16 +127,17 @@ query(
 
 
 def asked(v):
-    return v.ev.filter("type = 'chat_question' and id % 5 = 0").select(F.col("id").alias("qid"), "ts", "question")
+    return v.ev.filter("type = 'chat_question'").select(F.col("id").alias("qid"), "ts", "question")
 
 
 def answers(v):
-    rows = v.ev.filter("type = 'chat_question' and id % 3 = 0").select(F.col("id").alias("answer_id"), query_hash(F.col("question")).alias("query_hash"), F.col("ts").alias("created_at"), "k")
+    """Each question's answer, stored a second after it was asked."""
+    rows = v.ev.filter("type = 'chat_question'").select(F.col("id").alias("answer_id"), query_hash(F.col("question")).alias("query_hash"), (F.col("ts") + F.expr("interval 1 second")).alias("created_at"), "k")
     return rows.withColumn("expires_at", F.col("created_at") + F.expr("interval 6 hours")).withColumn("hit_count", F.col("k") % 4).withColumn("last_hit_at", F.lit(None).cast("timestamp"))
 
 
-ASKED = "select id as qid, ts, question from ev where type = 'chat_question' and id % 5 = 0"
-ANSWERS = "select id as answer_id, question, ts as created_at, ts + interval 6 hours as expires_at, k % 4 as hit_count from ev where type = 'chat_question' and id % 3 = 0"
+ASKED = "select id as qid, ts, question from ev where type = 'chat_question'"
+ANSWERS = "select id as answer_id, question, ts + interval 1 second as created_at, ts + interval 1 second + interval 6 hours as expires_at, k % 4 as hit_count from ev where type = 'chat_question'"
 FMT = "'%Y-%m-%d %H:%M:%S'"
 stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 query(
@@ -145,21 +146,21 @@ query(
     f"select qid, answer_id from ({ASKED}) q join ({ANSWERS}) a on a.question = q.question and created_at <= ts and ts < expires_at qualify row_number() over (partition by qid order by created_at desc, answer_id desc) = 1",
     "ev",
 )
-query("semantic_reuse", lambda v: U.semantic_reuse(questions(v), corpus(v).withColumnRenamed("id", "answer_id"), 0.42), f"select qid, id as answer_id, score as similarity from ({knn(1, 0.42)}) f")
+query("semantic_reuse", lambda v: U.semantic_reuse(questions(v), corpus(v).withColumnRenamed("id", "answer_id"), 0.42, skip_self=True), f"select qid, id as answer_id, score as similarity from ({knn(1, 0.42)}) f")
 query("topic_reuse", lambda v: U.topic_reuse(enhanced(v)), f"select qid, id as answer_id from ({ENHANCED}) e where rank = 1", "qa topics")
 
 
 def resolved(v):
     q = questions(v)
     exact = q.select("qid").join(v.documents.filter("lang = 'de'").select(F.col("doc_id").alias("qid")), "qid").select("qid", (F.col("qid") + 1).alias("answer_id"))
-    semantic = U.semantic_reuse(U.unanswered(q, exact), corpus(v).withColumnRenamed("id", "answer_id"), 0.35)
+    semantic = U.semantic_reuse(U.unanswered(q, exact), corpus(v).withColumnRenamed("id", "answer_id"), 0.35, skip_self=True)
     topic = U.unanswered(q, exact, semantic).filter("expected < 3").select("qid", (F.col("qid") + 2).alias("answer_id"))
     return U.resolve_reuse(q, [("exact", exact), ("semantic", semantic), ("topic", topic)])
 
 
 RESOLVED = f"""select vec_id as qid, case when e.doc_id is not null then 'exact' when s.qid is not null then 'semantic' when label < 3 then 'topic' else 'miss' end as cache_type,
   case when e.doc_id is not null then vec_id + 1 when s.qid is not null then s.id when label < 3 then vec_id + 2 end as answer_id, cast(case when e.doc_id is not null then 1.0 when s.qid is not null then s.score end as double) as similarity
-  from embeddings left join (select doc_id from documents where lang = 'de') e on e.doc_id = vec_id left join ({knn(1, 0.35)}) s on s.qid = vec_id where vec_id % 10 = 0"""
+  from embeddings left join (select doc_id from documents where lang = 'de') e on e.doc_id = vec_id left join ({knn(1, 0.35)}) s on s.qid = vec_id where vec_id % 20 = 0"""
 query("resolve_reuse", resolved, RESOLVED)
 query(
     "reuse_metrics",

@@ -1,4 +1,4 @@
-"""Queries on embeddings and retrieval. Every tenth vector is a question, the rest are the corpus."""
+"""Queries on embeddings and retrieval. Every twentieth vector is a question; all vectors but the question's own are its corpus."""
 
 from __future__ import annotations
 
@@ -13,20 +13,20 @@ FLOOR, WEAK, REFUSE = 0.30, 0.40, 0.35
 
 
 def questions(v):
-    return v.embeddings.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("expected"))
+    return v.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("expected"))
 
 
 def corpus(v):
-    return v.embeddings.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return v.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
 def found(v, k=R.TOP_K, floor=FLOOR):
-    return R.knn_topk(questions(v), corpus(v), k, floor)
+    return R.knn_topk(questions(v), corpus(v), k, floor, skip_self=True)
 
 
 def knn(k=R.TOP_K, floor=FLOOR) -> str:
     return f"""select qid, id, score, cast(row_number() over (partition by qid order by score desc, id) as int) as rank from (
-  select q.vec_id as qid, c.vec_id as id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) as score from embeddings q, embeddings c where q.vec_id % 10 = 0 and c.vec_id % 10 <> 0) s
+  select q.vec_id as qid, c.vec_id as id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) as score from embeddings q, embeddings c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id) s
   where score >= {floor} qualify rank <= {k}"""
 
 
@@ -39,22 +39,31 @@ query(
 query(
     "corpus_hash",
     lambda v: R.corpus_hash(v.documents, "doc_id", "text"),
-    """with h as (select sha256(cast(doc_id as varchar) || chr(31) || text) as h from documents),
-p as (select ('0x' || substr(h, 1, 2))::int as part, sha256(string_agg(h, '' order by h)) as h from h group by 1)
-select substr(sha256(string_agg(h, '' order by h)), 1, 16) as corpus_hash from p""",
+    """with h as (select sha256(cast(doc_id as varchar) || chr(31) || text) as h from documents)
+select substr(sha256(concat_ws(':', cast(count(*) as varchar), """
+    + ", ".join(f"cast(coalesce(sum(('0x' || substr(h, {1 + 12 * i}, 12))::bigint), 0) as varchar)" for i in range(5))
+    + ")), 1, 16) as corpus_hash from h",
 )
 stored = lambda v: v.documents.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), R.row_hash(F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("text"))).alias("text_hash"))
 query("embedding_backlog", lambda v: R.embedding_backlog(v.documents.select(F.col("doc_id").alias("id"), "text"), stored(v)), "select doc_id as id, sha256(text) as text_hash from documents where doc_id % 7 = 0 or doc_id % 5 = 0")
 query(
     "embed_batches",
-    lambda v: R.embed_batches(v.qa.select(F.col("question").alias("text")), 10, 400, 4).groupBy("part", "batch").agg(F.count("*").alias("n")).agg(F.sum("n").alias("texts"), F.max("n").alias("most_rows"), F.count("*").alias("batches")).select("texts", (F.col("most_rows") <= 10).alias("bounded")),
-    "select count(distinct lower(question)) as texts, true as bounded from qa",
+    lambda v: R.embed_batches(v.qa.select(F.col("question").alias("text")), 10, 400, 60),
+    """with recursive t as (select sha256(q) as text_hash, least(length(q) // 4 + 1, 400) as tokens from (select distinct lower(question) as q from qa) d),
+p as (select *, ('0x' || substr(text_hash, 1, 8))::bigint * greatest((select (count(*) + 59) // 60 from t), 1) // 4294967296 as part from t),
+o as (select *, row_number() over (partition by part order by text_hash) as i from p),
+w as (select part, text_hash, i, 0 as batch, 1 as n, tokens as used from o where i = 1 union all
+  select o.part, o.text_hash, o.i, w.batch + cast(w.n >= 10 or w.used + o.tokens > 400 as int), case when w.n >= 10 or w.used + o.tokens > 400 then 1 else w.n + 1 end,
+    case when w.n >= 10 or w.used + o.tokens > 400 then o.tokens else w.used + o.tokens end from w join o on o.part = w.part and o.i = w.i + 1)
+select text_hash, cast(part as int) as part, cast(batch as int) as batch from w""",
     "qa",
 )
 query(
     "normalize_vectors",
-    lambda v: R.normalize_vectors(v.embeddings).select("vec_id", F.round(F.element_at("embedding", 1), 6).alias("first"), F.round(cosine(F.col("embedding"), F.col("embedding")), 6).alias("own")),
-    "select vec_id, round(cast(embedding[1] as double) / sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))), 6) as first, 1.0 as own from embeddings",
+    lambda v: R.normalize_vectors(v.embeddings).select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("unit"), F.round(cosine(F.col("embedding"), F.col("embedding")), 6).alias("own")).select("vec_id", "own", F.posexplode("unit").alias("at", "value")),
+    """with n as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as length from n)
+select vec_id, 1.0::double as own, cast(unnest(range(0, len(e))) as int) as at, round(unnest(e) / length, 5) as value from u""",
 )
 query(
     "cosine_pairs",
@@ -68,20 +77,20 @@ query(
     f"select qid, id, rank, round(1 - score, 6) as distance, topic, cast(length(substr(content, 1, 500)) as int) as preview_chars from ({knn(5, 0.0)}) f join chunks on entry_id = id",
     "chunks",
 )
-# neighbours here are at a cosine of 0.3 to 0.5, hardly nearer than chance, so that many short keys are needed
-query("knn_approx", lambda v: R.knn_approx(questions(v), corpus(v), R.TOP_K, FLOOR, tables=28, bits=4))
+# neighbours here are at a cosine of 0.3 to 0.5, hardly nearer than chance, so that many cells must be probed
+query("knn_approx", lambda v: R.knn_approx(questions(v), corpus(v), R.TOP_K, FLOOR, skip_self=True))
 query(
     "retrieval_quality",
     lambda v: R.retrieval_quality(questions(v), found(v), WEAK, REFUSE),
     f"""with f as ({knn()}), g as (select qid, max(score) as best, min(score) as worst, count(*) as n from f group by 1)
-select vec_id as qid, best, worst, round(best - worst, 6) as spread, coalesce(n, 0) as n, coalesce(best < {WEAK}, true) as weak, coalesce(best < {REFUSE}, true) as refuse from embeddings left join g on qid = vec_id where vec_id % 10 = 0""",
+select vec_id as qid, best, worst, round(best - worst, 6) as spread, coalesce(n, 0) as n, coalesce(best < {WEAK}, true) as weak, coalesce(best < {REFUSE}, true) as refuse from embeddings left join g on qid = vec_id where vec_id % 20 = 0""",
 )
 query(
     "hyde_retrieval",
-    lambda v: R.knn_topk(R.hyde_vectors(questions(v).join(corpus(v).select((F.col("id") - 1).alias("qid"), F.col("embedding").alias("hyde")).filter("qid % 20 = 0"), "qid", "left")), corpus(v), 3, FLOOR),
+    lambda v: R.knn_topk(R.hyde_vectors(questions(v).join(corpus(v).select((F.col("id") - 1).alias("qid"), F.col("embedding").alias("hyde")).filter("qid % 40 = 0"), "qid", "left")), corpus(v), 3, FLOOR, skip_self=True),
     f"""select qid, id, score, cast(row_number() over (partition by qid order by score desc, id) as int) as rank from (
   select q.vec_id as qid, c.vec_id as id, round(list_cosine_similarity(cast(coalesce(h.embedding, q.embedding) as double[]), cast(c.embedding as double[])), 6) as score
-  from embeddings q left join embeddings h on h.vec_id = q.vec_id + 1 and q.vec_id % 20 = 0, embeddings c where q.vec_id % 10 = 0 and c.vec_id % 10 <> 0) s where score >= {FLOOR} qualify rank <= 3""",
+  from embeddings q left join embeddings h on h.vec_id = q.vec_id + 1 and q.vec_id % 40 = 0, embeddings c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id) s where score >= {FLOOR} qualify rank <= 3""",
 )
 query(
     "score_floor_search",
@@ -122,7 +131,7 @@ select term, count(*) as n, string_agg(cast(entry_id as varchar), ',' order by e
 )
 query(
     "retrieval_probe",
-    lambda v: R.retrieval_probe(questions(v), corpus(v)),
+    lambda v: R.retrieval_probe(questions(v), corpus(v), skip_self=True),
     f"select qid, rank, id, score, q.label as expected, c.label as label, q.label = c.label as hit from ({knn(10, 0.3)}) f join embeddings q on q.vec_id = qid join embeddings c on c.vec_id = id",
 )
 query(

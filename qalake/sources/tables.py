@@ -44,13 +44,14 @@ where role = 'user' and next_role = 'assistant'""",
     "cited": """
 select qid, conv_id, question, concat(answer, ' It pays ', cast(conv_id % 11 * 10 as string), '% after ', cast(conv_id % 4 + 1 as string),
   ' years [', cast(conv_id % 5 + 1 as string), '].') as answer from qa""",
-    # ranked chunks for each question
+    # ranked chunks for each question, from all documents
     "retrieved": """
-select qid, conv_id, r as rank, (conv_id * 7 + r * 13) % 200 as doc_id, cast(round(0.70 - 0.06 * r - (conv_id % 10) * 0.03, 4) as double) as score
-from qa cross join (select 1 as r union all select 2 as r union all select 3 as r) n""",
+select qid, conv_id, r as rank, (conv_id * 7 + r * 13) % docs as doc_id, cast(round(0.70 - 0.06 * r - (conv_id % 10) * 0.03, 4) as double) as score
+from qa cross join (select 1 as r union all select 2 as r union all select 3 as r) n cross join (select max(doc_id) + 1 as docs from documents) d""",
+    # documents as chunks, each with a page's url, all pages in turn
     "chunks": """
 select d.doc_id as entry_id, d.source as topic, d.lang as type, d.text as content, p.url as url
-from documents d left join pages p on p.page_id = d.doc_id % 50""",
+from documents d cross join (select max(page_id) + 1 as last_page from pages) m left join pages p on p.page_id = d.doc_id % last_page""",
     # documents as markdown: every third line a heading, blank lines between
     "md": "select doc_id, source, lang, {md} as text from documents",
     # documents with a chunk marker after every third line
@@ -76,7 +77,7 @@ union all select 'broken' as key, 'n/a' as value""",
 }
 #: Views that a view is made of.
 USES = {"cited": ["qa"], "retrieved": ["qa"]}
-BASE = {"md": ["documents"], "marked": ["documents"], "faq": ["documents"], "ev": ["events"], "qa": ["conversations"], "chunks": ["documents", "pages"], "kv": ["customer", "orders", "nation"]}
+BASE = {"md": ["documents"], "marked": ["documents"], "faq": ["documents"], "ev": ["events"], "qa": ["conversations"], "chunks": ["documents", "pages"], "retrieved": ["documents"], "kv": ["customer", "orders", "nation"]}
 _S = ("array_join(transform(split(text, '\\n'), (x, i) -> {}), {})", "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: {}), {})")
 DIALECT = {
     "spark": {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -27,23 +27,30 @@ def burst_flags(requests: DataFrame) -> DataFrame:
     return requests.withColumn("burst", F.count("*").over(_last(1)) > BURST)
 
 
-def short_prompt_flags(requests: DataFrame) -> DataFrame:
-    """short: from the fourth prompt of under five characters on, which is never reset."""
+def short_prompt_flags(requests: DataFrame, counted: Column | None = None) -> DataFrame:
+    """short: from the fourth prompt of under five characters on, which is never reset. counted: the requests that count (all)."""
     w = W.partitionBy("ip").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0)
-    is_short = (F.length(F.trim(F.coalesce("prompt", F.lit("")))) < SHORT_CHARS).cast("int")
+    is_short = ((F.length(F.trim(F.coalesce("prompt", F.lit("")))) < SHORT_CHARS) & (F.lit(True) if counted is None else counted)).cast("int")
     return requests.withColumn("short", (is_short == 1) & (F.sum(is_short).over(w) > SHORT))
 
 
-def repeat_flags(requests: DataFrame) -> DataFrame:
-    """repeat: the third time within ten minutes that a prompt equals the one before."""
-    same = (F.col("prompt") == F.lag("prompt").over(W.partitionBy("ip").orderBy("ts", "id"))).cast("int")
+def repeat_flags(requests: DataFrame, counted: Column | None = None) -> DataFrame:
+    """repeat: the third time within ten minutes that a prompt equals the one before. counted: the requests that count (all)."""
+    counted = F.lit(True) if counted is None else counted
+    before = F.last(F.when(counted, F.struct("prompt")), ignorenulls=True).over(W.partitionBy("ip").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, -1))
+    same = (counted & (F.col("prompt") == before["prompt"])).cast("int")
     rows = requests.withColumn("__same", F.coalesce(same, F.lit(0)))
     return rows.withColumn("repeat", (F.col("__same") == 1) & (F.sum("__same").over(_last(10)) > REPEATS)).drop("__same")
 
 
 def abuse_reason(requests: DataFrame, exempt: Sequence[str] = ()) -> DataFrame:
-    """reason: burst, short or repeat, in this order; null for exempt addresses."""
-    rows = repeat_flags(short_prompt_flags(burst_flags(requests)))
+    """reason: burst, short or repeat; null for exempt addresses.
+
+    A request that is flagged goes no further: one in a burst is no short prompt and no prompt before the next, and one of
+    too many short prompts is no prompt before the next.
+    """
+    rows = short_prompt_flags(burst_flags(requests), ~F.col("burst"))
+    rows = repeat_flags(rows, ~F.col("burst") & ~F.col("short"))
     reason = F.coalesce(*[F.when(F.col(c), c) for c in ("burst", "short", "repeat")])
     return rows.withColumn("reason", F.when(~F.col("ip").isin(*exempt), reason) if exempt else reason)
 

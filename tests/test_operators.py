@@ -53,7 +53,7 @@ def test_vectors(spark):
 def test_neighbours_by_blocks_and_by_broadcast(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "qid long, embedding array<float>")
     v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)] + [(90, [0.0, 0.0])], "id long, embedding array<float>")
-    a, b = (sorted(one(retrieval.knn_topk(q, v, 4, 0.1, broadcast_questions=n))) for n in (100, 1))
+    a, b = (sorted(one(retrieval.knn_topk(q, v, 4, 0.1, broadcast_bytes=n, block_bytes=m))) for n, m in ((10**6, 10**6), (0, 40)))
     assert a == b and len([r for r in a if r[0] == 3]) == 4 and not [r for r in a if r[0] == 2]
     assert [r[1] for r in sorted(a, key=lambda r: r[3]) if r[0] == 1] == [2, 5, 8, 1]
     assert retrieval.knn_topk(q.limit(0), v).count() == 0
