@@ -14,6 +14,8 @@ from qalake.functions.text import estimate_tokens
 MAX_CHARS, MAX_TOKENS, TOO_LARGE, MIN_SECTION, MIN_ANSWER, MIN_CHUNK = 2000, 1500, 2000, 100, 20, 20
 #: Comments, empty brackets, rules of stars, spaces before line ends, many blank lines.
 CLEAN_RULES = ((r"(?s)<!--.*?-->", ""), (r"\[\s*\]|\(\s*\)", ""), (r"(\* \* \*\s*){2,}", "---\n\n"), (r"\* \* \*", "---"), (r"[ \t]+\n", "\n"), (r"\n{4,}", "\n\n\n"))
+#: Coded headings, numbered questions, and boundaries of large texts.
+SUBSECTION, QUESTION, BOUNDARY = r"###\s+\*{0,4}\d+\.[A-Za-z]+\.\d+\.[a-z]", r"(?:# |\n)\d+\.\s*Q:", r"\n\* \* \*\n|\n---\n|\n\|\s*\*\*Step\*\*"
 DROPPED_SECTIONS = ("Frequently Asked Questions", "References", "See Also")
 
 
@@ -99,15 +101,22 @@ def pack_parts(docs: DataFrame, separator: str = r"\n\n", limit: int = MAX_CHARS
     return _packed(docs, separator, limit, estimate_tokens if tokens else F.length, joint)
 
 
-def split_subsections(docs: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
-    """Cut before numbered headings (`### 1.`); parts above twice the limit by paragraphs, documents without such headings by rules."""
-    parts = docs.select("doc_id", F.split("text", r"\n(?=### \d+\.)").alias("parts"))
-    few = parts.filter(F.size("parts") <= 1).join(docs, "doc_id").select("doc_id", "text")
-    by_rule = _packed(few, r"\n\* \* \*\n|\n---\n", limit, estimate_tokens, "\n\n").withColumn("sub", F.lit(0))
-    rows = parts.filter(F.size("parts") > 1).select("doc_id", F.posexplode("parts").alias("pos", "text"))
-    large = estimate_tokens(F.col("text")) > 2 * limit
-    cut = F.filter(F.transform(F.split("text", r"\n\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    packed = rows.select("doc_id", "pos", F.posexplode(F.when(large, fold_pack(cut, F.lit(limit), estimate_tokens)).otherwise(F.array(F.regexp_replace("text", r"^\s+|\s+$", "")))).alias("sub", "content"))
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def split_subsections(docs: DataFrame, limit: int = MAX_TOKENS, heading: str = SUBSECTION) -> DataFrame:
+    """doc_id, pos, sub, content: cut before coded headings; parts above twice the limit by paragraphs, documents with less than two such headings by rules.
+
+    Text before the first heading is a part of its own.
+    """
+    many = F.regexp_count("text", F.lit(heading)) > 1
+    by_rule = _packed(docs.filter(~many), r"\n\* \* \*\n|\n---\n", limit, estimate_tokens, "\n\n").withColumn("sub", F.lit(0))
+    parts = F.filter(F.transform(F.split("text", f"(?={heading})"), strip), lambda x: x != "")
+    rows = docs.filter(many).select("doc_id", F.posexplode(parts).alias("pos", "text"))
+    paragraphs = F.filter(F.transform(F.split("text", r"\n\n+"), strip), lambda x: x != "")
+    own = F.when(estimate_tokens(F.col("text")) > 2 * limit, fold_pack(paragraphs, F.lit(limit), estimate_tokens)).otherwise(F.array("text"))
+    packed = rows.select("doc_id", "pos", F.posexplode(own).alias("sub", "content"))
     return by_rule.select("doc_id", "pos", "sub", "content").unionByName(packed)
 
 
@@ -116,30 +125,41 @@ def pieces(text: Column, chars: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{chars}}}(?:(?<=\s)|(?=\s)|\z)|.{{1,{chars}}}"), F.lit(0))
 
 
-def split_qa(docs: DataFrame, limit: int = MAX_TOKENS, chars: int = 6000) -> DataFrame:
-    """Numbered questions (`Q1:`): small ones are packed, one above the limit stands alone, in parts of at most `chars`."""
-    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    items = F.flatten(F.transform(F.split("text", r"\n(?=Q\d+[:.])"), lambda x: pieces(strip(x), chars)))
-    items = F.filter(F.transform(items, strip), lambda x: x != "")
-    return docs.select("doc_id", F.posexplode(fold_pack(items, F.lit(limit), estimate_tokens)).alias("pos", "content"))
+def split_qa(docs: DataFrame, limit: int = MAX_TOKENS, chars: int | None = None, question: str = QUESTION) -> DataFrame:
+    """doc_id, pos, content: texts cut before numbered questions; one above the limit stands alone, the others are packed.
+
+    One that stands alone is not cut off: it is as many rows as its text needs, of at most `chars` characters each (four for
+    each token of the limit). They come before the packed ones.
+    """
+    parts = F.filter(F.transform(F.split("text", rf"\n(?={question})"), strip), lambda x: x != "")
+    large = lambda x: estimate_tokens(x) > limit
+    alone = F.filter(F.transform(F.flatten(F.transform(F.filter(parts, large), lambda x: pieces(x, chars or 4 * limit))), strip), lambda x: x != "")
+    packed = fold_pack(F.filter(parts, lambda x: ~large(x)), F.lit(limit), estimate_tokens)
+    return docs.select("doc_id", F.posexplode(F.concat(alone, packed)).alias("pos", "content"))
+
 
+def split_large(docs: DataFrame, least: int = MIN_SECTION, chars: int = 6000, boundary: str = BOUNDARY) -> DataFrame:
+    """doc_id, pos, sub, content: cut at rules and step rows, parts over `least` characters; texts without such a boundary whole.
 
-def split_large(docs: DataFrame, least: int = MIN_SECTION, chars: int = 6000) -> DataFrame:
-    """doc_id, pos, sub, content: cut at rules and step rows, parts over `least` characters; one above `chars` in several rows."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", r"\n(?:---|\* \* \*)\n|\n(?=Step \d+)")).alias("pos", "content"))
-    return rows.filter(F.length("content") > least).select("doc_id", "pos", F.posexplode(pieces(F.col("content"), chars)).alias("sub", "content"))
+    One above `chars` is several rows.
+    """
+    parts = F.split("text", boundary)
+    alone = F.size(parts) == 1
+    rows = docs.select("doc_id", alone.alias("alone"), F.posexplode(F.when(alone, parts).otherwise(F.transform(parts, strip))).alias("pos", "content"))
+    return rows.filter(F.col("alone") | (F.length("content") > least)).select("doc_id", "pos", F.posexplode(pieces(F.col("content"), chars)).alias("sub", "content"))
 
 
 def repair_oversized(chunks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
-    """entry_id, part, content: chunks above the limit by the strategy that their id or topic asks for; the others as they are."""
-    strategy = F.when(estimate_tokens(F.col("content")) <= limit, "keep").when(F.contains(F.lower("topic"), F.lit("faq")), "qa").when(F.col("content").rlike(r"\n### \d+\."), "subsections").otherwise("paragraphs")
+    """entry_id, part, sub, content: chunks above the limit by the strategy that their id or topic asks for; the others as they are."""
+    kind = F.when(F.contains(F.lower("topic"), F.lit("faq")), "qa").when(F.regexp_count("content", F.lit(SUBSECTION)) > 1, "subsections").otherwise("rules")
+    strategy = F.when(estimate_tokens(F.col("content")) <= limit, "keep").otherwise(kind)
     rows = chunks.select(F.col("entry_id").alias("doc_id"), F.col("content").alias("text"), strategy.alias("strategy"))
     own = lambda s: rows.filter(F.col("strategy") == s)
-    keep = own("keep").select("doc_id", F.lit(0).alias("part"), F.col("text").alias("content"))
-    qa = split_qa(own("qa"), limit).select("doc_id", F.col("pos").alias("part"), "content")
-    sub = split_subsections(own("subsections"), limit).select("doc_id", (F.col("pos") * 1000 + F.col("sub")).alias("part"), "content")
-    par = pack_parts(own("paragraphs"), r"\n+", limit, True, "\n").select("doc_id", F.col("pos").alias("part"), "content")
-    return keep.unionByName(qa).unionByName(sub).unionByName(par).withColumnRenamed("doc_id", "entry_id")
+    zero = F.lit(0).alias("sub")
+    keep = own("keep").select("doc_id", F.lit(0).alias("part"), zero, F.col("text").alias("content"))
+    qa = split_qa(own("qa"), limit).select("doc_id", F.col("pos").alias("part"), zero, "content")
+    sub = split_subsections(rows.filter("strategy in ('subsections', 'rules')"), limit).select("doc_id", F.col("pos").alias("part"), "sub", "content")
+    return keep.unionByName(qa).unionByName(sub).withColumnRenamed("doc_id", "entry_id")
 
 
 def oversized(chunks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:

@@ -67,15 +67,96 @@ query("pack_parts", lambda v: C.pack_parts(v.md, limit=900).select("doc_id", "po
 
 
 def numbered(v):
-    """Documents whose sixth lines are numbered headings, with a rule after every tenth."""
-    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when((i % 6 == 5) & (F.col("doc_id") % 3 != 0), F.concat(F.lit("### 1. "), x)).when(i % 10 == 9, F.concat(x, F.lit("\n---"))).when(i % 4 == 3, F.concat(F.lit("Q1: "), x)).otherwise(x)), "\n")
+    """Documents whose sixth lines are coded headings, with numbered questions, rules and step rows between."""
+    line = lambda x, i: F.when((i % 6 == 5) & (F.col("doc_id") % 3 != 0), F.concat(F.lit("### 1.A.2.b. "), x)).when(i % 10 == 9, F.concat(x, F.lit("\n---"))).when(i % 4 == 3, F.concat(F.lit("# 7. Q: "), x)).when(i % 14 == 13, F.concat(F.lit("| **Step** "), x))
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: line(x, i).when(i % 16 == 0, F.concat(x, F.lit("\n"))).otherwise(x)), "\n")
     return v.documents.select("doc_id", "source", "lang", text.alias("text"))
 
 
-query("split_subsections", lambda v: C.split_subsections(numbered(v), 200))
-query("split_qa", lambda v: C.split_qa(numbered(v), 100))
-query("split_large", lambda v: C.split_large(numbered(v), 100, 400).select("doc_id", "pos", "sub", F.length("content").alias("chars")))
-query("repair_oversized", lambda v: C.repair_oversized(numbered(v).select(F.col("doc_id").alias("entry_id"), F.when(F.col("doc_id") % 4 == 0, "FAQ").otherwise(F.col("source")).alias("topic"), F.col("text").alias("content")), 300))
+# -- the same in SQL: a mark (chr(1)) is set where a text is cut, since its regular expressions look neither ahead nor behind
+NUMBERED = """nd as (select doc_id, source, lang, array_to_string(list_transform(string_split(text, chr(10)), lambda x, j: case
+    when (j - 1) % 6 = 5 and doc_id % 3 <> 0 then '### 1.A.2.b. ' || x when (j - 1) % 10 = 9 then x || chr(10) || '---' when (j - 1) % 4 = 3 then '# 7. Q: ' || x
+    when (j - 1) % 14 = 13 then '| **Step** ' || x when (j - 1) % 16 = 0 then x || chr(10) else x end), chr(10)) as text from documents)"""
+TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+HEADED = r"(###\s+\*{0,4}\d+\.[A-Za-z]+\.\d+\.[a-z])"
+ASKED = r"\n((?:# |\n)\d+\.\s*Q:)"
+
+
+def marked(pattern: str, text: str = "text") -> str:
+    """The text with a mark before what the pattern's group finds, or in place of the pattern."""
+    return f"regexp_replace({text}, '{pattern}', " + (r"chr(1) || '\1'" if pattern in (HEADED, ASKED) else "chr(1)") + ", 'g')"
+
+
+def stripped(text: str) -> str:
+    """Non-empty stripped parts of a marked text."""
+    return f"list_filter(list_transform(string_split({text}, chr(1)), lambda x: {TRIM.format('x')}), lambda x: x <> '')"
+
+
+def packed(name: str, source: str, limit: int) -> str:
+    """Greedy packs (name: doc_id, k, g, content) of numbered parts (source: doc_id, k, i, p), by tokens."""
+    fits = f"(w.n + 2 + length(q.p)) // 4 <= {limit}"
+    return f"""{name}_w as (select doc_id, k, i, p, length(p) as n, 1 as g from {source} where i = 1 union all
+  select q.doc_id, q.k, q.i, q.p, case when {fits} then w.n + 2 + length(q.p) else length(q.p) end, case when {fits} then w.g else w.g + 1 end
+  from {name}_w w join {source} q on q.doc_id = w.doc_id and q.k = w.k and q.i = w.i + 1),
+{name} as (select doc_id, k, g, string_agg(p, chr(10) || chr(10) order by i) as content from {name}_w group by 1, 2, 3)"""
+
+
+def cut_up(name: str, source: str, chars: int) -> str:
+    """Pieces (name: doc_id, k, sub, piece) of texts (source: doc_id, k, p), cut at the last white space within `chars`."""
+    blank = r"lambda z: regexp_matches(substr({0}, z, 1), '\s') or regexp_matches(substr({0}, z + 1, 1), '\s')"
+    size = f"case when length({{0}}) <= {chars} then length({{0}}) else coalesce(list_max(list_filter(range(1, {chars + 1}), {blank})), {chars}) end"
+    return f"""{name}_l as (select doc_id, k, 0 as sub, p as rest, {size.format('p')} as size from {source} where p <> '' union all
+  select doc_id, k, sub + 1, rest, {size.format('rest')} from (select doc_id, k, sub, substr(rest, size + 1) as rest from {name}_l where length(rest) > size) y),
+{name} as (select doc_id, k, sub, substr(rest, 1, size) as piece from {name}_l)"""
+
+
+def subsections(source: str, limit: int) -> str:
+    """sb: doc_id, pos, sub, content."""
+    return f"""sm as (select doc_id, text, len(regexp_extract_all(text, '{HEADED}')) > 1 as many from {source}),
+s1 as (select doc_id, {stripped(marked(HEADED))} as l from sm where many),
+s2 as (select doc_id, unnest(range(0, len(l))) as k, unnest(l) as text from s1),
+s3 as (select doc_id, k, {stripped(marked(chr(92) + 'n' + chr(92) + 'n+'))} as l from s2 where length(text) // 4 > {2 * limit}),
+s4 as (select doc_id, k, unnest(range(1, len(l) + 1)) as i, unnest(l) as p from s3), {packed('s5', 's4', limit)},
+r1 as (select doc_id, 0 as k, {stripped(marked(RULE))} as l from sm where not many),
+r2 as (select doc_id, k, unnest(range(1, len(l) + 1)) as i, unnest(l) as p from r1), {packed('r3', 'r2', limit)},
+sb as (select doc_id, k as pos, 0 as sub, text as content from s2 where length(text) // 4 <= {2 * limit} union all select doc_id, k, g - 1, content from s5 union all select doc_id, g - 1, 0, content from r3)"""
+
+
+def questions_cut(source: str, limit: int) -> str:
+    """qb: doc_id, pos, content."""
+    return f"""q1 as (select doc_id, {stripped(marked(ASKED))} as l from {source}),
+q2 as (select doc_id, unnest(range(1, len(l) + 1)) as k, unnest(l) as p from q1),
+q3 as (select * from q2 where length(p) // 4 > {limit}), {cut_up('q4', 'q3', 4 * limit)},
+q5 as (select doc_id, 0 as k, row_number() over (partition by doc_id order by k) as i, p from q2 where length(p) // 4 <= {limit}), {packed('q6', 'q5', limit)},
+q7 as (select doc_id, 0 as late, k, sub, {TRIM.format('piece')} as content from q4 union all select doc_id, 1, g, 0, content from q6),
+qb as (select doc_id, row_number() over (partition by doc_id order by late, k, sub) - 1 as pos, content from q7 where content <> '')"""
+
+
+RULE = r"\n\* \* \*\n|\n---\n"
+STEPS = RULE + r"|\n\|\s*\*\*Step\*\*"
+digest = lambda: F.md5("content").alias("digest")
+query(
+    "split_subsections", lambda v: C.split_subsections(numbered(v), 100).select("doc_id", "pos", "sub", digest()),
+    f"with recursive {NUMBERED}, {subsections('nd', 100)} select doc_id, cast(pos as int) as pos, cast(sub as int) as sub, md5(content) as digest from sb",
+)
+query(
+    "split_qa", lambda v: C.split_qa(numbered(v), 60).select("doc_id", "pos", digest()),
+    f"with recursive {NUMBERED}, {questions_cut('nd', 60)} select doc_id, cast(pos as int) as pos, md5(content) as digest from qb",
+)
+query(
+    "split_large", lambda v: C.split_large(numbered(v), 100, 400).select("doc_id", "pos", "sub", digest()),
+    f"""with recursive {NUMBERED}, l1 as (select doc_id, string_split({marked(STEPS)}, chr(1)) as l from nd),
+l2 as (select doc_id, len(l) = 1 as alone, unnest(range(0, len(l))) as k, unnest(l) as p from l1),
+l3 as (select doc_id, k, case when alone then p else {TRIM.format('p')} end as p from l2 where alone or length({TRIM.format('p')}) > 100), {cut_up('l4', 'l3', 400)}
+select doc_id, cast(k as int) as pos, cast(sub as int) as sub, md5(piece) as digest from l4""",
+)
+query(
+    "repair_oversized",
+    lambda v: C.repair_oversized(numbered(v).select(F.col("doc_id").alias("entry_id"), F.when(F.col("doc_id") % 4 == 0, "FAQ").otherwise(F.col("source")).alias("topic"), F.col("text").alias("content")), 120).select("entry_id", "part", "sub", digest()),
+    f"""with recursive {NUMBERED}, k1 as (select doc_id, text from nd where length(text) // 4 <= 120), fq as (select doc_id, text from nd where length(text) // 4 > 120 and doc_id % 4 = 0), ot as (select doc_id, text from nd where length(text) // 4 > 120 and doc_id % 4 <> 0),
+{subsections('ot', 120)}, {questions_cut('fq', 120)}
+select doc_id as entry_id, 0 as part, 0 as sub, md5(text) as digest from k1 union all select doc_id, cast(pos as int), cast(sub as int), md5(content) from sb union all select doc_id, cast(pos as int), 0, md5(content) from qb""",
+)
 query("estimate_tokens", lambda v: v.documents.select("doc_id", estimate_tokens(F.col("text")).alias("tokens")), "select doc_id, cast(length(text) // 4 as int) as tokens from documents")
 query("oversized_report", lambda v: C.oversized_report(v.chunks.withColumn("url", F.when(F.col("entry_id") % 9 != 0, F.col("url"))), 1000), "select count(*) as chunks, count(*) filter (where length(content) // 4 > 1000) as too_large, cast(max(length(content) // 4) as int) as largest, count(*) filter (where url is null or entry_id % 9 = 0) as missing_url from chunks", "chunks")
 query(
