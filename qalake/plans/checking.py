@@ -17,7 +17,7 @@ from qalake.sources.tables import K_SPARK, VIEWS
 from qalake.streaming import flags, live
 
 from .catalog import query
-from .knowledge import RULES, TOPICS
+from .knowledge import RULES, TOPICS, TTL
 from .reports import HOURLY, STAMP
 from .retrieve import corpus, knn, questions
 
@@ -59,6 +59,7 @@ query(
     f"select qid, md5(t) as answer, cast(before as int) as before, cast(length(t) as int) as after, is_clean from (select c.qid, before, is_clean, case when is_clean then '' else '{V.WARNING}' end || answer as t from ({CLEAN}) c join ({NUMBERS}) n on n.qid = c.qid) x",
     "cited retrieved",
 )
+# the case: questions of every twelfth conversation have found nothing
 query(
     "confidence_gate",
     lambda v: V.confidence_gate(R.retrieval_quality(v.qa, v.retrieved.filter("conv_id % 12 <> 11"))),
@@ -158,17 +159,19 @@ select id, regexp_replace(id, '-[^-]*$', '') as category, question from p where
 def written_corpus(v):
     path = folder(v, "written")
     files.write_corpus(v.chunks, path, "v1")
-    return v.spark.read.parquet(path).groupBy("corpus_version", "type").agg(F.count("*").alias("n"))
+    return v.spark.read.parquet(path).select("entry_id", "corpus_version", "type", "topic", "url", F.md5("content").alias("digest"))
 
 
 def written_results(v):
     path = folder(v, "results")
     files.write_results(results(v), path)
-    return v.spark.read.option("header", True).csv(f"{path}/csv").groupBy("category").agg(F.count("*").alias("n"))
+    rows = v.spark.read.schema("number long, category string, success boolean, confidence double")
+    both = rows.option("header", True).csv(f"{path}/csv").withColumn("form", F.lit("csv")).unionByName(rows.json(f"{path}/json").withColumn("form", F.lit("json")))
+    return both.select("form", "number", "category", "success", F.round("confidence", 4).alias("confidence"))
 
 
-query("write_corpus", written_corpus, "select 'v1' as corpus_version, type, count(*) as n from chunks group by 2", "chunks")
-query("write_results", written_results, f"select category, count(*) as n from ({RESULTS}) r group by 1")
+query("write_corpus", written_corpus, "select entry_id, 'v1' as corpus_version, type, topic, url, md5(content) as digest from chunks", "chunks")
+query("write_results", written_results, f"select form, number, category, success, round(confidence, 4) as confidence from ({RESULTS}) r cross join (select unnest(['csv', 'json']) as form) f")
 
 # -- streams ----------------------------------------------------------------------------------------------------------
 
@@ -215,7 +218,16 @@ def ev_stream(v):
 
 CLOSED = f"select h.* from ({HOURLY}) h where strptime(hour, {STAMP}) + interval 1 hour <= (select max(ts) - interval 10 minutes from ev where type = 'chat_question')"
 query("stream_hourly", lambda v: live.drain(live.hourly(ev_stream(v).filter("type = 'chat_question'")), "hourly"), CLOSED, "ev")
-query("stream_traffic", lambda v: live.drain(live.daily_traffic(ev_stream(v)), "traffic", mode="complete").drop("uniques"), "select cast(cast(ts as date) as varchar) as day, count(*) as pageviews from ev where type = 'pageview' group by 1", "ev")
+
+
+def stream_traffic(v):
+    """The stream's days; its approximate numbers of visitors are held against exact ones."""
+    exact = v.ev.filter("type = 'pageview'").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("sid").alias("exact"))
+    days = live.drain(live.daily_traffic(ev_stream(v)), "traffic", mode="complete").join(exact, "day")
+    return days.select("day", "pageviews", (F.abs(F.col("uniques") - F.col("exact")) <= 1 + 0.05 * F.col("exact")).alias("near"), F.col("exact").alias("visitors"))
+
+
+query("stream_traffic", stream_traffic, "select cast(cast(ts as date) as varchar) as day, count(*) as pageviews, true as near, count(distinct sid) as visitors from ev where type = 'pageview' group by 1", "ev")
 
 
 def stream_ttl(v):
@@ -224,7 +236,7 @@ def stream_ttl(v):
     return live.drain(live.ttl_dedup(rows), "ttl")
 
 
-query("stream_ttl_dedup", stream_ttl)
+query("stream_ttl_dedup", stream_ttl, TTL, "ev")
 query(
     "stream_link_answers",
     lambda v: live.drain(ev_stream(v).filter("type = 'chat_question'").withColumn("answer", F.expr("concat(question, ' with that und des')")), "links", lambda batch: G.link_new_answers(batch, TOPICS, RULES)),

@@ -72,6 +72,7 @@ query(
     "qa",
 )
 has = lambda words: "(" + " or ".join(f"contains(q, '{w}')" for w in words) + ")"
+# the case: questions of every sixth conversation have found nothing
 query(
     "route_question",
     lambda v: Q.route_question(led(v.qa), v.retrieved.join(v.documents, "doc_id").filter("conv_id % 6 <> 5").select("qid", "score", F.length("text").alias("chars")), SIMPLE, HARD),

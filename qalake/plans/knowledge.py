@@ -199,14 +199,10 @@ query(
     f"select 'same' as corpus, answer_id from ({ANSWERS}) a",
     "ev",
 )
-query(
-    "ttl_dedup",
-    lambda v: U.ttl_dedup(v.ev.filter("type = 'chat_question'").select(F.col("question").alias("key"), F.col("id").alias("qid"), "ts")),
-    """with recursive q as (select question as key, id as qid, epoch_us(ts) as t, row_number() over (partition by question order by ts, id) as n from ev where type = 'chat_question'),
+TTL = """with recursive q as (select question as key, id as qid, epoch_us(ts) as t, row_number() over (partition by question order by ts, id) as n from ev where type = 'chat_question'),
 w as (select key, n, qid, t as open, true as kept from q where n = 1 union all select q.key, q.n, q.qid, case when q.t >= w.open + 86400000000 then q.t else w.open end, q.t >= w.open + 86400000000 from w join q on q.key = w.key and q.n = w.n + 1)
-select key, qid, kept from w""",
-    "ev",
-)
+select key, qid, kept from w"""
+query("ttl_dedup", lambda v: U.ttl_dedup(v.ev.filter("type = 'chat_question'").select(F.col("question").alias("key"), F.col("id").alias("qid"), "ts")), TTL, "ev")
 
 # -- upkeep -----------------------------------------------------------------------------------------------------------
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,35 +43,47 @@ def new_visitors(events: DataFrame, delay: str = "30 days") -> DataFrame:
 
 
 class FirstInWindow(StatefulProcessor):
-    """Keeps one time for each key, when its open window began; state ends with the window's length."""
+    """Keeps one time for each key, when its open window began, until the watermark has passed the window's end."""
 
     def __init__(self, hours: int):
         self.span = pd.Timedelta(hours=hours)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.open = handle.getValueState("open", "at timestamp")
 
-    def handleInputRows(self, key, rows, timers):
-        at = pd.Timestamp(self.open.get()[0]) if self.open.exists() else None
-        out = []
-        for frame in rows:
-            out.append(frame)
-        frame = pd.concat(out).sort_values(["ts", "qid"])
-        kept = []
-        for ts in frame.ts:
-            new = at is None or ts >= at + self.span
-            at = ts if new else at
-            kept.append(new)
-        self.open.update((at.to_pydatetime(),))
-        yield pd.DataFrame({"key": frame.key, "qid": frame.qid, "kept": kept})
+    def handleInputRows(self, key, rows, timerValues):
+        """Of a batch's rows of the key, only ids and times are held."""
+        parts = [(frame.ts.to_numpy(), frame.qid.to_numpy()) for frame in rows]
+        ts, qid = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((qid, ts))
+        ts, qid = ts[order], qid[order]
+        span = self.span.to_timedelta64()
+        kept = np.zeros(len(ts), bool)
+        opened = np.datetime64(self.open.get()[0]) if self.open.exists() else None
+        at = 0 if opened is None else int(np.searchsorted(ts, opened + span))
+        while at < len(ts):  # a step for each window
+            kept[at], opened = True, ts[at]
+            at = int(np.searchsorted(ts, opened + span))
+        self.open.update((pd.Timestamp(opened).to_pydatetime(),))
+        self.handle.registerTimer(int(pd.Timestamp(opened + span).timestamp() * 1000))
+        yield pd.DataFrame({"key": key[0], "qid": qid, "kept": kept})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """A timer of an earlier window finds a later one open, which stays."""
+        end = pd.Timestamp(self.open.get()[0]) + self.span if self.open.exists() else None
+        if end is not None and int(end.timestamp() * 1000) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.open.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype="str"), "qid": pd.Series([], dtype="int64"), "kept": pd.Series([], dtype="bool")})
 
     def close(self) -> None:
         pass
 
 
-def ttl_dedup(questions: DataFrame, hours: int = 24) -> DataFrame:
-    """key, qid, kept of a stream (key, qid, ts): the stateful form of reuse.ttl_dedup."""
-    return questions.groupBy("key").transformWithStateInPandas(FirstInWindow(hours), "key string, qid long, kept boolean", "append", "None")
+def ttl_dedup(questions: DataFrame, hours: int = 24, delay: str = "1 hour") -> DataFrame:
+    """key, qid, kept of a stream (key, qid, ts): the stateful form of reuse.ttl_dedup. Rows later than `delay` are left out."""
+    rows = questions.withWatermark("ts", delay)
+    return rows.groupBy("key").transformWithStateInPandas(FirstInWindow(hours), "key string, qid long, kept boolean", "append", "EventTime")
 
 
 def drain(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> DataFrame:
@@ -85,11 +98,9 @@ def drain(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame] |
         query = writer.format("parquet").start(f"{base}/out")
         schema = stream.schema
     else:
-        made = []
 
         def write(batch: DataFrame, number: int) -> None:
             out = each(batch) if each else batch
-            made.append(out.schema)
             folder = f"{base}/out/batch={number if mode == 'append' else 0}"
             out.write.mode("overwrite").parquet(folder)
 
