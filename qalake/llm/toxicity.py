@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -436,6 +437,15 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, that are not predicted toxic; nulls, empty texts and repeats as in toxicity()."""
+    if model.complete:
+        hot, weights, b, at = model.hot, model.weights, model.b, docs.columns.index("text")
+
+        def keep(batches):
+            for batch in batches:
+                text = batch.column(at) if pa.types.is_string(batch.schema.field(at).type) else pc.cast(batch.column(at), pa.string())
+                yield batch.filter(pa.array(_scores(_describe(text, hot.value.ready()), weights, b) < THRESHOLD))
+
+        return docs.mapInArrow(keep, docs.schema)
     rows = whole_texts(docs).select(text_key(F.col("text")).alias("key"), "text")
     scored = model.evidence(rows)
     toxic = scored.filter(model.score(F.col("x")) >= THRESHOLD).select(F.col("key").alias("toxic_key"))
