@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .shared import MASK64, cut, eights, mix, read, whole_texts
 
 #: Distinct digests in a shard, on average; a shard's index is about 50 bytes for each.
-SHARD_DIGESTS = 50_000
+SHARD_DIGESTS = 4_000
 #: Look-ups that one task makes in a shard, on average.
-SHARD_PROBES = 200_000
+SHARD_PROBES = 4_000
 LEVELS = 24
 INDEX = "shard int, bits binary, sizes array<long>, digests binary, winners binary, counts binary"
 
