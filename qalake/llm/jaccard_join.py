@@ -141,25 +141,33 @@ def _leaves(table: pa.Table, trees: int) -> np.ndarray:
 
 def _pairs(leaves: np.ndarray, tree: int, half: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a < b) of one group that meet in this tree at this depth, in no tree before, and in no tree at a longer prefix; of two blocks, only those across."""
-    keys = leaves >> np.uint64(8 * (DEPTH - depth))
-    met = keys[:, None, tree] == keys[None, :, tree]
-    for t in range(tree):
-        met &= keys[:, None, t] != keys[None, :, t]
-    if depth < DEPTH:
-        keys = leaves >> np.uint64(8 * (DEPTH - depth - 1))
-        for t in range(tree, leaves.shape[1]):
-            met &= keys[:, None, t] != keys[None, :, t]
+    n = len(half)
     if half.any() and not half.all():
-        met &= half[:, None] != half[None, :]
-    return np.nonzero(np.triu(met, 1))
+        x, y = np.flatnonzero(half), np.flatnonzero(half == 0)
+        a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+    else:
+        a, b = np.triu_indices(n, 1)
+    shift = lambda d: np.uint64(8 * (DEPTH - d))
+    own = leaves[:, tree] >> shift(depth)  # one bucket, unless its hash is another's too
+    if (own != own[0]).any():
+        same = own[a] == own[b]
+        a, b = a[same], b[same]
+    for t in range(leaves.shape[1] if depth < DEPTH else tree):  # near copies have met in most trees: few pairs are left soon
+        if not len(a):
+            break
+        key = leaves[:, t] >> shift(depth if t < tree else depth + 1)
+        apart = key[a] != key[b]
+        a, b = a[apart], b[apart]
+    return a, b
 
 
-#: Pairs whose agreeing bytes are counted at once.
-COUNTED = 20_000
+#: Pairs of a group whose agreeing bytes are counted; of more, every so-manieth stands for those between.
+COUNTED = 5_000
 
 
 def _candidates(trees: int, depth: int, floor: int, threshold: float):
-    """Rows of nodes that meet some other first in their group. seen: of the row's pairs as similar as the threshold, by their signatures, the number, and the sums of what each stands for at all depths."""
+    """Rows of nodes that meet some other first in their group. seen (in one row of a group): of its pairs as similar as the threshold, by their signatures, the number, and the sums of what each stands for at all depths."""
 
     def work(batches):
         for table in whole_groups(batches, "gk"):
@@ -173,14 +181,14 @@ def _candidates(trees: int, depth: int, floor: int, threshold: float):
                 if j - i < 2:
                     continue
                 a, b = _pairs(leaves[i:j], int(tree[i]), half[i:j], depth)
+                if not len(a):
+                    continue
                 keep[i + a] = keep[i + b] = True
-                for k in range(0, len(a), COUNTED):
-                    x, y = i + a[k : k + COUNTED], i + b[k : k + COUNTED]
-                    same = (strings[x] == strings[y]).mean(axis=1)
-                    s = (same - 1 / 256) / (1 - 1 / 256)
-                    like = s >= threshold
-                    for c, v in enumerate([np.ones(int(like.sum())), *(1 / meets(s[like], d, trees) for d in range(DEPTH, floor - 1, -1))]):
-                        seen[:, c] += np.bincount(x[like], v, table.num_rows)
+                step = -(-len(a) // COUNTED)
+                x, y = i + a[::step], i + b[::step]
+                s = ((strings[x] == strings[y]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                s = s[s >= threshold]
+                seen[i + a[0]] = [step * len(s), *(step * (1 / meets(s, d, trees)).sum() for d in range(DEPTH, floor - 1, -1))]
             if keep.any():
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(int(keep.sum()) + 1, dtype=np.int32) * seen.shape[1]), pa.array(seen[keep].ravel()))
                 yield from pa.Table.from_arrays([*(table.column(c).filter(pa.array(keep)) for c in ("gk", "tree", "half", "doc")), pa.chunked_array([lists])], names=["gk", "tree", "half", "doc", "seen"]).to_batches()
