@@ -73,14 +73,26 @@ class Index:
             at = ranges(first[rows], count[rows] - n + 1)
             owner = np.repeat(rows, count[rows] - n + 1)
             window = grams(h, n)[at]
-            order = np.argsort(window, kind="stable")
-            at, window = at[order], window[order]
+            content = h[at[:, None] + np.arange(n)]
+            order = np.lexsort((*content.T[::-1], window))
+            at, window, content, owner = at[order], window[order], content[order], owner[order]
+            # a window that several items hold is one, with all their names
+            new = np.ones(len(at), bool)
+            new[1:] = (content[1:] != content[:-1]).any(axis=1)
+            number = np.cumsum(new) - 1
+            holders: list[set[int]] = [set() for _ in range(int(new.sum()))]
+            for place, item in zip(number.tolist(), owner.tolist(), strict=True):
+                holders[place].add(item)
+            window, content = window[new], content[new]
             k = K if n == N else n
             own = np.zeros(len(first), np.int64)
             sub = np.concatenate([h[first[r] : first[r + 1]] for r in rows])
             own = np.concatenate([[0], np.cumsum(count[rows])])
             _, prints = fingerprints(sub, own, n, k)
-            self.lengths[n] = (k, np.unique(prints), window, h[at[:, None] + np.arange(n)], [names[i] for i in owner[order]])
+            # items with the same windows share one set
+            known: dict[frozenset, frozenset] = {}
+            sets = [frozenset(names[i] for i in x) for x in holders]
+            self.lengths[n] = (k, np.unique(prints), window, content, [known.setdefault(x, x) for x in sets])
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(places, n, window numbers): the windows of n words at places are equal to the index's windows."""
@@ -117,13 +129,14 @@ def _by_index(index):
             for i, j in slices(offsets):
                 h, first = folded_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cover = np.zeros(len(h) + 1, np.int32)
-                items: dict[int, set] = {}
+                groups: dict[int, dict[int, frozenset]] = {}  # each row's sets of names, once each
                 for places, n, numbers in found.hits(h, first):
                     np.add.at(cover, places, 1)
                     np.add.at(cover, places + n, -1)
                     names = found.lengths[n][4]
                     for row, number in set(zip((np.searchsorted(first, places, "right") - 1).tolist(), numbers.tolist(), strict=True)):
-                        items.setdefault(row, set()).add(names[number])
+                        groups.setdefault(row, {})[id(names[number])] = names[number]
+                items = {row: set().union(*own.values()) for row, own in groups.items()}
                 covered = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
                 count.append(np.diff(first))
                 hit.append(covered[first[1:]] - covered[first[:-1]])

@@ -5,7 +5,8 @@ symbol, and then each left symbol followed by a right one, where a bit of the sy
 is a hash of what it stands for, so that names agree over all tasks without a dictionary, and equal word sequences
 have the same symbols but near their ends. How far a symbol looks to each side is carried along; in every window of 50
 words the symbols that look at its words only are the same wherever the window stands. The longest of them (by hash, if
-several) is the window's anchor. Shared anchors reveal repeats (see repeats.py), and the words themselves decide.
+several) is the window's anchor. Shared anchors reveal repeats (see repeats.py): segments that are equal as a whole, by
+two 64-bit hashes, repeat without a comparison, as most do; where an anchor has several contents, the words are compared.
 """
 
 from __future__ import annotations

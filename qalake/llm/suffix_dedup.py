@@ -1,8 +1,8 @@
 """Suffix-array dedup of byte strings by deep-shallow sorting.
 
 The suffixes that can begin a repeated string are found first (see repeats.py: an anchor is the least hash of 32 bytes
-among a window's, so that equal windows have the same), and those that equality of whole segments does not settle are
-sorted by deep-shallow sorting: multikey quicksort, eight bytes as one character, down to a shallow depth; the groups
+among a window's, so that equal windows have the same). Segments that are equal as a whole, by two 64-bit hashes, settle
+without a sort, as most repeats do; the suffixes of the others are sorted by deep-shallow sorting: multikey quicksort, eight bytes as one character, down to a shallow depth; the groups
 that still have a common prefix there are ordered by blind tries, which look at a suffix only where a group branches.
 Suffixes that agree in 100 bytes end in one leaf; all but its first are repeats.
 """

@@ -119,6 +119,19 @@ def test_decontamination_equals_brute_force(spark, index_words):
     assert decontamination.decontaminate(table(spark, []), benchmark, index_words).count() == 0
 
 
+def test_decontamination_of_a_prompt_that_many_items_share(spark):
+    """Its windows are held once in the index; long texts and repeated rows."""
+    rng = random.Random(15)
+    prompt = prose(rng, 40)
+    items = [(i, f"{prompt} {prose(rng, 15)}") for i in range(300)]
+    index = decontamination.Index([t for _, t in items], [i for i, _ in items])
+    assert len(index.lengths[13][2]) == len(set(map(tuple, index.lengths[13][3].tolist())))
+    assert max(map(len, index.lengths[13][4])) == 300 and len({id(x) for x in index.lengths[13][4]}) < len(index.lengths[13][4])
+    rows = [(1, prompt, "", "", 0), (1, prompt, "", "", 0), (2, "q " * 60_000 + prompt, "", "", 0), (3, items[7][1], "", "", 0)]
+    got = decontamination.decontaminate(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).drop("tie").collect()
+    assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in got) == brute_contamination(rows, items)
+
+
 def test_every_shared_span_has_a_common_fingerprint():
     rng = np.random.default_rng(3)
     for _ in range(50):
@@ -280,6 +293,21 @@ def test_quality_of_any_id_and_of_repeats(spark):
     assert sum(r.predicted == truth[r.doc_id - 2**62] for r in got if 2**62 <= r.doc_id < 2**62 + 60) >= 57
 
 
+def test_scores_are_sums_of_table_entries():
+    """Bin by bin and pair by pair, one text at a time."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, len(quality.FEATURES)))
+    x[:, 3] = np.round(x[:, 3])
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.3).astype(float)
+    model = quality.Additive(x, y, rounds=30)
+    assert model.pairs and ((model.score(x) >= 0.5) == (y == 1)).mean() >= 0.9
+    place = lambda cuts, v: sum(c <= v for c in cuts)
+    for row in [*x[:40], np.full(x.shape[1], 1e9), np.full(x.shape[1], -1e9)]:
+        total = model.base + sum(t[place(c, v)] for c, t, v in zip(model.cuts, model.tables, row))
+        total += sum(t[place(model.coarse[a], row[a]), place(model.coarse[b], row[b])] for (a, b), t in zip(model.pairs, model.pair_tables))
+        assert model.score(row[None])[0] == pytest.approx(1 / (1 + np.exp(-np.clip(total, -40, 40))), abs=1e-12)
+
+
 def test_features_do_not_depend_on_neighbours(spark):
     import pyarrow as pa
 
