@@ -14,6 +14,7 @@ STOP_WORDS = (
     "because when where how all each every both few more most other some such no nor not only own same so too very just your their this that"
 ).split()
 VERIFIED, SUSPICIOUS_RATE, REVIEW = 0.3, 0.3, 0.7
+#: What counts as a code, a percentage, a span of time and an amount, since results depend on it.
 CODE = r"\b(7\d{3})\b"
 PERCENT, DURATION, MONEY = r"\b(\d+)(?:%|\s*percent)", r"(?i)\b(\d+)\s*(?:days?|months?|years?)\b", r"\$\s*(\d+(?:,\d{3})*(?:\.\d{2})?)"
 EMPTY = "cast(array() as array<string>)"

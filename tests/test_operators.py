@@ -1,5 +1,6 @@
 """Edge cases that the tables don't hold."""
 
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from qalake.functions.rules import fold_pack
 from qalake.functions.text import cosine, normalize_query, query_hash, unit
-from qalake.operators import corpus, graph, maintenance, questions, retrieval, reuse, traffic, urls, verify
+from qalake.operators import corpus, evaluate, graph, maintenance, questions, retrieval, reuse, traffic, urls, verify
 from qalake.sources import files
 from qalake.streaming import flags
 
@@ -174,3 +175,69 @@ def test_entities_keep_the_first_name(spark):
     df = spark.createDataFrame([(1, "dc 5000 and 5000, code 5000"), (2, None)], "qid long, text string")
     got = one(graph.extract_entities(df, [("code", r"code (\d+)", "first {}"), ("code", r"(\d{4})", "second {}")]))
     assert got == [(1, "code", "5000", "first 5000")]
+
+
+# -- hot keys: far more rows of one key than any test table has -------------------------------------------------------
+
+
+def test_ttl_windows_of_a_hot_key(spark):
+    """A row a minute of one key, and few of others; no list of a key's rows is made."""
+    n = 60_000
+    rows = spark.range(n).select(F.when(F.col("id") % 1000 == 0, "rare").when(F.col("id") % 1000 == 1, F.lit(None).cast("string")).otherwise("hot").alias("key"), F.col("id").alias("qid"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    got = {r.qid for r in reuse.ttl_dedup(rows, 24).filter("kept").collect()}
+    want = set()
+    for key in (0, 1, 2):
+        opened = None
+        for i in range(n):
+            if min(i % 1000, 2) == key and (opened is None or i >= opened + 1440):
+                opened = i
+                want.add(i)
+    assert got == want
+
+
+def test_an_entity_that_all_questions_hold(spark):
+    """What is matched are distinct sets of entities, not rows."""
+    n = 4000
+    asked = spark.range(n).select(F.col("id").alias("qid"))
+    edges = asked.select("qid", F.lit(0).alias("entity_id")).unionByName(asked.filter("qid % 3 > 0").select("qid", (F.col("qid") % 3).cast("int").alias("entity_id")))
+    originals = spark.range(n).filter("id % 2 = 0").select("id", (F.col("id") % 50).alias("ts"))
+    got = {}
+    for r in graph.similar_by_entity(asked, edges, originals, 3).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.id, r.matches))
+    sets = [{0, i % 3} for i in range(n)]
+    for q in range(0, n, 397):
+        best = sorted(((-len(sets[q] & sets[i]), -(i % 50), -i) for i in range(0, n, 2) if i != q))[:3]
+        assert sorted(got[q]) == [(k + 1, -b[2], -b[0]) for k, b in enumerate(best)]
+    assert len(got) == n
+
+
+def test_latency_of_a_hot_key_is_counted_by_value(spark):
+    rows = spark.range(100_000).select(F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("k"), (F.col("id") * 7 % 900).alias("ms"))
+    got = {r.k: r for r in evaluate.latency_stats(rows, ["k"], "ms").collect()}
+    for k in "ab":
+        v = sorted(i * 7 % 900 for i in range(100_000) if (i % 50 == 0) == (k == "b"))
+        assert (got[k].n, got[k].min, got[k].max, got[k].p95, got[k].p99) == (len(v), v[0], v[-1], v[int(len(v) * 0.95)], v[int(len(v) * 0.99)])
+        assert got[k]["mean"] == pytest.approx(statistics.mean(v), abs=1e-4) and got[k]["std"] == pytest.approx(statistics.stdev(v), abs=1e-4) and got[k]["median"] == statistics.median(v)
+
+
+def test_neighbours_leave_out_the_question_itself(spark):
+    """By broadcast, by blocks and in cells; equal scores by id."""
+    v = spark.range(300).select("id", F.array((F.col("id") % 7).cast("float"), F.lit(1.0).cast("float"), (F.col("id") % 5).cast("float")).alias("embedding"))
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
+    plans = [retrieval.knn_topk(q, v, 5, 0.0, skip_self=True), retrieval.knn_topk(q, v, 5, 0.0, skip_self=True, broadcast_bytes=0, block_bytes=500), retrieval.knn_approx(q, v, 5, 0.0, cells=4, probes=4, skip_self=True, block_bytes=500)]
+    a, b, c = (sorted(one(p)) for p in plans)
+    assert a == b == c and len(a) == 15 * 5 and not [r for r in a if r[0] == r[1]]
+
+
+def test_batches_of_texts_stay_bounded(spark):
+    texts = spark.range(3000).select(F.repeat(F.lit("x"), (F.col("id") % 97 * 4).cast("int")).alias("p"), "id").select(F.concat(F.col("id").cast("string"), "p").alias("text"))
+    rows = retrieval.embed_batches(texts.unionByName(texts), 40, 1000, 700)
+    size = texts.select(F.sha2("text", 256).alias("text_hash"), (F.floor(F.length("text") / 4) + 1).alias("tokens"))
+    got = rows.join(size, "text_hash").groupBy("part", "batch").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).collect()
+    assert sum(r.n for r in got) == 3000 and all(r.n <= 40 and r.tokens <= 1000 for r in got) and {r.part for r in got} == set(range(5))
+
+
+def test_figures_in_words_are_found(spark):
+    """Also without a space before the word, and with two."""
+    df = spark.createDataFrame([("pays 30percent, 40  percent, 50% and 7 percents",)], "t string")
+    assert sorted(df.select(F.regexp_extract_all(F.lower("t"), F.lit(verify.PERCENT), F.lit(1)).alias("x")).first().x) == ["30", "40", "50", "7"]
