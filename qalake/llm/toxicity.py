@@ -46,6 +46,8 @@ BROADCAST_LABELS = 2_000_000
 COUNTED_BYTES = 1 << 20
 #: Terms that are sent to all tasks, at most; the rest are joined.
 HOT_TERMS = 5_000_000
+#: Items that a task remembers to have sent; beyond, some are sent again.
+SENT_ITEMS = 1_000_000
 #: Words' sums above and below these are summed by themselves.
 BOUNDS = (1.0, 2.0, 3.0)
 #: Numbers that describe a text.
@@ -289,6 +291,7 @@ def _probes(hot):
 
     def work(batches):
         table = hot.value.ready()
+        sent = np.zeros(0, np.int64)  # items that this task has sent
         for batch in batches:
             key = batch.column("key")
             data, offsets = raw(batch.column("text"))
@@ -313,8 +316,10 @@ def _probes(hot):
                     _lists(name[one], np.bincount(row[one], minlength=j - i)[some]), _lists(np.diff(at), np.bincount(row[one], minlength=j - i)[some]),
                     none(docs, pa.int64()), none(docs, pa.float64()), none(docs, pa.list_(pa.int64())),
                 ], names=NAMES)
-                _, first = np.unique(name[one], return_index=True)
-                one = one[first]
+                fresh, first = np.unique(name[one], return_index=True)
+                new = ~np.isin(fresh, sent, assume_unique=True)
+                one = one[first[new]]
+                sent = np.union1d(sent if len(sent) < SENT_ITEMS else sent[:0], fresh[new])
                 stop = np.append(own.begin[1:], len(value))[one]
                 place = ranges(own.begin[one], stop - own.begin[one])
                 owner = np.repeat(np.arange(len(one)), stop - own.begin[one])
@@ -360,11 +365,12 @@ class Model:
         codes = codes.join(self.table.select("ctx", "w", "grams"), F.shiftrightunsigned("code", 8) == F.col("ctx")).select("item", F.coalesce(F.get(seen, F.lit(0))["v"], F.col("w")).alias("v"))
         items = items.select("item", F.col("own.base").alias("v")).unionByName(codes).groupBy("item").agg(F.sum("v").alias("v"))
         cold = docs.select("key", F.explode(F.arrays_zip("cold", "times")).alias("e")).select("key", F.col("e.cold").alias("item"), F.col("e.times").alias("n")).join(items, "item")
-        sums = cold.select("key", *[(p * F.col("n")).alias(f"p{i}") for i, p in enumerate(part_columns(F.col("v")))])
-        own = docs.select("key", "bytes", "items", *[F.get("x", F.lit(i)).alias(f"p{i}") for i in range(SUMS)])
-        sums = sums.select("key", F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("items"), *[f"p{i}" for i in range(SUMS)]).unionByName(own)
-        means = [F.sum(f"p{i}") / F.sum("items" if i else "bytes") for i in range(SUMS)]
-        return sums.groupBy("key").agg(*[m.alias(f"x{i}") for i, m in enumerate(means)]).select("key", F.array(*[f"x{i}" for i in range(SUMS)]).alias("x"))
+        # terms, not their parts, are shuffled: a row is added up where its text's others are
+        cold = cold.select("key", F.col("v").cast("float").alias("v"), F.col("n").cast("int").alias("n")).repartition("key")
+        cold = cold.groupBy("key").agg(*[F.sum(p * F.col("n")).alias(f"c{i}") for i, p in enumerate(part_columns(F.col("v").cast("double")))])
+        size = lambda i: F.col("items" if i else "bytes")
+        means = [(F.get("x", F.lit(i)) + F.coalesce(f"c{i}", F.lit(0.0))) / size(i) for i in range(SUMS)]
+        return docs.join(cold, "key", "left").select("key", F.array(*means).alias("x"))
 
     def score(self, x: Column) -> Column:
         z = F.lit(float(self.b))
