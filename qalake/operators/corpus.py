@@ -44,9 +44,26 @@ MARKER = r"<!-- Chunk (\d+)/(\d+) \| Heading: ?(.*?) ?\| Words: (\d+) -->"
 def split_markers(docs: DataFrame, least: int = MIN_CHUNK) -> DataFrame:
     """doc_id, pos, number, total, heading, words, content: the text before a marker is the marker's."""
     group = lambda i: F.regexp_extract_all("text", F.lit(MARKER), F.lit(i))
-    parts = docs.select("doc_id", F.arrays_zip(F.slice(F.split("text", MARKER), F.lit(1), F.size(group(1))).alias("content"), group(1).alias("number"), group(2).alias("total"), group(3).alias("heading"), group(4).alias("words")).alias("p"))
+    parts = docs.select(
+        "doc_id",
+        F.arrays_zip(
+            F.slice(F.split("text", MARKER), F.lit(1), F.size(group(1))).alias("content"),
+            group(1).alias("number"),
+            group(2).alias("total"),
+            group(3).alias("heading"),
+            group(4).alias("words"),
+        ).alias("p"),
+    )
     rows = parts.select("doc_id", F.posexplode("p").alias("pos", "p"))
-    rows = rows.select("doc_id", "pos", F.col("p.number").cast("int").alias("number"), F.col("p.total").cast("int").alias("total"), F.trim("p.heading").alias("heading"), F.col("p.words").cast("int").alias("words"), F.regexp_replace("p.content", r"^\s+|\s+$", "").alias("content"))
+    rows = rows.select(
+        "doc_id",
+        "pos",
+        F.col("p.number").cast("int").alias("number"),
+        F.col("p.total").cast("int").alias("total"),
+        F.trim("p.heading").alias("heading"),
+        F.col("p.words").cast("int").alias("words"),
+        F.regexp_replace("p.content", r"^\s+|\s+$", "").alias("content"),
+    )
     return rows.filter(F.length("content") >= least)
 
 
@@ -84,10 +101,28 @@ def build_chunks(docs: DataFrame, base: str) -> DataFrame:
     """entry_id, type, heading, url, content of a document's questions, references and sections. docs: doc_id, text, source."""
     key = docs.select("doc_id", "source")
     anchored = lambda anchor: F.concat(F.lit(base), F.col("source"), F.lit("#"), anchor)
-    faq = extract_faq(docs).join(key, "doc_id").select(F.concat_ws("-", "doc_id", F.lit("faq"), F.col("pos") + 1).alias("entry_id"), F.lit("faq").alias("type"), F.col("question").alias("heading"), anchored(F.lit("faq")).alias("url"), F.col("answer").alias("content"))
+    faq = extract_faq(docs).join(key, "doc_id").select(
+        F.concat_ws("-", "doc_id", F.lit("faq"), F.col("pos") + 1).alias("entry_id"),
+        F.lit("faq").alias("type"),
+        F.col("question").alias("heading"),
+        anchored(F.lit("faq")).alias("url"),
+        F.col("answer").alias("content"),
+    )
     ref = docs.select("doc_id", "source", F.trim(extract_section(F.col("text"), "References")).alias("content")).filter("content <> ''")
-    ref = ref.select(F.concat_ws("-", "doc_id", F.lit("references")).alias("entry_id"), F.lit("reference").alias("type"), F.lit("References").alias("heading"), anchored(F.lit("references")).alias("url"), "content")
-    part = split_headings(docs).join(key, "doc_id").select(F.concat_ws("-", "doc_id", F.lit("section"), F.col("pos") + 1).alias("entry_id"), F.lit("section").alias("type"), "heading", anchored(F.col("anchor")).alias("url"), "content")
+    ref = ref.select(
+        F.concat_ws("-", "doc_id", F.lit("references")).alias("entry_id"),
+        F.lit("reference").alias("type"),
+        F.lit("References").alias("heading"),
+        anchored(F.lit("references")).alias("url"),
+        "content",
+    )
+    part = split_headings(docs).join(key, "doc_id").select(
+        F.concat_ws("-", "doc_id", F.lit("section"), F.col("pos") + 1).alias("entry_id"),
+        F.lit("section").alias("type"),
+        "heading",
+        anchored(F.col("anchor")).alias("url"),
+        "content",
+    )
     return faq.unionByName(ref).unionByName(part)
 
 

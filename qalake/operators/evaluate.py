@@ -17,7 +17,12 @@ def eval_by_category(results: DataFrame) -> DataFrame:
 
 def eval_confidence(results: DataFrame, low: float = 0.5) -> DataFrame:
     c = F.avg("confidence")
-    table = results.groupBy("category").agg(F.count("*").alias("n"), F.round(c, 4).alias("mean"), F.count_if(F.col("confidence") < low).alias("low"), F.count_if(F.col("confidence").isNull()).alias("no_info"))
+    table = results.groupBy("category").agg(
+        F.count("*").alias("n"),
+        F.round(c, 4).alias("mean"),
+        F.count_if(F.col("confidence") < low).alias("low"),
+        F.count_if(F.col("confidence").isNull()).alias("no_info"),
+    )
     return table.withColumn("tier", first_match([(F.col("mean") >= 0.6, "strong"), (F.col("mean") >= low, "moderate")], "weak"))
 
 

@@ -16,7 +16,13 @@ Topics = Sequence[tuple[int, str, Sequence[str]]]
 def _hits(text: Column, topics: Topics) -> Column:
     """Array of (topic_id, matches, n) for topics with a keyword in the text."""
     lower = F.lower(text)
-    each = [F.struct(F.lit(i).alias("topic_id"), sum((F.contains(lower, F.lit(w.lower())).cast("int") for w in words), F.lit(0)).alias("matches"), F.lit(len(words)).alias("n")) for i, _, words in topics]
+    each = [
+        F.struct(
+            F.lit(i).alias("topic_id"),
+            sum((F.contains(lower, F.lit(w.lower())).cast("int") for w in words), F.lit(0)).alias("matches"),
+            F.lit(len(words)).alias("n"),
+        ) for i, _, words in topics
+    ]
     return F.filter(F.array(*each), lambda x: x["matches"] > 0)
 
 

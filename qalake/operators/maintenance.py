@@ -50,9 +50,15 @@ def build_chat_event(responses: DataFrame) -> DataFrame:
     usage = F.when(F.col("usage.total_tokens") > 0, F.col("usage"))
     meta = F.struct("question", F.coalesce("cache_hit", F.lit("miss")).alias("cache_hit"), F.size("sources").alias("chunks_retrieved"), usage.alias("token_usage"))
     return responses.select(
-        "id", F.lit("chat_question").alias("type"), F.coalesce("perf.provider", "usage.provider", "model_info.provider").alias("api_provider"), F.col("usage.total_tokens").alias("openai_total_tokens"),
-        F.length("question").alias("prompt_chars"), F.length("answer").alias("answer_chars"), F.when(F.col("answer").isNotNull(), 1).otherwise(0).alias("success"), F.to_json(meta).alias("meta"),
-    )
+        "id",
+        F.lit("chat_question").alias("type"),
+        F.coalesce("perf.provider", "usage.provider", "model_info.provider").alias("api_provider"),
+        F.col("usage.total_tokens").alias("openai_total_tokens"),
+        F.length("question").alias("prompt_chars"),
+        F.length("answer").alias("answer_chars"),
+        F.when(F.col("answer").isNotNull(), 1).otherwise(0).alias("success"),
+        F.to_json(meta).alias("meta"),
+    )
 
 
 def evolve_schema(rows: DataFrame, wanted: T.StructType) -> DataFrame:
@@ -93,4 +99,8 @@ def export_row(rows: DataFrame, key: str, value) -> DataFrame:
 def merge_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Numbers of inserted, replaced and untouched rows of an upsert."""
     o, n = old.select(key, F.lit(1).alias("o")), new.select(key, F.lit(1).alias("n"))
-    return o.join(n, key, "full").agg(F.count_if(F.col("o").isNull()).alias("inserted"), F.count_if(F.col("o").isNotNull() & F.col("n").isNotNull()).alias("replaced"), F.count_if(F.col("n").isNull()).alias("kept"))
+    return o.join(n, key, "full").agg(
+        F.count_if(F.col("o").isNull()).alias("inserted"),
+        F.count_if(F.col("o").isNotNull() & F.col("n").isNotNull()).alias("replaced"),
+        F.count_if(F.col("n").isNull()).alias("kept"),
+    )

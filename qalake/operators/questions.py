@@ -75,9 +75,15 @@ def route_question(questions: DataFrame, chunks: DataFrame, simple: Sequence[str
     """qid, tier, reason. chunks: qid, score, chars; questions without any are routed with score 0."""
     seen = chunks.groupBy("qid").agg(F.sum("score").alias("total"), F.max("score").alias("best"), F.sum("chars").alias("chars"), F.count("*").alias("n"))
     q = questions.join(seen, "qid", "left").select(
-        "qid", F.lower(F.trim("question")).alias("q"), F.size(word_list(F.col("question"))).alias("words"), count_of(F.col("question"), "?").alias("marks"),
-        F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("total", F.lit(0.0)) / F.greatest("n", F.lit(1))).alias("mean"),
-    )
+        "qid",
+        F.lower(F.trim("question")).alias("q"),
+        F.size(word_list(F.col("question"))).alias("words"),
+        count_of(F.col("question"), "?").alias("marks"),
+        F.coalesce("best", F.lit(0.0)).alias("best"),
+        F.coalesce("chars", F.lit(0)).alias("chars"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+        (F.coalesce("total", F.lit(0.0)) / F.greatest("n", F.lit(1))).alias("mean"),
+    )
     plain, hard = contains_any(F.col("q"), simple), contains_any(F.col("q"), complex_)
     rules = [
         (plain & (F.col("mean") >= GOOD_SCORE), "standard:simple_query_good_retrieval"),

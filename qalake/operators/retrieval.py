@@ -57,7 +57,10 @@ def embed_batches(texts: DataFrame, max_rows: int = 100, max_tokens: int = 8000,
     their hashes, and a batch ends where the next text would exceed a bound. A task holds an Arrow batch and where the
     last batch began. Texts are cut to the budget by the caller's encoder; one above it is a batch of its own.
     """
-    t = texts.select(F.lower("text").alias("text")).distinct().select(F.sha2("text", 256).alias("text_hash"), F.least(F.floor(F.length("text") / 4) + 1, F.lit(max_tokens)).cast("long").alias("tokens"))
+    t = texts.select(F.lower("text").alias("text")).distinct().select(
+        F.sha2("text", 256).alias("text_hash"),
+        F.least(F.floor(F.length("text") / 4) + 1, F.lit(max_tokens)).cast("long").alias("tokens"),
+    )
     parts = max(1, -(-t.count() // part_rows))
     t = t.withColumn("part", F.floor(F.conv(F.substring("text_hash", 1, 8), 16, 10).cast("long") * parts / 4294967296).cast("int"))
 
@@ -334,15 +337,46 @@ def term_search(chunks: DataFrame, terms: list[str], samples: int = 5) -> DataFr
 def retrieval_probe(questions: DataFrame, vectors: DataFrame, k: int = 10, floor: float = 0.3, skip_self: bool = False) -> DataFrame:
     """Neighbours with labels against what was expected (expected in questions, label in vectors)."""
     found = knn_topk(questions, vectors, k, floor, skip_self=skip_self)
-    return found.join(questions.select("qid", "expected"), "qid").join(vectors.select("id", "label"), "id").select("qid", "rank", "id", "score", "expected", "label", (F.col("label") == F.col("expected")).alias("hit"))
+    return found.join(questions.select("qid", "expected"), "qid").join(vectors.select("id", "label"), "id").select(
+        "qid",
+        "rank",
+        "id",
+        "score",
+        "expected",
+        "label",
+        (F.col("label") == F.col("expected")).alias("hit"),
+    )
 
 
 def low_confidence_report(quality: DataFrame, questions: DataFrame, retrieved: DataFrame, specific: list[str], gap: float = 0.45, top: int = 5) -> DataFrame:
     """One row for each weak question: its chunks, features and what may help."""
-    chunks = retrieved.filter(F.col("rank") <= top).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("chunk_ids"))
+    chunks = retrieved.filter(F.col("rank") <= top).groupBy("qid").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")),
+            ",",
+        ).alias("chunk_ids")
+    )
     q = quality.filter("weak").join(questions, "qid").join(chunks, "qid", "left")
     specifics = contains_any(F.lower("question"), specific)
     words = F.size(F.filter(F.split("question", r"\s+"), lambda w: w != ""))
-    advice = F.array_join(F.filter(F.array(F.when(F.coalesce("best", F.lit(0.0)) < gap, "add_content"), F.when(words <= 3, "ask_for_detail"), F.when(specifics, "check_terms")), lambda x: x.isNotNull()), ",")
-    return q.select("qid", "best", F.coalesce("chunk_ids", F.lit("")).alias("chunk_ids"), words.alias("n_words"), specifics.alias("asks_specific"), (F.coalesce("best", F.lit(0.0)) < gap).alias("possible_gap"), advice.alias("advice"))
+    advice = F.array_join(
+        F.filter(
+            F.array(
+                F.when(F.coalesce("best", F.lit(0.0)) < gap, "add_content"),
+                F.when(words <= 3, "ask_for_detail"),
+                F.when(specifics, "check_terms"),
+            ),
+            lambda x: x.isNotNull(),
+        ),
+        ",",
+    )
+    return q.select(
+        "qid",
+        "best",
+        F.coalesce("chunk_ids", F.lit("")).alias("chunk_ids"),
+        words.alias("n_words"),
+        specifics.alias("asks_specific"),
+        (F.coalesce("best", F.lit(0.0)) < gap).alias("possible_gap"),
+        advice.alias("advice"),
+    )
 

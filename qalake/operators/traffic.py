@@ -102,7 +102,10 @@ def location_class(location: Column) -> Column:
 
 def location_classes(totals: DataFrame) -> DataFrame:
     """Counts by class, with upper-case states summed, and what is tracked in all."""
-    return totals.groupBy(location_class(F.col("location")).alias("class")).agg(F.sum("n").alias("n"), F.countDistinct(F.upper("location")).alias("places")).withColumn("total_tracked", F.sum("n").over(W.partitionBy()))
+    return totals.groupBy(location_class(F.col("location")).alias("class")).agg(
+        F.sum("n").alias("n"),
+        F.countDistinct(F.upper("location")).alias("places"),
+    ).withColumn("total_tracked", F.sum("n").over(W.partitionBy()))
 
 
 def state_counts(totals: DataFrame) -> DataFrame:

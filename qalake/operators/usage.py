@@ -95,7 +95,12 @@ def cache_window_stats(events: DataFrame, as_of: str, hours: int = 24) -> DataFr
     start = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {int(hours)} hours")
     hit = lambda kind: F.count_if(F.coalesce("cache_hit", F.lit("miss")) == kind)
     table = events.filter(is_type("chat_question") & (F.col("ts") >= start)).agg(
-        F.count("*").alias("total"), hit("exact").alias("exact"), hit("semantic").alias("semantic"), hit("miss").alias("miss"), avg("response_ms").alias("average_ms"), F.coalesce(F.sum("openai_total_tokens"), F.lit(0)).alias("tokens")
+        F.count("*").alias("total"),
+        hit("exact").alias("exact"),
+        hit("semantic").alias("semantic"),
+        hit("miss").alias("miss"),
+        avg("response_ms").alias("average_ms"),
+        F.coalesce(F.sum("openai_total_tokens"), F.lit(0)).alias("tokens"),
     )
     rate = F.when(F.col("total") > 0, F.round((F.col("exact") + F.col("semantic")) / F.col("total"), 4)).otherwise(F.lit(0.0))
     return table.withColumn("hit_rate", rate)
@@ -122,5 +127,9 @@ def cost_rollup(events: DataFrame, prices: DataFrame) -> DataFrame:
     table = used.groupBy("model_used").agg(F.count("*").alias("n"), F.avg(F.coalesce("openai_total_tokens", F.lit(0)) * F.col("per_1k") / 1000).alias("cost"))
     every = W.partitionBy()
     return table.select(
-        "model_used", "n", F.round("cost", 6).alias("cost"), F.round(F.col("n") / F.sum("n").over(every), 6).alias("share"), F.round(F.sum(F.col("n") * F.col("cost")).over(every) / F.sum("n").over(every), 6).alias("mean_cost")
+        "model_used",
+        "n",
+        F.round("cost", 6).alias("cost"),
+        F.round(F.col("n") / F.sum("n").over(every), 6).alias("share"),
+        F.round(F.sum(F.col("n") * F.col("cost")).over(every) / F.sum("n").over(every), 6).alias("mean_cost"),
     )

@@ -74,25 +74,54 @@ def check_citations(answers: DataFrame, chunks: DataFrame, threshold: float = VE
         F.when(F.col("cited_url").isNull(), "not_in_sources"), F.when(F.col("there").isNull(), "no_chunk"), F.when(F.col("there") & (support < threshold), "low_support"),
         F.when(F.col("cited_url") != F.col("chunk_url"), "url_mismatch"),
     ]
-    return c.select("qid", "pos", "number", F.round(support, 4).alias("confidence"), (F.coalesce("there", F.lit(False)) & (support >= threshold)).alias("verified"), F.concat_ws(",", *issues).alias("issues"))
+    return c.select(
+        "qid",
+        "pos",
+        "number",
+        F.round(support, 4).alias("confidence"),
+        (F.coalesce("there", F.lit(False)) & (support >= threshold)).alias("verified"),
+        F.concat_ws(",", *issues).alias("issues"),
+    )
 
 
 def verify_citations(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row for each answer: citations, verified and suspicious ones, score (1 without citations), flags."""
     rows = check_citations(answers, chunks).groupBy("qid").agg(F.count("*").alias("total"), F.count_if("verified").alias("verified"), F.max("number").alias("highest"))
     k = chunks.groupBy("qid").agg(F.max("rank").alias("chunks"))
-    t = answers.select("qid").join(rows, "qid", "left").join(k, "qid", "left").select("qid", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("verified", F.lit(0)).alias("verified"), (F.coalesce("highest", F.lit(0)) > F.coalesce("chunks", F.lit(0))).alias("beyond_chunks"))
+    t = answers.select("qid").join(rows, "qid", "left").join(k, "qid", "left").select(
+        "qid",
+        F.coalesce("total", F.lit(0)).alias("total"),
+        F.coalesce("verified", F.lit(0)).alias("verified"),
+        (F.coalesce("highest", F.lit(0)) > F.coalesce("chunks", F.lit(0))).alias("beyond_chunks"),
+    )
     score = F.when(F.col("total") > 0, F.round(F.col("verified") / F.col("total"), 4)).otherwise(F.lit(1.0))
-    return t.select("*", (F.col("total") - F.col("verified")).alias("suspicious"), score.alias("score"), (F.col("total") - F.col("verified") > F.col("total") * SUSPICIOUS_RATE).alias("many_suspicious"), (score < REVIEW).alias("review"))
+    return t.select(
+        "*",
+        (F.col("total") - F.col("verified")).alias("suspicious"),
+        score.alias("score"),
+        (F.col("total") - F.col("verified") > F.col("total") * SUSPICIOUS_RATE).alias("many_suspicious"),
+        (score < REVIEW).alias("review"),
+    )
 
 
 def verification_summary(verified: DataFrame) -> DataFrame:
-    return verified.agg(F.count("*").alias("answers"), F.sum("total").alias("citations"), F.sum("verified").alias("verified"), F.sum("suspicious").alias("suspicious"), F.count_if("review").alias("reviews"), F.round(F.avg("score"), 4).alias("mean_score"))
+    return verified.agg(
+        F.count("*").alias("answers"),
+        F.sum("total").alias("citations"),
+        F.sum("verified").alias("verified"),
+        F.sum("suspicious").alias("suspicious"),
+        F.count_if("review").alias("reviews"),
+        F.round(F.avg("score"), 4).alias("mean_score"),
+    )
 
 
 def _figures(text: Column) -> list[Column]:
     low = F.lower(text)
-    return [F.array_distinct(_all(low, PERCENT, 1)).alias("percents"), F.array_distinct(_all(text, CODE, 1)).alias("codes"), F.array_distinct(F.concat(_all(text, DURATION, 1), _all(text, MONEY, 1))).alias("specifics")]
+    return [
+        F.array_distinct(_all(low, PERCENT, 1)).alias("percents"),
+        F.array_distinct(_all(text, CODE, 1)).alias("codes"),
+        F.array_distinct(F.concat(_all(text, DURATION, 1), _all(text, MONEY, 1))).alias("specifics"),
+    ]
 
 
 def verify_numbers(answers: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -25,7 +25,12 @@ TAIL = "\nSources:\n1. [A](https://kb/a)\n2) [B](https://kb/b)\n9. [Z](https://k
 SQL_TAIL = "chr(10) || 'Sources:' || chr(10) || '1. [A](https://kb/a)' || chr(10) || '2) [B](https://kb/b)' || chr(10) || '9. [Z](https://kb/z)'"
 answers = lambda v: v.cited.select("qid", F.concat("answer", F.when(F.col("qid") % 3 == 0, F.lit(TAIL)).otherwise("")).alias("answer"))
 ANSWERS = f"select qid, answer || case when qid % 3 = 0 then {SQL_TAIL} else '' end as answer from cited"
-chunks = lambda v: v.retrieved.join(v.documents, "doc_id").select("qid", "rank", F.concat("text", F.lit(" Pays 30% after 2 years.")).alias("text"), F.when(F.col("rank") == 1, "https://kb/a").otherwise("https://kb/c").alias("url"))
+chunks = lambda v: v.retrieved.join(v.documents, "doc_id").select(
+    "qid",
+    "rank",
+    F.concat("text", F.lit(" Pays 30% after 2 years.")).alias("text"),
+    F.when(F.col("rank") == 1, "https://kb/a").otherwise("https://kb/c").alias("url"),
+)
 CHUNKS = "select qid, rank, text || ' Pays 30% after 2 years.' as text, case when rank = 1 then 'https://kb/a' else 'https://kb/c' end as url from retrieved join documents using (doc_id)"
 CITED = r"""select qid, cast(i - 1 as int) as pos, cast(n[i] as int) as number, trim(c[i]) as claim from (select qid, c, n, unnest(range(1, len(c) + 1)) as i from (
   select qid, regexp_extract_all(answer, '([^.!?\n]{10,100})\s*\[(\d+)\]', 1) as c, regexp_extract_all(answer, '([^.!?\n]{10,100})\s*\[(\d+)\]', 2) as n from (""" + ANSWERS + ") a) b) d"
@@ -37,63 +42,112 @@ SUPPORT = rf"""case when len(w) = 0 then 0.5::double when len(n) > 0 then (len(l
   else len(list_filter(w, lambda x: contains(lower(text), x))) / len(w)::double end"""
 WORDS = rf"list_distinct(list_filter(regexp_extract_all(lower(claim), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 2 and x not in {STOPS})) as w, list_distinct(regexp_extract_all(claim, '\d+%?')) as n"
 CHECKED = f"""select qid, pos, number, round(s, 4) as confidence, coalesce(there, false) and s >= 0.3 as verified,
-  concat_ws(',', case when cited_url is null then 'not_in_sources' end, case when there is null then 'no_chunk' end, case when there and s < 0.3 then 'low_support' end, case when cited_url <> chunk_url then 'url_mismatch' end) as issues
-from (select c.qid, pos, c.number, r.url as cited_url, k.url as chunk_url, case when k.text is not null then true end as there, case when k.text is null then 0.0::double else {SUPPORT} end as s
+  concat_ws(',', case when cited_url is null then 'not_in_sources' end, case when there is null then 'no_chunk' end, case
+    when there and s < 0.3 then 'low_support' end, case when cited_url <> chunk_url then 'url_mismatch' end) as issues
+from (select c.qid, pos, c.number, r.url as cited_url, k.url as chunk_url, case when k.text is not null then true end as there, case
+  when k.text is null then 0.0::double else {SUPPORT} end as s
   from (select *, {WORDS} from ({CITED}) x) c left join ({REFS}) r on r.qid = c.qid and r.number = c.number left join ({CHUNKS}) k on k.qid = c.qid and k.rank = c.number) y"""
 query("claim_support", lambda v: V.check_citations(answers(v), chunks(v)), CHECKED, "cited retrieved")
 VERIFIED = f"""select qid, total, verified, beyond_chunks, total - verified as suspicious, score, total - verified > total * 0.3 as many_suspicious, score < 0.7 as review from (
-  select a.qid, count(pos) as total, count(*) filter (where verified) as verified, coalesce(max(number), 0) > 3 as beyond_chunks, case when count(pos) > 0 then round(count(*) filter (where verified) / count(pos)::double, 4) else 1.0::double end as score
+  select a.qid, count(pos) as total, count(*) filter (where verified) as verified, coalesce(max(number), 0) > 3 as beyond_chunks, case
+    when count(pos) > 0 then round(count(*) filter (where verified) / count(pos)::double, 4) else 1.0::double end as score
   from ({ANSWERS}) a left join ({CHECKED}) c on c.qid = a.qid group by 1) t"""
 query("verify_citations", lambda v: V.verify_citations(answers(v), chunks(v)), VERIFIED, "cited retrieved")
-query("verification_summary", lambda v: V.verification_summary(V.verify_citations(answers(v), chunks(v))), f"select count(*) as answers, cast(sum(total) as bigint) as citations, cast(sum(verified) as bigint) as verified, cast(sum(suspicious) as bigint) as suspicious, count(*) filter (where review) as reviews, round(avg(score), 4) as mean_score from ({VERIFIED}) v", "cited retrieved")
+query(
+    "verification_summary",
+    lambda v: V.verification_summary(V.verify_citations(answers(v), chunks(v))),
+    f"select count(*) as answers, cast(sum(total) as bigint) as citations, cast(sum(verified) as bigint) as verified, cast(sum(suspicious) as "
+    f"bigint) as suspicious, count(*) filter (where review) as reviews, round(avg(score), 4) as mean_score from ({VERIFIED}) v",
+    "cited retrieved",
+)
 FIG = r"list_distinct(regexp_extract_all(lower({0}), '\b(\d+)(?:%|\s*percent)', 1)) as p, list_distinct(regexp_extract_all({0}, '\b(7\d{{3}})\b', 1)) as c, list_distinct(list_concat(regexp_extract_all({0}, '(?i)\b(\d+)\s*(?:days?|months?|years?)\b', 1), regexp_extract_all({0}, '\$\s*(\d+(?:,\d{{3}})*(?:\.\d{{2}})?)', 1))) as s"
 LESS = "array_to_string(list_sort(list_filter(a.{0}, lambda x: not list_contains(k.{0}, x))), ',')"
-NUMBERS = f"""select qid, percents, codes, specifics, percents = '' and codes = '' and specifics = '' as is_clean from (select a.qid, {LESS.format('p')} as percents, {LESS.format('c')} as codes, {LESS.format('s')} as specifics
-  from (select qid, {FIG.format('answer')} from ({ANSWERS}) z) a join (select qid, flatten(list(p)) as p, flatten(list(c)) as c, flatten(list(s)) as s from (select qid, {FIG.format('text')} from ({CHUNKS}) y) x group by 1) k on k.qid = a.qid) t"""
+NUMBERS = f"""select qid, percents, codes, specifics, percents = '' and codes = '' and specifics = '' as is_clean
+  from (select a.qid, {LESS.format('p')} as percents, {LESS.format('c')} as codes, {LESS.format('s')} as specifics
+  from (select qid, {FIG.format('answer')} from ({ANSWERS}) z) a join (select qid, flatten(list(p)) as p, flatten(list(c)) as c, flatten(list(s)) as s
+    from (select qid, {FIG.format('text')} from ({CHUNKS}) y) x group by 1) k on k.qid = a.qid) t"""
 query("verify_numbers", lambda v: V.verify_numbers(answers(v), chunks(v)), NUMBERS, "cited retrieved")
 CLEAN = f"select qid, replace(replace(replace(answer, chr(10) || '9. [Z](https://kb/z)', ''), '[4]', ''), '[5]', '') as answer, length(answer) as before from ({ANSWERS}) a"
 query("clean_citations", lambda v: answers(v).select("qid", F.md5(V.clean_citations(F.col("answer"), F.lit(3))).alias("digest")), f"select qid, md5(answer) as digest from ({CLEAN}) c", "cited")
 query(
     "sanitize_answers",
     lambda v: V.sanitize_answers(answers(v), chunks(v)).withColumn("answer", F.md5("answer")),
-    f"select qid, md5(t) as answer, cast(before as int) as before, cast(length(t) as int) as after, is_clean from (select c.qid, before, is_clean, case when is_clean then '' else '{V.WARNING}' end || answer as t from ({CLEAN}) c join ({NUMBERS}) n on n.qid = c.qid) x",
+    f"select qid, md5(t) as answer, cast(before as int) as before, cast(length(t) as int) as after, is_clean from (select c.qid, before, "
+    f"is_clean, case when is_clean then '' else '{V.WARNING}' end || answer as t from ({CLEAN}) c join ({NUMBERS}) n on n.qid = c.qid) x",
     "cited retrieved",
 )
 # the case: questions of every twelfth conversation have found nothing
 query(
     "confidence_gate",
     lambda v: V.confidence_gate(R.retrieval_quality(v.qa, v.retrieved.filter("conv_id % 12 <> 11"))),
-    "select qa.qid, max(score) as best, case when max(score) is null then 'no_context' when max(score) < 0.45 then 'refuse' when max(score) < 0.5 then 'warn' when max(score) < 0.55 then 'flag' else 'accept' end as decision from qa left join (select * from retrieved where conv_id % 12 <> 11) r on r.qid = qa.qid group by 1",
+    "select qa.qid, max(score) as best, case when max(score) is null then 'no_context' when max(score) < 0.45 then 'refuse' when max(score) < "
+    "0.5 then 'warn' when max(score) < 0.55 then 'flag' else 'accept' end as decision from qa left join (select * from retrieved where conv_id % "
+    "12 <> 11) r on r.qid = qa.qid group by 1",
     "qa retrieved",
 )
-query("score_bands", lambda v: V.score_bands(v.retrieved), "select case when score < 0.45 then 'refuse' when score < 0.5 then 'warn' when score < 0.55 then 'flag' else 'accept' end as band, count(*) as n, round(avg(score), 4) as mean from retrieved group by 1", "retrieved")
+query(
+    "score_bands",
+    lambda v: V.score_bands(v.retrieved),
+    "select case when score < 0.45 then 'refuse' when score < 0.5 then 'warn' when score < 0.55 then 'flag' else 'accept' end as band, count(*) "
+    "as n, round(avg(score), 4) as mean from retrieved group by 1",
+    "retrieved",
+)
 
 # -- evaluation -------------------------------------------------------------------------------------------------------
 
-results = lambda v: v.labels.join(v.documents, "doc_id").select(F.col("doc_id").alias("number"), F.col("source").alias("category"), (F.col("quality") == 1).alias("success"), F.when(F.col("toxic") == 0, F.col("doc_id") % 100 / 100).alias("confidence"))
+results = lambda v: v.labels.join(v.documents, "doc_id").select(
+    F.col("doc_id").alias("number"),
+    F.col("source").alias("category"),
+    (F.col("quality") == 1).alias("success"),
+    F.when(F.col("toxic") == 0, F.col("doc_id") % 100 / 100).alias("confidence"),
+)
 RESULTS = "select doc_id as number, source as category, quality = 1 as success, case when toxic = 0 then doc_id % 100 / 100.0::double end as confidence from labels join documents using (doc_id)"
-query("eval_by_category", lambda v: E.eval_by_category(results(v)), f"select category, count(*) as total, count(*) filter (where success) as successes, round(count(*) filter (where success) / count(*)::double, 4) as rate from ({RESULTS}) r group by rollup (category)")
+query(
+    "eval_by_category",
+    lambda v: E.eval_by_category(results(v)),
+    f"select category, count(*) as total, count(*) filter (where success) as successes, round(count(*) filter (where success) / count(*)::double, "
+    f"4) as rate from ({RESULTS}) r group by rollup (category)",
+)
 query(
     "eval_confidence",
     lambda v: E.eval_confidence(results(v)),
-    f"select *, case when mean >= 0.6 then 'strong' when mean >= 0.5 then 'moderate' else 'weak' end as tier from (select category, count(*) as n, round(avg(confidence), 4) as mean, count(*) filter (where confidence < 0.5) as low, count(*) filter (where confidence is null) as no_info from ({RESULTS}) r group by 1) t",
+    f"select *, case when mean >= 0.6 then 'strong' when mean >= 0.5 then 'moderate' else 'weak' end as tier from (select category, count(*) as "
+    f"n, round(avg(confidence), 4) as mean, count(*) filter (where confidence < 0.5) as low, count(*) filter (where confidence is null) as "
+    f"no_info from ({RESULTS}) r group by 1) t",
+)
+query(
+    "eval_score_dist",
+    lambda v: E.eval_score_dist(results(v)),
+    f"select band, n, round(100.0::double * n / sum(n) over (), 4) as percent from (select case when confidence is null then 'none' when "
+    f"confidence >= 0.7 then 'high' when confidence >= 0.5 then 'medium' else 'low' end as band, count(*) as n from ({RESULTS}) r group by 1) t",
+)
+query(
+    "merge_runs",
+    lambda v: E.merge_runs(results(v), results(v).withColumn("success", ~F.col("success")), 50).select("number", "success"),
+    f"select number, case when number < 50 then success else not success end as success from ({RESULTS}) r",
 )
-query("eval_score_dist", lambda v: E.eval_score_dist(results(v)), f"select band, n, round(100.0::double * n / sum(n) over (), 4) as percent from (select case when confidence is null then 'none' when confidence >= 0.7 then 'high' when confidence >= 0.5 then 'medium' else 'low' end as band, count(*) as n from ({RESULTS}) r group by 1) t")
-query("merge_runs", lambda v: E.merge_runs(results(v), results(v).withColumn("success", ~F.col("success")), 50).select("number", "success"), f"select number, case when number < 50 then success else not success end as success from ({RESULTS}) r")
 query(
     "latency_stats",
     lambda v: E.latency_stats(v.ev, ["type"], "response_ms"),
-    """with l as (select type, response_ms::double as v, row_number() over (partition by type order by response_ms) - 1 as i, count(*) over (partition by type) as n from ev where response_ms is not null)
-select type, count(*) as n, round(avg(v), 4) as mean, round(quantile_cont(v, 0.5), 4) as median, round(stddev_samp(v), 4) as std, round(min(v), 4) as min, round(max(v), 4) as max, round(max(v) filter (where i = floor(n * 0.95::double)), 4) as p95, round(max(v) filter (where i = floor(n * 0.99::double)), 4) as p99 from l group by 1""",
+    """with l as (select type, response_ms::double as v, row_number() over (partition by type
+  order by response_ms) - 1 as i, count(*) over (partition by type) as n from ev where response_ms is not null)
+select type, count(*) as n, round(avg(v), 4) as mean, round(quantile_cont(v, 0.5), 4) as median, round(stddev_samp(v), 4) as std, round(min(v), 4) as min, round(max(v), 4) as max, round(max(v) filter (where i = floor(n * 0.95::double)), 4) as p95, round(max(v) filter (where i = floor(n * 0.99::double)), 4) as p99
+  from l group by 1""",
+    "ev",
+)
+query(
+    "throughput",
+    lambda v: E.throughput(v.ev, ["type"], "ts", "ts"),
+    "select type, count(*) as n, round(count(*) * 1e6::double / (epoch_us(max(ts)) - epoch_us(min(ts))), 6) as per_second from ev group by 1",
     "ev",
 )
-query("throughput", lambda v: E.throughput(v.ev, ["type"], "ts", "ts"), "select type, count(*) as n, round(count(*) * 1e6::double / (epoch_us(max(ts)) - epoch_us(min(ts))), 6) as per_second from ev group by 1", "ev")
 query(
     "eval_expectation",
     lambda v: E.eval_expectation(R.retrieval_probe(questions(v), corpus(v), 5, 0.2, skip_self=True), 3),
     f"""with p as (select qid, rank, q.label = c.label as hit from ({knn(5, 0.2)}) f join embeddings q on q.vec_id = qid join embeddings c on c.vec_id = id),
 g as (select qid, max(case when rank = 1 then cast(hit as int) end) as top, min(case when hit then rank end) as first_at from p group by 1)
-select count(*) as questions, round(avg(coalesce(top, 0)), 4) as top_rate, round(avg(cast(coalesce(first_at, 1000000000) <= 3 as int)), 4) as hit_rate, round(avg(coalesce(1.0::double / first_at, 0)), 4) as mrr from g""",
+select count(*) as questions, round(avg(coalesce(top, 0)), 4) as top_rate, round(avg(cast(coalesce(first_at, 1000000000) <= 3 as int)), 4) as hit_rate, round(avg(coalesce(1.0::double / first_at, 0)), 4) as mrr
+  from g""",
 )
 
 # -- files ------------------------------------------------------------------------------------------------------------
@@ -106,7 +160,13 @@ def folder(v, name):
 def corpus_files(v):
     """The chunks as JSON arrays, some hundreds in each file, with broken and repeated records."""
     path = folder(v, "corpus")
-    record = F.struct(F.when(F.col("entry_id") % 50 != 7, F.col("entry_id").cast("string")).alias("entry_id"), "topic", "type", "url", F.when(F.col("entry_id") % 40 != 9, F.col("content")).alias("content"))
+    record = F.struct(
+        F.when(F.col("entry_id") % 50 != 7, F.col("entry_id").cast("string")).alias("entry_id"),
+        "topic",
+        "type",
+        "url",
+        F.when(F.col("entry_id") % 40 != 9, F.col("content")).alias("content"),
+    )
     again = F.struct(F.col("entry_id").cast("string").alias("entry_id"), F.lit("again").alias("topic"), "type", "url", F.col("content"))
     rows = v.chunks.withColumn("file", F.floor(F.col("entry_id") / 300)).select("file", "entry_id", record.alias("r"), F.when(F.col("entry_id") % 60 == 3, again).alias("a"))
     arrays = rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "r", "a"))), lambda x: F.struct(x["r"].alias("r"), x["a"].alias("a"))).alias("x"))
@@ -118,7 +178,8 @@ def corpus_files(v):
 query(
     "read_corpus",
     lambda v: files.read_corpus(v.spark, corpus_files(v)).select("entry_id", "topic", "type", F.md5("content").alias("digest")),
-    "select cast(entry_id as varchar) as entry_id, case when entry_id % 60 = 3 then 'again' else topic end as topic, type, md5(content) as digest from chunks where entry_id % 60 = 3 or (entry_id % 50 <> 7 and entry_id % 40 <> 9 and content <> '')",
+    "select cast(entry_id as varchar) as entry_id, case when entry_id % 60 = 3 then 'again' else topic end as topic, type, md5(content) as "
+    "digest from chunks where entry_id % 60 = 3 or (entry_id % 50 <> 7 and entry_id % 40 <> 9 and content <> '')",
     "chunks",
 )
 
@@ -132,7 +193,12 @@ def document_files(v):
 
 def read_documents(v):
     path = document_files(v)
-    return files.read_documents(v.spark, path, v.documents.select(F.col("doc_id").cast("string").alias("file"), "source"), 101).select("file", "source", F.length(F.regexp_replace("content", r"\n$", "")).alias("chars"))
+    return files.read_documents(
+        v.spark,
+        path,
+        v.documents.select(F.col("doc_id").cast("string").alias("file"), "source"),
+        101,
+    ).select("file", "source", F.length(F.regexp_replace("content", r"\n$", "")).alias("chars"))
 
 
 query("read_documents", read_documents, "select cast(doc_id as varchar) as file, source, cast(length(text) as int) as chars from documents where length(text) >= 100")
@@ -150,8 +216,11 @@ def question_files(v):
 query(
     "read_questions",
     lambda v: files.read_questions(v.spark, question_files(v)),
-    rf"""with l as (select trim({LINE}) as line from documents), p as (select case when contains(line, ' | ') then trim(regexp_extract(line, '^(.*?) \| (.*)$', 1)) else regexp_extract(line, '^\[([A-Z0-9-]+)\]\s*(.+)$', 1) end as id,
-  case when contains(line, ' | ') then trim(regexp_extract(line, '^(.*?) \| (.*)$', 2)) else regexp_extract(line, '^\[([A-Z0-9-]+)\]\s*(.+)$', 2) end as question from l where line <> '' and not starts_with(line, '#'))
+    rf"""with l as (select trim({LINE}) as line from documents), p as (select case
+  when contains(line, ' | ') then trim(regexp_extract(line, '^(.*?) \| (.*)$', 1)) else regexp_extract(line, '^\[([A-Z0-9-]+)\]\s*(.+)$', 1)
+  end as id,
+  case when contains(line, ' | ') then trim(regexp_extract(line, '^(.*?) \| (.*)$', 2)) else regexp_extract(line, '^\[([A-Z0-9-]+)\]\s*(.+)$', 2)
+    end as question from l where line <> '' and not starts_with(line, '#'))
 select id, regexp_replace(id, '-[^-]*$', '') as category, question from p where id <> ''""",
 )
 
@@ -175,7 +244,12 @@ query("write_results", written_results, f"select form, number, category, success
 
 # -- streams ----------------------------------------------------------------------------------------------------------
 
-requests = lambda v: v.ev.filter("type = 'chat_question'").select("id", "ip", "ts", F.expr("case when k % 10 = 0 then 'hi' else concat('prompt ', cast(k div 40 as string)) end").alias("prompt"))
+requests = lambda v: v.ev.filter("type = 'chat_question'").select(
+    "id",
+    "ip",
+    "ts",
+    F.expr("case when k % 10 = 0 then 'hi' else concat('prompt ', cast(k div 40 as string)) end").alias("prompt"),
+)
 REQ = "select id, ip, ts, epoch_us(ts) as t, case when k % 10 = 0 then 'hi' else 'prompt ' || cast(k // 40 as varchar) end as prompt from ev where type = 'chat_question'"
 dense = lambda v: requests(v).withColumn("ts", F.timestamp_micros((micros("ts") / 200).cast("long")))
 DENSE = f"select id, ip, cast(floor(t / 200.0) as bigint) as t, prompt from ({REQ}) q"
@@ -197,7 +271,13 @@ f as (select *, r = 1 and sum(r) over (partition by ip order by t range between
 select id, case when ip in ('10.0.0.0', '60.1.0.1') then null when burst then 'burst' when short then 'short' when repeat then 'repeat' end as reason from f""",
     "ev",
 )
-query("rate_tier", lambda v: flags.rate_tier(dense(v)).select("id", "in_hour", "limit"), f"select id, n as in_hour, case when n > 20 then 5 when n > 10 then 15 else 250 end as limit from (select id, count(*) over (partition by ip order by t range between 3599999999 preceding and current row) as n from ({DENSE}) d) e", "ev")
+query(
+    "rate_tier",
+    lambda v: flags.rate_tier(dense(v)).select("id", "in_hour", "limit"),
+    f"select id, n as in_hour, case when n > 20 then 5 when n > 10 then 15 else 250 end as limit from (select id, count(*) over (partition by ip "
+    f"order by t range between 3599999999 preceding and current row) as n from ({DENSE}) d) e",
+    "ev",
+)
 query("first_seen_visitors", lambda v: flags.first_seen(requests(v)).select("id", "is_new"), f"select id, row_number() over (partition by ip order by ts, id) = 1 as is_new from ({REQ}) r", "ev")
 query(
     "session_activity",
@@ -227,7 +307,12 @@ def stream_traffic(v):
     return days.select("day", "pageviews", (F.abs(F.col("uniques") - F.col("exact")) <= 1 + 0.05 * F.col("exact")).alias("near"), F.col("exact").alias("visitors"))
 
 
-query("stream_traffic", stream_traffic, "select cast(cast(ts as date) as varchar) as day, count(*) as pageviews, true as near, count(distinct sid) as visitors from ev where type = 'pageview' group by 1", "ev")
+query(
+    "stream_traffic",
+    stream_traffic,
+    "select cast(cast(ts as date) as varchar) as day, count(*) as pageviews, true as near, count(distinct sid) as visitors from ev where type = 'pageview' group by 1",
+    "ev",
+)
 
 
 def stream_ttl(v):
@@ -239,7 +324,13 @@ def stream_ttl(v):
 query("stream_ttl_dedup", stream_ttl, TTL, "ev")
 query(
     "stream_link_answers",
-    lambda v: live.drain(ev_stream(v).filter("type = 'chat_question'").withColumn("answer", F.expr("concat(question, ' with that und des')")), "links", lambda batch: G.link_new_answers(batch, TOPICS, RULES)),
-    "select id as qid, 'topic' as kind, cast(t as varchar) as target from ev cross join (select unnest([1, 2, 4, 5, 6]) as t) x where type = 'chat_question' and cache_hit = 'miss' union all select id as qid, 'entity' as kind, 'tion:QUESTION' as target from ev where type = 'chat_question' and cache_hit = 'miss'",
+    lambda v: live.drain(
+        ev_stream(v).filter("type = 'chat_question'").withColumn("answer", F.expr("concat(question, ' with that und des')")),
+        "links",
+        lambda batch: G.link_new_answers(batch, TOPICS, RULES),
+    ),
+    "select id as qid, 'topic' as kind, cast(t as varchar) as target from ev cross join (select unnest([1, 2, 4, 5, 6]) as t) x where type = "
+    "'chat_question' and cache_hit = 'miss' union all select id as qid, 'entity' as kind, 'tion:QUESTION' as target from ev where type = "
+    "'chat_question' and cache_hit = 'miss'",
     "ev",
 )

@@ -27,7 +27,10 @@ def led(qa):
 
 def coded(qa):
     code = (5000 + F.col("conv_id") % 4).cast("string")
-    text = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("What is DC "), code, F.lit("?"))).when(F.col("conv_id") % 5 == 1, F.concat(F.lit("DC "), code, F.lit(" "), "question")).otherwise(F.col("question"))
+    text = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("What is DC "), code, F.lit("?"))).when(
+        F.col("conv_id") % 5 == 1,
+        F.concat(F.lit("DC "), code, F.lit(" "), "question"),
+    ).otherwise(F.col("question"))
     return qa.withColumn("question", text)
 
 
@@ -40,7 +43,8 @@ query(
     "expand_query",
     lambda v: coded(v.qa).select("qid", Q.expand_query(F.col("question"), CODES, LONG).alias("expanded")),
     f"""with q as (select qid, conv_id, {CODED} as question, cast(5000 + conv_id % 4 as varchar) as code from qa), n as (select *, {NAME} as name from q),
-e as (select qid, case when conv_id % 5 = 0 then 'What is Diagnostic Code ' || code || case when name is null then '? What condition does it cover?' else '? ' || name || '. What are the rating criteria?' end
+e as (select qid, case when conv_id % 5 = 0 then 'What is Diagnostic Code ' || code || case
+  when name is null then '? What condition does it cover?' else '? ' || name || '. What are the rating criteria?' end
   when conv_id % 5 = 1 then 'Diagnostic Code ' || code || coalesce(' (' || name || ')', '') || substr(question, 8) else question end as t0 from n)
 """ + "".join(f", e{i + 1} as (select qid, case when contains(t{i}, '{x}') then t{i} else regexp_replace(t{i}, '(?i){p}', '{x}', 'g') end as t{i + 1} from e{i if i else ''})" for i, (p, x) in enumerate(LONG)) + f" select qid, t{len(LONG)} as expanded from e{len(LONG)}",
     "qa",
@@ -48,7 +52,9 @@ e as (select qid, case when conv_id % 5 = 0 then 'What is Diagnostic Code ' || c
 query(
     "expand_terms",
     lambda v: v.qa.select("qid", Q.expand_terms(F.col("question"), TERMS).alias("expanded")),
-    "select qid, case " + " ".join(f"when contains(lower(question), '{t}') then replace(lower(question), '{t}', '{e}')" for t, e in sorted(TERMS, key=lambda x: -len(x[0]))) + " else question end as expanded from qa",
+    "select qid, case " + " ".join(
+        f"when contains(lower(question), '{t}') then replace(lower(question), '{t}', '{e}')" for t, e in sorted(TERMS, key=lambda x: -len(x[0]))
+    ) + " else question end as expanded from qa",
     "qa",
 )
 PARTS = "select * from (values ('small', 'little tiny small'), ('ring', 'circle band ring'), ('steel', 'metal ring steel')) t(entry, expansion)"
@@ -60,15 +66,22 @@ query(
     ),
     f"""with d as ({PARTS}), w as (select entry, expansion, unnest(string_split(expansion, ' ')) as word from d),
 t as (select distinct unnest(string_split(p_name, ' ')) as term from part union select 'tiny' union select 'ring' union select 'none')
-select distinct term, word from t join w on lower(term) = entry union select distinct term, word from t join w on contains(expansion, lower(term)) where lower(term) not in (select entry from d)""",
+select distinct term, word from t join w on lower(term) = entry union select distinct term, word from t join w on contains(expansion, lower(term))
+  where lower(term) not in (select entry from d)""",
 )
 KIND = "case " + " ".join("when " + " or ".join(f"contains(lower(question), '{w}')" for w in words) + f" then '{name}'" for name, words in Q.QUESTION_TYPES) + " else 'general' end"
-query("question_type", lambda v: led(v.qa).select("qid", Q.question_type(F.col("question")).alias("type")), f"with q as (select qid, {LED} as question from qa) select qid, {KIND} as type from q", "qa")
+query(
+    "question_type",
+    lambda v: led(v.qa).select("qid", Q.question_type(F.col("question")).alias("type")),
+    f"with q as (select qid, {LED} as question from qa) select qid, {KIND} as type from q",
+    "qa",
+)
 query(
     "question_features",
     lambda v: led(v.qa).select("qid", *Q.question_features(F.col("question"), ["rating", "with", "und"])),
     rf"""with q as (select qid, {LED} as question from qa) select qid, cast(len(regexp_extract_all(question, '\S+')) as int) as n_words,
-  contains(lower(question), 'rating') or contains(lower(question), 'with') or contains(lower(question), 'und') as asks_specific, cast(length(question) - length(replace(question, '?', '')) as int) as n_marks from q""",
+  contains(lower(question), 'rating') or contains(lower(question), 'with') or contains(lower(question), 'und') as asks_specific, cast(length(question) - length(replace(question, '?', '')) as int) as n_marks
+    from q""",
     "qa",
 )
 has = lambda words: "(" + " or ".join(f"contains(q, '{w}')" for w in words) + ")"
@@ -77,13 +90,22 @@ query(
     "route_question",
     lambda v: Q.route_question(led(v.qa), v.retrieved.join(v.documents, "doc_id").filter("conv_id % 6 <> 5").select("qid", "score", F.length("text").alias("chars")), SIMPLE, HARD),
     rf"""with q as (select qid, conv_id, {LED} as question from qa),
-c as (select qid, sum(score) as total, max(score) as best, sum(length(text)) as chars, count(*) as n from retrieved join documents using (doc_id) where conv_id % 6 <> 5 group by 1),
+c as (select qid, sum(score) as total, max(score) as best, sum(length(text)) as chars, count(*) as n from retrieved join documents using (doc_id)
+  where conv_id % 6 <> 5 group by 1),
 x as (select q.qid, lower(trim(question)) as q, len(regexp_extract_all(question, '\S+')) as words, length(question) - length(replace(question, '?', '')) as marks, coalesce(best, 0) as best, coalesce(chars, 0) as chars,
   coalesce(n, 0) as n, coalesce(total, 0) / greatest(coalesce(n, 0), 1) as mean from q left join c on c.qid = q.qid),
-r as (select qid, case when {has(SIMPLE)} and mean >= 0.5 then 'standard:simple_query_good_retrieval' when best >= 0.6 then 'standard:high_confidence_retrieval' when words <= 10 then 'standard:short_query'
-  when {has(HARD)} and not {has(SIMPLE)} then 'premium:complex_query_detected' when words <= 20 and mean >= 0.45 then 'standard:standard_faq_query' when chars > 5000 and n > 6 then 'premium:large_context_synthesis'
-  when marks > 1 or {has((" and also ", " as well as "))} then 'premium:multi_part_query' when mean < 0.35 then 'premium:low_confidence_needs_reasoning' else 'standard:default_standard' end as r from x)
+r as (select qid, case when {has(SIMPLE)} and mean >= 0.5 then 'standard:simple_query_good_retrieval'
+  when best >= 0.6 then 'standard:high_confidence_retrieval' when words <= 10 then 'standard:short_query'
+  when {has(HARD)} and not {has(SIMPLE)} then 'premium:complex_query_detected' when words <= 20 and mean >= 0.45 then 'standard:standard_faq_query'
+    when chars > 5000 and n > 6 then 'premium:large_context_synthesis'
+  when marks > 1 or {has((" and also ", " as well as "))} then 'premium:multi_part_query'
+    when mean < 0.35 then 'premium:low_confidence_needs_reasoning' else 'standard:default_standard' end as r from x)
 select qid, split_part(r, ':', 1) as tier, split_part(r, ':', 2) as reason from r""",
     "qa retrieved",
 )
-query("model_tier", lambda v: v.ev.filter("model_used is not null").groupBy(Q.model_tier(F.col("model_used")).alias("tier")).agg(F.count("*").alias("n")), "select case when contains(model_used, 'mini') then 'standard' else 'premium' end as tier, count(*) as n from ev where model_used is not null group by 1", "ev")
+query(
+    "model_tier",
+    lambda v: v.ev.filter("model_used is not null").groupBy(Q.model_tier(F.col("model_used")).alias("tier")).agg(F.count("*").alias("n")),
+    "select case when contains(model_used, 'mini') then 'standard' else 'premium' end as tier, count(*) as n from ev where model_used is not null group by 1",
+    "ev",
+)

@@ -36,8 +36,18 @@ query(
   count(distinct case when type = 'pageview' then sid end) as uniques from ev where {MONTH} group by 1""",
     "ev",
 )
-query("top_pages", lambda v: traffic.top_values(traffic.recent_events(v.ev, AS_OF).filter(traffic.is_type("pageview")), "path", "(none)"), f"select coalesce(path, '(none)') as path, count(*) as n from ev where {MONTH} and type = 'pageview' group by 1 order by n desc, 1 limit 10", "ev")
-query("top_referrers", lambda v: traffic.top_values(traffic.recent_events(v.ev, AS_OF).filter(traffic.is_type("pageview")), "ref", "(direct)"), f"select coalesce(ref, '(direct)') as ref, count(*) as n from ev where {MONTH} and type = 'pageview' group by 1 order by n desc, 1 limit 10", "ev")
+query(
+    "top_pages",
+    lambda v: traffic.top_values(traffic.recent_events(v.ev, AS_OF).filter(traffic.is_type("pageview")), "path", "(none)"),
+    f"select coalesce(path, '(none)') as path, count(*) as n from ev where {MONTH} and type = 'pageview' group by 1 order by n desc, 1 limit 10",
+    "ev",
+)
+query(
+    "top_referrers",
+    lambda v: traffic.top_values(traffic.recent_events(v.ev, AS_OF).filter(traffic.is_type("pageview")), "ref", "(direct)"),
+    f"select coalesce(ref, '(direct)') as ref, count(*) as n from ev where {MONTH} and type = 'pageview' group by 1 order by n desc, 1 limit 10",
+    "ev",
+)
 PLACES = "select location, count(*) as n from ev where type = 'visitor_location' and location is not null group by 1"
 OLD_PLACES = "select unnest(json_keys(value)) as location, cast(json_extract_string(value, '$.\"' || unnest(json_keys(value)) || '\"') as bigint) as n from kv where key = 'locations'"
 query("location_counts", lambda v: traffic.location_counts(v.ev), PLACES, "ev")
@@ -49,17 +59,24 @@ CLASS = """case when location = 'Local' then 'local' when location = 'Unknown' t
 query(
     "location_classes",
     lambda v: traffic.location_classes(traffic.location_totals(v.ev, v.kv)),
-    f"select *, cast(sum(n) over () as bigint) as total_tracked from (select {CLASS} as class, cast(sum(n) as bigint) as n, count(distinct upper(location)) as places from ({ALL_PLACES}) t group by 1) u",
+    f"select *, cast(sum(n) over () as bigint) as total_tracked from (select {CLASS} as class, cast(sum(n) as bigint) as n, count(distinct "
+    f"upper(location)) as places from ({ALL_PLACES}) t group by 1) u",
     "ev kv",
 )
 STATES = f"select upper(location) as state, cast(sum(n) as bigint) as n from ({ALL_PLACES}) t where {CLASS} = 'us_state' group by 1"
-query("top_states", lambda v: traffic.top_states(traffic.location_totals(v.ev, v.kv)), f"select state, n, count(*) over () as states, cast(sum(n) over () as bigint) as us_total from ({STATES}) s order by n desc, state limit 6", "ev kv")
+query(
+    "top_states",
+    lambda v: traffic.top_states(traffic.location_totals(v.ev, v.kv)),
+    f"select state, n, count(*) over () as states, cast(sum(n) over () as bigint) as us_total from ({STATES}) s order by n desc, state limit 6",
+    "ev kv",
+)
 query("state_intensity", lambda v: traffic.state_intensity(traffic.location_totals(v.ev, v.kv)), f"select state, round(n * 1.0 / max(n) over (), 6) as intensity from ({STATES}) s", "ev kv")
 query(
     "classify_ip",
     lambda v: traffic.classify_ip(v.ev, v.ip_ranges),
     r"""select distinct ip, case when regexp_matches(ip, '^(10\.|127\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)') then 'Local' else coalesce(region, 'Unknown') end as place
-  from ev left join ip_ranges on cast(split_part(ip, '.', 1) as bigint) * 16777216 + cast(split_part(ip, '.', 2) as bigint) * 65536 + cast(split_part(ip, '.', 3) as bigint) * 256 + cast(split_part(ip, '.', 4) as bigint) between lo and hi""",
+  from ev left
+    join ip_ranges on cast(split_part(ip, '.', 1) as bigint) * 16777216 + cast(split_part(ip, '.', 2) as bigint) * 65536 + cast(split_part(ip, '.', 3) as bigint) * 256 + cast(split_part(ip, '.', 4) as bigint) between lo and hi""",
     "ev ip_ranges",
 )
 query(
@@ -86,7 +103,13 @@ query(
   cast(sum(openai_completion_tokens) as bigint) as completion, count(distinct model_used) as models, count(distinct api_provider) as providers from ev where {TOKENS}""",
     "ev",
 )
-query("token_daily", lambda v: usage.token_daily(v.ev, AS_OF), f"select cast(cast(ts as date) as varchar) as day, cast(sum(openai_total_tokens) as bigint) as total, round(avg(openai_total_tokens), 4) as average, count(*) as n from ev where {TOKENS} group by 1 order by day desc limit 30", "ev")
+query(
+    "token_daily",
+    lambda v: usage.token_daily(v.ev, AS_OF),
+    f"select cast(cast(ts as date) as varchar) as day, cast(sum(openai_total_tokens) as bigint) as total, round(avg(openai_total_tokens), 4) as "
+    f"average, count(*) as n from ev where {TOKENS} group by 1 order by day desc limit 30",
+    "ev",
+)
 query(
     "model_breakdown",
     lambda v: usage.model_breakdown(v.ev, AS_OF),
@@ -94,17 +117,39 @@ query(
   group by 1, 2 order by total desc nulls last, model_used nulls last, api_provider nulls last limit 10""",
     "ev",
 )
-query("completion_share", lambda v: usage.completion_share(v.ev, AS_OF), f"select round(100.0 * sum(openai_completion_tokens) / greatest(sum(openai_total_tokens), 1), 4) as completion_share from ev where {TOKENS}", "ev")
+query(
+    "completion_share",
+    lambda v: usage.completion_share(v.ev, AS_OF),
+    f"select round(100.0 * sum(openai_completion_tokens) / greatest(sum(openai_total_tokens), 1), 4) as completion_share from ev where {TOKENS}",
+    "ev",
+)
 FIRST = "count(*) as n, round(avg(response_ms), 4) as average_ms, round(quantile_cont(response_ms, 0.95), 4) as p95_ms"
 LATENCY = f"{FIRST}, round(avg(answer_chars), 4) as answer_chars, round(avg(prompt_chars), 4) as prompt_chars, round(100 * avg(success), 4) as success_rate"
 query("latency_summary", lambda v: usage.latency_summary(v.ev, AS_OF), f"select {LATENCY} from ev where {CHATS} and response_ms is not null", "ev")
-query("latency_by_provider", lambda v: usage.latency_by_provider(v.ev, AS_OF), f"select coalesce(api_provider, 'unknown') as provider, {LATENCY} from ev where {CHATS} and response_ms is not null group by 1", "ev")
-query("latency_daily", lambda v: usage.latency_daily(v.ev, AS_OF), f"select cast(cast(ts as date) as varchar) as day, {FIRST} from ev where {CHATS} and response_ms is not null group by 1 order by day desc limit 30", "ev")
+query(
+    "latency_by_provider",
+    lambda v: usage.latency_by_provider(v.ev, AS_OF),
+    f"select coalesce(api_provider, 'unknown') as provider, {LATENCY} from ev where {CHATS} and response_ms is not null group by 1",
+    "ev",
+)
+query(
+    "latency_daily",
+    lambda v: usage.latency_daily(v.ev, AS_OF),
+    f"select cast(cast(ts as date) as varchar) as day, {FIRST} from ev where {CHATS} and response_ms is not null group by 1 order by day desc limit 30",
+    "ev",
+)
 
 
 def with_meta(ev):
     """Events whose meta holds the fields that the log's writer puts there."""
-    usage_ = F.when(F.col("openai_total_tokens") > 0, F.struct(F.col("openai_prompt_tokens").alias("prompt_tokens"), F.col("openai_completion_tokens").alias("completion_tokens"), F.col("openai_total_tokens").alias("total_tokens")))
+    usage_ = F.when(
+        F.col("openai_total_tokens") > 0,
+        F.struct(
+            F.col("openai_prompt_tokens").alias("prompt_tokens"),
+            F.col("openai_completion_tokens").alias("completion_tokens"),
+            F.col("openai_total_tokens").alias("total_tokens"),
+        ),
+    )
     meta = F.to_json(F.struct("question", "cache_hit", (F.col("k") / 100).alias("semantic_similarity"), (F.col("k") % 8).alias("chunks_retrieved"), usage_.alias("token_usage")))
     return ev.withColumn("meta", F.when(F.col("k") % 17 != 0, meta))
 
@@ -119,7 +164,8 @@ query(
 query(
     "cache_window_stats",
     lambda v: usage.cache_window_stats(v.ev, AS_OF, 48),
-    f"""select *, round((exact + semantic) * 1.0 / total, 4) as hit_rate from (select count(*) as total, count(*) filter (where cache_hit = 'exact') as exact, count(*) filter (where cache_hit = 'semantic') as semantic,
+    f"""select *, round((exact + semantic) * 1.0 / total, 4) as hit_rate
+  from (select count(*) as total, count(*) filter (where cache_hit = 'exact') as exact, count(*) filter (where cache_hit = 'semantic') as semantic,
   count(*) filter (where coalesce(cache_hit, 'miss') = 'miss') as miss, round(avg(response_ms), 4) as average_ms, cast(coalesce(sum(openai_total_tokens), 0) as bigint) as tokens
   from ev where type = 'chat_question' and ts >= {T} - interval 48 hours) t""",
     "ev",
@@ -131,7 +177,8 @@ query(
     "cost_rollup",
     lambda v: usage.cost_rollup(v.ev, v.spark.createDataFrame([("mini", 0.6), ("premium", 10.0)], "model_used string, per_1k double")),
     """with p as (select * from (values ('mini', 0.6::double), ('premium', 10.0::double)) t(model_used, per_1k)),
-c as (select ev.model_used, count(*) as n, avg(coalesce(openai_total_tokens, 0) * per_1k / 1000) as cost from ev join p on p.model_used = ev.model_used where type = 'chat_question' group by 1)
+c as (select ev.model_used, count(*) as n, avg(coalesce(openai_total_tokens, 0) * per_1k / 1000) as cost from ev
+  join p on p.model_used = ev.model_used where type = 'chat_question' group by 1)
 select model_used, n, round(cost, 6) as cost, round(n * 1.0 / sum(n) over (), 6) as share, round(sum(n * cost) over () / sum(n) over (), 6) as mean_cost from c""",
     "ev",
 )

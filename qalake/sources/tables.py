@@ -77,19 +77,46 @@ union all select 'broken' as key, 'n/a' as value""",
 }
 #: Views that a view is made of.
 USES = {"cited": ["qa"], "retrieved": ["qa"]}
-BASE = {"md": ["documents"], "marked": ["documents"], "faq": ["documents"], "ev": ["events"], "qa": ["conversations"], "chunks": ["documents", "pages"], "retrieved": ["documents"], "kv": ["customer", "orders", "nation"]}
+BASE = {
+    "md": ["documents"],
+    "marked": ["documents"],
+    "faq": ["documents"],
+    "ev": ["events"],
+    "qa": ["conversations"],
+    "chunks": ["documents", "pages"],
+    "retrieved": ["documents"],
+    "kv": ["customer", "orders", "nation"],
+}
 _S = ("array_join(transform(split(text, '\\n'), (x, i) -> {}), {})", "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: {}), {})")
 DIALECT = {
     "spark": {
         "md": _S[0].format("case when i % 3 = 0 then concat('## ', x) else x end", "concat(char(10), char(10))"),
-        "marked": _S[0].format("case when i % 3 = 2 then concat(x, char(10), '<!-- Chunk ', cast(i div 3 + 1 as string), '/9 | Heading: ', left(x, 12), ' | Words: ', cast(length(x) as string), ' -->') else x end", "char(10)"),
-        "faq": "concat('Intro', char(10), '## Frequently Asked Questions', char(10), " + _S[0].format("case when i % 2 = 0 then concat('- #### ', x) else concat('- ', x) end", "char(10)") + ", char(10), '## References', char(10), 'See ', source, char(10), '## Notes', char(10), lang)",
-        "k": K_SPARK, "names": "listagg(n_name, '\",\"') within group (order by n_name)", "counts": "listagg(concat('\"', place, '\":', cast(n as string)), ',') within group (order by place)"},
+        "marked": _S[0].format(
+            "case when i % 3 = 2 then concat(x, char(10), '<!-- Chunk ', cast(i div 3 + 1 as string), '/9 | Heading: ', left(x, 12), ' | Words: ', cast(length(x) as string), ' -->') else x end",
+            "char(10)",
+        ),
+        "faq": "concat('Intro', char(10), '## Frequently Asked Questions', char(10), " + _S[0].format(
+            "case when i % 2 = 0 then concat('- #### ', x) else concat('- ', x) end",
+            "char(10)",
+        ) + ", char(10), '## References', char(10), 'See ', source, char(10), '## Notes', char(10), lang)",
+        "k": K_SPARK,
+        "names": "listagg(n_name, '\",\"') within group (order by n_name)",
+        "counts": "listagg(concat('\"', place, '\":', cast(n as string)), ',') within group (order by place)",
+    },
     "duck": {
         "md": _S[1].format("case when (i - 1) % 3 = 0 then concat('## ', x) else x end", "concat(chr(10), chr(10))"),
-        "marked": _S[1].format("case when (i - 1) % 3 = 2 then concat(x, chr(10), '<!-- Chunk ', cast((i - 1) // 3 + 1 as varchar), '/9 | Heading: ', left(x, 12), ' | Words: ', cast(length(x) as varchar), ' -->') else x end", "chr(10)"),
-        "faq": "concat('Intro', chr(10), '## Frequently Asked Questions', chr(10), " + _S[1].format("case when (i - 1) % 2 = 0 then concat('- #### ', x) else concat('- ', x) end", "chr(10)") + ", chr(10), '## References', chr(10), 'See ', source, chr(10), '## Notes', chr(10), lang)",
-        "k": K_DUCK, "names": "string_agg(n_name, '\",\"' order by n_name)", "counts": "string_agg(concat('\"', place, '\":', cast(n as varchar)), ',' order by place)"},
+        "marked": _S[1].format(
+            "case when (i - 1) % 3 = 2 then concat(x, chr(10), '<!-- Chunk ', cast((i - 1) // 3 + 1 as varchar), '/9 | Heading: ', left(x, 12), ' | Words: ', cast(length(x) as varchar), ' -->') else x end",
+            "chr(10)",
+        ),
+        "faq": "concat('Intro', chr(10), '## Frequently Asked Questions', chr(10), " + _S[1].format(
+            "case when (i - 1) % 2 = 0 then concat('- #### ', x) else concat('- ', x) end",
+            "chr(10)",
+        ) + ", chr(10), '## References', chr(10), 'See ', source, chr(10), '## Notes', chr(10), lang)",
+        "k": K_DUCK,
+        "names": "string_agg(n_name, '\",\"' order by n_name)",
+        "counts": "string_agg(concat('\"', place, '\":', cast(n as varchar)), ',' order by place)",
+    },
 }
 
 

@@ -28,13 +28,19 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 4) ->
 
 def hourly(chats: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Questions and hits by hour; an hour is given out when the watermark has passed it."""
-    return chats.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("questions"), F.count_if(F.coalesce("cache_hit", F.lit("miss")) != "miss").alias("hits")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "questions", "hits")
+    return chats.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w")).agg(
+        F.count("*").alias("questions"),
+        F.count_if(F.coalesce("cache_hit", F.lit("miss")) != "miss").alias("hits"),
+    ).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "questions", "hits")
 
 
 def daily_traffic(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Pageviews by day, with an approximate number of visitors."""
     views = events.filter("type = 'pageview'").withWatermark("ts", delay)
-    return views.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("pageviews"), F.approx_count_distinct("sid", 0.01).alias("uniques")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "pageviews", "uniques")
+    return views.groupBy(F.window("ts", "1 day").alias("w")).agg(
+        F.count("*").alias("pageviews"),
+        F.approx_count_distinct("sid", 0.01).alias("uniques"),
+    ).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "pageviews", "uniques")
 
 
 def new_visitors(events: DataFrame, delay: str = "30 days") -> DataFrame:

@@ -74,7 +74,10 @@ def test_approximate_neighbours_find_most(spark):
 
 def test_reuse_ends_at_expiry(spark):
     q = spark.createDataFrame([(1, "A?", T0), (2, "a", T0 + timedelta(hours=24)), (3, "b", T0)], "qid long, question string, ts timestamp")
-    a = spark.createDataFrame([(9, "a", T0, T0 + timedelta(hours=24)), (8, "a", T0 - timedelta(hours=2), T0 + timedelta(hours=22))], "answer_id long, q string, created_at timestamp, expires_at timestamp")
+    a = spark.createDataFrame(
+        [(9, "a", T0, T0 + timedelta(hours=24)), (8, "a", T0 - timedelta(hours=2), T0 + timedelta(hours=22))],
+        "answer_id long, q string, created_at timestamp, expires_at timestamp",
+    )
     assert one(reuse.exact_reuse(q, a.withColumn("query_hash", query_hash(F.col("q"))))) == [(1, 9)]
 
 
@@ -183,7 +186,11 @@ def test_entities_keep_the_first_name(spark):
 def test_ttl_windows_of_a_hot_key(spark):
     """A row a minute of one key, and few of others; no list of a key's rows is made."""
     n = 60_000
-    rows = spark.range(n).select(F.when(F.col("id") % 1000 == 0, "rare").when(F.col("id") % 1000 == 1, F.lit(None).cast("string")).otherwise("hot").alias("key"), F.col("id").alias("qid"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 1000 == 0, "rare").when(F.col("id") % 1000 == 1, F.lit(None).cast("string")).otherwise("hot").alias("key"),
+        F.col("id").alias("qid"),
+        F.timestamp_seconds(F.col("id") * 60).alias("ts"),
+    )
     got = {r.qid for r in reuse.ttl_dedup(rows, 24).filter("kept").collect()}
     want = set()
     for key in (0, 1, 2):
@@ -224,7 +231,11 @@ def test_neighbours_leave_out_the_question_itself(spark):
     """By broadcast, by blocks and in cells; equal scores by id."""
     v = spark.range(300).select("id", F.array((F.col("id") % 7).cast("float"), F.lit(1.0).cast("float"), (F.col("id") % 5).cast("float")).alias("embedding"))
     q = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
-    plans = [retrieval.knn_topk(q, v, 5, 0.0, skip_self=True), retrieval.knn_topk(q, v, 5, 0.0, skip_self=True, broadcast_bytes=0, block_bytes=500), retrieval.knn_approx(q, v, 5, 0.0, cells=4, probes=4, skip_self=True, block_bytes=500)]
+    plans = [
+        retrieval.knn_topk(q, v, 5, 0.0, skip_self=True),
+        retrieval.knn_topk(q, v, 5, 0.0, skip_self=True, broadcast_bytes=0, block_bytes=500),
+        retrieval.knn_approx(q, v, 5, 0.0, cells=4, probes=4, skip_self=True, block_bytes=500),
+    ]
     a, b, c = (sorted(one(p)) for p in plans)
     assert a == b == c and len(a) == 15 * 5 and not [r for r in a if r[0] == r[1]]
 
