@@ -143,7 +143,17 @@ def _by_index(index):
                 many += [len(items.get(r, ())) for r in range(j - i)]
                 sha += [digest(items[r]) if r in items else NONE for r in range(j - i)]
             if many:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(np.concatenate(count)), pa.array(np.concatenate(hit)), pa.array(many, pa.int64()), pa.array(sha)], names=["doc_id", "tie", "n_words", "n_hit", "n_items", "items_sha256"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        batch.column("tie"),
+                        pa.array(np.concatenate(count)),
+                        pa.array(np.concatenate(hit)),
+                        pa.array(many, pa.int64()),
+                        pa.array(sha),
+                    ],
+                    names=["doc_id", "tie", "n_words", "n_hit", "n_items", "items_sha256"],
+                )
 
     return judge
 
@@ -183,7 +193,17 @@ def _windows(lengths: list[int], whole_only: bool):
                         fits = np.diff(first)[rows] == n
                         places, rows = places[fits], rows[fits]
                     take = pa.array(i + rows)
-                    yield pa.RecordBatch.from_arrays([ids.take(take), ties.take(take), pa.array(np.full(len(places), n, np.int32)), pa.array(places - first[rows]), pa.array(signed(a[places])), pa.array(signed(b[places]))], names=["doc_id", "tie", "n", "place", "a", "b"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(take),
+                            ties.take(take),
+                            pa.array(np.full(len(places), n, np.int32)),
+                            pa.array(places - first[rows]),
+                            pa.array(signed(a[places])),
+                            pa.array(signed(b[places])),
+                        ],
+                        names=["doc_id", "tie", "n", "place", "a", "b"],
+                    )
 
     return work
 
@@ -220,7 +240,14 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = _match(docs.select("doc_id", "tie"), counts)
     out = _match(out, hits, "left")
     items_sha = F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256)
-    return out.select("doc_id", "tie", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), items_sha.alias("items_sha256"))
+    return out.select(
+        "doc_id",
+        "tie",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
+        items_sha.alias("items_sha256"),
+    )
 
 
 def _match(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

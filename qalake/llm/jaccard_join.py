@@ -99,7 +99,17 @@ def _sign(trees: int, depth: int = DEPTH):
                 strings += [s.tobytes() for s in signatures(x, bounds, trees, depth)]
                 digests += [hashlib.blake2b(h[a:b], digest_size=16).digest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 many += np.diff(bounds).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), batch.column("tie"), pa.array(digests, pa.binary()), pa.array(strings, pa.binary()), pa.array(many, pa.int64())], names=["doc", "doc_id", "tie", "digest", "sig", "size"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc"),
+                    batch.column("doc_id"),
+                    batch.column("tie"),
+                    pa.array(digests, pa.binary()),
+                    pa.array(strings, pa.binary()),
+                    pa.array(many, pa.int64()),
+                ],
+                names=["doc", "doc_id", "tie", "digest", "sig", "size"],
+            )
 
     return work
 
@@ -111,7 +121,10 @@ def _tries(batches):
     def rows(tree, leaf, doc, before, after):
         deepest = np.maximum(before, after)
         some = deepest > 0
-        return pa.RecordBatch.from_arrays([pa.array(tree[some].astype(np.int32)), pa.array(signed(leaf[some])), pa.array(doc[some]), pa.array(deepest[some].astype(np.int32))], names=["tree", "leaf", "doc", "deepest"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(tree[some].astype(np.int32)), pa.array(signed(leaf[some])), pa.array(doc[some]), pa.array(deepest[some].astype(np.int32))],
+            names=["tree", "leaf", "doc", "deepest"],
+        )
 
     for batch in batches:
         if not batch.num_rows:
@@ -191,7 +204,10 @@ def _candidates(trees: int, depth: int, floor: int, threshold: float):
                 seen[i + a[0]] = [step * len(s), *(step * (1 / meets(s, d, trees)).sum() for d in range(DEPTH, floor - 1, -1))]
             if keep.any():
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(int(keep.sum()) + 1, dtype=np.int32) * seen.shape[1]), pa.array(seen[keep].ravel()))
-                yield from pa.Table.from_arrays([*(table.column(c).filter(pa.array(keep)) for c in ("gk", "tree", "half", "doc")), pa.chunked_array([lists])], names=["gk", "tree", "half", "doc", "seen"]).to_batches()
+                yield from pa.Table.from_arrays(
+                    [*(table.column(c).filter(pa.array(keep)) for c in ("gk", "tree", "half", "doc")), pa.chunked_array([lists])],
+                    names=["gk", "tree", "half", "doc", "seen"],
+                ).to_batches()
 
     return work
 
@@ -218,7 +234,14 @@ def _with_sets(batches):
             for a, b in slices(at, SET_BYTES):
                 part = row[a:b]
                 take = pa.array(i + part)
-                yield pa.RecordBatch.from_arrays([*own.slice(a, b - a).flatten(), *(batch.column(c).take(take) for c in ("doc", "n", "sig")), pa.array([sets[r] for r in part], pa.binary())], names=["gk", "depth", "tree", "half", "doc", "n", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *own.slice(a, b - a).flatten(),
+                        *(batch.column(c).take(take) for c in ("doc", "n", "sig")),
+                        pa.array([sets[r] for r in part], pa.binary()),
+                    ],
+                    names=["gk", "depth", "tree", "half", "doc", "n", "sig", "shingles"],
+                )
 
 
 def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -300,7 +323,10 @@ def components(edges: DataFrame) -> DataFrame:
             both = both.filter("b < a")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         met = both.join(least, "a")
-        out = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        out = met.filter("b > a").select(
+            F.col("b").alias("a"),
+            F.col("m").alias("b"),
+        ) if larger else met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
     pairs, state = cut(edges.filter("a <> b").distinct(), "edges"), None
@@ -375,7 +401,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     if groups.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(groups.select("doc")), "doc", "left_semi")
     groups = groups.join(nodes.select("doc", "n", "sig"), "doc")
-    sets = texts.join(groups.hint("shuffle_hash"), "doc").select("doc", "text", "groups", "n", "sig").mapInArrow(_with_sets, "gk long, depth int, tree int, half int, doc long, n long, sig binary, shingles binary")
+    sets = texts.join(groups.hint("shuffle_hash"), "doc").select("doc", "text", "groups", "n", "sig").mapInArrow(
+        _with_sets,
+        "gk long, depth int, tree int, half int, doc long, n long, sig binary, shingles binary",
+    )
     found = sets.repartition("gk").sortWithinPartitions("gk").mapInArrow(_verify(trees, threshold), "doc long, links long, root long")
     found = cut(found, "links")
     links = found.groupBy("doc").agg(F.sum("links").alias("links"))

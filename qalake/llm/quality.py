@@ -33,7 +33,25 @@ SYMBOL = class_table(lambda b: 0x21 <= b <= 0x7E and not (0x30 <= b <= 0x39 or 0
 HIGH = class_table(lambda b: b >= 0x80)
 LINE = class_table(lambda b: b != 0x0A)
 
-FEATURES = ("log_words", "word_bytes", "word_spread", "short_words", "upper", "digits", "stops", "bars", "symbols", "high", "symbol_ends", "distinct_words", "top_word", "doubled_words", "line_words", "distinct_lines", "long_words")
+FEATURES = (
+    "log_words",
+    "word_bytes",
+    "word_spread",
+    "short_words",
+    "upper",
+    "digits",
+    "stops",
+    "bars",
+    "symbols",
+    "high",
+    "symbol_ends",
+    "distinct_words",
+    "top_word",
+    "doubled_words",
+    "line_words",
+    "distinct_lines",
+    "long_words",
+)
 
 
 def _repeats(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:

@@ -208,7 +208,17 @@ def _cut_out(texts: Callable, across: bool) -> Callable[[Iterator[pa.RecordBatch
             known = _known(doc[again], pos[again], n[again])
             yield pa.RecordBatch.from_arrays([*(known.column(c) for c in ("h", "doc", "pos", "o", "n")), none(known.num_rows)], names=CUT)
         keep = np.flatnonzero(~again)
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep]), pa.array(pos[keep]), pa.array(o[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array([seg[i] for i in keep.tolist()], pa.binary())], names=CUT)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(key[keep]),
+                pa.array(doc[keep]),
+                pa.array(pos[keep]),
+                pa.array(o[keep].astype(np.int32)),
+                pa.array(n[keep].astype(np.int32)),
+                pa.array([seg[i] for i in keep.tolist()], pa.binary()),
+            ],
+            names=CUT,
+        )
 
     def work(batches):
         for batch in batches:

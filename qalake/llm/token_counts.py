@@ -82,7 +82,10 @@ def _encode(path: str, version: str):
         own = counter(path)
         for batch in batches:
             n = [own.count(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("content_sha256"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["content_sha256", "tokenizer_sha256", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("content_sha256"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())],
+                names=["content_sha256", "tokenizer_sha256", "n_tokens"],
+            )
 
     return work
 

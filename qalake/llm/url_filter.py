@@ -89,7 +89,10 @@ def url_filter(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hit
         found = automaton(strict, soft)
         for batch in batches:
             hits = [judge(u.lower(), found) for u in batch.column("u").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([h[0] for h in hits], pa.int32()), pa.array([h[1] for h in hits], pa.int32())], names=["page_id", "host", "path", "n_strict", "n_soft"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([h[0] for h in hits], pa.int32()), pa.array([h[1] for h in hits], pa.int32())],
+                names=["page_id", "host", "path", "n_strict", "n_soft"],
+            )
 
     kind = rows.schema["page_id"].dataType.simpleString()
     rows = rows.mapInArrow(count, f"page_id {kind}, host string, path string, n_strict int, n_soft int")

@@ -73,7 +73,10 @@ def test_tries_know_the_longest_shared_prefix():
 
     rng = np.random.default_rng(2)
     leaves = sorted({(t, bytes(rng.integers(0, 3, 8).astype(np.uint8))) for t in (0, 1) for _ in range(400)})
-    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in leaves], pa.int32()), pa.array([x for _, x in leaves], pa.binary()), pa.array(range(len(leaves)), pa.int64())], names=["tree", "leaf", "doc"])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([t for t, _ in leaves], pa.int32()), pa.array([x for _, x in leaves], pa.binary()), pa.array(range(len(leaves)), pa.int64())],
+        names=["tree", "leaf", "doc"],
+    )
     got = {}
     for part in J._tries(iter([batch.slice(i, 37) for i in range(0, batch.num_rows, 37)])):
         got.update(zip(part.column("doc").to_pylist(), part.column("deepest").to_pylist()))

@@ -285,7 +285,10 @@ def test_classifiers_without_labels_or_rows(spark):
 
 def test_quality_of_any_id_and_of_repeats(spark):
     rows, labels = labelled(spark, 60)
-    big = spark.createDataFrame([(2**62 + i, t) for i, t, *_ in rows if i is not None and i < 60] + [(2**63 - 1, "a b"), (-(2**63), "a b"), (2**62, rows[0][1])], "doc_id long, text string").selectExpr("*", "'x' as label", "1 as score")
+    big = spark.createDataFrame(
+        [(2**62 + i, t) for i, t, *_ in rows if i is not None and i < 60] + [(2**63 - 1, "a b"), (-(2**63), "a b"), (2**62, rows[0][1])],
+        "doc_id long, text string",
+    ).selectExpr("*", "'x' as label", "1 as score")
     model = quality.train(big, labels.filter("doc_id < 60").select((F.col("doc_id") + 2**62).alias("doc_id"), F.col("quality").alias("label")))
     got = quality.quality(big, model).collect()
     assert len(got) == 63 and len({r.score for r in got if r.doc_id == 2**62}) == 1 and len({r.score for r in got if abs(r.doc_id) > 2**62 + 100}) == 1

@@ -121,7 +121,10 @@ def test_held_out_toxic_stems_are_found(spark):
 
 def test_edges(spark):
     """No labels, one class only, repeated rows, ids beyond 2^62, ties at equal texts, clashing columns, no rows."""
-    docs = spark.createDataFrame([(2**63 - 1, "a b"), (2**63 - 1, "a b"), (None, "a b"), (5, None), (6, ""), (7, "a b " * 30_000)], "doc_id long, text string").selectExpr("*", "1 as key", "2 as score", "3 as x", "4 as item", "5 as toxic")
+    docs = spark.createDataFrame(
+        [(2**63 - 1, "a b"), (2**63 - 1, "a b"), (None, "a b"), (5, None), (6, ""), (7, "a b " * 30_000)],
+        "doc_id long, text string",
+    ).selectExpr("*", "1 as key", "2 as score", "3 as x", "4 as item", "5 as toxic")
     for labels in ([], [(5, 0)], [(2**63 - 1, 1)], [(2**63 - 1, 1), (5, 0), (7, None)]):
         model = T.train(T.whole_texts(docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
         got = T.toxicity(docs, model).collect()
