@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import MASK64, cut, eights, mix, read, whole_texts
+from .shared import MASK64, cut, discard, eights, mix, read, whole_texts
 
 #: Distinct digests in a shard, on average; a shard's index is about 50 bytes for each.
 SHARD_DIGESTS = 4_000
@@ -179,7 +179,8 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     repeats = found.filter("slot >= 0")
     others = found.filter("slot < 0").select("doc_id", "digest")
     added = repeats.groupBy("shard", "slot").agg(F.coalesce(F.max("doc_id"), F.lit(NULL_ID)).alias("keep_id"), F.count("*").alias("group_size"))  # at most a row for each slot
-    index = cut(index.groupBy("shard").cogroup(added.groupBy("shard")).applyInArrow(_merge, INDEX), "index")
+    before, index = index, cut(index.groupBy("shard").cogroup(added.groupBy("shard")).applyInArrow(_merge, INDEX), "index")
+    discard(history, before)
     members = _look_up(earlier.select("*", shard).unionByName(repeats.select("doc_id", "digest", "shard")), index).select("doc_id", "digest", "keep_id", "group_size")
     apart = others.join(groups_of(others), "digest").select("doc_id", "digest", "keep_id", "group_size")
     out = members.unionByName(apart).withColumn("keep_id", F.expr(f"nullif(keep_id, {NULL_ID + 1}L - 1L)"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PLAIN, cut, grams, hash_words, numbered, ranges, raw, read, runs, signed, slices, text_tie, whole_groups, words
+from .shared import PLAIN, cut, discard, grams, hash_words, numbered, ranges, raw, read, runs, signed, slices, text_tie, whole_groups, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Trees, and hash bytes of each, which fill a number.
@@ -331,7 +331,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     pairs, state = cut(edges.filter("a <> b").distinct(), "edges"), None
     while True:
-        pairs = cut(star(star(pairs, True), False), "edges")
+        before, pairs = pairs, cut(star(star(pairs, True), False), "edges")
+        discard(before)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -355,24 +356,27 @@ def _dealt(tries: DataFrame, nodes: DataFrame, depth: int, block: int) -> DataFr
 
 
 def forest(nodes: DataFrame, threshold: float, recall: float, trees: int, block: int) -> tuple[DataFrame, int, float]:
-    """Groups of nodes (doc, sig) with candidate pairs, as rows gk, depth, tree, half, doc; the last depth; and the recall measured there."""
+    """Of nodes (doc, sig) those with candidates: doc, and groups of candidate pairs (gk, depth, tree, half); the last depth; and the recall measured there."""
     floor = depth_for(recall, threshold, trees)
     leaf = F.expr(f"transform(sequence(0, {trees - 1}), t -> substring(sig, t * {DEPTH} + 1, {DEPTH}))")
     leaves = nodes.select("doc", F.posexplode(leaf).alias("tree", "leaf"))
     leaves = leaves.repartition("tree", F.substring("leaf", 1, floor)).sortWithinPartitions("tree", "leaf")
     tries = cut(leaves.mapInArrow(_tries, "tree int, leaf long, doc long, deepest int"), "tries")
-    found, total, depth, measured = None, np.zeros(2 + DEPTH - floor), DEPTH, 0.0
+    found, written, total, depth, measured = None, [tries], np.zeros(2 + DEPTH - floor), DEPTH, 0.0
     for depth in range(DEPTH, floor - 1, -1):
         dealt = _dealt(tries, nodes, depth, block).repartition("gk").sortWithinPartitions("gk")
         near = cut(dealt.mapInArrow(_candidates(trees, depth, floor, threshold), "gk long, tree int, half int, doc long, seen array<double>"), "candidates")
         sums = near.agg(*[F.coalesce(F.sum(F.get("seen", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(len(total))]).first()
         total += np.array(sums)
+        written.append(near)
         near = near.select("gk", F.lit(depth).alias("depth"), "tree", "half", "doc")
         found = near if found is None else found.unionByName(near)
         measured = float(total[0] / total[1 + DEPTH - depth]) if total[0] else 0.0
         if measured >= recall:
             break
-    return found, depth, measured
+    groups = cut(found.groupBy("doc").agg(F.collect_list(F.struct("gk", "depth", "tree", "half")).alias("groups")), "groups")  # at most trees x depths x blocks
+    discard(*written)
+    return groups, depth, measured
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, block: int = BLOCK) -> DataFrame:
@@ -393,20 +397,20 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     own = rows.select("doc", "doc_id", text_tie(F.col("text")).alias("tie"), "text").mapInArrow(_sign(trees), "doc long, doc_id long, tie long, digest binary, sig binary, size long")
     own = cut(own, "signatures")
     nodes = cut(own.filter("size > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.min_by("sig", "doc").alias("sig")), "nodes")
-    near, depth, measured = forest(nodes.select("doc", "sig"), threshold, recall, trees, block)
-    groups = cut(near.groupBy("doc").agg(F.collect_list(F.struct("gk", "depth", "tree", "half")).alias("groups")), "groups")  # at most trees x depths x blocks
+    groups, depth, measured = forest(nodes.select("doc", "sig"), threshold, recall, trees, block)
     texts = rows.select("doc", "text")
     if repeated:
         texts = texts.dropDuplicates(["doc"])
     if groups.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(groups.select("doc")), "doc", "left_semi")
-    groups = groups.join(nodes.select("doc", "n", "sig"), "doc")
+    candidates, groups = groups, groups.join(nodes.select("doc", "n", "sig"), "doc")
     sets = texts.join(groups.hint("shuffle_hash"), "doc").select("doc", "text", "groups", "n", "sig").mapInArrow(
         _with_sets,
         "gk long, depth int, tree int, half int, doc long, n long, sig binary, shingles binary",
     )
     found = sets.repartition("gk").sortWithinPartitions("gk").mapInArrow(_verify(trees, threshold), "doc long, links long, root long")
     found = cut(found, "links")
+    discard(candidates)
     links = found.groupBy("doc").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("doc").alias("a"), F.col("root").alias("b")))
     result = nodes.select("digest", "doc", "n").join(links, "doc", "left").join(classes, "doc", "left")
