@@ -79,6 +79,20 @@ def test_repeated_ids_null_ids_and_empty_tables(spark):
     assert suffix_dedup(table(spark, [])).count() == 0 and substring_dedup(table(spark, [])).count() == 0
 
 
+def test_an_id_with_different_texts_shares_no_spans(spark):
+    """Each text is a document of its own; nulls among the ids too."""
+    rng = random.Random(10)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, None), (3, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup(df).collect())
+    size = lambda t: len(t.encode())
+    assert got == sorted([("1", size(a), 0), ("2", size(a), size(a)), ("2", size(b), 0), ("None", size(c), 0), ("None", 0, 0), ("3", size(c), size(c))])
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([("1", 80, 0, sha(a)), ("2", 80, 80, sha("")), ("2", 80, 0, sha(b)), ("None", 80, 0, sha(c)), ("None", 0, 0, sha("")), ("3", 80, 80, sha(""))])
+
+
 def test_deep_shallow_orders_suffixes():
     rng = np.random.default_rng(4)
     data = np.concatenate([rng.integers(97, 99, 900), np.full(300, 97), rng.integers(97, 99, 200)]).astype(np.uint8)
