@@ -185,7 +185,10 @@ def split_large(docs: DataFrame, least: int = MIN_SECTION, chars: int = 6000, bo
 
 
 def repair_oversized(chunks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
-    """entry_id, part, sub, content: chunks above the limit by the strategy that their id or topic asks for; the others as they are."""
+    """entry_id, part, sub, content: chunks above the limit by the strategy that their id or topic asks for; the others as they are.
+
+    What rules leave above the limit is packed by lines.
+    """
     kind = F.when(F.contains(F.lower("topic"), F.lit("faq")), "qa").when(F.regexp_count("content", F.lit(SUBSECTION)) > 1, "subsections").otherwise("rules")
     strategy = F.when(estimate_tokens(F.col("content")) <= limit, "keep").otherwise(kind)
     rows = chunks.select(F.col("entry_id").alias("doc_id"), F.col("content").alias("text"), strategy.alias("strategy"))
@@ -193,8 +196,11 @@ def repair_oversized(chunks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     zero = F.lit(0).alias("sub")
     keep = own("keep").select("doc_id", F.lit(0).alias("part"), zero, F.col("text").alias("content"))
     qa = split_qa(own("qa"), limit).select("doc_id", F.col("pos").alias("part"), zero, "content")
-    sub = split_subsections(rows.filter("strategy in ('subsections', 'rules')"), limit).select("doc_id", F.col("pos").alias("part"), "sub", "content")
-    return keep.unionByName(qa).unionByName(sub).withColumnRenamed("doc_id", "entry_id")
+    sub = split_subsections(own("subsections"), limit).select("doc_id", F.col("pos").alias("part"), "sub", "content")
+    lines = F.filter(F.transform(F.split("content", r"\n+"), strip), lambda x: x != "")
+    ruled = split_subsections(own("rules"), limit).withColumn("packs", F.when(estimate_tokens(F.col("content")) > limit, fold_pack(lines, F.lit(limit), estimate_tokens, "\n")).otherwise(F.array("content")))
+    ruled = ruled.select("doc_id", F.col("pos").alias("part"), F.posexplode("packs").alias("sub", "content"))
+    return keep.unionByName(qa).unionByName(sub).unionByName(ruled).withColumnRenamed("doc_id", "entry_id")
 
 
 def oversized(chunks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:

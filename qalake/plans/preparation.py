@@ -128,13 +128,14 @@ def stripped(text: str) -> str:
     return f"list_filter(list_transform(string_split({text}, chr(1)), lambda x: {TRIM.format('x')}), lambda x: x <> '')"
 
 
-def packed(name: str, source: str, limit: int) -> str:
+def packed(name: str, source: str, limit: int, joint: str = "chr(10) || chr(10)") -> str:
     """Greedy packs (name: doc_id, k, g, content) of numbered parts (source: doc_id, k, i, p), by tokens."""
-    fits = f"(w.n + 2 + length(q.p)) // 4 <= {limit}"
+    more = joint.count("chr") or 1
+    fits = f"(w.n + {more} + length(q.p)) // 4 <= {limit}"
     return f"""{name}_w as (select doc_id, k, i, p, length(p) as n, 1 as g from {source} where i = 1 union all
-  select q.doc_id, q.k, q.i, q.p, case when {fits} then w.n + 2 + length(q.p) else length(q.p) end, case when {fits} then w.g else w.g + 1 end
+  select q.doc_id, q.k, q.i, q.p, case when {fits} then w.n + {more} + length(q.p) else length(q.p) end, case when {fits} then w.g else w.g + 1 end
   from {name}_w w join {source} q on q.doc_id = w.doc_id and q.k = w.k and q.i = w.i + 1),
-{name} as (select doc_id, k, g, string_agg(p, chr(10) || chr(10) order by i) as content from {name}_w group by 1, 2, 3)"""
+{name} as (select doc_id, k, g, string_agg(p, {joint} order by i) as content from {name}_w group by 1, 2, 3)"""
 
 
 def cut_up(name: str, source: str, chars: int) -> str:
@@ -155,8 +156,9 @@ s3 as (select doc_id, k, {stripped(marked(chr(92) + 'n' + chr(92) + 'n+'))} as l
 s4 as (select doc_id, k, unnest(range(1, len(l) + 1)) as i, unnest(l) as p from s3), {packed('s5', 's4', limit)},
 r1 as (select doc_id, 0 as k, {stripped(marked(RULE))} as l from sm where not many),
 r2 as (select doc_id, k, unnest(range(1, len(l) + 1)) as i, unnest(l) as p from r1), {packed('r3', 'r2', limit)},
-sb as (select doc_id, k as pos, 0 as sub, text as content from s2 where length(text) // 4 <= {2 * limit} union all select doc_id, k, g - 1, content
-  from s5 union all select doc_id, g - 1, 0, content from r3)"""
+sx as (select doc_id, k as pos, 0 as sub, text as content from s2 where length(text) // 4 <= {2 * limit}
+  union all select doc_id, k, g - 1, content from s5),
+sb as (select * from sx union all select doc_id, g - 1, 0, content from r3)"""
 
 
 def questions_cut(source: str, limit: int) -> str:
@@ -171,17 +173,17 @@ qb as (select doc_id, row_number() over (partition by doc_id order by late, k, s
 
 RULE = r"\n\* \* \*\n|\n---\n"
 STEPS = RULE + r"|\n\|\s*\*\*Step\*\*"
-digest = lambda: F.md5("content").alias("digest")
+content_digest = lambda: F.md5("content").alias("digest")
 query(
-    "split_subsections", lambda v: C.split_subsections(numbered(v), 100).select("doc_id", "pos", "sub", digest()),
+    "split_subsections", lambda v: C.split_subsections(numbered(v), 100).select("doc_id", "pos", "sub", content_digest()),
     f"with recursive {NUMBERED}, {subsections('nd', 100)} select doc_id, cast(pos as int) as pos, cast(sub as int) as sub, md5(content) as digest from sb",
 )
 query(
-    "split_qa", lambda v: C.split_qa(numbered(v), 60).select("doc_id", "pos", digest()),
+    "split_qa", lambda v: C.split_qa(numbered(v), 60).select("doc_id", "pos", content_digest()),
     f"with recursive {NUMBERED}, {questions_cut('nd', 60)} select doc_id, cast(pos as int) as pos, md5(content) as digest from qb",
 )
 query(
-    "split_large", lambda v: C.split_large(numbered(v), 100, 400).select("doc_id", "pos", "sub", digest()),
+    "split_large", lambda v: C.split_large(numbered(v), 100, 400).select("doc_id", "pos", "sub", content_digest()),
     f"""with recursive {NUMBERED}, l1 as (select doc_id, string_split({marked(STEPS)}, chr(1)) as l from nd),
 l2 as (select doc_id, len(l) = 1 as alone, unnest(range(0, len(l))) as k, unnest(l) as p from l1),
 l3 as (select doc_id, k, case when alone then p else {TRIM.format('p')} end as p from l2 where alone or length({TRIM.format('p')}) > 100), {cut_up('l4', 'l3', 400)}
@@ -189,12 +191,17 @@ select doc_id, cast(k as int) as pos, cast(sub as int) as sub, md5(piece) as dig
 )
 query(
     "repair_oversized",
-    lambda v: C.repair_oversized(numbered(v).select(F.col("doc_id").alias("entry_id"), F.when(F.col("doc_id") % 4 == 0, "FAQ").otherwise(F.col("source")).alias("topic"), F.col("text").alias("content")), 120).select("entry_id", "part", "sub", digest()),
+    lambda v: C.repair_oversized(numbered(v).select(F.col("doc_id").alias("entry_id"), F.when(F.col("doc_id") % 4 == 0, "FAQ").otherwise(F.col("source")).alias("topic"), F.col("text").alias("content")), 120).select("entry_id", "part", "sub", content_digest()),
     f"""with recursive {NUMBERED}, k1 as (select doc_id, text from nd where length(text) // 4 <= 120), fq as (select doc_id, text from nd
   where length(text) // 4 > 120 and doc_id % 4 = 0), ot as (select doc_id, text from nd where length(text) // 4 > 120 and doc_id % 4 <> 0),
-{subsections('ot', 120)}, {questions_cut('fq', 120)}
-select doc_id as entry_id, 0 as part, 0 as sub, md5(text) as digest from k1 union all select doc_id, cast(pos as int), cast(sub as int), md5(content)
-  from sb union all select doc_id, cast(pos as int), 0, md5(content) from qb""",
+{subsections('ot', 120)}, {questions_cut('fq', 120)},
+r4 as (select doc_id, g as k, {stripped(marked(chr(92) + 'n+', 'content'))} as l from r3 where length(content) // 4 > 120),
+r5 as (select doc_id, k, unnest(range(1, len(l) + 1)) as i, unnest(l) as p from r4), {packed('r6', 'r5', 120, 'chr(10)')}
+select doc_id as entry_id, 0 as part, 0 as sub, md5(text) as digest from k1
+  union all select doc_id, cast(pos as int), cast(sub as int), md5(content) from sx
+  union all select doc_id, cast(g - 1 as int), 0, md5(content) from r3 where length(content) // 4 <= 120
+  union all select doc_id, cast(k - 1 as int), cast(g - 1 as int), md5(content) from r6
+  union all select doc_id, cast(pos as int), 0, md5(content) from qb""",
 )
 query("estimate_tokens", lambda v: v.documents.select("doc_id", estimate_tokens(F.col("text")).alias("tokens")), "select doc_id, cast(length(text) // 4 as int) as tokens from documents")
 query(
