@@ -295,9 +295,10 @@ def repeated_windows(docs: DataFrame, anchors: Callable, texts: Callable, equal:
 
 def without_repeats(docs: DataFrame, anchors: Callable, texts: Callable, equal: Callable, across: bool, finish: Callable, schema: str, hot: int = HOT) -> DataFrame:
     """finish(data, offsets, row, pos, n) gives the result columns, after doc_id, as Arrow arrays."""
-    rows, _ = numbered(docs)
-    spans = repeated_windows(rows.select("doc", "text"), anchors, texts, equal, across, hot)
-    joined = rows.join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<pos:bigint,n:int>>")).alias("spans"))
+    numbers, repeated = numbered(docs)
+    rows = numbers.select("doc", "text")  # the same in both joins, so that texts are shuffled once
+    spans = repeated_windows(rows, anchors, texts, equal, across, hot)
+    joined = rows.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", F.coalesce("spans", F.array().cast("array<struct<pos:bigint,n:int>>")).alias("spans"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def work(batches):
@@ -311,6 +312,9 @@ def without_repeats(docs: DataFrame, anchors: Callable, texts: Callable, equal:
             for i, j in slices(offsets):
                 k = slice(begin[i], begin[j])
                 out = finish(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], np.repeat(np.arange(j - i), count[i:j]), pos[k], n[k])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *out], names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, j - i), *out], names=["doc", *names])
 
-    return joined.mapInArrow(work, f"doc_id long, {schema}")
+    out = joined.mapInArrow(work, f"doc long, {schema}")
+    if not repeated:  # numbers are ids
+        return out.withColumnRenamed("doc", "doc_id")
+    return out.join(numbers.select("doc", "doc_id").distinct(), "doc").select("doc_id", *names)
