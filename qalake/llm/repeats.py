@@ -296,7 +296,8 @@ def repeated_windows(docs: DataFrame, anchors: Callable, texts: Callable, equal:
 def without_repeats(docs: DataFrame, anchors: Callable, texts: Callable, equal: Callable, across: bool, finish: Callable, schema: str, hot: int = HOT) -> DataFrame:
     """finish(data, offsets, row, pos, n) gives the result columns, after doc_id, as Arrow arrays."""
     numbers, repeated = numbered(docs)
-    rows = numbers.select("doc", "text")  # the same in both joins, so that texts are shuffled once
+    # the same in both joins, never null (so that no join adds a filter): texts are shuffled once
+    rows = numbers.select(F.coalesce("doc", F.lit(0).cast("long")).alias("doc"), "text")
     spans = repeated_windows(rows, anchors, texts, equal, across, hot)
     joined = rows.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", F.coalesce("spans", F.array().cast("array<struct<pos:bigint,n:int>>")).alias("spans"))
     names = [c.split()[0] for c in schema.split(", ")]
