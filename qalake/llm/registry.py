@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import decontamination, exact_dedup, jaccard_join, mixing, quality, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from . import decontamination, exact_dedup, jaccard_join, mixing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op13_simhash_dedup": simhash_dedup.op13_simhash_dedup,
 }
 
 ORACLES = {
