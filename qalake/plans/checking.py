@@ -14,7 +14,7 @@ from qalake.operators import verify as V
 from qalake.session import shared_folder
 from qalake.sources import files
 from qalake.sources.tables import K_SPARK, VIEWS
-from qalake.streaming import flags, live
+from qalake.streaming import flags, guard, live
 
 from .catalog import query
 from .knowledge import RULES, TOPICS, TTL
@@ -244,38 +244,41 @@ query("write_results", written_results, f"select form, number, category, success
 
 # -- streams ----------------------------------------------------------------------------------------------------------
 
-requests = lambda v: v.ev.filter("type = 'chat_question'").select(
+asked = lambda ev: ev.filter("type = 'chat_question'").select(
     "id",
     "ip",
     "ts",
     F.expr("case when k % 10 = 0 then 'hi' else concat('prompt ', cast(k div 40 as string)) end").alias("prompt"),
 )
+requests = lambda v: asked(v.ev)
 REQ = "select id, ip, ts, epoch_us(ts) as t, case when k % 10 = 0 then 'hi' else 'prompt ' || cast(k // 40 as varchar) end as prompt from ev where type = 'chat_question'"
-dense = lambda v: requests(v).withColumn("ts", F.timestamp_micros((micros("ts") / 200).cast("long")))
-DENSE = f"select id, ip, cast(floor(t / 200.0) as bigint) as t, prompt from ({REQ}) q"
-BURSTS = f"select *, count(*) over (partition by ip order by t range between 59999999 preceding and current row) > 5 as burst from ({DENSE}) d"
+EXEMPT = ["10.0.0.0", "60.1.0.1"]
+#: The log in a two-hundredth of its time, each twenty minutes squeezed into thirty seconds and told by five: bursts and ties.
+DENSER = "{u} div 1200000000 * 1200000000 + {u} % 1200000000 div 200000000 * 5000000"
+dense = lambda rows: rows.withColumn("ts", F.timestamp_micros(F.expr(DENSER.format(u="(unix_micros(cast(ts as timestamp)) div 200)"))))
+DENSE = f"select id, ip, cast({DENSER.format(u='(t // 200)').replace('div', '//')} as bigint) as t, prompt from ({REQ}) q"
+FIRST_COME = "(partition by ip order by t, id)"
+BURSTS = f"select *, coalesce(t - lag(t, 5) over {FIRST_COME} < 60000000, false) as burst from ({DENSE}) d"
 SHORTS = f"select *, s = 1 and sum(s) over (partition by ip order by t, id rows unbounded preceding) > 3 as short from (select *, cast(length(trim(prompt)) < 5 as int) as s from ({DENSE}) d) e"
-REPEATS = f"select *, r = 1 and sum(r) over (partition by ip order by t range between 599999999 preceding and current row) > 2 as repeat from (select *, cast(coalesce(prompt = lag(prompt) over (partition by ip order by t, id), false) as int) as r from ({DENSE}) d) e"
-query("burst_flags", lambda v: flags.burst_flags(dense(v)).select("id", "burst"), f"select id, burst from ({BURSTS}) b", "ev")
-query("short_prompt_flags", lambda v: flags.short_prompt_flags(dense(v)).select("id", "short"), f"select id, short from ({SHORTS}) s", "ev")
-query("repeat_flags", lambda v: flags.repeat_flags(dense(v)).select("id", "repeat"), f"select id, repeat from ({REPEATS}) r", "ev")
-query(
-    "abuse_reason",
-    lambda v: flags.abuse_reason(dense(v), ["10.0.0.0", "60.1.0.1"]).select("id", "reason"),
-    f"""with b as ({BURSTS}), s0 as (select *, cast(not burst and length(trim(prompt)) < 5 as int) as s from b),
+THIRD = f"select id, coalesce(t - lag(t, 2) over {FIRST_COME} < 600000000, false) as third from"
+SAME = f"select *, coalesce(prompt = lag(prompt) over {FIRST_COME}, false) as same from"
+REPEATS = f"select d.id, coalesce(third, false) as repeat from ({DENSE}) d left join ({THIRD} ({SAME} ({DENSE}) e) f where same) t on t.id = d.id"
+ABUSE = f"""b as ({BURSTS}), s0 as (select *, cast(not burst and length(trim(prompt)) < 5 as int) as s from b),
 s as (select *, s = 1 and sum(s) over (partition by ip order by t, id rows unbounded preceding) > 3 as short from s0),
-k as (select *, not burst and not short as counted from s),
-p as (select id, coalesce(prompt = lag(prompt) over (partition by ip order by t, id), false) as same from k where counted),
-r as (select k.*, cast(coalesce(same, false) as int) as r from k left join p on p.id = k.id),
-f as (select *, r = 1 and sum(r) over (partition by ip order by t range between 599999999 preceding and current row) > 2 as repeat from r)
-select id, case when ip in ('10.0.0.0', '60.1.0.1') then null when burst then 'burst' when short then 'short' when repeat then 'repeat' end as reason from f""",
-    "ev",
-)
+r as ({THIRD} ({SAME} s where not burst and not short) p where same),
+flagged as (select s.id, ip, t, case when ip in ('10.0.0.0', '60.1.0.1') then null when burst then 'burst' when short then 'short' when third then 'repeat' end as reason
+  from s left join r on r.id = s.id)"""
+#: Rows up to one in its last hour, without those of its own instant that come after it.
+IN_HOUR = f"""select *, count(*) over (partition by ip order by t range between 3599999999 preceding and current row)
+  - count(*) over (partition by ip, t) + row_number() over (partition by ip, t order by id) as n from ({DENSE}) d"""
+query("burst_flags", lambda v: flags.burst_flags(dense(requests(v))).select("id", "burst"), f"select id, burst from ({BURSTS}) b", "ev")
+query("short_prompt_flags", lambda v: flags.short_prompt_flags(dense(requests(v))).select("id", "short"), f"select id, short from ({SHORTS}) s", "ev")
+query("repeat_flags", lambda v: flags.repeat_flags(dense(requests(v))).select("id", "repeat"), f"select id, repeat from ({REPEATS}) r", "ev")
+query("abuse_reason", lambda v: flags.abuse_reason(dense(requests(v)), EXEMPT).select("id", "reason"), f"with {ABUSE} select id, reason from flagged", "ev")
 query(
     "rate_tier",
-    lambda v: flags.rate_tier(dense(v)).select("id", "in_hour", "limit"),
-    f"select id, n as in_hour, case when n > 20 then 5 when n > 10 then 15 else 250 end as limit from (select id, count(*) over (partition by ip "
-    f"order by t range between 3599999999 preceding and current row) as n from ({DENSE}) d) e",
+    lambda v: flags.rate_tier(dense(requests(v))).select("id", "in_hour", "limit"),
+    f"select id, n as in_hour, case when n > 20 then 5 when n > 10 then 15 else 250 end as limit from ({IN_HOUR}) e",
     "ev",
 )
 query("first_seen_visitors", lambda v: flags.first_seen(requests(v)).select("id", "is_new"), f"select id, row_number() over (partition by ip order by ts, id) = 1 as is_new from ({REQ}) r", "ev")
@@ -300,6 +303,21 @@ CLOSED = f"select h.* from ({HOURLY}) h where strptime(hour, {STAMP}) + interval
 query("stream_hourly", lambda v: live.drain(live.hourly(ev_stream(v).filter("type = 'chat_question'")), "hourly"), CLOSED, "ev")
 
 
+def stream_guard(v):
+    """Live flags of the request log, up to where its watermark ends."""
+    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKS)
+    return live.drain(guard.request_guard(dense(asked(ev_stream(v))), EXEMPT), "guard").select("id", "reason", "in_hour", "limit")
+
+
+query(
+    "stream_request_flags",
+    stream_guard,
+    f"""with {ABUSE}, h as ({IN_HOUR}) select id, reason, n as in_hour, case when ip in ('10.0.0.0', '60.1.0.1') then 10000 when n > 20 then 5 when n > 10 then 15 else 250 end as limit
+from flagged join h using (id, ip, t) where t <= (select max(t) - 600000000 from h)""",
+    "ev",
+)
+
+
 def stream_traffic(v):
     """The stream's days; its approximate numbers of visitors are held against exact ones."""
     exact = v.ev.filter("type = 'pageview'").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("sid").alias("exact"))

@@ -97,6 +97,11 @@ def drain(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame] |
 
     each: what is made of every micro-batch; a batch writes a folder of its own, so that one that is run again replaces it.
     """
+    return drained(stream, name, each, mode)[0]
+
+
+def drained(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> tuple[DataFrame, int]:
+    """The table that drain() gives, and the rows that the query's operators dropped because they came too late."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
@@ -113,7 +118,7 @@ def drain(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame] |
         query = writer.foreachBatch(write).start()
         schema = None
     query.awaitTermination()
+    late = sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
     if schema is None:
-        rows = spark.read.parquet(f"{base}/out")
-        return rows.drop("batch")
-    return spark.read.schema(schema).parquet(f"{base}/out")
+        return spark.read.parquet(f"{base}/out").drop("batch"), late
+    return spark.read.schema(schema).parquet(f"{base}/out"), late
