@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 
 from qalake.functions.rules import contains_any
 from qalake.functions.text import cosine, unit
+from qalake.session import stored
 
 TOP_K, MIN_SCORE, WEAK, REFUSE = 7, 0.45, 0.55, 0.45
 #: Bytes of questions that are sent to all tasks, and of a block of questions or vectors; pairs of STEP questions and vectors are scored at once.
@@ -114,20 +116,25 @@ def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
 class Nearest:
     """The k best vectors seen so far of each question, equal scores by id. Scores are made for STEP x STEP pairs at once."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, floor: float, digits: int, skip_self: bool):
-        self.ids, self.matrix, self.k, self.floor, self.digits, self.skip_self = ids, matrix, k, floor, digits, skip_self
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, floor: float, digits: int, skip_self: bool, t: np.ndarray | None = None):
+        self.ids, self.matrix, self.k, self.floor, self.digits, self.skip_self, self.t = ids, matrix, k, floor, digits, skip_self, t
         self.best = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
-    def see(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+    def see(self, ids: np.ndarray, matrix: np.ndarray, valid: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """valid: from when and until when each vector counts, if questions have a time."""
         for i in range(0, len(self.ids), STEP):
             rows = slice(i, i + STEP)
             for j in range(0, len(ids), STEP):
-                self._merge(rows, ids[j : j + STEP], matrix[j : j + STEP])
+                part = slice(j, j + STEP)
+                self._merge(rows, ids[part], matrix[part], None if valid is None else (valid[0][part], valid[1][part]))
 
-    def _merge(self, rows: slice, ids: np.ndarray, matrix: np.ndarray) -> None:
+    def _merge(self, rows: slice, ids: np.ndarray, matrix: np.ndarray, valid: tuple | None) -> None:
         scores = np.round(self.matrix[rows] @ matrix.T, self.digits)
         scores[scores < self.floor] = -np.inf
+        if valid is not None:
+            t = self.t[rows, None]
+            scores[(t < valid[0][None, :]) | (t >= valid[1][None, :])] = -np.inf
         if self.skip_self:
             scores[self.ids[rows, None] == ids[None, :]] = -np.inf
         scores = np.concatenate([self.best[rows], scores], axis=1)
@@ -156,18 +163,33 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
 FOUND = "qid long, id long, score double"
 
 
-def _met(k: int, floor: float, digits: int, skip_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Of a block of questions and one of vectors: the k best of each question."""
+def _met(k: int, floor: float, digits: int, skip_self: bool, timed: bool = False) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a block of questions and one of vectors: the k best of each question. timed: questions have t, vectors t and until."""
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         size = pc.max(pc.list_value_length(left.column("embedding"))).as_py() or 1 if left.num_rows else 1
-        own = Nearest(left.column("qid").to_numpy(), _matrix(left.column("embedding"), size), k, floor, digits, skip_self)
-        own.see(right.column("id").to_numpy(), _matrix(right.column("embedding"), size))
+        at = lambda table, c: table.column(c).to_numpy() if timed else None
+        own = Nearest(left.column("qid").to_numpy(), _matrix(left.column("embedding"), size), k, floor, digits, skip_self, at(left, "t"))
+        own.see(right.column("id").to_numpy(), _matrix(right.column("embedding"), size), (at(right, "t"), at(right, "until")) if timed else None)
         return pa.Table.from_batches([own.rows()])
 
     return meet
 
 
+def _in_blocks(q: DataFrame, v: DataFrame, keys: list[str], rows: int, meet: Callable) -> DataFrame:
+    """meet() for questions and vectors with equal keys; of keys with more than `rows` of either, for all pairs of their blocks.
+
+    The blocks of each key are counted in a table with a row for each key, which joins both sides.
+    """
+    blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    shape = blocks(v, "others").join(blocks(q, "parts"), keys)
+    deal = lambda df, key, own, name: df.withColumn(name, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+    spread = lambda df, other, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    q = spread(deal(q.join(shape, keys), "qid", "parts", "a"), "others", "b").drop("others", "parts")
+    v = spread(deal(v.join(shape, keys), "id", "others", "b"), "parts", "a").drop("others", "parts")
+    return q.groupBy(*keys, "a", "b").cogroup(v.groupBy(*keys, "a", "b")).applyInArrow(meet, FOUND)
+
+
 def _size(vectors: DataFrame) -> int:
     """Dimensions of the first vector."""
     first = vectors.filter("embedding is not null").select(F.size("embedding")).first()
@@ -253,13 +275,52 @@ def knn_approx(
     v = vectors.mapInArrow(nearest(1, "id"), f"id long, embedding {kind}, cells array<int>").withColumn("cell", F.get("cells", F.lit(0)))
     kind = questions.schema["embedding"].dataType.simpleString()
     q = questions.mapInArrow(nearest(min(probes, len(middle)), "qid"), f"qid long, embedding {kind}, cells array<int>").withColumn("cell", F.explode("cells"))
-    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
-    shape = blocks(v, "others").join(blocks(q, "parts"), "cell")  # a row for each cell
-    deal = lambda df, key, own, name: df.withColumn(name, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
-    spread = lambda df, other, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-    q = spread(deal(q.join(F.broadcast(shape), "cell"), "qid", "parts", "a"), "others", "b").select("cell", "a", "b", "qid", "embedding")
-    v = spread(deal(v.join(F.broadcast(shape), "cell"), "id", "others", "b"), "parts", "a").select("cell", "a", "b", "id", "embedding")
-    return _rank(q.groupBy("cell", "a", "b").cogroup(v.groupBy("cell", "a", "b")).applyInArrow(_met(k, min_score, 6, skip_self), FOUND), k)
+    return _rank(_in_blocks(q, v, ["cell"], rows, _met(k, min_score, 6, skip_self)), k)
+
+
+#: What rounding may take off a cosine or an angle.
+SLACK = 1e-5
+
+
+def knn_in_cells(questions: DataFrame, vectors: DataFrame, k: int, min_score: float, skip_self: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """qid, id, score, rank: the k nearest vectors (id, embedding, stretch, t, until) with t <= a question's t < until, exactly.
+
+    questions: qid, embedding, stretch, t. An as-of join: both sides meet by stretch of time and by cell. A vector is in the cell of
+    its nearest centre, and a cell has a radius, the largest angle of a vector of it. A question goes to each cell that can hold a
+    cosine of min_score or more: its angle to the centre, less the radius, is no larger than min_score's own. So cells only leave
+    out what can't be found, and the higher the threshold, the more; centres come from a bounded sample, which results don't
+    depend on. Cells are as many as the root of the number of vectors; a vector may come once for each stretch.
+    """
+    one = vectors.select("id", "embedding")
+    middle = centres(one, max(1, math.isqrt(vectors.count())))
+    size = middle.shape[1]
+    angle = lambda cosine: np.arccos(np.clip(cosine, -1, 1))
+    most = float(angle(min_score))
+
+    def place(batches):
+        for batch in batches:
+            near = _matrix(batch.column("embedding"), size) @ middle.T
+            cell = np.argmax(near, axis=1) if len(near) else np.zeros(0, np.int64)
+            away = angle(near[np.arange(len(near)), cell])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
+
+    v = stored(vectors.mapInArrow(place, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in vectors.schema)}, cell int, away double"), "cells")
+    radius = np.full(len(middle), -np.inf)
+    for row in v.groupBy("cell").agg(F.max("away").alias("away")).collect():  # a row for each cell
+        radius[row["cell"]] = row["away"] if min_score > 0 else np.inf  # vectors of no length have a cosine of 0 with all
+
+    def probe(batches):
+        for batch in batches:
+            away = angle(_matrix(batch.column("embedding"), size) @ middle.T)
+            at, cell = np.nonzero(away - radius <= most + SLACK)
+            rows = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in questions.schema)
+    q = questions.mapInArrow(probe, f"{kind}, cell int")
+    met = _met(k, min_score, 6, skip_self, timed=True)
+    found = _in_blocks(q, v.drop("away"), ["stretch", "cell"], max(1, block_bytes // (size * 8)), met)
+    return _rank(found, k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

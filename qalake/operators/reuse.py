@@ -11,36 +11,95 @@ from qalake.functions.text import query_hash
 from qalake.functions.times import micros
 
 from .maintenance import snapshot_upsert
-from .retrieval import knn_topk
+from .retrieval import knn_in_cells
 
 THRESHOLD, TTL_HOURS, MOST = 0.92, 24, 1000
 
 
+def _stretches(questions: DataFrame, answers: DataFrame, hours: int) -> tuple[DataFrame, DataFrame]:
+    """Both with t (and until) in microseconds and a stretch of so many hours: a question's own, and each that an answer is valid in."""
+    width = hours * 3_600_000_000
+    at = lambda c: F.floor(c / width).cast("long")
+    q = questions.withColumn("t", micros("ts")).withColumn("stretch", at(F.col("t")))
+    a = answers.filter(F.col("created_at") < F.col("expires_at")).withColumn("t", micros("created_at")).withColumn("until", micros("expires_at"))
+    return q, a.withColumn("stretch", F.explode(F.sequence(at(F.col("t")), at(F.col("until") - 1))))
+
+
+def latest_valid(questions: DataFrame, answers: DataFrame, key: str, hours: int = 6) -> DataFrame:
+    """qid, answer_id: of the answers (key, answer_id, created_at, expires_at) with a question's key (key, qid, ts) that were
+    there and had not expired when it was asked, the latest; of equal times the one with the largest id.
+
+    Both sides are one table, ordered by key, stretch of time and time, and read once: the task carries the answers that may
+    still be wanted, the latest on top. One that expires before a later one does is never wanted again, so that the pile stays
+    short, and with one time to live it is a single answer. A key that is asked all the time is as many keys as there are
+    stretches; its rows are never paired with each other.
+    """
+    q, a = _stretches(questions.filter(F.col(key).isNotNull()), answers.filter(F.col(key).isNotNull()), hours)
+    none = F.lit(None).cast("long")
+    rows = a.select(key, "stretch", "t", F.lit(0).alias("role"), F.col("answer_id").cast("long").alias("id"), "until").unionByName(q.select(key, "stretch", "t", F.lit(1).alias("role"), F.col("qid").cast("long").alias("id"), none.alias("until")))
+    ordered = rows.repartition(key, "stretch").sortWithinPartitions(key, "stretch", "t", "role", "id")
+    return ordered.select(key, "stretch", "t", "id", "until").mapInArrow(_carried(key), "qid long, answer_id long")
+
+
+def _carried(key: str):
+    def work(batches):
+        last, pile = None, []
+        for batch in batches:
+            own = pa.chunked_array([batch.column(key)]).dictionary_encode().combine_chunks()
+            names, out = own.dictionary.to_pylist(), ([], [])
+            columns = [own.indices.to_pylist(), *(batch.column(c).to_pylist() for c in ("stretch", "t", "id", "until"))]
+            for code, stretch, t, row, until in zip(*columns, strict=True):
+                if (names[code], stretch) != last:
+                    last, pile = (names[code], stretch), []
+                if until is None:
+                    while pile and pile[-1][1] <= t:  # has expired, for all later questions too
+                        pile.pop()
+                    if pile:
+                        out[0].append(row)
+                        out[1].append(pile[-1][0])
+                else:
+                    while pile and pile[-1][1] <= until:
+                        pile.pop()
+                    pile.append((row, until))
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in out], ["qid", "answer_id"])
+
+    return work
+
+
 def exact_reuse(questions: DataFrame, answers: DataFrame, hours: int = 6) -> DataFrame:
     """qid, answer_id: the latest answer with the question's hash that was there and had not expired when it was asked.
 
-    An as-of join: equality on the hash and on a stretch of so many hours (an answer is in each that it is valid in), a range on
-    time, and the latest by an aggregate. So a question that is asked all the time meets the answers of its own hours,
-    and its hash is as many keys as there are stretches. An answer that expires at that moment has expired.
+    An answer that expires at that moment has expired.
     """
-    width = hours * 3_600_000_000
-    stretch = lambda at: F.floor(at / width).cast("long")
-    q = questions.select("qid", "ts", query_hash(F.col("question")).alias("query_hash"), stretch(micros("ts")).alias("stretch"))
-    a = answers.filter(F.col("created_at") < F.col("expires_at")).select("query_hash", "answer_id", "created_at", "expires_at")
-    a = a.withColumn("stretch", F.explode(F.sequence(stretch(micros("created_at")), stretch(micros("expires_at") - 1))))
-    hits = q.join(a, ["query_hash", "stretch"]).filter((F.col("created_at") <= F.col("ts")) & (F.col("ts") < F.col("expires_at")))
-    return hits.groupBy("qid").agg(F.max_by("answer_id", F.struct("created_at", "answer_id")).alias("answer_id"))
-
+    return latest_valid(questions.select("qid", "ts", query_hash(F.col("question")).alias("query_hash")), answers, "query_hash", hours)
 
-def semantic_reuse(questions: DataFrame, answers: DataFrame, threshold: float = THRESHOLD, skip_self: bool = False) -> DataFrame:
-    """qid, answer_id, similarity: the nearest unexpired answer (answer_id, embedding), the first of equal ones.
 
-    Callers give the answers that are valid at the run's time (`valid_at`).
+def semantic_reuse(questions: DataFrame, answers: DataFrame, threshold: float = THRESHOLD, hours: int = 6, skip_self: bool = False) -> DataFrame:
+    """qid, answer_id, similarity: the nearest answer (answer_id, embedding, created_at, expires_at) that was valid when the question
+    (qid, ts, embedding) was asked, if its cosine is the threshold or more; of equal ones the least id. Exact: see knn_in_cells.
     """
-    found = knn_topk(questions.select("qid", "embedding"), answers.select(F.col("answer_id").alias("id"), "embedding"), 1, threshold, skip_self=skip_self)
+    q, a = _stretches(questions.select("qid", "ts", "embedding"), answers.select(F.col("answer_id").alias("id"), "embedding", "created_at", "expires_at"), hours)
+    found = knn_in_cells(q.select("qid", "embedding", "stretch", "t"), a.select("id", "embedding", "stretch", "t", "until"), 1, threshold, skip_self)
     return found.select("qid", F.col("id").alias("answer_id"), F.col("score").alias("similarity"))
 
 
+def require_topic_overlap(hits: DataFrame, asked: DataFrame, answered: DataFrame) -> DataFrame:
+    """hits (qid, answer_id, ...) whose question and answer share a topic, or whose question has none.
+
+    asked: qid, topic_id; answered: answer_id, topic_id. Near vectors of different topics are what reuse goes wrong by.
+    """
+    shared = hits.select("qid", "answer_id").join(asked, "qid").join(answered, ["answer_id", "topic_id"], "left_semi").select("qid", "answer_id").distinct()
+    same = hits.join(shared, ["qid", "answer_id"], "left_semi")
+    return same.unionByName(hits.join(asked.select("qid").distinct(), "qid", "left_anti"))
+
+
+def topic_answers(asked: DataFrame, answers: DataFrame, hours: int = 24) -> DataFrame:
+    """qid, answer_id: the latest valid answer (topic_id, answer_id, created_at, expires_at) of any of a question's topics (topic_id, qid, ts)."""
+    found = latest_valid(asked, answers, "topic_id", hours)
+    times = answers.select("answer_id", "created_at").distinct()
+    return found.join(times, "answer_id").groupBy("qid").agg(F.max_by("answer_id", F.struct("created_at", "answer_id")).alias("answer_id"))
+
+
 def topic_reuse(enhanced: DataFrame) -> DataFrame:
     """qid, answer_id: the first of the graph's matches."""
     return enhanced.filter("rank = 1").select("qid", F.col("id").alias("answer_id"))

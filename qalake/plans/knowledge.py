@@ -10,10 +10,10 @@ from qalake.operators import graph as G
 from qalake.operators import maintenance as M
 from qalake.operators import retrieval as R
 from qalake.operators import reuse as U
+from qalake.session import stored
 from qalake.sources.tables import AS_OF
 
 from .catalog import query
-from .retrieve import corpus, knn, questions
 
 TOPICS = [
     (1, "with-that", ("with", "that")),
@@ -200,34 +200,62 @@ query(
     f"row_number() over (partition by qid order by created_at desc, answer_id desc) = 1",
     "ev",
 )
-query(
-    "semantic_reuse",
-    lambda v: U.semantic_reuse(questions(v), corpus(v).withColumnRenamed("id", "answer_id"), 0.42, skip_self=True),
-    f"select qid, id as answer_id, score as similarity from ({knn(1, 0.42)}) f",
-)
-query("topic_reuse", lambda v: U.topic_reuse(enhanced(v)), f"select qid, id as answer_id from ({ENHANCED}) e where rank = 1", "qa topics")
+ASK_TOPICS = [(1, "with-that", ("with", "that")), (2, "und-des", ("und", "des")), (3, "para-pour", ("para", "pour"))]
+
+
+def kept_for(v, hours):
+    """All asked questions' answers, stored a second later, for so many hours."""
+    at = F.col("ts") + F.expr("interval 1 second")
+    return v.asks.select(F.col("qid").alias("answer_id"), query_hash(F.col("question")).alias("query_hash"), "embedding", at.alias("created_at"), (at + F.expr(f"interval {hours} hours")).alias("expires_at"))
+
+
+def ask_topics(v):
+    return G.classify_topics(v.asks.select("qid", "text"), ASK_TOPICS).select("qid", "topic_id")
+
+
+def semantic_hits(v, asked_ones):
+    """Nearest answer of memory, which keeps six hours, if it shares a topic with the question."""
+    hits = U.semantic_reuse(asked_ones, kept_for(v, 6), 0.25)
+    return U.require_topic_overlap(hits, ask_topics(v), ask_topics(v).withColumnRenamed("qid", "answer_id"))
 
 
 def resolved(v):
-    q = questions(v)
-    exact = q.select("qid").join(v.documents.filter("lang = 'de'").select(F.col("doc_id").alias("qid")), "qid").select("qid", (F.col("qid") + 1).alias("answer_id"))
-    semantic = U.semantic_reuse(U.unanswered(q, exact), corpus(v).withColumnRenamed("id", "answer_id"), 0.35, skip_self=True)
-    topic = U.unanswered(q, exact, semantic).filter("expected < 3").select("qid", (F.col("qid") + 2).alias("answer_id"))
-    return U.resolve_reuse(q, [("exact", exact), ("semantic", semantic), ("topic", topic)])
-
-
-RESOLVED = f"""select vec_id as qid, case when e.doc_id is not null then 'exact' when s.qid is not null then 'semantic' when label < 3 then 'topic' else 'miss' end as cache_type,
-  case when e.doc_id is not null then vec_id + 1 when s.qid is not null then s.id when label < 3 then vec_id + 2 end as answer_id, cast(case
-    when e.doc_id is not null then 1.0 when s.qid is not null then s.score end as double) as similarity
-  from embeddings left join (select doc_id from documents where lang = 'de') e on e.doc_id = vec_id left join ({knn(1, 0.35)}) s on s.qid = vec_id where vec_id % 20 = 0"""
-query("resolve_reuse", resolved, RESOLVED)
+    """The cascade: the same words in memory, near vectors in memory, the same words in the table (a day), the same topic in the table."""
+    q = v.asks.filter("qid % 20 = 0")
+    topics, table = ask_topics(v), kept_for(v, 24)
+    exact = stored(U.exact_reuse(q, kept_for(v, 6)), "exact")
+    semantic = stored(semantic_hits(v, U.unanswered(q, exact)), "semantic")
+    database = stored(U.exact_reuse(U.unanswered(q, exact, semantic), table, 24), "database")
+    left = U.unanswered(q, exact, semantic, database).select("qid", "ts").join(topics, "qid")
+    topic = U.topic_answers(left, table.join(topics.withColumnRenamed("qid", "answer_id"), "answer_id"))
+    return U.resolve_reuse(q, [("exact", exact), ("semantic", semantic), ("database", database), ("topic", topic)])
+
+
+_KW = ", ".join(f"({i}, '{a}', '{b}')" for i, _, (a, b) in ASK_TOPICS)
+VALID = "a.ts + interval 1 second <= q.ts and q.ts < a.ts + interval 1 second + interval {} hours"
+NEAR = f"""select q.qid, a.qid as answer_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(a.embedding as double[])), 6) as similarity
+  from asks q join asks a on {VALID.format(6)} where q.qid % 20 = 0 and similarity >= 0.25 qualify row_number() over (partition by q.qid order by similarity desc, a.qid) = 1"""
+LATEST = "select q.qid, a.qid as answer_id from asks q join asks a on a.question = q.question and {} where q.qid % 20 = 0 qualify row_number() over (partition by q.qid order by a.ts desc, a.qid desc) = 1"
+TIERS = f"""own as (select qid, id as topic_id from asks, (values {_KW}) t(id, a, b) where contains(lower(text), a) or contains(lower(text), b)),
+near as ({NEAR}),
+overlap as (select * from near n where exists (select 1 from own x join own y on x.topic_id = y.topic_id where x.qid = n.qid and y.qid = n.answer_id) or n.qid not in (select qid from own)),
+words as ({LATEST.format(VALID.format(6))}), kept as ({LATEST.format(VALID.format(24))}),
+same_topic as (select q.qid, a.qid as answer_id from asks q join own x on x.qid = q.qid join own y on y.topic_id = x.topic_id join asks a on a.qid = y.qid and {VALID.format(24)}
+  where q.qid % 20 = 0 qualify row_number() over (partition by q.qid order by a.ts desc, a.qid desc) = 1)"""
+RESOLVED = f"""{TIERS}, resolved as (select q.qid, case when w.qid is not null then 'exact' when o.qid is not null then 'semantic' when k.qid is not null then 'database' when s.qid is not null then 'topic' else 'miss' end as cache_type,
+  coalesce(w.answer_id, o.answer_id, k.answer_id, s.answer_id) as answer_id, cast(case when w.qid is not null then 1.0 when o.qid is not null then o.similarity when k.qid is not null then 1.0 end as double) as similarity
+  from asks q left join words w using (qid) left join overlap o using (qid) left join kept k using (qid) left join same_topic s using (qid) where q.qid % 20 = 0)"""
+query("semantic_reuse", lambda v: U.semantic_reuse(v.asks.filter("qid % 20 = 0"), kept_for(v, 6), 0.25), NEAR, "asks")
+query("topic_overlap", lambda v: semantic_hits(v, v.asks.filter("qid % 20 = 0")), f"with {TIERS} select qid, answer_id, similarity from overlap", "asks")
+query("topic_reuse", lambda v: U.topic_reuse(enhanced(v)), f"select qid, id as answer_id from ({ENHANCED}) e where rank = 1", "qa topics")
+query("resolve_reuse", resolved, f"with {RESOLVED} select * from resolved", "asks")
 query(
     "reuse_metrics",
     lambda v: U.reuse_metrics(resolved(v)),
-    f"""select *, round((total - misses) * 1.0 / total, 4) as hit_rate
+    f"""with {RESOLVED} select *, round((total - misses) * 1.0 / total, 4) as hit_rate
   from (select count(*) as total, count(*) filter (where cache_type = 'exact') as exact, count(*) filter (where cache_type = 'semantic') as semantic,
-  count(*) filter (where cache_type = 'database') as stored, count(*) filter (where cache_type = 'topic') as topic, count(*) filter (where cache_type = 'miss') as misses
-    from ({RESOLVED}) r) t""",
+  count(*) filter (where cache_type = 'database') as stored, count(*) filter (where cache_type = 'topic') as topic, count(*) filter (where cache_type = 'miss') as misses from resolved r) t""",
+    "asks",
 )
 query(
     "put_answers",

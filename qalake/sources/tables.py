@@ -34,6 +34,10 @@ select event_id as id, ts, cast(user_id as string) as sid,
   concat('question ', cast({k} as string)) as question,
   {k} % 11 = 0 as verified, {k} % 13 = 0 as flagged, {k} as k, event_type, user_id
 from events""",
+    # questions as they were asked: time and words from the event of that number, a vector, and a document's text about it
+    "asks": """
+select vec_id as qid, ts, concat('question ', cast({k} as string)) as question, embedding, text
+from embeddings join events on event_id = vec_id join documents on doc_id = vec_id""",
     # question and answer log
     "qa": """
 select conv_id * 100 + turn as qid, conv_id, turn, text as question, next_text as answer
@@ -82,6 +86,7 @@ BASE = {
     "marked": ["documents"],
     "faq": ["documents"],
     "ev": ["events"],
+    "asks": ["embeddings", "events", "documents"],
     "qa": ["conversations"],
     "chunks": ["documents", "pages"],
     "retrieved": ["documents"],
