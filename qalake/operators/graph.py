@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from qalake.session import stored
+
 from .maintenance import snapshot_upsert
 
 Topics = Sequence[tuple[int, str, Sequence[str]]]
@@ -104,24 +110,90 @@ def similar_by_topic(asked: DataFrame, edges: DataFrame, originals: DataFrame, n
     return _newest(pairs, [F.desc("ts"), F.desc("id")], n).select("qid", "id", "rank")
 
 
-def similar_by_entity(asked: DataFrame, edges: DataFrame, originals: DataFrame, n: int = 5) -> DataFrame:
-    """qid, id, matches, rank: originals by the number of entities shared, then the newest. edges: qid, entity_id.
-
-    Who matches how often depends on the set of entities alone. So sets are matched, not rows: of the originals with equal
-    sets only the n + 1 newest can be among a question's n best (one may be the question itself), and questions with equal sets
-    are matched once. However many rows hold an entity, they meet as so many sets.
+#: Rows that hold an entity from which on it is frequent, at least; and frequent entities, at most.
+RARE, FREQUENT = 200, 4096
+#: Sets of frequent entities of a block, and of a step within it.
+SETS, STEP = 8192, 512
+
+
+def frequent_entities(edges: DataFrame, rare: int = RARE) -> dict:
+    """Entities that more than `rare` questions hold, and more than a FREQUENT-th of all edges name, numbered: fewer than FREQUENT."""
+    counts = edges.groupBy("entity_id").agg(F.count("*").alias("n"))
+    least = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") > max(rare, least // FREQUENT)).select("entity_id").collect()
+    return {r["entity_id"]: i for i, r in enumerate(sorted(found))}
+
+
+def _overlaps(n: int):
+    """Of a block of question sets (asked, frequent) and one of originals (id, ts, frequent): the n best originals of each set by
+    common entities, then the newest. Sets are rows of zeros and ones, and common entities their product."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.lexsort((-right.column("id").to_numpy(), -right.column("ts").to_numpy()))
+        right = right.take(pa.array(order))
+        width = 1 + max((pc.max(pc.list_flatten(t.column("frequent"))).as_py() or 0 for t in (left, right)), default=0)
+        out = []
+        for i in range(0, left.num_rows, STEP):
+            ours = _ones(left.column("frequent").slice(i, STEP), width)
+            best = np.zeros((len(ours), 0), np.int64)
+            for j in range(0, right.num_rows, SETS):  # matches first, then the place in order of time
+                common = (ours @ _ones(right.column("frequent").slice(j, SETS), width).T).astype(np.int64)
+                value = common * right.num_rows + (right.num_rows - 1 - np.arange(j, j + common.shape[1]))
+                best = np.concatenate([best, np.where(common > 0, value, -1)], axis=1)
+                if best.shape[1] > n:
+                    best = -np.partition(-best, n - 1, axis=1)[:, :n]
+            row, at = np.nonzero(best >= 0)
+            matches, place = np.divmod(best[row, at], max(right.num_rows, 1))
+            place = right.num_rows - 1 - place
+            columns = [left.column("asked").take(pa.array(i + row)), right.column("id").take(pa.array(place)), right.column("ts").take(pa.array(place)), pa.array(matches)]
+            out.append(pa.table(columns, names=["asked", "id", "ts", "matches"]))
+        return pa.concat_tables(out)
+
+    return work
+
+
+def _ones(sets: pa.ChunkedArray, width: int) -> np.ndarray:
+    m = np.zeros((len(sets), width), np.float32)
+    m[pc.list_parent_indices(sets).to_numpy(), pc.list_flatten(sets).to_numpy()] = 1
+    return m
+
+
+def similar_by_entity(asked: DataFrame, edges: DataFrame, originals: DataFrame, n: int = 5, rare: int = RARE) -> DataFrame:
+    """qid, id, matches, rank: originals (id, ts: long) by the number of entities shared, then the newest. edges: qid, entity_id.
+
+    Rare entities come first: who shares one is found by a join on them, whose lists are short, and common frequent entities
+    are counted in on each pair. Then the bound: an original that shares no rare entity can't share more than the
+    question's frequent ones; if n others share more, the question is done. What is left depends on the sets of frequent
+    entities alone: of originals with equal ones only the n + 1 newest can count (one may be the question itself), and
+    equal sets of questions are asked once. Blocks of both are multiplied as matrices, and give n + 1 rows for each set, so
+    that rows that hold an entity of a third of all questions are never joined on it.
     """
-    sets = edges.groupBy("qid").agg(F.array_sort(F.collect_set("entity_id")).alias("entities")).withColumn("set", F.sha2(F.to_json(F.struct("entities")), 256))
-    own = originals.join(sets, originals.id == sets.qid).select("set", "id", "ts")
-    w = W.partitionBy("set").orderBy(F.desc("ts"), F.desc("id"))
-    newest = own.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n + 1).drop("place")
-    questions = asked.select("qid").join(sets.select("qid", "set"), "qid")
-    held = sets.select("set", "entities").dropDuplicates(["set"]).select("set", F.explode("entities").alias("entity_id"))
-    left = held.join(questions.select("set").distinct(), "set", "left_semi").withColumnRenamed("set", "asked_set")
-    pairs = left.join(held.join(newest.select("set").distinct(), "set", "left_semi"), "entity_id").groupBy("asked_set", "set").agg(F.count("*").alias("matches"))
-    best = _newest(pairs.join(newest, "set").withColumnRenamed("asked_set", "qid"), [F.desc("matches"), F.desc("ts"), F.desc("id")], n + 1).withColumnRenamed("qid", "asked_set")
-    found = questions.join(best.select("asked_set", "id", "ts", "matches"), questions["set"] == best["asked_set"]).filter("id <> qid").select("qid", "id", "ts", "matches")
-    return _newest(found, [F.desc("matches"), F.desc("ts"), F.desc("id")], n).select("qid", "id", "matches", "rank")
+    edges = stored(edges.select("qid", "entity_id").distinct(), "entities")
+    number = frequent_entities(edges, rare)
+    known = edges.sparkSession.createDataFrame(list(number.items()) or [(None, 0)], T.StructType([edges.schema["entity_id"], T.StructField("number", T.IntegerType())]))
+    marked = edges.join(F.broadcast(known.filter("entity_id is not null")), "entity_id", "left")
+    sets = marked.groupBy("qid").agg(F.array_sort(F.collect_list("number")).alias("frequent"), F.collect_list(F.when(F.col("number").isNull(), F.col("entity_id"))).alias("rare"))
+    sets = stored(sets, "sets")  # a row for each question, with its own entities
+    ours = asked.select("qid").distinct().join(sets, "qid")
+    theirs = originals.select("id", F.col("ts").cast("long").alias("ts")).join(sets.select(F.col("qid").alias("id"), F.col("frequent").alias("held"), F.col("rare").alias("others")), "id")
+    left = ours.select("qid", F.col("frequent").alias("own"), F.explode("rare").alias("entity_id"))
+    met = left.join(theirs.select("id", "ts", "held", F.explode("others").alias("entity_id")), "entity_id").filter("id <> qid")
+    pairs = met.groupBy("qid", "id").agg(F.count("*").alias("rare"), F.first("ts").alias("ts"), F.first("own").alias("own"), F.first("held").alias("held"))
+    best = [F.desc("matches"), F.desc("ts"), F.desc("id")]
+    first = stored(_newest(pairs.select("qid", "id", "ts", (F.col("rare") + F.size(F.array_intersect("own", "held"))).alias("matches")), best, n), "first")
+    enough = first.filter(F.col("rank") == n).select("qid", F.col("matches").alias("reached"))
+    open_ones = ours.join(enough, "qid", "left").filter((F.size("frequent") > 0) & (F.coalesce("reached", F.lit(0)) <= F.size("frequent"))).select("qid", "frequent")
+    newest = W.partitionBy("held").orderBy(F.desc("ts"), F.desc("id"))
+    groups = theirs.filter(F.size("held") > 0).select("id", "ts", F.col("held").alias("frequent"), F.row_number().over(newest).alias("place")).filter(F.col("place") <= n + 1).drop("place")
+    asked_sets = open_ones.select("frequent").distinct().withColumn("asked", F.to_json("frequent"))
+    a, b = (max(1, -(-df.count() // SETS)) for df in (asked_sets, groups))
+    left = asked_sets.withColumn("a", F.pmod(F.xxhash64("asked"), F.lit(a)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    right = groups.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_overlaps(n + 1), "asked string, id long, ts long, matches long")
+    found = _newest(found.withColumnRenamed("asked", "qid"), best, n + 1).withColumnRenamed("qid", "asked").drop("rank")
+    rest = open_ones.withColumn("asked", F.to_json("frequent")).join(found, "asked").filter("id <> qid").select("qid", "id", "ts", "matches")
+    both = first.drop("rank").unionByName(rest).groupBy("qid", "id").agg(F.max("ts").alias("ts"), F.max("matches").alias("matches"))
+    return _newest(both, best, n).select("qid", "id", "matches", "rank")
 
 
 def similar_by_both(topic_edges: DataFrame, entity_edges: DataFrame, events: DataFrame, topic_id: int, entity_id) -> DataFrame:

@@ -1,5 +1,6 @@
 """Edge cases that the tables don't hold."""
 
+import random
 import statistics
 from datetime import datetime, timedelta
 
@@ -218,6 +219,41 @@ def test_an_entity_that_all_questions_hold(spark):
     assert len(got) == n
 
 
+def shared_best(sets, asked, n):
+    """By definition: matches, then the newest (here the id's own time), for some questions."""
+    out = {}
+    for q in asked:
+        best = sorted(((-len(sets[q] & s), -(i % 97), -i) for i, s in sets.items() if i != q and sets[q] & s))[:n]
+        out[q] = [(k + 1, -b[2], -b[0]) for k, b in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("rare", [0, 3, 15, 10**6])
+def test_entities_rare_and_frequent(spark, rare):
+    rng = random.Random(6)
+    sets = {i: {int(rng.paretovariate(0.7)) for _ in range(rng.randrange(0, 9))} for i in range(300)}
+    edges = spark.createDataFrame([(q, e) for q, s in sets.items() for e in s], "qid long, entity_id long")
+    ids = spark.range(300)
+    got = {}
+    for r in graph.similar_by_entity(ids.withColumnRenamed("id", "qid"), edges, ids.select("id", (F.col("id") % 97).alias("ts")), 5, rare).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.id, r.matches))
+    assert {q: sorted(x) for q, x in got.items()} == {q: x for q, x in shared_best(sets, sets, 5).items() if x}
+
+
+def test_an_entity_in_two_fifths_of_distinct_sets(spark):
+    """100,000 questions, no two with equal sets: a join on the frequent entity would make 1.6e9 pairs."""
+    n = 100_000
+    rows = spark.range(n).select(F.col("id").alias("qid"), F.expr("array(id + 10, id div 40 * -1 - 1, if(id % 5 < 2, 0, id + 10))").alias("e"))
+    ids = spark.range(n)
+    out = graph.similar_by_entity(ids.withColumnRenamed("id", "qid"), rows.select("qid", F.explode("e").alias("entity_id")), ids.select("id", (F.col("id") % 97).alias("ts")), 3)
+    some = [0, 1, 2, 39, 40, 41, 50_000, 50_003, 99_999]
+    got = {q: [] for q in some}
+    for r in out.filter(F.col("qid").isin(some)).collect():
+        got[r.qid].append((r.rank, r.id, r.matches))
+    sets = {i: {i + 10, -(i // 40) - 1} | ({0} if i % 5 < 2 else set()) for i in range(n)}
+    assert {q: sorted(x) for q, x in got.items()} == shared_best(sets, some, 3)
+
+
 def test_latency_of_a_hot_key_is_counted_by_value(spark):
     rows = spark.range(100_000).select(F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("k"), (F.col("id") * 7 % 900).alias("ms"))
     got = {r.k: r for r in evaluate.latency_stats(rows, ["k"], "ms").collect()}
