@@ -111,7 +111,7 @@ def similar_by_topic(asked: DataFrame, edges: DataFrame, originals: DataFrame, n
 
 
 #: Rows that hold an entity from which on it is frequent, at least; and frequent entities, at most.
-RARE, FREQUENT = 200, 4096
+RARE, FREQUENT = 40, 4096
 #: Sets of frequent entities of a block, and of a step within it.
 SETS, STEP = 8192, 512
 

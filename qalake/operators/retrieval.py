@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -230,52 +231,173 @@ def knn_topk(
     return _rank(q.groupBy("a", "b").cogroup(v.groupBy("a", "b")).applyInArrow(_met(k, min_score, digits, skip_self), FOUND), k)
 
 
-def centres(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10, seed: int = 5) -> np.ndarray:
-    """Unit vectors in the middle of cells, by rounds of spherical k-means on a bounded sample (the first by a hash of the id)."""
-    own = vectors.filter("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow()
-    m = _matrix(own.column("embedding"), _size(vectors))
-    if not len(m):
-        return np.ones((1, m.shape[1]))
+def sample_of(vectors: DataFrame, most: int = 20_000) -> np.ndarray:
+    """Unit vectors of a bounded sample (the first by a hash of the id), in the order of that hash."""
+    own = vectors.filter("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(most).select("embedding").toArrow()
+    return _matrix(own.column("embedding"), _size(vectors))
+
+
+def centres(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
+    """Unit vectors in the middle of cells, by rounds of spherical k-means on a sample."""
+    if not len(sample):
+        return np.ones((1, sample.shape[1]))
     rng = np.random.default_rng(seed)
-    middle = m[rng.choice(len(m), min(cells, len(m)), replace=False)]
+    middle = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
     for _ in range(rounds):
-        cell = np.argmax(m @ middle.T, axis=1)
+        cell = np.argmax(sample @ middle.T, axis=1)
         sums = np.zeros_like(middle)
-        np.add.at(sums, cell, m)
+        np.add.at(sums, cell, sample)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         middle = np.where(norm > 0, sums / np.maximum(norm, 1e-12), middle)
     return middle
 
 
-def knn_approx(
-    questions: DataFrame, vectors: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE, cells: int = 64, probes: int = 32, skip_self: bool = False, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """The same by an inverted file: each vector is in the cell of its nearest centre, and a question meets the vectors of its `probes` nearest cells.
+@dataclass
+class Codes:
+    """An index of vectors: the centres of its cells, and words for each part of a vector; a vector's code names a word for each part."""
+
+    middle: np.ndarray
+    words: list[np.ndarray]
+    cuts: np.ndarray
+
+    @staticmethod
+    def fit(sample: np.ndarray, cells: int, parts: int = 16, words: int = 256, rounds: int = 10, seed: int = 5) -> Codes:
+        """Words by k-means on each part of the sample's vectors."""
+        size = sample.shape[1]
+        cuts = np.linspace(0, size, min(parts, size) + 1).astype(int)
+        rng, books = np.random.default_rng(seed), []
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            x = sample[:, low:high] if len(sample) else np.zeros((1, high - low))
+            book = x[rng.choice(len(x), min(words, len(x)), replace=False)]
+            for _ in range(rounds):
+                own = Codes.nearest(x, book)
+                sums, n = np.zeros_like(book), np.bincount(own, minlength=len(book))[:, None]
+                np.add.at(sums, own, x)
+                book = np.where(n > 0, sums / np.maximum(n, 1), book)
+            books.append(book)
+        return Codes(centres(sample, cells), books, cuts)
+
+    @staticmethod
+    def nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+        return np.argmax(x @ book.T - (book**2).sum(1) / 2, axis=1)
+
+    def encode(self, m: np.ndarray) -> np.ndarray:
+        """A byte for each part."""
+        own = [self.nearest(m[:, low:high], book) for low, high, book in zip(self.cuts[:-1], self.cuts[1:], self.words)]
+        return np.stack(own, axis=1).astype(np.uint8)
+
+    def scores(self, questions: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Cosines of questions and coded vectors, nearly: sums of the parts' products, which are looked up."""
+        out = np.zeros((len(questions), len(codes)), np.float32)
+        for i, (low, high, book) in enumerate(zip(self.cuts[:-1], self.cuts[1:], self.words)):
+            out += (questions[:, low:high] @ book.T).astype(np.float32)[:, codes[:, i]]
+        return out
+
+    def cells(self, m: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort(-(m @ self.middle.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+
+    def tuned(self, sample: np.ndarray, k: int, recall: float, most: float, questions: int = 200) -> tuple[int, float, float]:
+        """Probes and the share of vectors to rescore that find `recall` of the k nearest of the sample's first vectors; what they found.
+
+        Both are doubled until they do, the share up to `most`: a share of the sample stands for a share of all vectors.
+        """
+        asked, n = sample[:questions], len(sample)
+        if n <= k + 1:
+            return len(self.middle), most, 1.0
+        exact = asked @ sample.T
+        near = self.scores(asked, self.encode(sample))
+        own = (np.arange(len(asked)), np.arange(len(asked)))
+        exact[own], near[own] = -np.inf, -np.inf
+        want = np.argpartition(-exact, k, axis=1)[:, :k]
+        home, order, found = self.cells(sample, 1)[:, 0], self.cells(asked, len(self.middle)), 0.0
+        shares = [s for s in (0.005, 0.01, 0.02, 0.05, most) if s <= most]
+        probes = 1
+        while True:
+            probes = min(probes, len(self.middle))
+            seen = (order[:, :probes, None] == home[None, None, :]).any(1) if probes < len(self.middle) else np.ones_like(near, bool)
+            value = np.where(seen, near, -np.inf)
+            place = np.argsort(np.argsort(-value, axis=1, kind="stable"), axis=1, kind="stable")
+            for share in shares:
+                hit = (np.take_along_axis(place, want, 1) < max(k, share * n)) & np.take_along_axis(seen, want, 1)
+                found = float(hit.mean())
+                if found >= recall:
+                    return probes, share, found
+            if probes == len(self.middle):
+                return probes, most, found
+            probes *= 2
+
+
+def _coded(codes: Codes, rescored: int, skip_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a block of questions and one of codes: the vectors to rescore, STEP x STEP scores at once."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = _matrix(left.column("embedding"), codes.middle.shape[1])
+        code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+        qid, ids = left.column("qid").to_numpy(), right.column("id").to_numpy()
+        out = []
+        for i in range(0, len(qid), STEP):
+            value, found = np.zeros((len(qid[i : i + STEP]), 0), np.float32), np.zeros((len(qid[i : i + STEP]), 0), np.int64)
+            for j in range(0, len(ids), STEP):
+                near = codes.scores(asked[i : i + STEP], code[j : j + STEP])
+                if skip_self:
+                    near[qid[i : i + STEP, None] == ids[None, j : j + STEP]] = -np.inf
+                value = np.concatenate([value, near], axis=1)
+                found = np.concatenate([found, np.broadcast_to(ids[j : j + STEP], near.shape)], axis=1)
+                if value.shape[1] > rescored:
+                    best = np.argpartition(-value, rescored - 1, axis=1)[:, :rescored]
+                    value, found = np.take_along_axis(value, best, 1), np.take_along_axis(found, best, 1)
+            row, at = np.nonzero(np.isfinite(value))
+            out.append(pa.table([pa.array(qid[i + row]), pa.array(found[row, at]), pa.array(value[row, at].astype(np.float64))], names=["qid", "id", "score"]))
+        return pa.concat_tables(out)
+
+    return meet
 
-    Centres are fitted on a bounded sample; all vectors are indexed. Cells larger than a block are dealt to several tasks, and
-    so are a cell's questions. What a task holds is bounded as in knn_topk; cosines are exact.
+
+def knn_approx(
+    questions: DataFrame, vectors: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE, target: float = 0.95, most: float = 0.1, skip_self: bool = False, block_bytes: int = BLOCK_BYTES
+) -> tuple[DataFrame, dict]:
+    """The rows of knn_topk, nearly, and how they were looked for: cells, probes, share (of vectors rescored), found (recall on the sample).
+
+    An inverted file of product-quantised codes. A vector is in the cell of its nearest centre, as many cells as the root of the
+    number of vectors, and is coded in a byte for each of 16 parts. A question looks its cosines up by code in its `probes` nearest
+    cells, and the best of them, at most a `most`-th of all vectors, are rescored by their exact cosines. Probes and share are
+    the least that reach `target` on the sample that cells and codes are fitted on; all vectors are indexed. Cells larger than a
+    block are dealt to several tasks, and so are a cell's questions.
     """
     questions = questions.select(F.col("qid").cast("long").alias("qid"), "embedding")
     vectors = vectors.select(F.col("id").cast("long").alias("id"), "embedding")
-    middle = centres(vectors, cells)
-    size = middle.shape[1]
-    rows = max(1, block_bytes // (size * 8))
+    n, sample = vectors.count(), sample_of(vectors)
+    codes = Codes.fit(sample, max(1, math.isqrt(n)))
+    probes, share, found = codes.tuned(sample, k, target, most)
+    rescored, size = max(k, int(share * n)), codes.middle.shape[1]
 
-    def nearest(n: int, key: str):
-        def work(batches):
-            for batch in batches:
-                near = _matrix(batch.column("embedding"), size) @ middle.T
-                order = np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("embedding"), lists], names=[key, "embedding", "cells"])
+    def index(batches):
+        for batch in batches:
+            m = _matrix(batch.column("embedding"), size)
+            code = codes.encode(m)
+            yield pa.record_batch([batch.column("id"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(codes.cells(m, 1)[:, 0])], ["id", "code", "cell"])
 
-        return work
+    def probe(batches):
+        for batch in batches:
+            order = codes.cells(_matrix(batch.column("embedding"), size), probes)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel()))
+            yield pa.record_batch([batch.column("qid"), batch.column("embedding"), lists], ["qid", "embedding", "cells"])
 
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    v = vectors.mapInArrow(nearest(1, "id"), f"id long, embedding {kind}, cells array<int>").withColumn("cell", F.get("cells", F.lit(0)))
+    def rescore(batches):
+        for batch in batches:
+            both = [_matrix(batch.column(c), size) for c in ("asked", "embedding")]
+            score = np.round((both[0] * both[1]).sum(1), 6)
+            keep = pa.array(score >= min_score)
+            yield pa.record_batch([batch.column("qid").filter(keep), batch.column("id").filter(keep), pa.array(score).filter(keep)], ["qid", "id", "score"])
+
+    v = vectors.mapInArrow(index, "id long, code binary, cell int")
     kind = questions.schema["embedding"].dataType.simpleString()
-    q = questions.mapInArrow(nearest(min(probes, len(middle)), "qid"), f"qid long, embedding {kind}, cells array<int>").withColumn("cell", F.explode("cells"))
-    return _rank(_in_blocks(q, v, ["cell"], rows, _met(k, min_score, 6, skip_self)), k)
+    q = questions.mapInArrow(probe, f"qid long, embedding {kind}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+    rows = max(1, block_bytes // (size * 8))
+    near = _rank(_in_blocks(q, v, ["cell"], rows, _coded(codes, rescored, skip_self)), rescored).select("qid", "id")
+    pairs = near.join(vectors, "id").join(questions.withColumnRenamed("embedding", "asked"), "qid").select("qid", "id", "asked", "embedding")
+    out = _rank(pairs.mapInArrow(rescore, FOUND), k)
+    return out, {"cells": len(codes.middle), "probes": probes, "share": rescored / max(n, 1), "found": found}
 
 
 #: What rounding may take off a cosine or an angle.
@@ -292,7 +414,7 @@ def knn_in_cells(questions: DataFrame, vectors: DataFrame, k: int, min_score: fl
     depend on. Cells are as many as the root of the number of vectors; a vector may come once for each stretch.
     """
     one = vectors.select("id", "embedding")
-    middle = centres(one, max(1, math.isqrt(vectors.count())))
+    middle = centres(sample_of(one), max(1, math.isqrt(vectors.count())))
     size = middle.shape[1]
     angle = lambda cosine: np.arccos(np.clip(cosine, -1, 1))
     most = float(angle(min_score))

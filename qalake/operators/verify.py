@@ -120,19 +120,21 @@ def _figures(text: Column) -> list[Column]:
     return [
         F.array_distinct(_all(low, PERCENT, 1)).alias("percents"),
         F.array_distinct(_all(text, CODE, 1)).alias("codes"),
-        F.array_distinct(F.concat(_all(text, DURATION, 1), _all(text, MONEY, 1))).alias("specifics"),
+        F.array_distinct(_all(text, DURATION, 1)).alias("durations"),
+        F.array_distinct(_all(text, MONEY, 1)).alias("sums"),
     ]
 
 
 def verify_numbers(answers: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Percentages, codes, and durations or sums of money of an answer that none of its chunks has. Only figures are gathered, not texts."""
+    """Percentages, codes, and specifics (durations, sums of money) of an answer that none of its chunks has, each kind held against
+    its own: thirty days are not found in thirty dollars. Only figures are gathered, not texts."""
     own = answers.select("qid", *_figures(F.col("answer")))
-    kinds = ("percents", "codes", "specifics")
+    kinds = ("percents", "codes", "durations", "sums")
     seen = chunks.select("qid", *_figures(F.col("text"))).groupBy("qid").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(f"in_{c}") for c in kinds])
-    rows = own.join(seen, "qid", "left")
-    odd = [F.array_sort(F.array_except(c, F.coalesce(f"in_{c}", F.expr(EMPTY)))).alias(c) for c in kinds]
-    rows = rows.select("qid", *odd)
-    return rows.select("qid", *[F.concat_ws(",", c).alias(c) for c in kinds], ((F.size("percents") + F.size("codes") + F.size("specifics")) == 0).alias("is_clean"))
+    odd = [F.array_except(c, F.coalesce(f"in_{c}", F.expr(EMPTY))).alias(c) for c in kinds]
+    rows = own.join(seen, "qid", "left").select("qid", *odd).withColumn("specifics", F.concat("durations", "sums"))
+    lists = [F.concat_ws(",", F.array_sort(c)).alias(c) for c in ("percents", "codes", "specifics")]
+    return rows.select("qid", *lists, ((F.size("percents") + F.size("codes") + F.size("specifics")) == 0).alias("is_clean"))
 
 
 def clean_citations(text: Column, k: Column) -> Column:

@@ -23,15 +23,15 @@ from .retrieve import corpus, knn, questions
 
 TAIL = "\nSources:\n1. [A](https://kb/a)\n2) [B](https://kb/b)\n9. [Z](https://kb/z)"
 SQL_TAIL = "chr(10) || 'Sources:' || chr(10) || '1. [A](https://kb/a)' || chr(10) || '2) [B](https://kb/b)' || chr(10) || '9. [Z](https://kb/z)'"
-answers = lambda v: v.cited.select("qid", F.concat("answer", F.when(F.col("qid") % 3 == 0, F.lit(TAIL)).otherwise("")).alias("answer"))
-ANSWERS = f"select qid, answer || case when qid % 3 = 0 then {SQL_TAIL} else '' end as answer from cited"
+answers = lambda v: v.cited.select("qid", F.concat("answer", F.when(F.col("qid") % 7 == 0, F.lit(" Wait 30 days.")).otherwise(""), F.when(F.col("qid") % 3 == 0, F.lit(TAIL)).otherwise("")).alias("answer"))
+ANSWERS = f"select qid, answer || case when qid % 7 = 0 then ' Wait 30 days.' else '' end || case when qid % 3 = 0 then {SQL_TAIL} else '' end as answer from cited"
 chunks = lambda v: v.retrieved.join(v.documents, "doc_id").select(
     "qid",
     "rank",
-    F.concat("text", F.lit(" Pays 30% after 2 years.")).alias("text"),
+    F.concat("text", F.lit(" Pays 30% after 2 years. It costs $30.")).alias("text"),
     F.when(F.col("rank") == 1, "https://kb/a").otherwise("https://kb/c").alias("url"),
 )
-CHUNKS = "select qid, rank, text || ' Pays 30% after 2 years.' as text, case when rank = 1 then 'https://kb/a' else 'https://kb/c' end as url from retrieved join documents using (doc_id)"
+CHUNKS = "select qid, rank, text || ' Pays 30% after 2 years. It costs $30.' as text, case when rank = 1 then 'https://kb/a' else 'https://kb/c' end as url from retrieved join documents using (doc_id)"
 CITED = r"""select qid, cast(i - 1 as int) as pos, cast(n[i] as int) as number, trim(c[i]) as claim from (select qid, c, n, unnest(range(1, len(c) + 1)) as i from (
   select qid, regexp_extract_all(answer, '([^.!?\n]{10,100})\s*\[(\d+)\]', 1) as c, regexp_extract_all(answer, '([^.!?\n]{10,100})\s*\[(\d+)\]', 2) as n from (""" + ANSWERS + ") a) b) d"
 query("extract_citations", lambda v: V.extract_citations(answers(v)), CITED, "cited")
@@ -60,11 +60,13 @@ query(
     f"bigint) as suspicious, count(*) filter (where review) as reviews, round(avg(score), 4) as mean_score from ({VERIFIED}) v",
     "cited retrieved",
 )
-FIG = r"list_distinct(regexp_extract_all(lower({0}), '\b(\d+)(?:%|\s*percent)', 1)) as p, list_distinct(regexp_extract_all({0}, '\b(7\d{{3}})\b', 1)) as c, list_distinct(list_concat(regexp_extract_all({0}, '(?i)\b(\d+)\s*(?:days?|months?|years?)\b', 1), regexp_extract_all({0}, '\$\s*(\d+(?:,\d{{3}})*(?:\.\d{{2}})?)', 1))) as s"
-LESS = "array_to_string(list_sort(list_filter(a.{0}, lambda x: not list_contains(k.{0}, x))), ',')"
+FIG = r"list_distinct(regexp_extract_all(lower({0}), '\b(\d+)(?:%|\s*percent)', 1)) as p, list_distinct(regexp_extract_all({0}, '\b(7\d{{3}})\b', 1)) as c, list_distinct(regexp_extract_all({0}, '(?i)\b(\d+)\s*(?:days?|months?|years?)\b', 1)) as d, list_distinct(regexp_extract_all({0}, '\$\s*(\d+(?:,\d{{3}})*(?:\.\d{{2}})?)', 1)) as m"
+LESS = "list_filter(a.{0}, lambda x: not list_contains(k.{0}, x))"
+LIST = "array_to_string(list_sort({0}), ',')"
+KINDS = ("p", "c", "d", "m")
 NUMBERS = f"""select qid, percents, codes, specifics, percents = '' and codes = '' and specifics = '' as is_clean
-  from (select a.qid, {LESS.format('p')} as percents, {LESS.format('c')} as codes, {LESS.format('s')} as specifics
-  from (select qid, {FIG.format('answer')} from ({ANSWERS}) z) a join (select qid, flatten(list(p)) as p, flatten(list(c)) as c, flatten(list(s)) as s
+  from (select a.qid, {LIST.format(LESS.format('p'))} as percents, {LIST.format(LESS.format('c'))} as codes, {LIST.format(f"list_concat({LESS.format('d')}, {LESS.format('m')})")} as specifics
+  from (select qid, {FIG.format('answer')} from ({ANSWERS}) z) a join (select qid, {', '.join(f'flatten(list({c})) as {c}' for c in KINDS)}
     from (select qid, {FIG.format('text')} from ({CHUNKS}) y) x group by 1) k on k.qid = a.qid) t"""
 query("verify_numbers", lambda v: V.verify_numbers(answers(v), chunks(v)), NUMBERS, "cited retrieved")
 CLEAN = f"select qid, replace(replace(replace(answer, chr(10) || '9. [Z](https://kb/z)', ''), '[4]', ''), '[5]', '') as answer, length(answer) as before from ({ANSWERS}) a"
