@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -83,14 +84,54 @@ def embed_batches(texts: DataFrame, max_rows: int = 100, max_tokens: int = 8000,
     return t.repartition("part").sortWithinPartitions("part", "text_hash").mapInArrow(work, "text_hash string, part int, batch int")
 
 
-def embed(batches: DataFrame, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """Vectors of batches (text_hash, text, ...) by a caller's function, a pandas batch at a time."""
+Encoder = Callable[[list[str]], list[list[float]]]
+VECTORS = "text_hash string, embedding array<float>"
+
+
+def embed(batches: DataFrame, encode: Encoder) -> DataFrame:
+    """Vectors of batches (text_hash, text, part, batch), one call of a caller's function for each batch.
+
+    A part's batches are read in order, and a call's texts are held until the batch ends: embed_batches bounds them.
+    """
 
     def work(frames):
+        held, last = [], None
         for frame in frames:
-            yield pd.DataFrame({"text_hash": frame.text_hash, "embedding": list(encode(frame.text.tolist()))})
+            for key, rows in frame.groupby(["part", "batch"], sort=False):
+                if last not in (None, key):
+                    yield called(held)
+                    held = []
+                last = key
+                held.append(rows)
+        if held:
+            yield called(held)
+
+    def called(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held)
+        return pd.DataFrame({"text_hash": rows.text_hash, "embedding": list(encode(rows.text.tolist()))})
 
-    return batches.select("text_hash", "text").mapInPandas(work, "text_hash string, embedding array<float>")
+    ordered = batches.select("text_hash", "text", "part", "batch").repartition("part").sortWithinPartitions("part", "batch", "text_hash")
+    return ordered.mapInPandas(work, VECTORS)
+
+
+def embed_texts(texts: DataFrame, encode: Encoder, memo: str, model: str, max_rows: int = 100, max_tokens: int = 8000) -> tuple[DataFrame, int]:
+    """text_hash, embedding of the distinct texts (text, lower-cased; null: none), and how many of them had to be encoded.
+
+    memo is a table in the shared folder, by model and text hash, that runs share: texts that it has are not encoded again. A
+    run writes what it has encoded to a folder of its own, so that runs at the same time do no harm; a text that two of them
+    encoded counts once. max_tokens: about four characters each.
+    """
+    spark = texts.sparkSession
+    schema = f"model string, {VECTORS}"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{memo}/run=first")
+    read = lambda: spark.read.schema(f"{schema}, run string").parquet(memo).filter(F.col("model") == model).select("text_hash", "embedding").dropDuplicates(["text_hash"])
+    wanted = texts.filter("text is not null").select(F.lower("text").alias("text")).distinct().withColumn("text_hash", F.sha2("text", 256))
+    missing = stored(wanted.join(read(), "text_hash", "left_anti"), "missing")
+    n = missing.count()
+    if n:
+        batches = embed_batches(missing, max_rows, max_tokens).join(missing, "text_hash")
+        embed(batches, encode).select(F.lit(model).alias("model"), "text_hash", "embedding").write.parquet(f"{memo}/run={uuid.uuid4().hex}")
+    return wanted.select("text_hash").join(read(), "text_hash"), n
 
 
 def normalize_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:

@@ -12,9 +12,9 @@ from qalake.operators import graph as G
 from qalake.operators import retrieval as R
 from qalake.operators import verify as V
 from qalake.session import shared_folder
-from qalake.sources import files
+from qalake.sources import files, store
 from qalake.sources.tables import K_SPARK, VIEWS
-from qalake.streaming import flags, guard, live
+from qalake.streaming import flags, guard, live, sinks
 
 from .catalog import query
 from .knowledge import RULES, TOPICS, TTL
@@ -320,6 +320,73 @@ from flagged join h using (id, ip, t) where t <= (select max(t) - 600000000 from
 )
 
 
+def posted_stream(v):
+    """Posted events, as they come in: some of an unknown type, some with overlong paths, some with plain text for JSON."""
+    path = F.when(F.col("k") % 25 == 0, F.repeat(F.lit("x"), F.lit(3000))).otherwise(F.col("path"))
+    meta = F.when(F.col("k") % 3 == 0, '{"a": 1}').when(F.col("k") % 3 == 1, "plain")
+    return ev_stream(v).select("id", F.when(F.col("k") % 31 != 0, F.col("type")).alias("type"), path.alias("path"), meta.alias("meta"))
+
+
+def stream_ingest(v):
+    accepted, rejected = sinks.ingest_stream(posted_stream(v), folder(v, "ingest"))
+    return accepted.select(F.lit("accepted").alias("sink"), "id", F.lit(None).cast("string").alias("reason"), "meta").unionByName(rejected.select(F.lit("rejected").alias("sink"), "id", "reason", "meta"))
+
+
+query(
+    "stream_ingest",
+    stream_ingest,
+    """select case when reason is null then 'accepted' else 'rejected' end as sink, * from (
+  select id, case when k % 31 = 0 or type not in ('pageview', 'chat_question') then 'bad_type' when k % 25 = 0 then 'path_too_long' end as reason,
+  case k % 3 when 0 then '{"a": 1}' when 1 then '{"text":"plain"}' end as meta from ev) e""",
+    "ev",
+)
+query(
+    "stream_rate_windows",
+    lambda v: live.drain(sinks.rate_windows(dense(asked(ev_stream(v)))), "rates"),
+    f"""with d as ({DENSE}), s as (select ip, (t // 60000000 - m) * 60000000 as s from d cross join (select unnest(range(60)) as m) x)
+select ip, strftime(make_timestamp(s), {STAMP}) as started, count(*) as n from s where s + 3600000000 <= (select max(t) - 600000000 from d) group by ip, s having count(*) > 10""",
+    "ev",
+)
+query("stream_first_seen", lambda v: live.drain(live.new_visitors(asked(ev_stream(v))).select("ip"), "visitors"), f"select distinct ip from ({REQ}) r", "ev")
+SESSIONS = """g as (select sid, ts, case when ts - lag(ts) over (partition by sid order by ts) < interval 30 minutes then 0 else 1 end as new from ev),
+s as (select sid, ts, sum(new) over (partition by sid order by ts rows unbounded preceding) as s from g),
+sessions as (select sid, min(ts) as started, max(ts) + interval 30 minutes as ended, count(*) as n from s group by sid, s)"""
+query(
+    "stream_sessions",
+    lambda v: live.drain(sinks.session_stream(ev_stream(v)), "sessions"),
+    f"with {SESSIONS} select sid, strftime(started, {STAMP}) as started, strftime(ended, {STAMP}) as ended, n from sessions where ended <= (select max(ts) - interval 1 hour from ev)",
+    "ev",
+)
+
+
+def event_store(v):
+    path = folder(v, "store")
+    store.append_events(v.ev.select("id", "ts", "type"), path)
+    return path
+
+
+def retained(v):
+    """All events before one time are deleted, and the questions before a later one."""
+    path = event_store(v)
+    store.delete_before(v.spark, path, "2024-01-10 12:00:00")
+    store.delete_before(v.spark, path, "2024-01-14 06:00:00", F.col("type") == "chat_question")
+    return store.stored_events(v.spark, path).select("id", "day", "type")
+
+
+query(
+    "store_retention",
+    retained,
+    "select id, strftime(ts, '%Y-%m-%d') as day, type from ev where ts >= timestamp '2024-01-10 12:00:00' and (type <> 'chat_question' or ts >= timestamp '2024-01-14 06:00:00')",
+    "ev",
+)
+query(
+    "store_span",
+    lambda v: store.stored_events(v.spark, event_store(v), "2024-01-20 06:30:00", "2024-01-22 00:00:00").select("id"),
+    "select id from ev where ts >= timestamp '2024-01-20 06:30:00' and ts < timestamp '2024-01-22 00:00:00'",
+    "ev",
+)
+
+
 def stream_traffic(v):
     """The stream's days; its approximate numbers of visitors are held against exact ones."""
     exact = v.ev.filter("type = 'pageview'").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("sid").alias("exact"))

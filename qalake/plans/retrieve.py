@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from qalake.functions.text import cosine
 from qalake.operators import retrieval as R
+from qalake.session import shared_folder
 
 from .catalog import query
 
@@ -72,6 +75,34 @@ w as (select part, text_hash, i, 0 as batch, 1 as n, tokens as used from o where
 select text_hash, cast(part as int) as part, cast(batch as int) as batch from w""",
     "qa",
 )
+
+
+def letters(texts):
+    """Stands for a model: the length of a text, and how often it has a space, an e and an n."""
+    return [[float(x) for x in (len(t), t.count(" "), t.count("e"), t.count("n"))] for t in texts]
+
+
+def embedded(v):
+    """Questions first, then questions and answers: the second run encodes answers alone, the third one nothing."""
+    memo = f"{shared_folder(v.spark)}/memo-{uuid.uuid4().hex}"
+    asked = v.qa.select(F.col("question").alias("text"))
+    both = asked.unionByName(v.qa.select(F.col("answer").alias("text")))
+    R.embed_texts(asked, letters, memo, "letters", 10, 400)
+    _, more = R.embed_texts(both, letters, memo, "letters", 10, 400)
+    rows, again = R.embed_texts(both, letters, memo, "letters", 10, 400)
+    at = [F.element_at("embedding", i + 1).cast("int").alias(c) for i, c in enumerate(("chars", "spaces", "es", "ns"))]
+    return rows.select("text_hash", *at, F.lit(more).alias("second_run"), F.lit(again).alias("third_run"))
+
+
+query(
+    "embed_texts",
+    embedded,
+    """with q as (select distinct lower(question) as t from qa), b as (select t from q union select lower(answer) from qa),
+n as (select (select count(*) from b) - (select count(*) from q) as more)
+select sha256(t) as text_hash, cast(length(t) as int) as chars, cast(length(t) - length(replace(t, ' ', '')) as int) as spaces, cast(length(t) - length(replace(t, 'e', '')) as int) as es,
+  cast(length(t) - length(replace(t, 'n', '')) as int) as ns, cast(more as int) as second_run, cast(0 as int) as third_run from b cross join n""",
+    "qa",
+)
 query(
     "normalize_vectors",
     lambda v: R.normalize_vectors(v.embeddings).select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("unit"), F.round(cosine(F.col("embedding"), F.col("embedding")), 6).alias("own")).select("vec_id", "own", F.posexplode("unit").alias("at", "value")),
