@@ -1,16 +1,21 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame operations alone.
 
 A source's documents are each wanted target / source size times: so many whole copies, and one more with a fractional
-probability. The fractions are rounded in pairs: of two documents one gains and the other loses the same mass of words,
-at random and without bias, until one of them is at 0 or 1. What is left of a group of pairs is one fractional document;
-these residuals meet in groups again, level by level, until a source has one. A reserve of about RESERVE documents of each
-source (all, if it has fewer) waits for that one: they are rounded together, large documents first, and there the larger
-of a pair keeps the direction that its own draw gave it, until it is whole. So the mass of a large residual ends in many
-smaller ones, and the last fraction, which is drawn, is a small document's. A source's expected mass, and that of each
-document in the tree and of the larger ones, is kept; small documents of the reserve follow what the larger ones drew.
-
-Groups hold a bounded number of documents, dealt by a hash of the id, so that a source with a third of all rows is as
-many small groups; levels grow with the logarithm of the rows. All draws are hashes of ids: reruns agree.
+probability, the same for all of them. Fractions are rounded in pairs: one side gains and the other loses the same mass of
+words, at random, up with a chance of down / (up + down), until one side is whole. That keeps every document's expected copies
+and the source's mass, whatever meets whom.
+
+First pairs: a document and the pool of those that come after it, which share one fraction, largest documents first. The
+document ends at 0 or 1, unless it is larger than what the pool can give or take, and the pool goes on with the fraction
+that is left; so a large document is made up for by all smaller ones, and the last one, whose fraction is what is left over, is
+the smallest. Documents of more than a HEAVY-th of their source, fewer than HEAVY, are paired with the pool of all others of
+the source; the others are dealt by a hash of the id into groups of about GROUP, each a pool of its own. What groups leave
+over are single fractional documents: these residuals are paired with each other, group by group and level by level, in a
+reduction tree, until a source has one, which is drawn. It has at most a HEAVY-th of the source's words, unless a heavy document
+is more than all smaller ones can make up for: then keeping its chance comes before the source's total.
+
+A source with a third of all rows is as many small groups; levels grow with the logarithm of the rows, and are the same steps
+at every size. All draws are hashes of ids: reruns agree.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ from .shared import cut, read
 
 #: Documents that meet in one group, on average.
 GROUP = 48
-#: Documents of a source that are rounded last, on average.
-RESERVE = 512
+#: A document of more than this part of its source is heavy.
+HEAVY = 100
 SEED = 8
 MOST = 3.0
 SPACES = " \t\n\x0b\x0c\r"
@@ -74,22 +79,43 @@ FIELDS = ["first", "doc_id", "size", "source_size", "target", "whole", "p", "tie
 NONE = "cast(null as struct<first:bigint,doc_id:bigint,size:bigint,source_size:bigint,target:double,whole:bigint,p:double,tie:bigint,salt:bigint>)"
 
 
-def pivot(items: Column, level: int, steady: bool = False) -> Column:
-    """Fold of sorted structs of FIELDS: struct(held: the fractional one left or null, done: the others, p 0 or 1).
+_DONE = f"cast(array() as array<{NONE[len('cast(null as '):-1]}>)"
 
-    steady: the one held keeps its direction (up where its draw is less than p, which holds while p rises).
-    """
-    start = F.struct(F.expr(NONE).alias("held"), F.expr(f"cast(array() as array<{NONE[len('cast(null as '):-1]}>)").alias("done"))
+
+def settle(items: Column, p: Column, pool: Column) -> Column:
+    """Fold of sorted structs of FIELDS that share the fraction p, and a pool of further words that do: struct(p: what is left for the
+    pool, held: the fractional one left or null, done: the others, p 0 or 1)."""
+    size = F.aggregate(items, pool.cast("long"), lambda n, x: n + x["size"])
+    start = F.struct(p.cast("double").alias("p"), size.alias("rest"), F.expr(NONE).alias("held"), F.expr(_DONE).alias("done"))
+
+    def step(state: Column, x: Column) -> Column:
+        p, rest, one = state["p"], state["rest"] - x["size"], F.lit(1.0)
+        up, down = F.least((one - p) * x["size"], p * rest), F.least(p * x["size"], (one - p) * rest)
+        rise = _draw(x["doc_id"], x["tie"], x["salt"], F.lit("pool")) * (up + down) < down
+        ends = F.when(rise, (one - p) * x["size"] <= p * rest).otherwise(p * x["size"] <= (one - p) * rest)
+        moved = F.when(rise, up).otherwise(-down)
+        whole = (p <= 0.0) | (p >= 1.0)  # the pool has ended, and those that are still to come with it
+        last = ~whole & (rest == 0)
+        own = F.when(whole | last, p).when(ends, F.when(rise, 1.0).otherwise(0.0)).otherwise(p + moved / x["size"])
+        left = F.when(whole | last, p).when(ends, F.greatest(F.lit(0.0), F.least(one, p - moved / rest))).otherwise(F.when(rise, 0.0).otherwise(1.0))
+        mine = x.withField("p", own)
+        holds = last | (~whole & ~ends & (own > 0.0) & (own < 1.0))
+        done = F.when(holds, state["done"]).otherwise(F.concat(state["done"], F.array(mine)))
+        return F.struct(left.alias("p"), rest.alias("rest"), F.when(holds, mine).otherwise(state["held"]).alias("held"), done.alias("done"))
+
+    return F.aggregate(items, start, step)
+
+
+def pivot(items: Column, level: int) -> Column:
+    """Fold of sorted structs of FIELDS, each paired with the one held: struct(held: the fractional one left or null, done: the others, p 0 or 1)."""
+    start = F.struct(F.expr(NONE).alias("held"), F.expr(_DONE).alias("done"))
 
     def step(state: Column, x: Column) -> Column:
         y = state["held"]
         # words go from y to x or from x to y; p changes by words / size
         up = F.least((F.lit(1.0) - x["p"]) * x["size"], y["p"] * y["size"])
         down = F.least(x["p"] * x["size"], (F.lit(1.0) - y["p"]) * y["size"])
-        if steady:
-            rise = _draw(y["doc_id"], y["tie"], y["salt"], F.lit(level)) >= y["p"]
-        else:
-            rise = _draw(x["doc_id"], x["tie"], x["salt"], y["doc_id"], y["tie"], y["salt"], F.lit(level)) * (up + down) < down
+        rise = _draw(x["doc_id"], x["tie"], x["salt"], y["doc_id"], y["tie"], y["salt"], F.lit(level)) * (up + down) < down
         moved = F.when(rise, up).otherwise(-down)
         # the one that reaches its bound is set to it exactly
         x_ends = F.when(rise, (F.lit(1.0) - x["p"]) * x["size"] <= y["p"] * y["size"]).otherwise(x["p"] * x["size"] <= (F.lit(1.0) - y["p"]) * y["size"])
@@ -104,7 +130,7 @@ def pivot(items: Column, level: int, steady: bool = False) -> Column:
     return F.aggregate(items, start, step)
 
 
-def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = MOST, group: int = GROUP, reserve: int = RESERVE) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = MOST, group: int = GROUP, heavy: int = HEAVY) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, copies, taken, tie (the text's hash).
 
     Only doc_id, text and source are read: further columns, whatever their names, play no part. Null texts and texts of
@@ -129,27 +155,30 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = MOST, group: i
     rows = rows.withColumn("whole", F.floor("wanted").cast("long")).withColumn("p", F.col("wanted") - F.col("whole")).withColumn("first", -F.col("size"))
     plain = (F.col("p") <= 0.0) | (F.col("size") == 0)
     done = rows.filter(plain).select("source", F.struct(*[F.col(c) if c != "p" else F.lit(0.0).alias("p") for c in FIELDS]).alias("d"))
-    waits = F.pmod(F.xxhash64("doc_id", "tie", "salt", F.lit("reserve")), F.greatest("n_docs", F.lit(1))) < reserve
-    rest = rows.filter(~plain).select("source", "n_docs", waits.alias("waits"), F.struct(*FIELDS).alias("d"))
-    at, last = rest.filter("not waits").drop("waits"), rest.filter("waits").drop("waits")
-
-    def round_off(at: DataFrame, level: int, *keys, steady: bool = False) -> tuple[DataFrame, DataFrame]:
-        """The rounded documents, and the fractional one of each group."""
-        met = at.groupBy("source", "n_docs", *keys).agg(F.array_sort(F.collect_list("d")).alias("items"))
-        met = cut(met.select("source", "n_docs", pivot(F.col("items"), level, steady).alias("s")), f"level{level}")
-        return met.select("source", F.explode("s.done").alias("d")), met.filter("s.held is not null").select("source", "n_docs", F.col("s.held").alias("d"))
-
-    most_docs = sizes.agg(F.max("n_docs")).first()[0] or 0
-    level = 0
-    while most_docs > reserve:  # sources with fewer are all reserve
-        groups = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / float(group ** (level + 1)))).cast("int")
-        rounded, at = round_off(at, level, F.pmod(F.xxhash64("d.doc_id", "d.tie", "d.salt", F.lit(level)), groups).alias("g"))
-        done = done.unionByName(rounded)
-        level += 1
-        if most_docs <= group**level:
+    large = F.col("size") * heavy > F.col("source_size")
+    rest = rows.filter(~plain).select("source", "n_docs", large.alias("large"), F.struct(*FIELDS).alias("d"))
+    words = F.coalesce(F.sum(F.when(~F.col("large"), F.col("d.size"))), F.lit(0))
+    of_source = rest.groupBy("source").agg(F.array_sort(F.collect_list(F.when(F.col("large"), F.col("d")))).alias("items"), words.alias("pool"), F.first("d.p").alias("p"))
+    of_source = cut(of_source.select(F.col("source").alias("of"), settle(F.col("items"), F.col("p"), F.col("pool")).alias("s")), "heavy")
+    done = done.unionByName(of_source.select(F.col("of").alias("source"), F.explode("s.done").alias("d")))
+    light = rest.filter("not large").join(of_source.select("of", F.col("s.p").alias("now")), rest["source"].eqNullSafe(F.col("of")))
+    n_groups = lambda level: F.greatest(F.lit(1), F.ceil(F.col("n_docs") / float(group ** (level + 1)))).cast("int")
+    own = lambda level: F.pmod(F.xxhash64("d.doc_id", "d.tie", "d.salt", F.lit(level)), n_groups(level)).alias("g")
+    met = light.groupBy("source", "n_docs", own(0)).agg(F.array_sort(F.collect_list("d")).alias("items"), F.first("now").alias("now"))
+    met = cut(met.select("source", "n_docs", settle(F.col("items"), F.col("now"), F.lit(0)).alias("s")), "groups")
+    done = done.unionByName(met.select("source", F.explode("s.done").alias("d")))
+    over = of_source.filter("s.held is not null").select(F.col("of").alias("source"), F.col("s.held").alias("d"))
+    over = over.join(sizes.select(F.col("source").alias("of"), "n_docs"), over["source"].eqNullSafe(F.col("of"))).drop("of")
+    at = over.select("source", "n_docs", "d").unionByName(met.filter("s.held is not null").select("source", "n_docs", F.col("s.held").alias("d")))
+    most_docs, level = sizes.agg(F.max("n_docs")).first()[0] or 0, 1
+    while True:  # residuals of a level's groups, until each source is one group
+        tree = at.groupBy("source", "n_docs", own(level)).agg(F.array_sort(F.collect_list("d")).alias("items"))
+        tree = cut(tree.select("source", "n_docs", pivot(F.col("items"), level).alias("s")), f"level{level}")
+        done = done.unionByName(tree.select("source", F.explode("s.done").alias("d")))
+        at = tree.filter("s.held is not null").select("source", "n_docs", F.col("s.held").alias("d"))
+        if most_docs <= group ** (level + 1):
             break
-    rounded, at = round_off(at.unionByName(last), level, steady=True)
-    done = done.unionByName(rounded)
+        level += 1
     drawn = F.when(_draw(F.col("d.doc_id"), F.col("d.tie"), F.col("d.salt"), F.lit(-1)) < F.col("d.p"), 1.0).otherwise(0.0)
     done = done.unionByName(at.select("source", F.col("d").withField("p", drawn).alias("d")))
     copies = F.when(F.col("d.size") == 0, 0).otherwise(F.col("d.whole") + F.col("d.p").cast("long"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from qalake.llm import decontamination, exact_dedup, mixing, quality, token_counts, toxicity, url_filter
 
+from ..oracle import DATA, connect
 from .cases import SCHEMA, documents, prose, table
 
 
@@ -165,13 +166,16 @@ def test_mixing(spark):
 
 
 def test_a_source_of_fifty_documents_comes_near_its_target(spark):
-    """Though one of them is long; whether they wait for each other or meet in groups first."""
+    """Though one of them is long; whether most of them are heavy, or meet in groups."""
     rng = random.Random(13)
     rows = [(i, "w " * (3000 if i % 50 == 0 else rng.randrange(20, 400)), "en", f"s{i // 50}", 0) for i in range(300)] + [(7, "x y z", "en", "s1", 0)] * 500 + [(None, "long " * 20_000, "en", "s9", 0)]
-    for reserve, most in ((512, 0.05), (20, 0.5)):
-        got = mixing.mix_sources(table(spark, rows), reserve=reserve).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    for heavy in (100, 20):
+        got = mixing.mix_sources(table(spark, rows), heavy=heavy).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n"), F.sum("size").alias("size")).collect()
         assert sum(r.n for r in got) == len(rows)
-        assert all(abs(r.taken - r.target) <= most * r.target for r in got if r.source != "s9")
+        for r in got:  # where the others can make up for the long one, whichever way it is drawn; else its chance comes first
+            p, others = r.target / r["size"] % 1, r["size"] - (3000 if r.source != "s9" else 20_000)
+            enough = max(p, 1 - p) * 3000 <= min(p, 1 - p) * others
+            assert abs(r.taken - r.target) <= (0.05 * r.target if enough else r["size"] - others), r
 
 
 def test_targets_are_the_fixed_point(spark):
@@ -190,6 +194,29 @@ def test_targets_are_the_fixed_point(spark):
     assert got == pytest.approx(want)
 
 
+def test_each_document_keeps_its_chance(spark):
+    """1,500 sources with the sizes of a given one: mean copies of the document of each rank are what is wanted, within 4 standard errors."""
+    sizes = [n for (n,) in connect().execute(r"select len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) from documents where source = 'src0'").fetchall()]
+    one = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "rank long, text string")
+    rows = spark.range(1500).crossJoin(one).select((F.col("id") * 1000 + F.col("rank")).alias("doc_id"), "text", F.format_string("s%05d", "id").alias("source"), "rank", "id")
+    got = mixing.mix_sources(rows, (3, 7)).withColumn("rank", F.col("doc_id") % 1000).withColumn("kind", F.substring("source", 2, 5).cast("int") % 2)
+    got = got.groupBy("kind", "rank").agg(F.avg("copies").alias("mean"), F.count("*").alias("n"), F.first("size").alias("size")).collect()
+    assert len(got) == 2 * len(sizes) and {r.n for r in got} == {750}
+    error = (0.6 * 0.4 / 750) ** 0.5
+    assert max(abs(r["mean"] - (0.6, 1.4)[r.kind]) for r in got if r["size"]) <= 4 * error
+
+
+def test_sources_come_near_their_targets_through_the_tree(spark, monkeypatch):
+    """On given documents: the rounding tree has a level at least, whatever the size, and totals are within 1 % or a document."""
+    levels = []
+    cut = mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda df, name: levels.append(name) or cut(df, name))
+    got = mixing.op8_mixing(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source"), "doc_id")
+    got = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("size").alias("size")).collect()
+    assert {"heavy", "groups", "level1"} <= set(levels)
+    assert max(abs(r.taken - r.target) / r.target for r in got) <= 0.01
+
+
 def test_pivotal_rounding_is_unbiased(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") % 10 == 0, "x").otherwise("y").alias("source"))
     got = mixing.mix_sources(df).groupBy("source").agg(F.sum("taken"), F.first("target")).collect()
