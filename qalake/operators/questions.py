@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from qalake.functions.rules import contains_any, first_match, keyword_class
 from qalake.functions.text import count_of, word_list
 
+from .dictionary import terms_in
+
 #: Keyword classes of questions, first match first.
 QUESTION_TYPES = (
     ("definitional", ("what is", "define", "explain")),
@@ -53,13 +55,15 @@ def expand_terms(question: Column, terms: Sequence[tuple[str, str]]) -> Column:
 def related_terms(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
     """term, related: words of the term's own expansion, else of all expansions that contain it.
 
-    dictionary: entry, expansion. Its expansions are split into words once; a term is looked up by equality, and only
-    terms without an entry are compared with expansions.
+    dictionary: entry, expansion. Terms with an entry are looked up by equality; the others are found in the expansions by
+    the index of grams, whatever their number.
     """
     words = dictionary.select("entry", "expansion", F.explode(word_list(F.lower("expansion"))).alias("word"))
     own = terms.join(words, F.lower("term") == F.col("entry")).select("term", "word")
-    rest = terms.join(dictionary, F.lower("term") == F.col("entry"), "left_anti")
-    other = rest.join(words, F.contains(F.lower("expansion"), F.lower("term"))).select("term", "word")
+    rest = terms.join(dictionary, F.lower("term") == F.col("entry"), "left_anti").select("term", F.lower("term").alias("low"))
+    texts = dictionary.select(F.lower("expansion").alias("text")).distinct().select("text", F.col("text").alias("expansion"))
+    held = terms_in(texts, rest.select(F.col("low").alias("term")), "expansion").withColumnRenamed("term", "low")
+    other = held.join(rest, "low").select("term", F.explode(word_list("expansion")).alias("word"))
     return own.unionByName(other).distinct()
 
 

@@ -19,6 +19,8 @@ from qalake.functions.rules import contains_any
 from qalake.functions.text import cosine, unit
 from qalake.session import stored
 
+from .dictionary import terms_in
+
 TOP_K, MIN_SCORE, WEAK, REFUSE = 7, 0.45, 0.55, 0.45
 #: Bytes of questions that are sent to all tasks, and of a block of questions or vectors; pairs of STEP questions and vectors are scored at once.
 BROADCAST_BYTES, BLOCK_BYTES, STEP = 64 << 20, 32 << 20, 1000
@@ -548,14 +550,18 @@ def recent_history(turns: DataFrame, n: int = 6) -> DataFrame:
     return last.filter(F.col("role").isin("user", "assistant")).drop("back")
 
 
-def term_search(chunks: DataFrame, terms: list[str], samples: int = 5) -> DataFrame:
-    """term, n, sample_ids: chunks whose content or topic has the term. Terms are a parameter, so that one pass finds all."""
+def term_search(chunks: DataFrame, terms: DataFrame, samples: int = 5) -> DataFrame:
+    """term, n, sample_ids: for each term (term) that is in a chunk's content or topic, whatever the case, their number and the first ids.
+
+    Terms are a table of any size, found by the index of grams.
+    """
     text = F.lower(F.concat_ws("\n", "content", "topic"))
-    hits = F.filter(F.array(*[F.when(F.contains(text, F.lit(t.lower())), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
-    found = chunks.select("entry_id", F.explode(hits).alias("term"))
-    top = found.withColumn("i", F.row_number().over(W.partitionBy("term").orderBy("entry_id")))
-    sample = top.filter(F.col("i") <= samples).groupBy("term").agg(F.array_join(F.array_sort(F.collect_list("entry_id")), ",").alias("sample_ids"))
-    return found.groupBy("term").agg(F.count("*").alias("n")).join(sample, "term")
+    low = terms.select("term", F.lower("term").alias("low")).distinct()
+    found = terms_in(chunks.select("entry_id", text.alias("text")), low.select(F.col("low").alias("term")), "entry_id").withColumnRenamed("term", "low")
+    top = found.withColumn("i", F.row_number().over(W.partitionBy("low").orderBy("entry_id"))).filter(F.col("i") <= samples)
+    sample = top.groupBy("low").agg(F.array_join(F.array_sort(F.collect_list("entry_id")), ",").alias("sample_ids"))
+    counts = found.groupBy("low").agg(F.count("*").alias("n")).join(sample, "low")
+    return counts.join(low, "low").select("term", "n", "sample_ids")
 
 
 def retrieval_probe(questions: DataFrame, vectors: DataFrame, k: int = 10, floor: float = 0.3, skip_self: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qalake.functions.text import normalize_query, query_hash
+from qalake.operators import dictionary as D
 from qalake.operators import questions as Q
 
 from .catalog import query
@@ -49,12 +50,16 @@ e as (select qid, case when conv_id % 5 = 0 then 'What is Diagnostic Code ' || c
 """ + "".join(f", e{i + 1} as (select qid, case when contains(t{i}, '{x}') then t{i} else regexp_replace(t{i}, '(?i){p}', '{x}', 'g') end as t{i + 1} from e{i if i else ''})" for i, (p, x) in enumerate(LONG)) + f" select qid, t{len(LONG)} as expanded from e{len(LONG)}",
     "qa",
 )
+#: A dictionary of a term from each document, after those of TERMS; terms repeat, contain each other, and are as long as others.
+DICTIONARY = "select doc_id as pos, lower(split_part(text, ' ', 2)) as term, concat('<', cast(doc_id as string), '>') as expansion from documents where split_part(text, ' ', 2) <> ''" + "".join(
+    f" union all select {i - len(TERMS)} as pos, '{t}' as term, '{e}' as expansion" for i, (t, e) in enumerate(TERMS)
+)
 query(
     "expand_terms",
-    lambda v: v.qa.select("qid", Q.expand_terms(F.col("question"), TERMS).alias("expanded")),
-    "select qid, case " + " ".join(
-        f"when contains(lower(question), '{t}') then replace(lower(question), '{t}', '{e}')" for t, e in sorted(TERMS, key=lambda x: -len(x[0]))
-    ) + " else question end as expanded from qa",
+    lambda v: D.expand_by_table(v.qa, v.spark.sql(DICTIONARY.replace("documents", "{documents}"), documents=v.documents)),
+    f"""with d as ({DICTIONARY}), h as (select qid, term, expansion from qa join d on contains(lower(question), term)
+  qualify row_number() over (partition by qid order by length(term) desc, pos) = 1)
+select qa.qid, case when term is null then question else replace(lower(question), term, expansion) end as expanded from qa left join h on h.qid = qa.qid""",
     "qa",
 )
 PARTS = "select * from (values ('small', 'little tiny small'), ('ring', 'circle band ring'), ('steel', 'metal ring steel')) t(entry, expansion)"

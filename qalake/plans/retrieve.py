@@ -198,11 +198,12 @@ query(
     "select conv_id, turn, role from (select conv_id, turn, role, row_number() over (partition by conv_id order by turn desc) as back from "
     "conversations) t where back <= 6 and role in ('user', 'assistant')",
 )
-SEARCH = ["with", "Und ", "para", "src1"]
+#: Terms of a table: a word of each document, and some with other cases, spaces, and characters of their own.
+SEARCH = "select 'with' as term union all select 'Und ' union all select 'e' union all select 'src1' union all select split_part(text, ' ', 3) from documents where split_part(text, ' ', 3) <> ''"
 query(
     "term_search",
-    lambda v: R.term_search(v.chunks, SEARCH),
-    f"""with t as (select unnest({SEARCH}) as term), h as (select term, entry_id, row_number() over (partition by term order by entry_id) as i from t
+    lambda v: R.term_search(v.chunks, v.spark.sql(SEARCH.replace("documents", "{documents}"), documents=v.documents)),
+    f"""with t as (select distinct term from ({SEARCH}) s), h as (select term, entry_id, row_number() over (partition by term order by entry_id) as i from t
   join chunks on contains(lower(content || chr(10) || topic), lower(term)))
 select term, count(*) as n, string_agg(cast(entry_id as varchar), ',' order by entry_id) filter (where i <= 5) as sample_ids from h group by 1""",
     "chunks",
