@@ -82,26 +82,46 @@ NONE = "cast(null as struct<first:bigint,doc_id:bigint,size:bigint,source_size:b
 _DONE = f"cast(array() as array<{NONE[len('cast(null as '):-1]}>)"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def settle(items: Column, p: Column, pool: Column) -> Column:
     """Fold of sorted structs of FIELDS that share the fraction p, and a pool of further words that do: struct(p: what is left for the
     pool, held: the fractional one left or null, done: the others, p 0 or 1)."""
     size = F.aggregate(items, pool.cast("long"), lambda n, x: n + x["size"])
     start = F.struct(p.cast("double").alias("p"), size.alias("rest"), F.expr(NONE).alias("held"), F.expr(_DONE).alias("done"))
+    one = F.lit(1.0)
 
-    def step(state: Column, x: Column) -> Column:
-        p, rest, one = state["p"], state["rest"] - x["size"], F.lit(1.0)
+    def room(state: Column, x: Column) -> Column:
+        """What x and the pool behind it can give each other; none once the pool has ended, and those still to come with it."""
+        p, rest = state["p"], state["rest"] - x["size"]
+        is_open = (p > 0.0) & (p < 1.0) & (rest > 0)
         up, down = F.least((one - p) * x["size"], p * rest), F.least(p * x["size"], (one - p) * rest)
-        rise = _draw(x["doc_id"], x["tie"], x["salt"], F.lit("pool")) * (up + down) < down
-        ends = F.when(rise, (one - p) * x["size"] <= p * rest).otherwise(p * x["size"] <= (one - p) * rest)
-        moved = F.when(rise, up).otherwise(-down)
-        whole = (p <= 0.0) | (p >= 1.0)  # the pool has ended, and those that are still to come with it
-        last = ~whole & (rest == 0)
-        own = F.when(whole | last, p).when(ends, F.when(rise, 1.0).otherwise(0.0)).otherwise(p + moved / x["size"])
-        left = F.when(whole | last, p).when(ends, F.greatest(F.lit(0.0), F.least(one, p - moved / rest))).otherwise(F.when(rise, 0.0).otherwise(1.0))
-        mine = x.withField("p", own)
-        holds = last | (~whole & ~ends & (own > 0.0) & (own < 1.0))
-        done = F.when(holds, state["done"]).otherwise(F.concat(state["done"], F.array(mine)))
-        return F.struct(left.alias("p"), rest.alias("rest"), F.when(holds, mine).otherwise(state["held"]).alias("held"), done.alias("done"))
+        return F.struct(p.alias("p"), rest.alias("rest"), is_open.alias("open"), up.alias("up"), down.alias("down"))
+
+    def drawn(x: Column, v: Column) -> Column:
+        """The mass that x gains or loses, and whether x is whole then."""
+        rise = _draw(x["doc_id"], x["tie"], x["salt"], F.lit("pool")) * (v["up"] + v["down"]) < v["down"]
+        up_ends, down_ends = (one - v["p"]) * x["size"] <= v["p"] * v["rest"], v["p"] * x["size"] <= (one - v["p"]) * v["rest"]
+        return F.when(rise, F.struct(v["up"].alias("moved"), up_ends.alias("ends"), one.alias("bound"))).otherwise(F.struct((-v["down"]).alias("moved"), down_ends.alias("ends"), F.lit(0.0).alias("bound")))
+
+    def fractions(x: Column, v: Column, w: Column) -> Column:
+        """The fractions of x and of the pool: the one that reaches its bound is set to it exactly."""
+        own = F.when(w["ends"], w["bound"]).otherwise(v["p"] + w["moved"] / x["size"])
+        left = F.when(w["ends"], F.greatest(F.lit(0.0), F.least(one, v["p"] - w["moved"] / v["rest"]))).otherwise(one - w["bound"])
+        as_it_is = F.struct(v["p"].alias("own"), v["p"].alias("left"))
+        return F.when(v["open"], F.struct(own.alias("own"), left.alias("left"))).otherwise(as_it_is)
+
+    def after(state: Column, x: Column, v: Column, f: Column) -> Column:
+        mine = F.array(x.withField("p", f["own"]))
+        held = (f["own"] > 0.0) & (f["own"] < 1.0)
+        done = F.concat(state["done"], F.when(held, F.expr(_DONE)).otherwise(mine))
+        return F.struct(f["left"].alias("p"), v["rest"].alias("rest"), F.when(held, F.get(mine, F.lit(0))).otherwise(state["held"]).alias("held"), done.alias("done"))
+
+    def step(state: Column, x: Column) -> Column:
+        return _let(room(state, x), lambda v: _let(drawn(x, v), lambda w: _let(fractions(x, v, w), lambda f: after(state, x, v, f))))
 
     return F.aggregate(items, start, step)
 
