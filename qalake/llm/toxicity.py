@@ -12,7 +12,8 @@ What a byte adds to the difference of the two log-likelihoods is a term (a first
 Terms of bytes that no class has seen after a known context are the context's; after unknown ones both models agree. A
 text is scored by its difference for each byte, and by how far the terms' sums of words, and the terms of the words
 before, exceed some bounds, up and down (since a few strong words tell more than many weak ones); a logistic function of
-these is fitted on training rows that were not counted.
+these is fitted on training rows that were not counted. No weight works against the difference, which keeps a share of the
+weight it has by itself: with sizes given, the score never falls when a word's difference grows.
 
 The terms are a table in the shared folder, which grows with the training texts. The contexts used most (a bounded number
 of terms) are sent to all tasks; words that need others are sent, each distinct one once, to be joined with the table.
@@ -52,6 +53,10 @@ SENT_ITEMS = 1_000_000
 BOUNDS = (1.0, 2.0, 3.0)
 #: Numbers that describe a text.
 SUMS = 1 + 2 * len(BOUNDS)
+#: Signs of their weights: what the toxic model likes more never lowers a score.
+SIGNS = np.array([1.0] * (1 + len(BOUNDS)) + [-1.0] * len(BOUNDS))
+#: What the difference keeps, beside the words' sums, of the weight that it has by itself.
+LEAST_SHARE = 0.1
 SPACE = np.uint8(0x20)
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Above a context's bytes, where a sequence has text: contexts and sequences are kept in one table.
@@ -379,21 +384,45 @@ class Model:
         return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression of y on x, by Newton steps with a weak pull to 0."""
+        """Fit y to x: the normalised difference by itself first, then all sums beside LEAST_SHARE of its weight, with SIGNS."""
         if not len(x) or y.min() == y.max():
             base = (y.sum() + 0.5) / (len(y) + 2)
             self.b = float(np.log(base / (1 - base)))
             return
-        mean, scale = x.mean(0), x.std(0)
-        scale[scale < 1e-9] = np.inf
-        z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
-        beta = np.zeros(z.shape[1])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(z @ beta, -40, 40)))
-            weight = np.maximum(p * (1 - p), 1e-9)
-            beta += np.linalg.solve((z * weight[:, None]).T @ z + 0.1 * np.eye(len(beta)), z.T @ (y - p) - 0.1 * beta)
-        self.weights = beta[:-1] / scale
-        self.b = float(beta[-1] - (self.weights * mean).sum())
+        least = LEAST_SHARE * logistic(x[:, :1], y, SIGNS[:1])[0][0]
+        self.weights, self.b = logistic(x, y, SIGNS, least * x[:, 0])
+        self.weights[0] += least
+
+
+def logistic(x: np.ndarray, y: np.ndarray, signs: np.ndarray, offset: np.ndarray | float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights of the given signs and intercept of a logistic regression, by projected Newton steps with a weak pull to 0."""
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale < 1e-9] = np.inf
+    z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
+    signs, beta = np.append(signs, 0.0), np.zeros(z.shape[1])
+
+    def loss(beta: np.ndarray) -> float:
+        s = z @ beta + offset
+        return np.logaddexp(0, s).sum() - y @ s + 0.05 * beta @ beta
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta + offset, -40, 40)))
+        slope = z.T @ (p - y) + 0.1 * beta
+        free = ~((signs != 0) & (beta == 0) & (slope * signs > 0))  # others would leave their side
+        weight = np.maximum(p * (1 - p), 1e-9)
+        step = np.zeros(len(beta))
+        step[free] = np.linalg.solve((z[:, free] * weight[:, None]).T @ z[:, free] + 0.1 * np.eye(int(free.sum())), -slope[free])
+        size, before = 1.0, loss(beta)
+        new = np.where(signs * (beta + step) < 0, 0.0, beta + step)
+        while loss(new) > before and size > 1e-6:
+            size /= 2
+            new = np.where(signs * (beta + size * step) < 0, 0.0, beta + size * step)
+        done = np.abs(new - beta).max() < 1e-9
+        beta = new
+        if done:
+            break
+    weights = beta[:-1] / scale
+    return weights, float(beta[-1] - (weights * mean).sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, hot_terms: int = HOT_TERMS) -> Model:

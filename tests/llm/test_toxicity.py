@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from qalake.llm import toxicity as T
@@ -119,6 +120,29 @@ def test_held_out_toxic_stems_are_found(spark):
     assert sum(got[i] == toxic for i, toxic in labels[350:]) >= 0.98 * 150
 
 
+def test_no_weight_works_against_the_comparison():
+    """Whatever is fitted, a text's score does not fall when a word's difference grows; a free fit would let it."""
+    rng = np.random.default_rng(8)
+    for turned in (1, -1):
+        items = rng.normal(0, 2, (400, 12))
+        x = np.stack([np.mean(T.parts(v), axis=1) for v in items])
+        y = (rng.random(400) < 1 / (1 + np.exp(-(x @ np.array([-3, 1, 4, 9, 2, 1, -1.0]) * turned)))).astype(float)
+        model = T.Model.__new__(T.Model)
+        model.calibrate(x, y)
+        assert (model.weights * T.SIGNS >= 0).all() and model.weights.shape == (T.SUMS,)
+        alone = T.logistic(x[:, :1], y, T.SIGNS[:1])[0][0]
+        assert model.weights[0] >= T.LEAST_SHARE * alone >= 0
+        raised = items.copy()
+        raised[np.arange(400), rng.integers(0, 12, 400)] += rng.random(400) * 4
+        more = np.stack([np.mean(T.parts(v), axis=1) for v in raised])
+        assert (T._scores(more, model.weights, model.b) >= T._scores(x, model.weights, model.b) - 1e-12).all()
+    z = rng.normal(0, 1, (500, 2))
+    y = (rng.random(500) < 1 / (1 + np.exp(-z @ np.array([1.5, -1.0]) - 0.5))).astype(float)
+    w, b = T.logistic(z, y, np.zeros(2))
+    assert np.allclose((z - z.mean(0)).T @ (1 / (1 + np.exp(-z @ w - b)) - y), -0.1 * w * z.std(0) ** 2, atol=1e-5)  # the slope is 0 there
+    assert T.logistic(z, y, np.array([-1.0, 1.0]))[0].tolist() == [0, 0]
+
+
 def test_edges(spark):
     """No labels, one class only, repeated rows, ids beyond 2^62, ties at equal texts, clashing columns, no rows."""
     docs = spark.createDataFrame(
