@@ -36,9 +36,14 @@ def first_rule_value(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return first_match([(F.contains(text, F.lit(word)), value) for word, value in rules])
 
 
-def fold_pack(parts: Column, limit: Column, size=F.length, joint: str = "\n\n") -> Column:
-    """Greedy packing: parts join the open pack as long as it stays within the limit; a part above it stands alone."""
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit(None).cast("string").alias("open"))
+def fold_pack(parts: Column, limit: Column, size=F.length, joint: str = "\n\n", block: int = 128) -> Column:
+    """Greedy packing: parts join the open pack as long as it stays within the limit; a part above it stands alone.
+
+    Parts are folded block by block. Closed packs are appended to their block's array only, and a block hands its open pack
+    on, so that n packs cost n * block copies at most and not n * n.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    start = F.array(F.struct(none.alias("done"), F.lit(None).cast("string").alias("open")))
 
     def step(state: Column, part: Column) -> Column:
         joined = F.concat(state["open"], F.lit(joint), part)
@@ -46,4 +51,15 @@ def fold_pack(parts: Column, limit: Column, size=F.length, joint: str = "\n\n")
         done = F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
         return F.struct(done.alias("done"), F.when(state["open"].isNull(), part).when(fits, joined).otherwise(part).alias("open"))
 
-    return F.aggregate(parts, start, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    def fold(states: Column, own: Column) -> Column:
+        return F.concat(states, F.array(F.aggregate(own, F.struct(none.alias("done"), F.element_at(states, -1)["open"].alias("open")), step)))
+
+    def close(states: Column) -> Column:
+        return F.concat(F.flatten(F.transform(states, lambda s: s["done"])), F.filter(F.array(F.element_at(states, -1)["open"]), lambda x: x.isNotNull()))
+
+    def blocks(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1)), F.lit(block)), lambda i: F.slice(p, i, block))
+
+    # as an element, the parts' own expression is evaluated once for all blocks
+    packed = F.transform(F.array(parts), lambda p: F.aggregate(blocks(p), start, fold, close))
+    return F.when(parts.isNotNull(), F.get(packed, F.lit(0)))

@@ -2,6 +2,7 @@
 
 import random
 import statistics
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -47,6 +48,39 @@ def test_packing_loses_nothing_and_keeps_the_limit(spark, parts, limit):
     assert all(len(p) <= limit or p in parts for p in packs)
 
 
+def greedy(parts, limit):
+    packs = []
+    for p in parts:
+        if packs and len(packs[-1]) + 1 + len(p) <= limit:
+            packs[-1] += "|" + p
+        else:
+            packs.append(p)
+    return packs
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 128])
+def test_packing_by_blocks_is_greedy(spark, block):
+    rng = random.Random(block)
+    rows = [["a" * rng.randrange(1, 9) for _ in range(n)] for n in (0, 1, 2, 3, 4, 7, 127, 128, 129, 257)] + [None]
+    df = spark.createDataFrame(list(enumerate(rows)), "i long, p array<string>").select("i", fold_pack(F.col("p"), F.lit(10), joint="|", block=block).alias("x"))
+    got = {r.i: r.x for r in df.collect()}
+    assert got == {i: None if p is None else greedy(p, 10) for i, p in enumerate(rows)}
+
+
+def test_packing_100000_parts_of_one_text(spark):
+    docs = spark.createDataFrame([(1, 30)], "doc_id long, n int").select("doc_id", F.expr("array_join(transform(sequence(1, 100000), i -> repeat('x', 20 + cast(i % 23 as int))), '\n\n')").alias("text"))
+    start = time.time()
+    got = corpus.pack_parts(docs, limit=50).agg(F.count("*").alias("packs"), F.sum(F.length("content")).alias("chars"), F.max(F.length("content")).alias("longest")).first()
+    assert time.time() - start < 60
+    sizes, packs = [20 + i % 23 for i in range(1, 100_001)], []
+    for size in sizes:
+        if packs and packs[-1] + 2 + size <= 50:
+            packs[-1] += 2 + size
+        else:
+            packs.append(size)
+    assert (got.packs, got.chars, got.longest) == (len(packs), sum(packs), max(packs))
+
+
 def test_vectors(spark):
     rows = [(1, [3.0, 4.0], [3.0, 4.0]), (2, [0.0, 0.0], [1.0, 0.0]), (3, [1.0], [1.0, 2.0]), (4, [1.0, 0.0], [0.0, 2.0])]
     got = spark.createDataFrame(rows, "i long, a array<float>, b array<float>").select("i", F.round(cosine(F.col("a"), F.col("b")), 6), unit(F.col("a"))).collect()
