@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
-from qalake.operators import traffic, usage
+from qalake.operators import rollup, traffic, usage
 from qalake.sources.tables import AS_OF
 
 from .catalog import query
@@ -140,6 +142,44 @@ query(
 )
 
 
+def latency_rollup(v):
+    """Latency by provider over the last whole days, from daily sketches merged; the quantile's exact rank is checked beside it."""
+    provider = F.col("api_provider")
+    days = rollup.daily_rollup(v.ev, provider)
+    found = rollup.figures(rollup.span(days, FROM_DAY)).filter("n > 0")
+    gaps = rollup.rank_gap(v.ev.filter(F.col("ts") >= F.lit(FROM_DAY).cast("timestamp_ntz")), found, provider)
+    close = (F.col("gap") <= 2 * rollup.rank_error()).alias("p95_close")
+    return found.join(gaps, "part").select(F.col("part").alias("provider"), "chats", "n", "average_ms", "answer_chars", "prompt_chars", "success_rate", close)
+
+
+def traffic_rollup(v):
+    """Traffic by week, each merged from its days' sketches; visitors are checked against the exact number."""
+    week = F.date_format(F.date_trunc("week", F.col("day").cast("date")), "yyyy-MM-dd")
+    weeks = rollup.figures(rollup.span(rollup.daily_rollup(v.ev).withColumn("part", week)))
+    exact = v.ev.groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("part")).agg(F.countDistinct(F.when(F.col("type") == "pageview", F.col("sid"))).alias("uniques"))
+    close = (F.abs(F.col("visitors") - F.col("uniques")) <= 5 * rollup.distinct_error() * F.col("uniques")).alias("uniques_close")
+    return weeks.join(exact, "part").select(F.col("part").alias("week"), "pageviews", "chats", "uniques", close)
+
+
+FROM_DAY = str(date.fromisoformat(AS_OF[:10]) - timedelta(days=30))
+query(
+    "latency_rollup",
+    latency_rollup,
+    f"""with c as (select *, coalesce(api_provider, 'unknown') as provider from ev where ts >= timestamp '{FROM_DAY}' and type = 'chat_question')
+select provider, count(*) as chats, count(response_ms) as n, round(avg(response_ms), 4) as average_ms, round(avg(answer_chars) filter (where response_ms is not null), 4) as answer_chars,
+  round(avg(prompt_chars) filter (where response_ms is not null), 4) as prompt_chars, round(100 * avg(success) filter (where response_ms is not null), 4) as success_rate, true as p95_close
+  from c group by 1 having count(response_ms) > 0""",
+    "ev",
+)
+query(
+    "traffic_rollup",
+    traffic_rollup,
+    """select strftime(date_trunc('week', ts), '%Y-%m-%d') as week, count(*) filter (where type = 'pageview') as pageviews, count(*) filter (where type = 'chat_question') as chats,
+  count(distinct case when type = 'pageview' then sid end) as uniques, true as uniques_close from ev group by 1""",
+    "ev",
+)
+
+
 def with_meta(ev):
     """Events whose meta holds the fields that the log's writer puts there."""
     usage_ = F.when(
