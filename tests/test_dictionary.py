@@ -52,3 +52,19 @@ def test_related_terms_of_many_entries(spark):
         got.setdefault(r.term, set()).add(r.word)
     words = lambda keep: {w for _, x in entries if keep(x.lower()) for w in x.lower().split()}
     assert got == {"E7": {"word7", "shared7", "tail"}, "ord19 ": words(lambda x: "ord19 " in x), "shared3 t": words(lambda x: "shared3 t" in x)}
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_terms_are_counted_without_a_row_for_each_text(spark, sent):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 24)))
+    texts = [(i, " ".join(word() for _ in range(rng.randrange(12)))) for i in range(120)] + [(500, None), (501, ""), (502, "x" * 40), (503, "a\x00b\tc")]
+    some = [t for _, t in texts if t]
+    terms = {t[i : i + rng.randrange(1, 20)] for t in rng.choices(some, k=200) for i in [rng.randrange(len(t))]} | {"x" * 39, "x" * 41, "a\x00b", "\tc", "aa", "é", "", None}
+    args = spark.createDataFrame(texts, "id long, text string").repartition(3), spark.createDataFrame([(t,) for t in terms], "term string")
+    got = {r.term: (r.n, r.firsts) for r in dictionary.count_terms(*args, "id", 5, sent).collect()}
+    held = {t: [i for i, text in texts if text and t in text] for t in terms if t}
+    assert got == {t: (len(ids), sorted(ids)[:5]) for t, ids in held.items() if ids}
+    if sent:
+        made = dictionary.terms_in(*args, "id", sent)._jdf.queryExecution().toString()
+        assert "Generate" not in made  # no row for each gram of a text
