@@ -187,9 +187,9 @@ query(
 
 
 def document_files(v):
-    """One text file for each document, in a folder that bears its id."""
+    """One text file for each document, that bears its id."""
     path = folder(v, "markdown")
-    v.documents.select(F.col("doc_id").alias("name"), "text").repartitionByRange(8, "name").write.partitionBy("name").text(path)
+    files.write_documents(v.documents.select(F.col("doc_id").cast("string").alias("file"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("content")), path)
     return path
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,13 +25,47 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 def read_documents(spark: SparkSession, path: str, about: DataFrame, least: int = 100) -> DataFrame:
     """Whole text files with what is known about them (file, ...); those shorter than `least` are left out.
 
-    A file goes by its name; in folders `name=...`, by the folder's.
+    A file goes by its name; in folders `name=...`, by the folder's. Folders are listed by tasks and are no partitions of a
+    table, whose values the driver would hold and compare: there may be as many as files.
     """
     name = F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/name=([^/]+)/", 1), F.lit("")), F.col("_metadata.file_name"))
-    rows = spark.read.text(path, wholetext=True).select(name.alias("file"), F.col("value").alias("content"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(name.alias("file"), F.col("value").alias("content"))
     return rows.filter(F.length("content") >= least).join(about, "file", "left")
 
 
+#: Files of a folder, about.
+FILES = 2000
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """A text file for each document (file: its name, content), in folders of about FILES, a task for each.
+
+    Spark's writer would have a folder, a checksum and, on a local file system, some processes for each file. Tasks open files by
+    Arrow's file systems, and a task that runs again writes the same ones. Of a name that comes again in a folder, the
+    file goes to a folder beside it.
+    """
+    tasks = max(1, -(-documents.count() // FILES))
+
+    def work(batches):
+        store, root = fs.FileSystem.from_uri(path)
+        at, seen, n = f"{root}/{TaskContext.get().partitionId()}", Counter(), 0
+        store.create_dir(at, recursive=True)
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                place = f"{at}-{seen[file]}" if seen[file] else at
+                if seen[file]:
+                    store.create_dir(place, recursive=True)
+                seen[file] += 1
+                with store.open_output_stream(f"{place}/{file}") as out:
+                    out.write(content.encode())
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    named = documents.select("file", F.coalesce("content", F.lit("")).alias("content"))
+    dealt = named.repartition(tasks, "file").sortWithinPartitions("file", "content")
+    dealt.mapInArrow(work, "n long").agg(F.sum("n")).collect()  # one row
+
+
 def parse_questions(lines: DataFrame) -> DataFrame:
     """id, category, question of lines (value) `CAT-N | question` or `[CAT-N] question`; others and comments are left out."""
     t = F.trim("value")
