@@ -9,7 +9,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from qalake.session import stored
@@ -110,54 +109,56 @@ def similar_by_topic(asked: DataFrame, edges: DataFrame, originals: DataFrame, n
     return _newest(pairs, [F.desc("ts"), F.desc("id")], n).select("qid", "id", "rank")
 
 
-#: Rows that hold an entity from which on it is frequent, at least; and frequent entities, at most.
-RARE, FREQUENT = 40, 4096
-#: Sets of frequent entities of a block, and of a step within it.
-SETS, STEP = 8192, 512
+#: Questions that hold an entity from which on it is frequent: a join on rarer ones makes at most so many pairs for each edge.
+RARE = 40
+#: Sets of frequent entities of a block, and blocks of each side at least, once there are more than FEW sets.
+SETS, BLOCKS, FEW = 32_768, 4, 512
 
 
-def frequent_entities(edges: DataFrame, rare: int = RARE) -> dict:
-    """Entities that more than `rare` questions hold, and more than a FREQUENT-th of all edges name, numbered: fewer than FREQUENT."""
-    counts = edges.groupBy("entity_id").agg(F.count("*").alias("n"))
-    least = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.filter(F.col("n") > max(rare, least // FREQUENT)).select("entity_id").collect()
-    return {r["entity_id"]: i for i, r in enumerate(sorted(found))}
+def frequent_entities(edges: DataFrame, rare: int = RARE) -> DataFrame:
+    """entity_id, number: entities that more than `rare` questions hold, as a table. Numbers are unique, not dense."""
+    counts = edges.groupBy("entity_id").agg(F.count("*").alias("n")).filter((F.col("n") > rare) & F.col("entity_id").isNotNull())
+    return stored(counts.select("entity_id", F.monotonically_increasing_id().alias("number")), "frequent")
 
 
 def _overlaps(n: int):
     """Of a block of question sets (asked, frequent) and one of originals (id, ts, frequent): the n best originals of each set by
-    common entities, then the newest. Sets are rows of zeros and ones, and common entities their product."""
+    common entities, then the newest.
+
+    The block's originals are listed by entity, in order of time; a set's common entities are counted along its own lists.
+    Memory is one number for each original and member, whatever the number of entities.
+    """
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.lexsort((-right.column("id").to_numpy(), -right.column("ts").to_numpy()))
-        right = right.take(pa.array(order))
-        width = 1 + max((pc.max(pc.list_flatten(t.column("frequent"))).as_py() or 0 for t in (left, right)), default=0)
-        out = []
-        for i in range(0, left.num_rows, STEP):
-            ours = _ones(left.column("frequent").slice(i, STEP), width)
-            best = np.zeros((len(ours), 0), np.int64)
-            for j in range(0, right.num_rows, SETS):  # matches first, then the place in order of time
-                common = (ours @ _ones(right.column("frequent").slice(j, SETS), width).T).astype(np.int64)
-                value = common * right.num_rows + (right.num_rows - 1 - np.arange(j, j + common.shape[1]))
-                best = np.concatenate([best, np.where(common > 0, value, -1)], axis=1)
-                if best.shape[1] > n:
-                    best = -np.partition(-best, n - 1, axis=1)[:, :n]
-            row, at = np.nonzero(best >= 0)
-            matches, place = np.divmod(best[row, at], max(right.num_rows, 1))
-            place = right.num_rows - 1 - place
-            columns = [left.column("asked").take(pa.array(i + row)), right.column("id").take(pa.array(place)), right.column("ts").take(pa.array(place)), pa.array(matches)]
-            out.append(pa.table(columns, names=["asked", "id", "ts", "matches"]))
-        return pa.concat_tables(out)
+        right = right.take(pa.array(np.lexsort((-right.column("id").to_numpy(), -right.column("ts").to_numpy()))))
+        members = lambda t: (pc.list_parent_indices(t.column("frequent")).to_numpy(), pc.list_flatten(t.column("frequent")).to_numpy())
+        place, entity = members(right)
+        order = np.argsort(entity, kind="stable")
+        place, names = place[order], entity[order]
+        of, wanted = members(left)
+        begin, end = np.searchsorted(names, wanted), np.searchsorted(names, wanted, "right")
+        cut = np.searchsorted(of, np.arange(left.num_rows + 1))
+        out: tuple[list, list, list] = ([], [], [])
+        for i in range(left.num_rows):
+            lists = [place[begin[j] : end[j]] for j in range(cut[i], cut[i + 1])]
+            if not lists:
+                continue
+            common = np.bincount(np.concatenate(lists), minlength=1)
+            reached = np.cumsum(np.bincount(common)[:0:-1])  # originals with so many common entities or more, from the most down
+            if not len(reached):
+                continue
+            least = len(reached) - min(int(np.searchsorted(reached, n)), len(reached) - 1)
+            best = np.flatnonzero(common >= least)  # in order of time
+            best = best[np.argsort(-common[best], kind="stable")[:n]]
+            for x, y in zip(out, (np.full(len(best), i), best, common[best]), strict=True):
+                x.append(y)
+        row, at, matches = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        columns = [left.column("asked").take(pa.array(row)), right.column("id").take(pa.array(at)), right.column("ts").take(pa.array(at)), pa.array(matches)]
+        return pa.table(columns, names=["asked", "id", "ts", "matches"])
 
     return work
 
 
-def _ones(sets: pa.ChunkedArray, width: int) -> np.ndarray:
-    m = np.zeros((len(sets), width), np.float32)
-    m[pc.list_parent_indices(sets).to_numpy(), pc.list_flatten(sets).to_numpy()] = 1
-    return m
-
-
 def similar_by_entity(asked: DataFrame, edges: DataFrame, originals: DataFrame, n: int = 5, rare: int = RARE) -> DataFrame:
     """qid, id, matches, rank: originals (id, ts: long) by the number of entities shared, then the newest. edges: qid, entity_id.
 
@@ -165,13 +166,13 @@ def similar_by_entity(asked: DataFrame, edges: DataFrame, originals: DataFrame,
     are counted in on each pair. Then the bound: an original that shares no rare entity can't share more than the
     question's frequent ones; if n others share more, the question is done. What is left depends on the sets of frequent
     entities alone: of originals with equal ones only the n + 1 newest can count (one may be the question itself), and
-    equal sets of questions are asked once. Blocks of both are multiplied as matrices, and give n + 1 rows for each set, so
-    that rows that hold an entity of a third of all questions are never joined on it.
+    equal sets of questions are asked once. Blocks of both meet in tasks, and give n + 1 rows for each set, so that rows that
+    hold an entity of a third of all questions are never joined on it. What is joined grows with the edges, what is sent
+    to blocks with the sets times the number of blocks, and a task's memory with its block; only counting, a few
+    nanoseconds for each pair of distinct sets, grows with their square.
     """
     edges = stored(edges.select("qid", "entity_id").distinct(), "entities")
-    number = frequent_entities(edges, rare)
-    known = edges.sparkSession.createDataFrame(list(number.items()) or [(None, 0)], T.StructType([edges.schema["entity_id"], T.StructField("number", T.IntegerType())]))
-    marked = edges.join(F.broadcast(known.filter("entity_id is not null")), "entity_id", "left")
+    marked = edges.join(frequent_entities(edges, rare), "entity_id", "left")
     sets = marked.groupBy("qid").agg(F.array_sort(F.collect_list("number")).alias("frequent"), F.collect_list(F.when(F.col("number").isNull(), F.col("entity_id"))).alias("rare"))
     sets = stored(sets, "sets")  # a row for each question, with its own entities
     ours = asked.select("qid").distinct().join(sets, "qid")
@@ -186,7 +187,8 @@ def similar_by_entity(asked: DataFrame, edges: DataFrame, originals: DataFrame,
     newest = W.partitionBy("held").orderBy(F.desc("ts"), F.desc("id"))
     groups = theirs.filter(F.size("held") > 0).select("id", "ts", F.col("held").alias("frequent"), F.row_number().over(newest).alias("place")).filter(F.col("place") <= n + 1).drop("place")
     asked_sets = open_ones.select("frequent").distinct().withColumn("asked", F.to_json("frequent"))
-    a, b = (max(1, -(-df.count() // SETS)) for df in (asked_sets, groups))
+    asked_sets, groups = stored(asked_sets, "asked"), stored(groups, "groups")
+    a, b = (max(BLOCKS if n > FEW else 1, -(-n // SETS)) for n in (asked_sets.count(), groups.count()))
     left = asked_sets.withColumn("a", F.pmod(F.xxhash64("asked"), F.lit(a)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     right = groups.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_overlaps(n + 1), "asked string, id long, ts long, matches long")
