@@ -10,3 +10,12 @@ def test_rare_entities_stay_rare_in_large_tables(spark):
     edges = spark.range(300_000).selectExpr("id as qid", "id div 60 as entity_id").unionByName(spark.range(41).selectExpr("id as qid", "-1L as entity_id")).unionByName(spark.range(40).selectExpr("id as qid", "-2L as entity_id"))
     got = {r.entity_id for r in graph.frequent_entities(edges).select("entity_id").collect()}
     assert got == {*range(5000), -1}
+
+
+def test_a_question_for_all_cells_is_dealt_in_pieces():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(np.arange(10_000))], ["qid"])
+    pieces = list(retrieval._few_rows([batch], 1000))
+    assert max(p.num_rows for p in pieces) * 1000 <= retrieval.PAIRS and sum(p.num_rows for p in pieces) == 10_000
+    assert [p.num_rows for p in retrieval._few_rows([batch.slice(0, 2)], 10**9)] == [1, 1]
