@@ -85,3 +85,48 @@ def test_topic_answers_take_the_latest_of_all_topics(spark):
     asked = spark.createDataFrame([(1, 7, at(5)), (2, 7, at(5)), (2, 8, at(5))], "topic_id int, qid long, ts timestamp")
     kept = spark.createDataFrame([(1, 100, at(1), at(20)), (2, 101, at(3), at(4)), (2, 102, at(2), at(20)), (3, 103, at(4), at(20))], "topic_id int, answer_id long, created_at timestamp, expires_at timestamp")
     assert [tuple(r) for r in reuse.topic_answers(asked, kept).orderBy("qid").collect()] == [(7, 102), (8, 102)]
+
+
+def test_wide_cells_do_not_repeat_questions(spark, monkeypatch):
+    """Vectors in all directions: by cells each question would go to nearly all of them; a few close groups keep their cells."""
+    from qalake.operators import retrieval
+
+    seen, in_blocks = [], retrieval._in_blocks
+    monkeypatch.setattr(retrieval, "_in_blocks", lambda q, v, *rest: seen.append((q.count(), v.select("cell").distinct().count())) or in_blocks(q, v, *rest))
+    rng = np.random.default_rng(5)
+    heads = np.eye(16)[:8]
+    for m, threshold in ((rng.normal(size=(900, 16)), 0.25), (np.repeat(heads, 100, axis=0) + rng.normal(size=(800, 16)) * 0.01, 0.9)):
+        m = m.astype(np.float32)
+        q = spark.createDataFrame([(i, at(i % 40), v.tolist()) for i, v in enumerate(m)], "qid long, ts timestamp, embedding array<float>")
+        a = spark.createDataFrame([(i, v.tolist(), at(i % 37), at(i % 37 + 6)) for i, v in enumerate(m)], "answer_id long, embedding array<float>, created_at timestamp, expires_at timestamp")
+        unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+        score = np.round(unit @ unit.T, 6)
+        asked, made = np.arange(len(m))[:, None] % 40, np.arange(len(m))[None, :] % 37
+        score[(made > asked) | (asked >= made + 6) | (score < threshold)] = -1
+        want = {i: int(np.argmax(row)) for i, row in enumerate(score) if row.max() > 0}
+        assert {r.qid: r.answer_id for r in reuse.semantic_reuse(q, a, threshold).collect()} == want
+    assert seen[0] == (900, 1) and seen[1][0] <= 800 * 4 and seen[1][1] > 4, seen
+
+
+def test_topics_are_compared_in_one_reading_of_the_hits(spark):
+    hits = spark.createDataFrame([(1, 10, 0.9), (1, 10, 0.9), (2, 11, 0.8), (3, 12, 0.7), (4, 10, 0.6)], "qid long, answer_id long, similarity double")
+    read = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    asked = spark.createDataFrame([(1, 1), (1, 1), (2, None), (4, 2)], "qid long, topic_id int")
+    answered = spark.createDataFrame([(10, 1), (10, 3), (11, None)], "answer_id long, topic_id int")
+    got = reuse.require_topic_overlap(hits.mapInArrow(work, hits.schema), asked, answered)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 10, 0.9), (1, 10, 0.9), (3, 12, 0.7)] and read.value == 5
+
+
+def test_topic_overlap_asks_all_questions(spark):
+    from qalake.plans.catalog import ORACLES, QUERIES
+
+    from .oracle import DATA
+
+    assert "% 20" not in ORACLES["topic_overlap"]
+    assert any(r.qid % 20 for r in QUERIES["topic_overlap"](spark, DATA).collect())
