@@ -124,9 +124,9 @@ def test_topics_are_compared_in_one_reading_of_the_hits(spark):
 
 
 def test_topic_overlap_asks_all_questions(spark):
-    from qalake.plans.catalog import ORACLES, QUERIES
+    from __spark_entry__ import oracle_sql, queries
 
     from .oracle import DATA
 
-    assert "% 20" not in ORACLES["topic_overlap"]
-    assert any(r.qid % 20 for r in QUERIES["topic_overlap"](spark, DATA).collect())
+    assert "% 20" not in oracle_sql()["topic_overlap"]
+    assert any(r.qid % 20 for r in queries()["topic_overlap"](spark, DATA).collect())
